@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from fathom.llm.media import op5_media
 from fathom.llm.packing import op9_packing
+from fathom.llm.toxicity import op8_toxicity
 
 Query = Callable
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_packing": op9_packing}
+    return {
+        "op5_media": op5_media,
+        "op8_toxicity": op8_toxicity,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
