@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
 from fathom.llm.packing import op9_packing
 from fathom.llm.toxicity import op8_toxicity
@@ -13,6 +14,7 @@ Query = Callable
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_licenses": op1_licenses,
         "op5_media": op5_media,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": OP1_SQL}
