@@ -7,6 +7,7 @@ from collections.abc import Callable
 from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
 from fathom.llm.packing import op9_packing
+from fathom.llm.simhash import op10_simhash
 from fathom.llm.toxicity import op8_toxicity
 
 Query = Callable
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_media": op5_media,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
+        "op10_simhash": op10_simhash,
     }
 
 
