@@ -7,6 +7,7 @@ from collections.abc import Callable
 from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
 from fathom.llm.packing import op9_packing
+from fathom.llm.pii import op6_pii
 from fathom.llm.simhash import op10_simhash
 from fathom.llm.toxicity import op8_toxicity
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
         "op5_media": op5_media,
+        "op6_pii": op6_pii,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
