@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
+from fathom.llm.mixing import op2_mixing
 from fathom.llm.packing import op9_packing
 from fathom.llm.pii import op6_pii
+from fathom.llm.sentences import op4_sentences
 from fathom.llm.simhash import op10_simhash
 from fathom.llm.toxicity import op8_toxicity
 
@@ -17,6 +19,8 @@ Query = Callable
 def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
+        "op2_mixing": op2_mixing,
+        "op4_sentences": op4_sentences,
         "op5_media": op5_media,
         "op6_pii": op6_pii,
         "op8_toxicity": op8_toxicity,
