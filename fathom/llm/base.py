@@ -45,15 +45,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema, size: int = 8 << 20) -> DataFrame:
     """``function(pa.RecordBatch) -> pa.RecordBatch | dict | None`` over the Arrow batches of ``df``.
 
-    Batches are cut to about 8 MB first, so that long texts do not pile up.
+    Batches are cut to about ``size`` bytes first, so that long texts do not pile up.
     """
 
     def run(batches):
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, size):
                 out = function(part)
                 if out is not None:
                     yield out

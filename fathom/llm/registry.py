@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from fathom.llm.jaccard import op3_jaccard
 from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
 from fathom.llm.mixing import op2_mixing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
         "op2_mixing": op2_mixing,
+        "op3_jaccard": op3_jaccard,
         "op4_sentences": op4_sentences,
         "op5_media": op5_media,
         "op6_pii": op6_pii,
