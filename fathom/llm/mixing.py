@@ -68,12 +68,12 @@ def schedule(slots: dict) -> dict:
     return made
 
 
-def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK, ranges: int = RANGES, seed: str = "mix") -> DataFrame:
-    """``docs`` with the columns block (of its source), slot and place (in the block); (slot, place) is the mixed order."""
+def _placed(docs: DataFrame, weights: dict | None, period: int, block: int, ranges: int, seed: str) -> DataFrame:
+    """``docs`` with the columns _block, _slot and _place."""
     row = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in docs.columns])
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     part = F.floor(F.pmod(F.shiftright(order, 16), F.lit(1 << 30)) * ranges / F.lit(1 << 30)).cast("int")
-    keyed = docs.select("*", F.col("source").alias("_source"), part.alias("_part"), order.alias("_order"), row.alias("_row"))
+    keyed = docs.select("*", F.col("source").cast("string").alias("_source"), part.alias("_part"), order.alias("_order"), row.alias("_row"))
     counts = keyed.groupBy("_source", "_part").count()
     sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("count").alias("n")).collect()}
     slots = shares(sizes, weights, period)
@@ -82,18 +82,23 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_order", "_row")) - 1)
     joined = ranked.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     plan = docs.sparkSession.createDataFrame([(s, list(at), len(at)) for s, at in made.items()], "_t string, _slots array<int>, _n int")
-    joined = joined.join(F.broadcast(plan), F.col("_source").cast("string").eqNullSafe(F.col("_t")))
-    rank = F.col("_before") + F.col("_rank")
-    j = F.expr(f"(_before + _rank) div {block}L")
-    placed = joined.select(*[F.col(c) for c in docs.columns], j.alias("block"), (rank % block).cast("int").alias("place"), "_slots", "_n")
-    slot = F.expr("block div _n") * total + F.element_at("_slots", (F.col("block") % F.col("_n")).cast("int") + 1)
-    return placed.select(*[F.col(c) for c in docs.columns], "block", slot.cast("long").alias("slot"), "place")
+    joined = joined.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_t")))  # a row a source, ``total`` slots in all
+    joined = joined.withColumn("_block", F.expr(f"(_before + _rank) div {block}L"))
+    slot = F.expr("_block div _n") * total + F.element_at("_slots", (F.col("_block") % F.col("_n")).cast("int") + 1)
+    place = ((F.col("_before") + F.col("_rank")) % block).cast("int")
+    return joined.select(*[F.col(c) for c in docs.columns], "_block", slot.cast("long").alias("_slot"), place.alias("_place"))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK, ranges: int = RANGES, seed: str = "mix") -> DataFrame:
+    """doc_id, source, block (of the source), slot and place (in the block) of every row; (slot, place) is the mixed order."""
+    rows = docs.select("doc_id", "source")
+    return _placed(rows, weights, period, block, ranges, seed).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK, ranges: int = RANGES, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` in their mixed order, as a range-partitioned sort; written out, the files keep it."""
-    return mix(docs, **options).orderBy("slot", "place").select(*docs.columns)
+    return _placed(docs, weights, period, block, ranges, seed).orderBy("_slot", "_place").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "slot", "place")
+    return mix(table(spark, sf_dir, "documents"))

@@ -12,6 +12,7 @@ from fathom.llm.packing import op9_packing
 from fathom.llm.pii import op6_pii
 from fathom.llm.sentences import op4_sentences
 from fathom.llm.simhash import op10_simhash
+from fathom.llm.suffixes import op7_suffixes
 from fathom.llm.toxicity import op8_toxicity
 
 Query = Callable
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op4_sentences": op4_sentences,
         "op5_media": op5_media,
         "op6_pii": op6_pii,
+        "op7_suffixes": op7_suffixes,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,

@@ -93,14 +93,14 @@ def repeated_spans(rows: DataFrame, least_sentences: int, least_words: int, long
     place = F.struct("doc_id", "g", "i")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first")
     later = found.join(firsts, "h").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(F.col("doc_id").alias("d"), F.col("g").alias("k")).agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    return later.groupBy(F.col("doc_id").alias("_d"), F.col("g").alias("_k")).agg(F.array_sort(F.collect_set("i")).alias("starts"))
 
 
 def marked(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """``docs`` with the column starts of each row, null where nothing repeats."""
     rows = docs.withColumn("_g", F.xxhash64(text_of()))
     later = repeated_spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_g").alias("g"), text_of().alias("text")), least_sentences, least_words, long_sentence)
-    return rows.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("_g") == F.col("k")), "left").drop("d", "k", "_g").withColumnRenamed("starts", "_starts")
+    return rows.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_k")), "left").drop("_d", "_k", "_g").withColumnRenamed("starts", "_starts")
 
 
 def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
