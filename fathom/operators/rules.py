@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.scalar import glob_to_like, loose_like
+from fathom.functions.scalar import ascii_fold, glob_to_like, loose_like
 
 
 def usable_rules(rules: list[dict]) -> list[dict]:
@@ -51,8 +51,14 @@ def check_warnings(probes: DataFrame, warnings: DataFrame, kind: str = "file", b
     ``/``; package targets are equal names. The severity orders as text unless ``by_severity_rank``.
     """
     own = warnings.where(F.col("type") == kind).withColumnRenamed("repo_id", "w_repo")
-    meets = loose_like(F.col("probe"), glob_to_like(F.col("target"))) if kind == "file" else F.col("probe") == F.col("target")
-    met = probes.join(F.broadcast(own) if kind == "file" else own, meets & (F.col("w_repo").isNull() | (F.col("w_repo") == F.col("repo_id"))))
+    visible = F.col("w_repo").isNull() | (F.col("w_repo") == F.col("repo_id"))
+    if kind == "file":  # targets meet probes that share their letters before the first wildcard, four at most
+        stem = F.substring(F.regexp_extract(ascii_fold(F.col("target")), r"^[^*?%_]*", 0), 1, 4)
+        starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.substring(ascii_fold(F.col("probe")), F.lit(1), n)))
+        keyed = probes.withColumn("_stem", F.explode(starts))
+        met = keyed.join(own.withColumn("_stem", stem), "_stem").where(visible & loose_like(F.col("probe"), glob_to_like(F.col("target"))))
+    else:
+        met = probes.join(own, F.col("probe") == F.col("target")).where(visible)
     severity = F.when(F.col("severity") == "block", 3).when(F.col("severity") == "warn", 2).otherwise(1).desc() if by_severity_rank else F.col("severity").desc()
     order = Window.partitionBy("probe").orderBy(F.col("w_repo").isNull(), F.col("ecosystem").isNull(), severity, "id") if kind == "package" else Window.partitionBy("probe").orderBy(F.col("w_repo").isNull(), severity, "id")
     return met.select("probe", "id", "severity", "target", F.row_number().over(order).alias("place"))
