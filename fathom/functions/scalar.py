@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,9 +84,6 @@ def duration(ms: Column) -> Column:
 
 def decode_vector(blob: Column) -> Column:
     """float32 little-endian bytes as an array; an Arrow function, as Spark has no such expression."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
@@ -93,9 +92,6 @@ def decode_vector(blob: Column) -> Column:
 
 
 def encode_vector(vector: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
