@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.base import written
 
 
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least node, node) that connect what the edges (a, b) connect: one for each node at most."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    apart = label != np.arange(len(nodes))
+    return nodes[label[apart]], nodes[apart]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the least node that can be reached) of every node of ``edges`` (a, b).
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.base import map_batches, table, text_of, written
-from fathom.llm.graph import components
+from fathom.llm.graph import components, local_stars
 from fathom.llm.hashing import bucket_count, deal, from_blobs, mix, shingle_sets
 
 ROWS_A_BLOCK = 1024
@@ -110,7 +110,7 @@ def product_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
-    """For every key with more than one owner, edges from each owner to the least."""
+    """Stars that connect the owners of equal keys of a bucket."""
     keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
     if not len(keys):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -118,8 +118,8 @@ def _stars(blobs: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(owners, begin)
     leader = np.repeat(least, np.diff(np.append(begin, len(keys))))
     apart = owners != leader
-    edges = np.unique(np.column_stack([leader[apart], owners[apart]]), axis=0)
-    return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
+    a, b = local_stars(leader[apart], owners[apart])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _linked(percent: int):
@@ -167,7 +167,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
     sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
     chosen = written(candidates.join(sizes, "component").join(classes, "node").select("node", "component", "members", "first"), "candidates")
 
-    wanted = known.join(chosen.select("node", "component", "members", "first"), F.col("doc_id") == F.col("first")).select("node", "component", "members", "text")
+    wanted = known.join(chosen.select("node", "component", "members", "first").hint("merge"), F.col("doc_id") == F.col("first")).select("node", "component", "members", "text")
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(3).to_pylist(), words)
