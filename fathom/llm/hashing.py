@@ -131,7 +131,7 @@ def from_blobs(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return k[order], o[order]
 
 
-def deal(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, flush: int = 1 << 20, size: int = 4 << 20) -> DataFrame:
+def deal(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, flush: int = 1 << 19, size: int = 1 << 20) -> DataFrame:
     """Blobs of the (key, owner) pairs that ``keys_of`` gives for each batch; at most about ``flush`` pairs are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,7 +159,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
         names = np.repeat(np.array(list(found), np.int64), [len(p) for p in parts])
         return np.concatenate(parts or [np.empty(0, np.uint64)]), names
 
-    facts = written(map_batches(rows, describe, "doc_id long, n_shingles long, node long"), "shingles")
+    facts = written(map_batches(rows, describe, "doc_id long, n_shingles long, node long", size=1 << 20), "shingles")
     classes = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     known = rows.where(F.col("doc_id").isNotNull())
     stars = deal(known.select("text"), keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
@@ -175,7 +175,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
         out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "component", "members", "shingles"])
         return out.filter(pa.array(good, pa.bool_()))
 
-    sets = map_batches(wanted, sets_of, "node long, component long, members long, shingles binary", size=2 << 20)
+    sets = map_batches(wanted, sets_of, "node long, component long, members long, shingles binary", size=1 << 20)
     blocks = F.ceil(F.col("members") / ROWS_A_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))

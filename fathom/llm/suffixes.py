@@ -189,7 +189,7 @@ def _settled(width: int):
         contexts = rows.column("context").to_pylist()
         lead = rows.column("lead").to_pylist()
         order = sorted(range(len(lead)), key=lead.__getitem__)
-        slice_size = 40_000  # records of one anchor stay together
+        slice_size = 10_000  # records of one anchor stay together
         lo = 0
         while lo < len(order):
             hi = min(len(order), lo + slice_size)
@@ -220,11 +220,11 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
         text, _, _, _, h = anchors([t.encode() for t in distinct.values()], width)
         return h & np.uint64(0xFFFFFFFFFFFF0000), names[text]
 
-    repeated = deal(rows.select("g", "text"), keys, buckets, size=2 << 20).groupBy("bucket").applyInArrow(_repeated, "g long, key long")
+    repeated = deal(rows.select("g", "text"), keys, buckets, size=1 << 19).groupBy("bucket").applyInArrow(_repeated, "g long, key long")
     wanted = written(repeated.groupBy("g").agg(F.collect_set("key").alias("keys")), "anchors")
     known = rows.join(firsts, "g")
     asked = known.where(F.col("doc") == F.col("first")).join(wanted, "g").select("doc", "g", "text", "keys")
-    records = written(map_batches(asked, _records(width), RECORD, size=4 << 20), "records")
+    records = written(map_batches(asked, _records(width), RECORD, size=1 << 19), "records")
     dealt = records.where(~F.col("settled")).select("doc", "g", "lead", "context", "at").repartitionByRange(2 * buckets, "lead")
     lost = dealt.mapInArrow(_settled(width), LOST)
     here = records.where("settled").select("doc", "g", F.col("at").alias("lo"), (F.col("at") + F.octet_length("context") - width).cast("int").alias("hi"))
