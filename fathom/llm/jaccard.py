@@ -1,12 +1,17 @@
 """N-gram Jaccard join: which documents' shingle sets are alike, by a blocked sparse matrix product.
 
-The matrix of documents by shingles is cut into column blocks by shingle hash. Sets of sizes a and b that meet the
-threshold t differ in at most k = (1 - t) / (1 + t) * (a + b) shingles, so with k + 1 column blocks at least one has no
-deficit: there both rows coincide. That is the size-derived bound by which all other pairs are discarded before
-anything is multiplied. A document joins, for its own size class and the next, the hash of its part in each block;
-documents with equal parts form candidate groups (a star for each, never all its pairs). In every candidate group the
-product is then taken exactly, in row and column blocks with accumulated overlap counts, dropping pairs whose
-bound falls under the threshold; large groups are cut into pairs of row blocks that run as tasks of their own.
+The matrix of documents by shingles is cut into column blocks, ranges of shingle hashes. A set of n shingles shares at
+least ceil(t * n) with any set that meets the threshold t. With columns in one global order, rarest first, two such sets
+therefore meet in the first n - ceil(t * n) + 1 columns of both. That is the size-derived bound: pairs that meet in no
+such column are discarded before anything is multiplied, and columns that one row alone has cannot join a pair at all.
+
+Any order that is the same everywhere gives exact results. Here a share of the columns, chosen by hash, somewhat
+larger than 1 - t, comes first, by the number of rows that hold them, which is counted over all documents; the other
+columns follow by hash. So a document whose counted columns are mostly its own drops out, whatever passages it shares.
+
+Documents that meet form candidate groups (stars, never all pairs). In every group the product is then taken exactly,
+in row and column blocks with accumulated overlap counts, dropping what falls below the bound; large groups are cut
+into pairs of row blocks that run as tasks of their own.
 
 Equal sets are one class from the start, so copies cost nothing. Classes are named by 64-bit hashes. Nothing is
 collected: components are found by joins.
@@ -17,8 +22,6 @@ one node and so linked; a null id has no component; an empty table gives no rows
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,33 +41,17 @@ def class_key(found: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def most_apart(size: int, percent: int) -> int:
-    """Shingles in which two sets of at most ``size`` that meet the threshold can differ."""
-    return 2 * size * (100 - percent) // (100 + percent)
-
+def prefix_size(n: int, percent: int) -> int:
+    """Columns of a row of n in which it must meet any row that is alike."""
+    return n + percent * n // -100 + 1 if n else 0
 
-def size_class(n: int, percent: int) -> int:
-    """Sizes that can be linked are in one class or in neighbouring ones."""
-    return math.floor(math.log(n) / -math.log(percent / 100) + 1e-9)
 
+def counted(percent: int) -> int:
+    """Hashes below this are of the columns that are counted and come first."""
+    return int((100 - percent) * 1.5 / 100 * 2**64) & ~0xFFFF
 
-def class_top(k: int, percent: int) -> int:
-    return math.floor((percent / 100) ** -(k + 1) + 1e-6)
 
-
-def block_keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's parts in the column blocks, for its own size class and the next."""
-    own = size_class(len(found), percent)
-    spread = mix(found)
-    out = []
-    for k in (own, own + 1):
-        blocks = most_apart(class_top(k, percent), percent) + 1
-        at = ((found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)  # found is sorted, so are these
-        sums = np.append(np.uint64(0), np.cumsum(spread))
-        edges = np.searchsorted(at, np.arange(blocks + 1))
-        part = sums[edges[1:]] - sums[edges[:-1]]
-        out.append(mix(part + mix(np.arange(blocks, dtype=np.uint64) + np.uint64((k << 32) + 1))))
-    return np.concatenate(out)
+TOP = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def labels_of(links: np.ndarray) -> np.ndarray:
@@ -122,6 +109,21 @@ def _stars(blobs: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _shared(blobs: pa.Table) -> pa.Table:
+    """node, key, holders of the counted keys of a bucket that more than one node has."""
+    keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
+    if not len(keys):
+        return pa.table({"node": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "holders": pa.array([], pa.int64())})
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    once = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))  # a node can come in several batches
+    keys, owners = keys[once], owners[once]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    holders = np.repeat(np.diff(np.append(begin, len(keys))), np.diff(np.append(begin, len(keys))))
+    keep = holders > 1
+    return pa.table({"node": pa.array(owners[keep]), "key": pa.array(keys[keep].view(np.int64)), "holders": pa.array(holders[keep])})
+
+
 def _linked(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         """Stars of the linked nodes in each group of a bucket."""
@@ -149,23 +151,38 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
         raise ValueError("percent must be from 50 to 99")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
 
+    limit = np.uint64(counted(percent))
+
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), words)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found = {class_key(s): s for s in shingle_sets(batch.column(0).to_pylist(), words) if len(s)}
-        parts = [block_keys(s, percent) for s in found.values()]
-        names = np.repeat(np.array(list(found), np.int64), [len(p) for p in parts])
-        return np.concatenate(parts or [np.empty(0, np.uint64)]), names
-
-    facts = written(map_batches(rows, describe, "doc_id long, n_shingles long, node long", size=1 << 20), "shingles")
-    classes = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
+        sampled = [int(np.searchsorted(x, limit)) for x in sets]  # sets are sorted
+        more = [(x[s : prefix_size(len(x), percent)] & TOP).view(np.int64) for x, s in zip(sets, sampled, strict=True)]
+        columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([class_key(x) for x in sets], pa.int64()), pa.array(sampled, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "node", "sampled", "more"])
+
+    def counted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        found = {class_key(x): x[: np.searchsorted(x, limit)] & TOP for x in shingle_sets(batch.column(0).to_pylist(), words)}
+        names = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
+        return np.concatenate(list(found.values()) or [np.empty(0, np.uint64)]), names
+
+    def prefix_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(x, np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+        return np.concatenate(found or [np.empty(0, np.uint64)]), np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+
+    facts = written(map_batches(rows, describe, "doc_id long, n_shingles long, node long, sampled long, more array<long>", size=1 << 20), "shingles")
+    classes = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min("sampled").alias("sampled"), F.first("more").alias("more"))
     known = rows.where(F.col("doc_id").isNotNull())
-    stars = deal(known.select("text"), keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    shared_keys = deal(known.select("text"), counted_keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_shared, "node long, key long, holders long")
+    listed = shared_keys.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("shared"))
+    own = F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0))  # columns that no other row has
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    left = F.greatest(F.lit(0).cast("long"), prefix - own).cast("int")
+    met = F.transform(F.slice(F.coalesce("shared", F.array().cast("array<struct<holders:bigint,key:bigint>>")), F.lit(1), left), lambda x: x["key"])
+    prefixes = classes.join(listed, "node", "left").select("node", F.concat(met, "more").alias("keys")).where(F.size("keys") > 0)
+    stars = deal(prefixes, prefix_keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     candidates = components(stars)
     sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
-    chosen = written(candidates.join(sizes, "component").join(classes, "node").select("node", "component", "members", "first"), "candidates")
+    chosen = written(candidates.join(sizes, "component").join(classes.select("node", "first"), "node").select("node", "component", "members", "first"), "candidates")
 
     wanted = known.join(chosen.select("node", "component", "members", "first").hint("merge"), F.col("doc_id") == F.col("first")).select("node", "component", "members", "text")
 
@@ -185,7 +202,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
     links = dealt.groupBy("bucket").applyInArrow(_linked(percent), "a long, b long")
     shared = facts.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     groups = components(links.unionByName(shared))
-    least = groups.join(classes, "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    least = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = classes.join(groups, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return facts.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))

@@ -1,0 +1,420 @@
+"""Each operator on a small folder of awkward documents, against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from compare import same
+
+from fathom.llm import jaccard, licenses, media, mixing, packing, pii, sentences, simhash, suffixes, toxicity
+from fathom.llm.graph import components, local_stars
+from fathom.llm.registry import oracle_sql, queries
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def words(rng, n, base="abcdefgh"):
+    return ["".join(rng.choices(base, k=rng.randint(2, 5))) for _ in range(n)]
+
+
+def make_texts():
+    rng = random.Random(7)
+    plain = [" ".join(words(rng, rng.randint(1, 120))) for _ in range(40)]
+    sent = [" ".join(" ".join(words(rng, 9)).capitalize() + "." for _ in range(12)) for _ in range(6)]
+    passage = " ".join(" ".join(words(rng, 14)).capitalize() + "." for _ in range(5))
+    near = []
+    for k in range(6):
+        w = plain[3].split() * 3
+        w[5 * k + 7] = "changed"
+        near.append(" ".join(w))
+    odd = [
+        None, "", " ", "a", "É İ K ñandú", "x" * 70_000, "1 " * 3000, "a." * 2000 + "@" + "b." * 2000, plain[0], plain[0], plain[3] + "\n" + plain[3],
+        "Foo\n" + passage + "\nbar", "Baz " + plain[5] + "\n" + passage, "This work is licensed under the GNU General Public License, version 3.\nApache  License; CC-BY cc by",
+        "mail me.x@y.example.com or 10.0.0.256 or 10.0.0.25, +1 (234) 567-8901, 4111 1111 1111 1111 and 4111111111111112", "token = \"" + "ab12" * 10 + "\" then", "you utter moron, idiot and scum", "he said \"idiot\" once",
+    ]
+    return plain + sent + near + odd
+
+
+TEXTS = make_texts()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    rows = [(k, t, "en", f"s{k % 5}" if k % 7 else None, 0 if t is None else len(t)) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    marks = [(k, 1, int(k % 2)) for k in range(40)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("empty")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def rows_of(spark, name, folder):
+    return {r["doc_id"]: r for r in queries()[name](spark, folder).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_empty_tables_give_no_rows(spark, name, empty):
+    assert queries()[name](spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql_gives_the_same(spark, name, folder):
+    same(spark, queries()[name], oracle_sql()[name], folder)
+
+
+def test_licenses(spark, folder):
+    got = rows_of(spark, "op1_licenses", folder)
+    k = next(i for i, t in enumerate(TEXTS) if t and "GNU" in t)
+    assert got[k].base_labels == "apache,cc-by,gpl" and got[k].labels == "agpl,apache,cc-by,gpl,gpl-3.0" and got[k].n_base == 4 and got[k].score == 1.0
+    assert got[TEXTS.index(None)].n_words == 0 and got[TEXTS.index(None)].first_word is None
+
+
+def union_find(pairs, n):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_components(spark, folder, size, percent):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "node")
+    got = {r.doc_id: r for r in jaccard.link(docs, size, percent).collect()}
+    sets = []
+    for t in TEXTS:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert links
+    assert [got[i].component_id for i in range(len(sets))] == union_find(links, len(sets))
+    assert [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
+
+
+def test_product_links_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.95], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(30)]
+    monkeypatch.setattr(jaccard, "COLUMNS_A_BLOCK", 37)
+    got = jaccard.product_links(sets, 90)
+    for i, j in itertools.product(range(30), repeat=2):
+        inter = len(np.intersect1d(sets[i], sets[j]))
+        assert got[i, j] == (100 * inter >= 90 * (len(sets[i]) + len(sets[j]) - inter))
+
+
+def test_large_components_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROWS_A_BLOCK", 4)
+    rng = random.Random(3)
+    base = words(rng, 200)
+    texts = []
+    for k in range(40):
+        w = list(base)
+        w[k] = w[k + 40] = "zz"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in jaccard.link(docs, 3, 90).collect()} == {0}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50) if i % 10 != 9]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i // 10 * 10 for i in range(51) if i != 50 or False}
+    a, b = local_stars(np.array([5, 5, 9]), np.array([7, 8, 10]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 7), (5, 8), (9, 10)]
+
+
+def test_sentences(spark, folder):
+    got = rows_of(spark, "op4_sentences", folder)
+    seen, spans = {}, {}
+    for i, t in enumerate(TEXTS):
+        parts = sentences.sentences(t or "")
+        assert "".join(parts) == (t or "")
+        for a, b, s in sentences.spans(parts, 2, 15, 30):
+            seen.setdefault(s, (i, a))
+            spans.setdefault(i, []).append((a, b, s))
+    for i in range(len(TEXTS)):
+        gone = set()
+        for a, b, s in spans.get(i, []):
+            if seen[s] != (i, a):
+                gone.update(range(a, b))
+        assert got[i].n_removed == len(gone)
+    both = [i for i, t in enumerate(TEXTS) if t and "\nbar" in t or t and t.startswith("Baz")]
+    assert got[both[0]].n_removed == 0 and got[both[1]].n_removed >= 4
+
+
+def test_sentence_dedup_keeps_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "d").withColumnRenamed("n_chars", "k")
+    out = sentences.dedup(docs)
+    assert out.schema == docs.schema and out.count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+def test_media_round_trip(spark, folder, codec):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in media.read_payloads(media.store_payloads(docs, codec)).collect()}
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32, got[i].codec) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), codec)
+
+
+def test_telephony_tables():
+    mu, a = media.mulaw_table(), media.alaw_table()
+    assert (mu[0xFF], mu[0x7F], mu[0], mu[0x80]) == (0, 0, -32124, 32124)
+    assert (a[0xD5], a[0x55], a[0xAA], a[0x2A]) == (8, -8, 32256, -32256)
+
+
+def test_adpcm_against_one_sample_at_a_time():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 64 * 20, dtype=np.uint8).tobytes()
+    out = media.decode_adpcm(data)
+    for b in range(20):
+        block = data[64 * b : 64 * b + 64]
+        sample, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        want = [sample]
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(media.STEPS[index])
+                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                sample = max(-32768, min(32767, sample + (-change if code & 8 else change)))
+                index = max(0, min(88, index + (2 * (code & 3) + 2 if code & 4 else -1)))
+                want.append(sample)
+        assert out[b].tolist() == want
+    tone = (8000 * np.sin(np.arange(2000) / 9)).astype(np.int16)
+    back = media.decode_adpcm(media.encode_adpcm(tone)).ravel()[:2000]
+    assert np.abs(back.astype(int) - tone)[200:].mean() < 300
+    assert media.parse_wav(b"junk") is None and len(media.resample(tone, 8000, 16000)) == 4000
+
+
+def luhn(digits):
+    doubled = [2 * int(c) - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for kind, pattern in patterns.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(x) < 256 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii(spark, folder):
+    got = rows_of(spark, "op6_pii", folder)
+    for i, t in enumerate(TEXTS):
+        want = base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t[:80]
+        assert set(want) <= set(got[i].spans.split(",")) | {""}
+
+
+def test_pii_bootstrapping_finds_unseen_identifiers(spark):
+    seeds = [(k, f"text {k} user contact: a{k}@b.example and more") for k in range(20)]
+    unseen = [(100, "here user contact: ZX-9981-Q ok"), (101, "no contact here 12345")]
+    docs = spark.createDataFrame(seeds + unseen, "doc_id long, text string")
+    got = {r.doc_id: r.extra for r in pii.with_extra(pii.found_in(docs)).collect()}
+    assert [(e.start, e.end) for e in got[100]] == [(19, 28)] and got[101] == []
+    assert "[ID]" in {r.doc_id: r.text for r in pii.redact(docs).collect()}[100]
+
+
+def test_suffixes(spark, folder):
+    got = rows_of(spark, "op7_suffixes", folder)
+    raws = [(t or "").encode() for t in TEXTS]
+    first = {}
+    for i, raw in enumerate(raws):
+        for p in range(len(raw) - 49):
+            first.setdefault(raw[p : p + 50], i)
+    for i, raw in enumerate(raws):
+        gone = np.zeros(len(raw) + 1, bool)
+        for p in range(len(raw) - 49):
+            if first[raw[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        gone = gone[: len(raw)]
+        kept = bytes(c for c, x in zip(raw, gone, strict=True) if not x)
+        runs = sum(bool(x) and not (j and gone[j - 1]) for j, x in enumerate(gone))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_groups_of_equals():
+    words_ = np.array([[1, 2], [1, 3], [1, 2], [5, 5], [1, 3]], np.uint64)
+    g = suffixes.groups_of_equals(words_)
+    assert g[0] == g[2] >= 0 and g[1] == g[4] >= 0 and g[0] != g[1] and g[3] == -1
+
+
+def test_automaton_accepts_what_is_near():
+    terms = [("moron", True), ("disgusting", True), ("lowei", False), ("scum", True)]
+    auto = toxicity.compile_terms(terms)
+
+    def run(word):
+        state = 1
+        for c in word:
+            state = auto.moves[state, ord(c) - 97 if "a" <= c <= "z" else 26]
+        return (int(auto.term[state]), int(auto.edits[state])) if auto.term[state] >= 0 else None
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        term = rng.choice(terms)[0]
+        w = list(term)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choices("abmorn1", k=rng.randint(0, 1))
+        w = "".join(w)
+        near = [distance(w, t) for t, whole in terms if whole and distance(w, t) <= toxicity.edits_for(t, whole)] + [0] * w.startswith("lowei")
+        assert (run(w) or (0, None))[1] == (min(near) if near else None), w
+
+
+def test_toxicity_learns_and_uses_no_labels(spark, tmp_path):
+    rng = random.Random(11)
+    docs, marks = [], []
+    for k in range(600):
+        w = words(rng, 40)
+        bad = k % 4 == 0
+        for _ in range(3 * bad):
+            w[rng.randrange(40)] = rng.choice(["moron", "worthless", "idiot"])
+        docs.append((k, " ".join(w), "en", "s", 1))
+        marks.append((k, 1, int(bad)))
+    docs += [(1000, "you are a wortless fool and an idiott", "en", "s", 1), (1001, None, "en", "s", 1)]
+    at = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    got = rows_of(spark, "op8_toxicity", at)
+    held = [k for k, _, _ in marks if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(got[k].held_out for k in held)
+    assert sum(got[k].predicted == (k % 4 == 0) for k in held) >= 0.97 * len(held)
+    assert got[1000].score > 0.5 > got[1001].score
+
+
+def test_packing(spark, folder):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = Tokenizer.from_file(path)
+    rows = queries()["op9_packing"](spark, folder).collect()
+    ids = {i: coder.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(TEXTS)}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+        piece = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert zlib.crc32(piece) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    for i, x in ids.items():
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == len(x)
+    for members in by_sequence.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096 and at & (at - 1) == 0
+
+
+def test_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, own = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = [t or "" for t in TEXTS] + ["it's DON'T we'll 's", "<|endoftext|> <|X|>", "ΣΑΣ ΟΔΟΣ", "a1b22 c-d --e__f 3.14!!", "é ñ ½ ² ª º × ÷", "　x y z", "日本語 テスト", "🙂🙂 ok", "À́b"]
+    for t, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids, t[:60]
+
+
+def test_simhash(spark, folder):
+    got = rows_of(spark, "op10_simhash", folder)
+    order = sorted(range(len(TEXTS)), reverse=True)
+    for k, i in enumerate(order):
+        t, follower = TEXTS[i] or "", TEXTS[order[(k + 1) % len(order)]] or ""
+        n = len(t) // 3
+        edited = t[: len(t) - n] + follower[:n]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        j = order[(k + 1) % len(order)]
+        apart = bin(int(got[i].fingerprint, 16) ^ int(got[j].fingerprint, 16)).count("1")
+        assert got[i].near_next == pytest.approx(1 - apart / 64)
+    same_texts = [i for i, t in enumerate(TEXTS) if t == TEXTS[0]]
+    assert len(same_texts) == 3 and len({got[i].fingerprint for i in same_texts}) == 1
+
+
+def test_hamming_neighbours(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(4)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {(r.query_fp, r.fp, r.distance) for r in simhash.neighbours(df, df.limit(40), 3).collect()}
+    asked = {r.fp for r in df.limit(40).collect()}
+    want = {(a, b, d) for a in asked for b in set(signed) if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3}
+    assert got == want
+
+
+def test_schedule_stays_within_a_block():
+    slots = mixing.shares({"a": 10000, "b": 100, None: 400, "c": 1}, None, 100)
+    made = mixing.schedule(slots)
+    assert sorted(x for v in made.values() for x in v) == list(range(100))
+    for t in range(101):
+        assert all(abs(sum(x < t for x in v) - slots[s] * t / 100) < 1 for s, v in made.items())
+    assert mixing.shares({"a": 1, "b": 1}, {"a": 0.75, "b": 0.25}, 100) == {"a": 75, "b": 25}
+
+
+def test_mixing_keeps_all_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "slot").withColumnRenamed("n_chars", "block")
+    out = mixing.mixed(docs, block=2)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(len(TEXTS)))
+    rows = mixing.mix(docs, block=2).collect()
+    assert len({(r.slot, r.place) for r in rows}) == len(rows)
+    for s in {r.source for r in rows}:
+        own = sorted((r.block, r.place) for r in rows if r.source == s)
+        assert own == [(k // 2, k % 2) for k in range(len(own))]
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    rows = [(1, "same text here " * 9, "en", "s", 1)] * 3 + [(None, "same text here " * 9, "en", None, 1), (None, None, None, None, None), (2, "other words entirely", "en", "s", 1)]
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    for name, q in queries().items():
+        got = q(spark, at).collect()
+        assert len(got) >= 6, name
+        assert {r.doc_id for r in got} == {1, 2, None}, name
+
+
+def test_license_blocks_against_all_pairs(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(25)]
+    templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randint(3, 9)))) for k in range(8)]
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(1, 14))) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs, templates, 0.7).collect()}
+    for i, t in enumerate(texts):
+        want = {label for label, x in templates for line in t.split("\n") if len(set(x.split()) & set(line.split())) >= 0.7 * len(set(x.split())) - 1e-9}
+        assert got[i] == ",".join(sorted(want))
