@@ -22,6 +22,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns cannot clash with them; ``_all.*`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one is set only where the session has none."""
     context = spark.sparkContext

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, table, text_of, written
+from fathom.llm.base import map_batches, table, text_of, whole, written
 from fathom.llm.graph import components, local_stars
 from fathom.llm.hashing import bucket_count, deal, from_blobs, mix, shingle_sets
 
@@ -211,7 +211,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their group, all columns; rows without an id stay."""
     gone = link(docs, words, percent).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id")).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return kept.select("_all.*")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

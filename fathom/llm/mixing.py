@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.base import table
+from fathom.llm.base import table, whole
 
 PERIOD = 1000
 BLOCK = 16
@@ -69,11 +69,11 @@ def schedule(slots: dict) -> dict:
 
 
 def _placed(docs: DataFrame, weights: dict | None, period: int, block: int, ranges: int, seed: str) -> DataFrame:
-    """``docs`` with the columns _block, _slot and _place."""
-    row = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in docs.columns])
+    """The rows of ``docs`` (as _all) with the columns _block, _slot and _place."""
+    row = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     part = F.floor(F.pmod(F.shiftright(order, 16), F.lit(1 << 30)) * ranges / F.lit(1 << 30)).cast("int")
-    keyed = docs.select("*", F.col("source").cast("string").alias("_source"), part.alias("_part"), order.alias("_order"), row.alias("_row"))
+    keyed = docs.select(whole(docs), F.col("source").cast("string").alias("_source"), part.alias("_part"), order.alias("_order"), row.alias("_row"))
     counts = keyed.groupBy("_source", "_part").count()
     sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("count").alias("n")).collect()}
     slots = shares(sizes, weights, period)
@@ -86,18 +86,18 @@ def _placed(docs: DataFrame, weights: dict | None, period: int, block: int, rang
     joined = joined.withColumn("_block", F.expr(f"(_before + _rank) div {block}L"))
     slot = F.expr("_block div _n") * total + F.element_at("_slots", (F.col("_block") % F.col("_n")).cast("int") + 1)
     place = ((F.col("_before") + F.col("_rank")) % block).cast("int")
-    return joined.select(*[F.col(c) for c in docs.columns], "_block", slot.cast("long").alias("_slot"), place.alias("_place"))
+    return joined.select("_all", "_block", slot.cast("long").alias("_slot"), place.alias("_place"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK, ranges: int = RANGES, seed: str = "mix") -> DataFrame:
     """doc_id, source, block (of the source), slot and place (in the block) of every row; (slot, place) is the mixed order."""
     rows = docs.select("doc_id", "source")
-    return _placed(rows, weights, period, block, ranges, seed).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+    return _placed(rows, weights, period, block, ranges, seed).select("_all.*", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK, ranges: int = RANGES, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` in their mixed order, as a range-partitioned sort; written out, the files keep it."""
-    return _placed(docs, weights, period, block, ranges, seed).orderBy("_slot", "_place").select(*docs.columns)
+    return _placed(docs, weights, period, block, ranges, seed).orderBy("_slot", "_place").select("_all.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

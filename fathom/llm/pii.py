@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import table, text_of, written
+from fathom.llm.base import table, text_of, whole, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -172,12 +172,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets; the columns stay as they are."""
+    """``docs`` with every span of its text replaced by its kind in brackets; n_chars, if there, follows."""
     found = with_extra(found_in(docs))
     tagged = F.concat(*[F.transform(k, _tagged(k)) for k in KINDS], F.transform("extra", _tagged("id")))
     marks = found.select("doc_id", "h", F.array_sort(tagged).alias("marks")).where(F.size("marks") > 0).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), F.col("marks").alias("_marks"))
-    joined = docs.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_of()) == F.col("_g")), "left")
-    text = text_of()
+    own = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), text_of().alias("_text"))
+    joined = own.join(marks, F.col("_id").eqNullSafe(F.col("_d")) & (F.xxhash64("_text") == F.col("_g")), "left")
+    text = F.col("_text")
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def put(acc: Column, s: Column) -> Column:
@@ -185,4 +186,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     new = F.aggregate("_marks", state, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return joined.select(*[F.when(F.col("_marks").isNotNull(), new).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    changed = joined.select("_all", F.when(F.col("_marks").isNotNull(), new).alias("_new"))
+    replaced = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
+    columns = [F.coalesce(replaced[c], F.col("_all")[c]).cast(docs.schema[c].dataType).alias(c) if c in replaced else F.col("_all")[c].alias(c) for c in docs.columns]
+    return changed.select(*columns)

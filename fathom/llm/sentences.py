@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, table, text_of
+from fathom.llm.base import map_batches, table, text_of, whole
 
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n+|$)")
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 15, 30
@@ -97,16 +97,21 @@ def repeated_spans(rows: DataFrame, least_sentences: int, least_words: int, long
 
 
 def marked(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """``docs`` with the column starts of each row, null where nothing repeats."""
-    rows = docs.withColumn("_g", F.xxhash64(text_of()))
-    later = repeated_spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_g").alias("g"), text_of().alias("text")), least_sentences, least_words, long_sentence)
-    return rows.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_k")), "left").drop("_d", "_k", "_g").withColumnRenamed("starts", "_starts")
+    """``docs`` and one more column: the starts of each row's spans that go, null where nothing repeats."""
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_g"))
+    later = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("g"), text_of().alias("text")), least_sentences, least_words, long_sentence)
+    joined = rows.join(later, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_k")), "left")
+    name = "_starts"
+    while name in docs.columns:
+        name += "_"
+    return joined.select("_all.*", F.col("starts").alias(name))
 
 
 def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """``docs`` with the repeated sentences gone from the text; all columns stay."""
     rows = marked(docs, least_sentences, least_words, long_sentence)
-    at, last = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, last = names.index("text"), len(names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -118,7 +123,7 @@ def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words:
             texts.append(text)
         columns = list(batch.columns)[:last]
         columns[at] = pa.array(texts, batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays(columns, docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return map_batches(rows, run, docs.schema)
 
