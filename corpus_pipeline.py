@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm.base import table, written
+from fathom.llm.base import remove, table, written_at
 from fathom.llm.jaccard import keep_one
 from fathom.llm.mixing import mixed
 from fathom.llm.packing import pack
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; the tables of the others are removed once they are read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = written_at(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = path
     return docs
