@@ -527,3 +527,49 @@ def parse_sources(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("import { x } from './base';\nexport class "), F.regexp_replace(name, " ", ""), F.lit(" {\n  run(): void {\n  }\n}\nfunction helper() {}\n"))
     files = t(spark, d, "part").select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), text.cast("binary").alias("content"))
     return parsers.symbol_rows(parsers.parse_files(files))
+
+
+LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.log(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('const a = ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat('# TODO ', event_type) ELSE '// plain words' END"
+LINE_PATH = "concat(CASE WHEN user_id % 4 = 0 THEN 'src/logger' ELSE 'src/f' END, CAST(user_id AS STRING), '.ts')"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").selectExpr(f"{LINE_PATH} AS file_path", "CAST(event_id AS INT) AS line", f"{LINES} AS text", "ts AS written")
+
+
+@query("debug_leftovers", f"SELECT file_path, line FROM (SELECT {LINE_PATH} AS file_path, CAST(event_id AS INTEGER) AS line, event_id, user_id FROM events) WHERE event_id % 5 = 0 AND user_id % 4 <> 0")
+def debug_leftovers(spark: SparkSession, d: str) -> DataFrame:
+    return V.debug_leftovers(_lines(spark, d)).select("file_path", "line")
+
+
+@query("commented_code", f"SELECT {LINE_PATH} AS file_path, CAST(event_id AS INTEGER) AS line FROM events WHERE event_id % 5 = 1")
+def commented_code(spark: SparkSession, d: str) -> DataFrame:
+    return V.commented_code(_lines(spark, d)).select("file_path", "line")
+
+
+@query("todo_ages", f"SELECT {LINE_PATH} AS file_path, CAST(event_id AS INTEGER) AS line, CASE WHEN ts < TIMESTAMP '2024-01-11 00:00:00' THEN 'stale' ELSE 'aging' END AS tier FROM events WHERE event_id % 5 = 3")
+def todo_ages(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return V.todos(lines.select("file_path", "line", "text"), lines.select("file_path", "line", "written"), F.expr("TIMESTAMP '2025-01-10 00:00:00'")).select("file_path", "line", "tier")
+
+
+@query("recall_hints", sql("solutions", body="SELECT id, array_to_string(list_filter([CASE WHEN supersedes IS NOT NULL THEN concat('superseded by ', CAST(supersedes AS STRING)) END, CASE WHEN successes > 0 AND successes < failures THEN 'low success rate' WHEN successes = 0 AND failures > 0 THEN 'low success rate' END, CASE WHEN complexity >= 7 THEN 'complex, plan first' END], lambda x: x IS NOT NULL)[1:3], '|') AS hints FROM solutions"))
+def recall_hints(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rate = F.when(F.col("successes") + F.col("failures") > 0, F.col("successes") / (F.col("successes") + F.col("failures"))).otherwise(0.5)
+    rows = J.solutions(spark, d).select("id", F.lit(0.5).alias("similarity"), rate.alias("success_rate"), F.col("supersedes").alias("superseded_by"), none.alias("anti_patterns"), none.alias("prerequisites"), "complexity")
+    return M.hints(rows).select("id", F.array_join("hints", "|").alias("hints"))
+
+
+@query("warnings_list", sql("warnings", body="SELECT id, target, severity FROM warnings WHERE type = 'file' AND (repo_id = 2 OR repo_id IS NULL)"))
+def warnings_list(spark: SparkSession, d: str) -> DataFrame:
+    return R.list_warnings(J.warnings(spark, d).withColumn("created_at", F.lit(0)), "file", 2).select("id", "target", "severity")
+
+
+@query("unused_imports", "SELECT file_path, local_name FROM (SELECT concat('f', CAST(p_partkey AS STRING)) AS file_path, concat('v', CAST(p_size AS STRING)) AS local_name, p_size % 2 = 0 AS used FROM part) WHERE NOT used")
+def unused_imports(spark: SparkSession, d: str) -> DataFrame:
+    """One import a file, named again below it or only as part of a longer word."""
+    part = t(spark, d, "part")
+    names = part.selectExpr("concat('f', CAST(p_partkey AS STRING)) AS file_path", "concat('v', CAST(p_size AS STRING)) AS local_name", "'m' AS source_path", "1 AS line")
+    texts = part.selectExpr("concat('f', CAST(p_partkey AS STRING)) AS file_path", "concat('import {v', CAST(p_size AS STRING), '} from m\nuse(', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'w' END, 'v', CAST(p_size AS STRING), ')') AS text")
+    return V.unused_imports(names, texts).select("file_path", "local_name")
