@@ -5,8 +5,8 @@ least ceil(t * n) with any set that meets the threshold t. With columns in one g
 therefore meet in the first n - ceil(t * n) + 1 columns of both. That is the size-derived bound: pairs that meet in no
 such column are discarded before anything is multiplied, and columns that one row alone has cannot join a pair at all.
 
-Any order that is the same everywhere gives exact results. Here a share of the columns, chosen by hash, somewhat
-larger than 1 - t, comes first, by the number of rows that hold them, which is counted over all documents; the other
+Any order that is the same everywhere gives exact results. Here a share of the columns, chosen by hash and well
+above 1 - t, comes first, by the number of rows that hold them, which is counted over all documents; the other
 columns follow by hash. So a document whose counted columns are mostly its own drops out, whatever passages it shares.
 
 Documents that meet form candidate groups (stars, never all pairs). In every group the product is then taken exactly,
@@ -46,9 +46,8 @@ def prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
-def counted(percent: int) -> int:
-    """Hashes below this are of the columns that are counted and come first."""
-    return int((100 - percent) * 1.5 / 100 * 2**64) & ~0xFFFF
+COUNTED_SHARE = 0.4
+COUNTED = np.uint64(int(COUNTED_SHARE * 2**64) & ~0xFFFF)  # hashes below it are of the columns that are counted and come first
 
 
 TOP = np.uint64(0xFFFFFFFFFFFF0000)
@@ -151,17 +150,15 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "d
         raise ValueError("percent must be from 50 to 99")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
 
-    limit = np.uint64(counted(percent))
-
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), words)
-        sampled = [int(np.searchsorted(x, limit)) for x in sets]  # sets are sorted
+        sampled = [int(np.searchsorted(x, COUNTED)) for x in sets]  # sets are sorted
         more = [(x[s : prefix_size(len(x), percent)] & TOP).view(np.int64) for x, s in zip(sets, sampled, strict=True)]
         columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([class_key(x) for x in sets], pa.int64()), pa.array(sampled, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "node", "sampled", "more"])
 
     def counted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found = {class_key(x): x[: np.searchsorted(x, limit)] & TOP for x in shingle_sets(batch.column(0).to_pylist(), words)}
+        found = {class_key(x): x[: np.searchsorted(x, COUNTED)] & TOP for x in shingle_sets(batch.column(0).to_pylist(), words)}
         names = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
         return np.concatenate(list(found.values()) or [np.empty(0, np.uint64)]), names
 
