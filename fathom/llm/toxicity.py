@@ -2,8 +2,8 @@
 
 ``fit`` learns from labelled documents: stems whose words mark toxic documents become the lexicon; the
 Levenshtein automata of its terms, intersected with the trie they form, are compiled to one deterministic
-table; and a logistic model weighs hits by their context. ``score`` runs the table over all words of a
-batch at once. A hit between quotation marks or next to a reporting word counts as quoted; hits in one
+table; and a logistic model weighs hits by their context. Words are runs of letters and marks of any script, in
+both; the table has a symbol for each letter of the terms. ``score`` runs it over all words of a batch at once. A hit between quotation marks or next to a reporting word counts as quoted; hits in one
 window of words add up, as abuse clusters and quotations do not.
 
 The fit reads a bounded sample of labelled rows (``fit_rows``, the rows whose id hashes lowest), and what it
@@ -18,7 +18,9 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -33,18 +35,20 @@ FIT_ROWS = 20_000
 MOST_TERMS = 96
 QUOTES = str.maketrans(dict.fromkeys("“”„«»", '"'))
 REPORTING = [b"said", b"says", b"quote", b"quoted", b"quotes", b"wrote", b"writes", b"called", b"calls", b"word", b"term", b"reported"]
-FOLLOWING = 26  # any byte that is no letter from a to z
+FOLLOWING = 26  # the symbol of any character that is neither a to z nor a letter of a term
+NO_WORD = r"[^\p{L}\p{M}]+"
 NEAR = 24  # bytes next to a hit that are searched for a reporting word
 WINDOW = 200  # bytes of the window in which hits add up
 
 
 @dataclass
 class Automaton:
-    """The union of the terms' Levenshtein automata, as a table of states and 27 symbols; 0 is dead, 1 the start."""
+    """The union of the terms' Levenshtein automata, as a table of states and symbols; 0 is dead, 1 the start."""
 
     moves: np.ndarray
     term: np.ndarray  # of each state: the accepted term or -1
     edits: np.ndarray
+    letters: dict[int, int]  # symbols, from 27 on, of the terms' letters that are not a to z
 
 
 def edits_for(term: str, whole: bool) -> int:
@@ -53,8 +57,16 @@ def edits_for(term: str, whole: bool) -> int:
     return (n >= 5) + (n >= 9) if whole else int(n >= 8)
 
 
+def symbols_of(terms: list[tuple[str, bool]]) -> dict[str, int]:
+    """The symbols of the terms' letters: 0 to 25 are a to z, those from 27 on the others."""
+    others = sorted({c for term, _ in terms for c in term} - set("abcdefghijklmnopqrstuvwxyz"))
+    return {chr(97 + k): k for k in range(26)} | {c: k for k, c in enumerate(others, FOLLOWING + 1)}
+
+
 def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> Automaton:
     """Subset construction over (trie node, edits); ``terms`` are (letters, whole word or open stem)."""
+    symbols = symbols_of(terms)
+    count = len(symbols) + 1
     children: list[dict[int, int]] = [{}]
     ends: dict[int, tuple[int, int, bool]] = {}
     room = [0]
@@ -63,10 +75,10 @@ def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> A
         most = edits_for(term, whole)
         room[0] = max(room[0], most)
         for c in term:
-            if (following := children[node].get(ord(c) - 97)) is None:
+            if (following := children[node].get(symbols[c])) is None:
                 children.append({})
                 room.append(0)
-                following = children[node][ord(c) - 97] = len(children) - 1
+                following = children[node][symbols[c]] = len(children) - 1
             node = following
             room[node] = max(room[node], most)
         ends.setdefault(node, (k, most, whole))
@@ -99,11 +111,11 @@ def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> A
     start = closed({0: 0})
     numbers = {frozenset(): 0, start: 1}
     order: list[frozenset] = [frozenset(), start]
-    moves = [[0] * 27]
+    moves = [[0] * count]
     at = 1
     while at < len(order):
         row = []
-        for c in range(27):
+        for c in range(count):
             state = closed(after(order[at], c))
             if state not in numbers:
                 numbers[state] = len(order)
@@ -118,7 +130,7 @@ def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> A
         hits = [(e, ends[n][0]) for n, e in state if n in ends and e <= ends[n][1]]
         if hits:
             edits[k], term[k] = min(hits)
-    return Automaton(np.array(moves, np.int32), term, edits)
+    return Automaton(np.array(moves, np.int32), term, edits, {ord(c): k for c, k in symbols.items() if k > FOLLOWING})
 
 
 @dataclass
@@ -128,12 +140,37 @@ class Model:
     coefficients: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
 
 
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Of each code point: whether it is a letter or mark, as ``NO_WORD`` has it."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def wide_characters(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and code points of the characters of more than one byte in UTF-8."""
+    at = np.flatnonzero(a >= 0xC0)
+    lead = a[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | a[at[more] + k] & 0x3F
+    return at, size, code
+
+
 def hits_of(texts: list[str], automaton: Automaton, longest: int) -> list[tuple[int, int, int, int, int]]:
     """(text, byte position, term, edits, quoted) of all words that the automaton accepts."""
     lows = [(t.translate(QUOTES) if not t.isascii() else t).lower().encode() for t in texts]
     joined = b" ".join(lows) + b"  "
     a = np.frombuffer(joined, np.uint8)
-    letter = (a >= 97) & (a <= 122) | (a >= 0x80)
+    letter = (a >= 97) & (a <= 122)
+    symbol = np.where(letter, a - 97, FOLLOWING).astype(np.int64)
+    wide, size, code = wide_characters(a)
+    solid_wide = _word_characters()[code]
+    for k in range(4):
+        letter[wide[solid_wide & (size > k)] + k] = True
+    for c, s in automaton.letters.items():
+        symbol[wide[code == c]] = s
     sign = np.isin(a, np.frombuffer(b"013457@$!*_-", np.uint8))  # within a word they stand for letters
     inner = np.zeros(len(a), bool)
     inner[1:-1] = sign[1:-1] & letter[:-2] & letter[2:]
@@ -142,12 +179,11 @@ def hits_of(texts: list[str], automaton: Automaton, longest: int) -> list[tuple[
     starts = np.flatnonzero(edge == 1)
     ends = np.flatnonzero(edge == -1)
     starts = starts[: len(ends)]
-    symbol = np.where((a >= 97) & (a <= 122), a - 97, FOLLOWING).astype(np.int64)
     skip = (a & 0xC0) == 0x80  # the later bytes of a character
     state = np.ones(len(starts), np.int64)
     live = np.arange(len(starts))
     at = starts.copy()
-    flat = automaton.moves.ravel()
+    flat, count = automaton.moves.ravel(), automaton.moves.shape[1]
     accepted: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         over = at >= ends[live]
@@ -158,7 +194,7 @@ def hits_of(texts: list[str], automaton: Automaton, longest: int) -> list[tuple[
             live, at, state = live[keep], at[keep], state[keep]
             if not len(live):
                 break
-        state = np.where(skip[at], state, flat[state * 27 + symbol[at]])
+        state = np.where(skip[at], state, flat[state * count + symbol[at]])
         at = at + 1
         keep = state != 0
         live, at, state = live[keep], at[keep], state[keep]
@@ -239,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_terms
     chosen = marks.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(fit_rows)
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # fit_rows rows at most: two integers each
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
+    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), NO_WORD))).alias("word")).where(F.length("word") >= 4)
     counts = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     sizes = chosen.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic, clean = int(sizes[0] or 0), int(sizes[1] or 0)

@@ -313,6 +313,28 @@ def test_toxicity_learns_and_uses_no_labels(spark, tmp_path):
     assert got[1000].score > 0.5 > got[1001].score
 
 
+def test_toxicity_learns_words_with_letters_beyond_ascii(spark):
+    rng = random.Random(12)
+    bad = ["véreux", "идиот", "dégoûtant"]
+    docs, marks = [], []
+    for k in range(600):
+        w = words(rng, 40, "abcdeéèо")
+        for _ in range(3 * (k % 4 == 0)):
+            w[rng.randrange(40)] = rng.choice(bad)
+        docs.append((k, " ".join(w)))
+        marks.append((k, int(k % 4 == 0)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {w for w, _ in model.terms} == set(bad)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [k for k, _ in marks if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(got[k].predicted == (k % 4 == 0) for k in held) >= 0.97 * len(held)
+    auto = toxicity.compile_terms(model.terms)
+    texts = ["«Идиот…» VÉREUX—véreus 𝐀é", "vreux est dégoutant"]
+    found = [(row, model.terms[term][0], edits) for row, _, term, edits, _ in toxicity.hits_of(texts, auto, 9)]
+    assert found == [(0, "идиот", 0), (0, "véreux", 0), (0, "véreux", 1), (1, "véreux", 1), (1, "dégoûtant", 1)]
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
