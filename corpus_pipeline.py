@@ -37,10 +37,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; partitions, and so sequence ids, follow ranges of the mixing slots.
+
+    A reader of Parquet deals files out by size, so the mixed order is made again: slots depend on the rows alone.
+    """
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(mixed(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

@@ -32,3 +32,26 @@ def test_near_duplicates_keep_the_least_id(spark):
 def test_redaction_is_in_the_text(spark):
     docs = spark.createDataFrame([(1, "write to a.b@c.org now"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, "").collect()} == {1: "write to [EMAIL] now", 2: None}
+
+
+def test_packing_follows_the_mixed_order_of_files_read_again(spark):
+    from fathom.llm.base import written
+    from fathom.llm.mixing import mix
+
+    docs = spark.createDataFrame([(k, f"word {k} " * (400 if k >= 300 else 20), "hot" if k >= 300 else f"s{k % 3}") for k in range(1200)], "doc_id long, text string, source string").repartition(6)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packed = corpus_pipeline.packing(spark, written(corpus_pipeline.mixing(spark, docs, ""), "test"), "").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    slots = {r.doc_id: r.slot for r in mix(docs).collect()}
+    parts = {}
+    for r in packed:
+        parts.setdefault(r.sequence_id >> 32, set()).add(slots[r.doc_id])
+    order = sorted(parts)
+    assert len(order) > 1 and {r.doc_id for r in packed} == set(slots)
+    assert all(max(parts[a]) <= min(parts[b]) for a, b in zip(order, order[1:], strict=False))
