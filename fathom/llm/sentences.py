@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at ends of lines and after full stops, question and exclamation marks. From every
-sentence starts one span: the shortest run of at least ``least_sentences`` sentences with at least ``least_words``
-words (a sentence of ``long_sentence`` words is a span alone). Spans are hashed (white space is
+A text is cut into sentences at ends of lines and after full stops, question and exclamation marks. At every
+sentence one span starts and one ends: the shortest run of at least ``least_sentences`` sentences with at least
+``least_words`` words (a sentence of ``long_sentence`` words is a span alone), so that every repeated run of so many
+sentences and words is covered to both ends. A document of several sentences but fewer words is one span. Spans are
+hashed (white space is
 squeezed) and grouped over all documents; the first span of a group is the one with the lowest
 document id, then the lowest place. Sentences that any other span of the group covers are removed.
 
-Spans are rows of three numbers, aggregated before the shuffle; the join back to the spans is an equi-join that
+Spans are rows of four numbers, aggregated before the shuffle; the join back to the spans is an equi-join that
 adaptive execution splits where one span is very common. No group is ever collected.
 
 Edge cases: a null or empty text has no sentences and is kept; rows equal in id and text count as one document;
@@ -45,9 +47,9 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(parts: list[str], least_sentences: int, least_words: int, long_sentence: int) -> list[tuple[int, int, str]]:
-    """(first sentence, sentence after the last, squeezed text) of the span that starts at each sentence."""
+    """(first sentence, sentence after the last, squeezed text) of the spans that start or end at each sentence, in order."""
     words = [p.split() for p in parts]
-    out, end, held = [], 0, 0
+    found, end, held = set(), 0, 0
     for i, own in enumerate(words):
         if end <= i:
             end, held = i, 0
@@ -56,55 +58,65 @@ def spans(parts: list[str], least_sentences: int, least_words: int, long_sentenc
             end += 1
         if held >= least_words and (end - i >= least_sentences or len(own) >= long_sentence):
             stop = i + 1 if len(own) >= long_sentence else end
-            out.append((i, stop, " ".join([w for x in words[i:stop] for w in x])))
+            found.add((i, stop))
         held -= len(own)
-    return out
+    begin, held = 0, 0
+    for i, own in enumerate(words):
+        held += len(own)
+        while i - begin >= least_sentences and held - len(words[begin]) >= least_words:
+            held -= len(words[begin])
+            begin += 1
+        if own and len(own) < long_sentence and i + 1 - begin >= least_sentences and held >= least_words:
+            found.add((begin, i + 1))
+    if not found and sum(map(bool, words)) >= least_sentences:
+        found.add((0, len(parts)))
+    if words and not words[-1]:  # white space after the last sentence belongs to it
+        found = {(i, len(parts) if stop == len(parts) - 1 else stop) for i, stop in found}
+    return [(i, stop, " ".join([w for x in words[i:stop] for w in x])) for i, stop in sorted(found)]
 
 
 def hashed(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def removed(parts: list[str], starts: list[int], least_sentences: int, least_words: int, long_sentence: int) -> list[bool]:
-    """Which sentences the spans from ``starts`` cover."""
+def removed(parts: list[str], places: list[int]) -> list[bool]:
+    """Which sentences the spans at ``places`` cover."""
     gone = [False] * len(parts)
-    wanted = set(starts)
-    if wanted:
-        for i, stop, _ in spans(parts, least_sentences, least_words, long_sentence):
-            if i in wanted:
-                gone[i:stop] = [True] * (stop - i)
+    for place in places:
+        i, stop = place >> 32, place & 0xFFFFFFFF
+        gone[i:stop] = [True] * (stop - i)
     return gone
 
 
 def repeated_spans(rows: DataFrame, least_sentences: int, least_words: int, long_sentence: int) -> DataFrame:
-    """doc_id, g, starts: the places of spans that are not the first of their group. ``rows`` has doc_id, g, text."""
+    """doc_id, g, places: the spans, as start times 2**32 plus end, that are not the first of their group. ``rows`` has doc_id, g, text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs, keys, hashes, places = [], [], [], []
         for doc, g, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for i, _, span in spans(sentences(text), least_sentences, least_words, long_sentence):
+            for i, stop, span in spans(sentences(text), least_sentences, least_words, long_sentence):
                 docs.append(doc)
                 keys.append(g)
                 hashes.append(hashed(span))
-                places.append(i)
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], ["doc_id", "g", "h", "i"])
+                places.append(i << 32 | stop)
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "g", "h", "i"])
 
-    found = map_batches(rows.select("doc_id", "g", "text"), run, "doc_id long, g long, h long, i int")
+    found = map_batches(rows.select("doc_id", "g", "text"), run, "doc_id long, g long, h long, i long")
     place = F.struct("doc_id", "g", "i")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first")
     later = found.join(firsts, "h").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(F.col("doc_id").alias("_d"), F.col("g").alias("_k")).agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    return later.groupBy(F.col("doc_id").alias("_d"), F.col("g").alias("_k")).agg(F.array_sort(F.collect_set("i")).alias("places"))
 
 
 def marked(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """``docs`` and one more column: the starts of each row's spans that go, null where nothing repeats."""
+    """``docs`` and one more column: the places of each row's spans that go, null where nothing repeats."""
     rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_g"))
     later = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("g"), text_of().alias("text")), least_sentences, least_words, long_sentence)
     joined = rows.join(later, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_k")), "left")
-    name = "_starts"
+    name = "_places"
     while name in docs.columns:
         name += "_"
-    return joined.select("_all.*", F.col("starts").alias(name))
+    return joined.select("_all.*", F.col("places").alias(name))
 
 
 def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
@@ -115,10 +127,10 @@ def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, starts in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
-            if starts:
+        for text, places in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
+            if places:
                 parts = sentences(text)
-                gone = removed(parts, starts, least_sentences, least_words, long_sentence)
+                gone = removed(parts, places)
                 text = "".join(p for p, x in zip(parts, gone, strict=True) if not x)
             texts.append(text)
         columns = list(batch.columns)[:last]
@@ -134,9 +146,9 @@ def op4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, gone_counts, runs, digests = [], [], [], []
-        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             parts = sentences(text)
-            gone = removed(parts, starts or [], LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE)
+            gone = removed(parts, places or [])
             counts.append(len(parts))
             gone_counts.append(sum(gone))
             runs.append(sum(x and not y for x, y in zip(gone, [False, *gone], strict=False)))

@@ -160,6 +160,28 @@ def test_sentences(spark, folder):
     assert got[both[0]].n_removed == 0 and got[both[1]].n_removed >= 4
 
 
+def test_repeated_runs_of_sentences_go_to_both_ends(spark):
+    rng = random.Random(13)
+
+    def sentence(n):
+        return " ".join(words(rng, n)) + ". "
+
+    for _ in range(300):  # brute force: every run that qualifies is covered by spans within it
+        parts = [sentence(rng.choice([1, 3, 8, 14, 20, 31])) for _ in range(rng.randint(1, 8))]
+        found = [(a, b) for a, b, _ in sentences.spans(parts, 2, 15, 30)]
+        for a in range(len(parts)):
+            for b in range(a + 2, len(parts) + 1):
+                if sum(len(p.split()) for p in parts[a:b]) >= 15:
+                    assert {k for x, y in found if a <= x and y <= b for k in range(x, y)} == set(range(a, b))
+    run, copy, after_long = [sentence(20), sentence(8), sentence(4)], [sentence(12), sentence(9), sentence(2)], [sentence(35), sentence(5)]
+    short = "Two words. And three more."
+    texts = [["", *run, sentence(9)], [sentence(7), *run, sentence(11)], copy, copy, [*after_long, sentence(8)], [*after_long, sentence(6)], [short], [short], [short + " \n \n"], [sentence(3)]]
+    docs = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentences.dedup(docs).collect()}
+    wanted = {k: "".join(t) for k, t in enumerate(texts)} | {1: texts[1][0] + texts[1][-1], 3: "", 5: texts[5][-1], 7: "", 8: ""}
+    assert got == wanted
+
+
 def test_sentence_dedup_keeps_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "d").withColumnRenamed("n_chars", "k")
     out = sentences.dedup(docs)
