@@ -32,14 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        where = "file://" + tempfile.mkdtemp(prefix="fathom-")
+        where = "file://" + tempfile.mkdtemp(prefix="fathom-")  # one process, as in tests
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def partitions(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 

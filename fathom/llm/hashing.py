@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fathom.llm.base import cut
+from fathom.llm.base import cut, partitions
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -152,4 +152,4 @@ def deal(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray,
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return partitions(df.sparkSession)

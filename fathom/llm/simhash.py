@@ -9,12 +9,14 @@ added in the halves of one long.
 ``radius`` blocks differ, the others agree, so for each choice of blocks that agree there is a table keyed by
 them, and every match is met in at least one. Equal fingerprints meet once, with their count.
 
-``edited`` pairs every document with the next one in descending order of ids. Ids are cut into ranges of about
-equal counts (a count for each of at most 65,536 cells comes to the driver); each range is one window, and the
-first document of a range is sent on to the range above, so no window spans all rows, and texts are shuffled once.
+``successors`` pairs every document with the next one in descending order of ids, on narrow rows alone: they are
+range-partitioned, each range is a window of its own, and a range's last row is joined to the first row of the
+range that follows (one row a range). ``edited`` then shuffles the texts once: they are asked for the heads that
+their predecessors need, and joined to the heads of their successors.
 
 Edge cases: a null or empty text has the fingerprint 0; null ids come after all others; equal ids are ordered by
-a hash of the text; a lone document is its own successor; an empty table gives no rows; further columns are ignored.
+a hash of the text; rows equal in id and text stand at one place and get equal results; a lone document is its
+own successor; ids may be any long; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.base import table, text_of
+from fathom.llm.base import partitions, table, text_of, written
 
 BITS = 64
 PAIR = (1 << 32) + 1
-CELLS = 65_536
-ROWS_A_RANGE = 250
+KEYS = ["doc_id", "h"]
 
 
 def words_of(text: Column) -> Column:
@@ -43,10 +44,10 @@ def pairs_of(words: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` and fp of every row; the keys must tell rows apart. Partitioned by some of the keys, it does not shuffle."""
-    hashed = rows.select(*keys, words_of(F.col(text)).alias("words")).select(*keys, F.explode_outer(pairs_of(F.col("words"))).alias("term")).select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(PAIR))).alias(f"s{i}") for i in range(32)]
-    votes = hashed.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
+    """``keys`` and fp of every row; rows with equal keys must have equal texts. Votes are summed before they are shuffled."""
+    hashed = rows.select(*keys, words_of(F.col(text)).alias("words")).select(*keys, F.explode_outer(pairs_of(F.col("words"))).alias("term")).select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h_"))
+    sums = [F.sum(F.shiftrightunsigned("h_", i).bitwiseAND(F.lit(PAIR))).alias(f"s{i}") for i in range(32)]
+    votes = hashed.groupBy(*keys).agg(F.count("h_").alias("n"), *sums)
     fp = F.lit(0).cast("long")
     for i in range(32):
         s = F.col(f"s{i}")
@@ -64,57 +65,46 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def id_ranges(docs: DataFrame) -> tuple[Column, list[int], list[int]]:
-    """Range of each row by its ``key``, from about equal counts; with the ranges' largest keys, and the range above each."""
-    size = docs.agg(F.count("*"), F.min("key"), F.max("key")).first()
-    total, low, high = size[0], size[1] or 0, size[2] or 0
-    cells = max(1, min(CELLS, total // ROWS_A_RANGE))
-    width = -(-(high - low + 1) // cells)
-    cell = F.expr(f"CAST((key - ({low}L)) div {width}L AS INT)")
-    count = {r["cell"]: r["count"] for r in docs.select(cell.alias("cell")).groupBy("cell").count().collect()}
-    per = max(1, -(-total // cells))
-    parts = [min(width, -(-count.get(c, 0) // per) or 1) for c in range(cells)]
-    base = [0]
-    for p in parts:
-        base.append(base[-1] + p)
-    literal = lambda xs: F.expr("array(" + ",".join(map(str, xs)) + ")")
-    b, p = F.element_at(literal(base[:-1]), cell + 1), F.element_at(literal(parts), cell + 1)
-    inside = F.expr(f"((key - ({low}L)) % {width}L)")
-    part = (b + F.floor(inside * p / F.lit(width))).cast("int")
-    tops = {r["part"]: r["top"] for r in docs.select(part.alias("part"), "key").groupBy("part").agg(F.max("key").alias("top")).collect()}
-    there = sorted(tops)
-    above = {x: there[(k + 1) % len(there)] for k, x in enumerate(there)}
-    return part, [tops.get(x, 0) for x in range(base[-1])], [above.get(x, -1) for x in range(base[-1])]
-
-
-def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """part, place, doc_id, text, edited; rows that only follow a range's last one have no edited text.
-
-    The last floor(n / 3) of a text's n code points are replaced by the first as many of the next document's.
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """``left`` with the further columns of ``right``, which has the same two key columns; a null id meets a null id."""
+    keys = keys or KEYS
+    other = right.select(F.col(keys[0]).alias("k0_"), F.col(keys[1]).alias("k1_"), *[c for c in right.columns if c not in keys]).hint("merge")
+    return left.join(other, F.col(keys[0]).eqNullSafe(F.col("k0_")) & (F.col(keys[1]) == F.col("k1_")), how).drop("k0_", "k1_")
+
+
+def successors(rows: DataFrame) -> DataFrame:
+    """doc_id, h, next_id, next_h of the distinct (doc_id, h) of ``rows``, in descending order of ids, the first after the last.
+
+    The range's number is written with each row, so that it holds whichever executor is lost.
+    """
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
+    ranged = rows.select(*KEYS).distinct().repartitionByRange(partitions(rows.sparkSession), *order)
+    placed = written(ranged.select(*KEYS, F.spark_partition_id().alias("part")), "places")
+    own = Window.partitionBy("part").orderBy(*order)
+    ranked = placed.select("part", *KEYS, F.lead(F.struct(*KEYS)).over(own).alias("after"), F.row_number().over(own).alias("place"))
+    heads = ranked.where(F.col("place") == 1).select("part", F.struct(*KEYS).alias("head"))
+    by_part = Window.orderBy("part")  # a row for each range, however many rows there are
+    every = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = heads.select(F.col("part").alias("p"), F.coalesce(F.lead("head").over(by_part), F.first("head").over(every)).alias("head"))
+    found = ranked.join(following, F.col("part") == F.col("p")).withColumn("next", F.coalesce("after", "head"))
+    return found.select(*KEYS, F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
+
+
+def edited(rows: DataFrame, following: DataFrame) -> DataFrame:
+    """doc_id, h, edited of ``rows`` (doc_id, h, text): the last floor(n / 3) of a text's n code points are replaced by the
+    first as many of the next document's. ``following`` is what ``successors`` gives, with the column n.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    low = rows.agg(F.min("doc_id")).first()[0] or 0
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(low) - 1 - F.pmod("h", F.lit(1 << 20))))
-    part, tops, above = id_ranges(rows.select("key"))
-    literal = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
-    placed = rows.withColumn("part", part)
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("follows"))
-    also = F.struct(F.element_at(literal(above), F.col("part") + 1).cast("int").alias("part"), F.lit(True).alias("follows"))
-    first = F.col("key") == F.element_at(literal(tops), F.col("part") + 1)
-    dealt = placed.withColumn("to", F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own)))).select("to.part", "to.follows", "key", "h", "doc_id", "text")
-    order = Window.partitionBy("part").orderBy("follows", F.col("key").desc(), "h")
-    ranked = dealt.select("part", "follows", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next"))
-    n = F.char_length("text")
-    third = F.floor(n / 3).cast("int")
-    new = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third))
-    return ranked.select("part", "place", "doc_id", "text", F.when(~F.col("follows"), new).alias("edited"))
+    asked = following.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("third"))
+    given = keyed_join(rows, asked).select(F.col("for_id").alias("doc_id"), F.col("for_h").alias("h"), "third", F.substring("text", F.lit(1), F.col("third")).alias("head"))
+    heads = given.groupBy(*KEYS).agg(F.any_value("third").alias("third"), F.any_value("head").alias("head"))
+    both = keyed_join(rows, heads)
+    return both.select(*KEYS, F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("third")), "head").alias("edited"))
 
 
 def neighbours(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """All fingerprints within ``radius`` of the queries': query_fp, fp, distance, n (rows with that fingerprint).
 
-    ``fps`` and ``queries`` have a column fp. A pair is met in the first table whose blocks agree, and only there.
+    ``fps`` and ``queries`` have a column fp; a column n of ``fps`` says how many rows a row stands for. A pair is met in the first table whose blocks agree, and only there.
     """
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("the radius must be less than the number of blocks")
@@ -127,25 +117,36 @@ def neighbours(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("*", F.explode(listed).alias("x")).select("*", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("k")).drop("x")
 
-    every = keyed(fps.groupBy("fp").agg(F.count("*").alias("n"))).select(F.col("fp").alias("other"), "n", "t", "k")
+    every = keyed(fps.groupBy("fp").agg((F.sum("n") if "n" in fps.columns else F.count("*")).alias("n"))).select(F.col("fp").alias("other"), "n", "t", "k")
     asked = keyed(queries.select("fp").distinct())
     apart = F.col("fp").bitwiseXOR(F.col("other"))
+    near = asked.join(every.hint("merge"), (asked.t == every.t) & (asked.k == every.k) & (F.bit_count(apart) <= radius))
+    # the first table in which a pair agrees: the blocks that agree, and of them the first ``blocks - radius``
     agree = F.lit(None)
     for t, m in reversed(list(enumerate(tables))):
         agree = F.when(apart.bitwiseAND(F.lit(m)) == 0, t).otherwise(agree)
-    near = asked.join(every, (asked.t == every.t) & (asked.k == every.k) & (F.bit_count(apart) <= radius) & (agree == asked.t))
-    return near.select(F.col("fp").alias("query_fp"), F.col("other").alias("fp"), F.bit_count(apart).alias("distance"), "n")
-
-
-def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edited(table(spark, sf_dir, "documents"))
-    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
-    facts = ["part", "place", "doc_id", "n_chars", "edited_sha256"]
-    sides = rows.select("part", "place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(both).alias("side")).select(*facts, "side.which", "side.body")
-    prints = fingerprints(sides, [*facts, "which"], "body")
-    joined = prints.groupBy(*facts).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
-    after = joined.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("part").orderBy("place")))
-    return after.where(F.col("edited_sha256").isNotNull()).select(
-        "doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    return near.where(agree == asked.t).select(F.col("fp").alias("query_fp"), F.col("other").alias("fp"), F.bit_count(apart).alias("distance"), "n")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str, radius: int = 3) -> DataFrame:
+    """Fingerprints of all texts and their edited texts; ``n_near`` is, for the queries (ids divisible by 20), the number
+    of documents within ``radius`` of the fingerprint, the row itself included, and null for all other rows.
+    """
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    facts = written(rows.select(*KEYS, F.char_length("text").cast("long").alias("n")).groupBy(*KEYS, "n").agg(F.count("*").alias("copies")), "simhash-facts")
+    prints = written(fingerprints(rows, KEYS, "text"), "simhash-prints")
+    following = written(keyed_join(facts, successors(facts)), "simhash-order")
+    new = edited(rows, following)
+    digests = new.select(*KEYS, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited")
+    changed = fingerprints(digests, [*KEYS, "edited_sha256"], "edited").withColumnRenamed("fp", "edited_fp")
+    own = keyed_join(keyed_join(following, prints), changed)
+    after = keyed_join(own, prints.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp")), ["next_id", "next_h"])
+    every = written(after, "simhash-all")
+    asked = every.where(F.col("doc_id") % 20 == 0).select(*KEYS, "fp")
+    near = neighbours(every.select("fp", F.col("copies").alias("n")), asked, radius).groupBy("query_fp").agg(F.sum("n").alias("n_near"))
+    counted = asked.join(near, F.col("fp") == F.col("query_fp")).select(*KEYS, "n_near")
+    done = keyed_join(every, counted, how="left")
+    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )

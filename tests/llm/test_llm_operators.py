@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from compare import same
+from pyspark.sql import functions as F
 
 from fathom.llm import jaccard, licenses, media, mixing, packing, pii, sentences, simhash, suffixes, toxicity
 from fathom.llm.graph import components, local_stars
@@ -394,6 +396,34 @@ def test_encoder_on_odd_texts():
         assert np.frombuffer(got, "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def plain_fingerprint(text):
+    found = re.findall("[a-z0-9]+", text.lower())
+    pairs = list(zip(found, found[1:], strict=False)) or [(w, None) for w in found]
+    hashes = []
+    for a, b in pairs:
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        hashes.append(h if b is None else xxhash.xxh64_intdigest(b.encode(), h))
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_of_any_ids(spark, tmp_path):
+    ids = [2**63 - 1, -(2**63), 0, 7, 7, 7, None, None, 40]
+    texts = ["one two three four", "five six", "seven", "eight nine", "ten eleven twelve", "eight nine", None, "thirteen", "one two three four"]
+    at = str(tmp_path)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("n", F.lit(1))
+    docs.write.parquet(f"{at}/documents.parquet")
+    got = queries()["op10_simhash"](spark, at).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_chars) for r in got if r.doc_id is not None) == sorted((False, i, len(t or "")) for i, t in zip(ids, texts, strict=True) if i is not None)
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.n_chars), []).append(r)
+    assert len(by[7, 10]) == 2 and by[7, 10][0] == by[7, 10][1]
+    assert by[2**63 - 1, 18][0].edited_sha256 == hashlib.sha256(b"one two threone tw").hexdigest()
+    assert by[40, 18][0].n_near == 2 and by[0, 5][0].n_near == 1 and by[7, 10][0].n_near is None
+    last = {r.n_chars: r.edited_sha256 for r in got if r.doc_id is None}
+    assert last[8] in {hashlib.sha256(x).hexdigest() for x in (b"thirteon", b"thirte")}
+
+
 def test_simhash(spark, folder):
     got = rows_of(spark, "op10_simhash", folder)
     order = sorted(range(len(TEXTS)), reverse=True)
@@ -405,6 +435,12 @@ def test_simhash(spark, folder):
         j = order[(k + 1) % len(order)]
         apart = bin(int(got[i].fingerprint, 16) ^ int(got[j].fingerprint, 16)).count("1")
         assert got[i].near_next == pytest.approx(1 - apart / 64)
+        if (t + edited).isascii():
+            assert int(got[i].fingerprint, 16) == plain_fingerprint(t) and int(got[i].edited_fingerprint, 16) == plain_fingerprint(edited)
+            apart = bin(plain_fingerprint(t) ^ plain_fingerprint(edited)).count("1")
+            assert got[i].near_edited == pytest.approx(1 - apart / 64)
+        within = sum(bin(int(got[i].fingerprint, 16) ^ int(r.fingerprint, 16)).count("1") <= 3 for r in got.values())
+        assert got[i].n_near == (within if i % 20 == 0 else None)
     same_texts = [i for i, t in enumerate(TEXTS) if t == TEXTS[0]]
     assert len(same_texts) == 3 and len({got[i].fingerprint for i in same_texts}) == 1
 
