@@ -83,6 +83,15 @@ def map_batches(df: DataFrame, function: Callable, schema, size: int = 8 << 20)
     return df.mapInArrow(run, schema)
 
 
+def map_texts(df: DataFrame, function: Callable, schema, size: int = 1 << 20) -> DataFrame:
+    """``function`` from an iterator of Arrow batches, cut to about ``size`` bytes, to an iterator of batches."""
+
+    def run(batches):
+        return function(part for batch in batches for part in cut(batch, size))
+
+    return df.mapInArrow(run, schema)
+
+
 def cut(batch: pa.RecordBatch, size: int = 8 << 20):
     """Slices of a batch of at most about ``size`` bytes, at least a row each."""
     rows = batch.num_rows

@@ -95,23 +95,24 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-BLOBS = "bucket int, blob binary"
+BLOBS = "bucket long, blob binary"
+TOP = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of a key that blobs keep
 
 
-def to_blobs(keys: np.ndarray, owners: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Pairs of key and owner, cut by ranges of the keys: a blob holds the owners once, and 48 bits of each key."""
-    order = np.argsort(keys)
-    keys, owners = keys[order], owners[order]
-    edges = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
+def blobs_of(keys: np.ndarray, owners: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Pairs of key and owner, sorted by key, cut by ranges of the keys: a blob holds the owners once, and 48 bits of each key."""
+    width = -(-(1 << 64) // buckets)
+    bucket = keys // np.uint64(width) if buckets > 1 else np.zeros(len(keys), np.uint64)
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.empty(0, np.int64)
     rows, blobs = [], []
-    for b, (lo, hi) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True)):
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
         for at in range(lo, hi, 60_000):
             to = min(hi, at + 60_000)
             names, which = np.unique(owners[at:to], return_inverse=True)
             top = np.ascontiguousarray(keys[at:to].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-            rows.append(b)
+            rows.append(int(bucket[lo]))
             blobs.append(np.array([to - at, len(names)], "<i4").tobytes() + names.astype("<i8").tobytes() + which.astype("<u2").tobytes() + top.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
 def from_blobs(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,22 +132,34 @@ def from_blobs(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return k[order], o[order]
 
 
+def held_pairs(found: Iterator[tuple[np.ndarray, np.ndarray]], flush: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct (key, owner) pairs, in order, of about ``flush`` pairs at a time; no more are held."""
+    keys, owners, held = [], [], 0
+
+    def distinct() -> tuple[np.ndarray, np.ndarray]:
+        k, o = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((o, k))
+        k, o = k[order], o[order]
+        once = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
+        return k[once], o[once]
+
+    for k, o in found:
+        keys.append(k)
+        owners.append(o)
+        held += len(k)
+        if held >= flush:
+            yield distinct()
+            keys, owners, held = [], [], 0
+    if held:
+        yield distinct()
+
+
 def deal(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, flush: int = 1 << 19, size: int = 1 << 20) -> DataFrame:
     """Blobs of the (key, owner) pairs that ``keys_of`` gives for each batch; at most about ``flush`` pairs are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, held = [], [], 0
-        for batch in batches:
-            for part in cut(batch, size):
-                k, o = keys_of(part)
-                keys.append(k)
-                owners.append(o)
-                held += len(k)
-                if held >= flush:
-                    yield to_blobs(np.concatenate(keys), np.concatenate(owners), buckets)
-                    keys, owners, held = [], [], 0
-        if held:
-            yield to_blobs(np.concatenate(keys), np.concatenate(owners), buckets)
+        for keys, owners in held_pairs((keys_of(part) for batch in batches for part in cut(batch, size)), flush):
+            yield blobs_of(keys & TOP, owners, buckets)
 
     return rows.mapInArrow(run, BLOBS)
 

@@ -262,10 +262,9 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     assert "[ID]" in {r.doc_id: r.text for r in pii.redact(docs).collect()}[100]
 
 
-def test_suffixes(spark, folder):
-    got = rows_of(spark, "op7_suffixes", folder)
-    raws = [(t or "").encode() for t in TEXTS]
-    first = {}
+def without_repeats(texts):
+    """Brute force, by ids in order: bytes, removed bytes, runs and digest of each text."""
+    raws, first, out = [(t or "").encode() for t in texts], {}, []
     for i, raw in enumerate(raws):
         for p in range(len(raw) - 49):
             first.setdefault(raw[p : p + 50], i)
@@ -277,7 +276,45 @@ def test_suffixes(spark, folder):
         gone = gone[: len(raw)]
         kept = bytes(c for c, x in zip(raw, gone, strict=True) if not x)
         runs = sum(bool(x) and not (j and gone[j - 1]) for j, x in enumerate(gone))
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffixes(spark, folder):
+    got = rows_of(spark, "op7_suffixes", folder)
+    for i, want in enumerate(without_repeats(TEXTS)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+
+
+def test_suffixes_with_hot_leads_across_buckets(spark):
+    """A passage of 60 bytes in most documents, each time in other surroundings: its leads are cut and compared across buckets."""
+    rng = random.Random(21)
+    passage = "".join(rng.choices("abcdef ", k=60))
+    texts = ["".join(rng.choices("ghijkl ", k=rng.randint(0, 90))) + passage[rng.randint(0, 8) :] + "".join(rng.choices("mnopqr ", k=rng.randint(0, 90))) for _ in range(150)]
+    texts[20:24] = [texts[3]] * 3 + ["é" * 26 + passage]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc long, text string").repartition(5)
+    _, runs = suffixes.repeated_starts(docs, chunk=7, range_bytes=1000)
+    lost = {r.doc: r.lost for r in runs.collect()}
+    copies = {20, 21, 22}
+    for i, (n, gone, _, _) in enumerate(without_repeats(texts)):
+        if i not in copies:
+            assert int(suffixes.lost_bytes(n, lost.get(i), 50).sum()) == gone, i
+
+
+def test_anchors_do_not_depend_on_the_pieces():
+    rng = random.Random(8)
+    raws = ["".join(rng.choices("ab", k=n)).encode() for n in (3000, 49, 50, 700)]
+
+    def starts(size):
+        out = {}
+        for group in suffixes.pieces(raws, 50, size):
+            for row, at, first, last, h in zip(*(x.tolist() for x in suffixes.anchors(group)), strict=True):
+                out |= {(row, p): (at, h) for p in range(first, last + 1)}
+        return out
+
+    whole = starts(1 << 20)
+    assert set(whole) == {(r, p) for r, raw in enumerate(raws) for p in range(len(raw) - 49)}
+    assert starts(64) == starts(333) == whole
 
 
 def test_groups_of_equals():
