@@ -1,14 +1,19 @@
-"""Tables as Parquet snapshots: a write makes a new folder, and a pointer file names the current one. One writer."""
+"""Tables as Parquet snapshots: a write makes a new folder, and then a pointer file of a higher number names it. One writer."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """Named tables under a root that Spark can read and write."""
+    """Named tables under a root that Spark can read and write.
+
+    The pointers of a table stand beside its folder and are read through the Hadoop file system; the one with the
+    largest number holds, so a driver that dies in a write leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -18,14 +23,33 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    def _pointers(self, name: str) -> list[str]:
+        """The names of the table's pointer files, in order."""
+        fs, folder = self._files(f"{self.root}/{name}.pointers")
+        if not fs.exists(folder):
+            return []
+        return sorted(n for f in fs.listStatus(folder) if (n := f.getPath().getName()).endswith(".json"))
 
-    def current(self, name: str) -> str | None:
-        fs, p = self._files(self._pointer(name))
-        if not fs.exists(p):
+    def pointer(self, name: str) -> dict | None:
+        """What the current pointer holds: the snapshot's folder (at) and the note of its write."""
+        names = self._pointers(name)
+        if not names:
             return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        fs, p = self._files(f"{self.root}/{name}.pointers/{names[-1]}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def current(self, name: str) -> str | None:
+        found = self.pointer(name)
+        return found and found["at"]
+
+    def note(self, name: str):
+        """What the last write of the table noted, such as a batch number."""
+        found = self.pointer(name)
+        return found and found.get("note")
 
     def read(self, name: str) -> DataFrame:
         at = self.current(name)
@@ -35,17 +59,19 @@ class Store:
             return self.spark.createDataFrame([], schema(name))
         return self.spark.read.parquet(f"{self.root}/{name}/{at}")
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """The new snapshot is complete before the pointer moves, so ``df`` may read the old one."""
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, note=None) -> None:
+        """The new snapshot is complete before the pointer is, so ``df`` may read the old one."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._files(self._pointer(name))
-        temporary = self._files(self._pointer(name) + ".new")[1]
+        names = self._pointers(name)
+        number = int(names[-1].removesuffix(".json")) + 1 if names else 0
+        fs, p = self._files(f"{self.root}/{name}.pointers/{number:020d}.json")
+        temporary = self._files(f"{self.root}/{name}.pointers/{version}.new")[1]
         stream = fs.create(temporary, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps({"at": version, "note": note}).encode()))
         stream.close()
-        fs.delete(p, True)
-        fs.rename(temporary, p)
+        if not fs.rename(temporary, p):
+            raise OSError(f"the pointer of {name} could not be moved")
 
     def append(self, name: str, df: DataFrame) -> None:
         at = self.current(name)
@@ -54,8 +80,20 @@ class Store:
         else:
             df.write.mode("append").parquet(f"{self.root}/{name}/{at}")
 
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Deletes all snapshots of a table but the last ``keep``."""
+        names = self._pointers(name)
+        for n in names[: max(0, len(names) - max(1, keep))]:
+            fs, p = self._files(f"{self.root}/{name}.pointers/{n}")
+            stream = fs.open(p)
+            at = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["at"]
+            stream.close()
+            fs.delete(self._files(f"{self.root}/{name}/{at}")[1], True)
+            fs.delete(p, False)
+
 
 def export(df: DataFrame, path: str, form: str = "json") -> None:
+    """Writes ``df`` as JSON lines, CSV with a header, Parquet or ORC."""
     if form not in ("json", "csv", "parquet", "orc"):
         raise ValueError(f"no such form: {form}")
     writer = df.write

@@ -15,17 +15,15 @@ def first_runs(runs: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def counted_failures(errors: DataFrame, store: Store, name: str = "failures") -> DataStreamWriter:
-    """Merges each batch of errors into a stored table; the batch number is kept beside it, so a repeat changes nothing."""
-    from pyspark.sql import functions as F
+    """Merges each batch of errors into a stored table; the batch number is noted in its pointer, so a repeat changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = store.read(name) if store.current(name) else None
-        if stored is not None and stored.where(F.col("last_batch") >= number).limit(1).count():
+        last = store.note(name)
+        if last is not None and last >= number:
             return
-        if stored is None:
-            empty = "signature string, error_type string, error_message string, root_cause string, fix_applied string, occurrences long, resolved_at timestamp"
-            stored = store.spark.createDataFrame([], empty)
-        store.write(name, upsert_failures(stored.drop("last_batch"), batch).withColumn("last_batch", F.lit(number)))
+        empty = "signature string, error_type string, error_message string, root_cause string, fix_applied string, occurrences long, resolved_at timestamp"
+        stored = store.read(name) if store.current(name) else store.spark.createDataFrame([], empty)
+        store.write(name, upsert_failures(stored, batch), note=number)
 
     return errors.writeStream.foreachBatch(merge)
 
