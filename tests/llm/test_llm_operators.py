@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -494,24 +495,73 @@ def test_hamming_neighbours(spark):
     assert got == want
 
 
-def test_schedule_stays_within_a_block():
-    slots = mixing.shares({"a": 10000, "b": 100, None: 400, "c": 1}, None, 100)
-    made = mixing.schedule(slots)
-    assert sorted(x for v in made.values() for x in v) == list(range(100))
-    for t in range(101):
-        assert all(abs(sum(x < t for x in v) - slots[s] * t / 100) < 1 for s, v in made.items())
-    assert mixing.shares({"a": 1, "b": 1}, {"a": 0.75, "b": 0.25}, 100) == {"a": 75, "b": 25}
+def lags_stay_below_one(slots, weights):
+    """``slots``: source by slot. In each phase, counts stay less than one from the exact targets of the sources with blocks left."""
+    left = {s: slots.count(s) for s in weights}
+    start = 0
+    while start < len(slots):
+        active = {s for s, n in left.items() if n}
+        total, count = sum(weights[s] for s in active), dict.fromkeys(active, 0)
+        for t in range(start, len(slots)):
+            count[slots[t]] += 1
+            for s in active:
+                assert abs(count[s] - Fraction(weights[s], total) * (t + 1 - start)) < 1
+            left[slots[t]] -= 1
+            if not left[slots[t]]:
+                break
+        start = t + 1
+
+
+@pytest.mark.parametrize("weights", [{"a": Fraction(1, 3), "b": Fraction(2, 3)}, {"a": 0.7, "b": 0.0001, "c": 0.2999}, {"a": 5, "b": 3, None: 2}, None, {"a": 0.5, "c": 0.5}])
+def test_schedule_stays_within_a_block(weights):
+    sizes = {"a": 400, "b": 170, "c": 90, None: 3}
+    whole_shares = mixing.shares(sizes, weights)
+    made = mixing.schedule(whole_shares, sizes)
+    slots = {t: s for s, v in made.items() for t in v}
+    live = {s: w for s, w in whole_shares.items() if w}
+    assert sorted(slots) == list(range(sum(sizes[s] for s in live)))
+    assert all(len(made[s]) == (sizes[s] if s in live else 0) and made[s] == sorted(made[s]) for s in sizes)
+    lags_stay_below_one([slots[t] for t in range(len(slots))], live)
+
+
+def test_shares():
+    assert mixing.shares({"a": 1, "b": 1}, {"a": 0.75, "b": 0.25}) == {"a": 3, "b": 1}
+    assert mixing.shares({"a": 1, "b": 9, "c": 7}, {"a": Fraction(1, 2), "x": 9}) == {"a": 2, "b": 1, "c": 1}
+    assert mixing.shares({"a": 1, "b": 1}, {"a": 1, "b": 0}) == {"a": 1, "b": 0}
+    assert mixing.shares({}, None) == {}
+    with pytest.raises(ValueError):
+        mixing.shares({"a": 1}, {"a": -1})
 
 
 def test_mixing_keeps_all_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "slot").withColumnRenamed("n_chars", "block")
-    out = mixing.mixed(docs, block=2)
+    out = mixing.mixed(docs, block=2, range_rows=7)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(len(TEXTS)))
-    rows = mixing.mix(docs, block=2).collect()
-    assert len({(r.slot, r.place) for r in rows}) == len(rows)
-    for s in {r.source for r in rows}:
-        own = sorted((r.block, r.place) for r in rows if r.source == s)
-        assert own == [(k // 2, k % 2) for k in range(len(own))]
+    for most in (1 << 18, 10):
+        rows = mixing.mix(docs, block=2, range_rows=7, most_slots=most).collect()
+        size = max(2, -(-len(TEXTS) // most))
+        assert len({(r.slot, r.place) for r in rows}) == len(rows) == len(TEXTS)
+        sizes = {}
+        for s in {r.source for r in rows}:
+            own = sorted((r.block, r.place) for r in rows if r.source == s)
+            assert own == [(k // size, k % size) for k in range(len(own))]
+            sizes[s] = len(own)
+        by_slot = {r.slot: r.source for r in rows}
+        assert sorted(by_slot) == list(range(len(by_slot)))
+        lags_stay_below_one([by_slot[t] for t in range(len(by_slot))], mixing.shares(sizes, None))
+    order = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs, block=2).collect()}
+    got = [r.doc_id for r in mixing.mixed(docs, block=2).collect()]
+    assert got == sorted(got, key=order.__getitem__)
+
+
+def test_mixing_of_repeated_rows_null_ids_and_weight_zero(spark):
+    rows = [(1, "a", "t")] * 7 + [(None, "a", None)] * 5 + [(None, None, "u")] * 3 + [(4, "b", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _all string")
+    got = mixing.mix(docs, {"a": 1, "b": 0}, block=3).collect()
+    assert sorted(map(str, ((r.doc_id, r.source) for r in got))) == sorted(map(str, ((a, b) for a, b, _ in rows)))
+    assert {r.slot for r in got if r.source == "b"} == {None} and len({(r.slot, r.place) for r in got if r.source == "a"}) == 12
+    out = mixing.mixed(docs, {"a": 1, "b": 0}, block=3)
+    assert out.columns == docs.columns and out.collect()[-1].source in ("b", None) and out.count() == len(rows)
 
 
 def test_repeated_rows_and_null_ids(spark, tmp_path):
