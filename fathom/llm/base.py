@@ -57,7 +57,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, with the folder, for ``remove``."""
     path = f"{shared_dir(df.sparkSession)}/fathom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

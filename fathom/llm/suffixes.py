@@ -2,13 +2,13 @@
 
 A byte goes if a string of ``width`` bytes that covers it also starts in a document with a smaller id. A suffix matters
 by its first ``width`` bytes alone. Suffixes are not all sorted: each string of ``width`` bytes has one anchor, the
-place of its least 24-byte hash, which equal strings share at equal offsets. So
+place of its least 20-byte hash, which equal strings share at equal offsets. So
 
 1. anchors are hashed and dealt to hash ranges, whose number follows from the bytes of all texts, so that a range stays
    small; those of one document alone drop out. Of an anchor that several texts of one flush hold, only the least and
    the greatest text are sent, as the others are known to repeat;
 2. the suffixes that start around the remaining anchors become records, which sampled splitters range-partition by
-   their leading 24 bytes at the anchor, and then by a hash of the record, so that a very common lead is split too;
+   their leading 20 bytes at the anchor, and then by a hash of the document, so that a very common lead is split too;
 3. every bucket is sorted (by Spark, which spills) and read as a stream of leads. Equal records count once; where a lead
    has several, they unfold to suffixes of ``width`` bytes, which are sorted by multikey quicksort, eight bytes a step,
    going on with ties only. In each group of equals all but the smallest document lose the string;
@@ -38,7 +38,7 @@ from fathom.llm.base import map_batches, map_texts, partitions, table, text_of,
 from fathom.llm.hashing import TOP, blobs_of, from_blobs, held_pairs, window_hashes
 
 WIDTH = 50
-LEAD = 24
+LEAD = 20
 NO_ID = -(1 << 63)
 
 
@@ -145,30 +145,19 @@ def _dealt(width: int, buckets: int, flush: int = 1 << 19):
 
 def _repeated(buckets: int):
     def run(key: tuple, blobs: pa.Table) -> pa.Table:
-        """Owners and keys (six bytes each) of the keys that more than one owner has."""
+        """Owner and key of the keys that more than one owner has."""
         keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
         if key[0].as_py() < buckets and len(keys):
             begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             several = np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin)
             keep = np.repeat(several, np.diff(np.append(begin, len(keys))))
             keys, owners = keys[keep], owners[keep]
-        order = np.argsort(owners, kind="stable")
-        keys, owners = keys[order], owners[order]
-        begin = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.empty(0, np.int64)
-        six = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-        packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((6 * np.append(begin, len(keys))).astype(np.int32)), pa.py_buffer(six)])
-        return pa.table({"g": pa.array(owners[begin], pa.int64()), "keys": packed})
+        return pa.table({"g": pa.array(owners, pa.int64()), "key": pa.array(keys.view(np.int64), pa.int64())})
 
     return run
 
 
-def unpacked(six: bytes) -> np.ndarray:
-    wide = np.zeros((len(six) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(six, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
-RECORD = "doc long, g long, lead binary, context binary, at int"
+RECORD = "doc long, g long, context binary, ahead int, at int, lost_to int"
 
 
 def _records(width: int):
@@ -184,16 +173,14 @@ def _records(width: int):
             for group in pieces((batch.column(2)[i].as_py().encode() for i in chosen), width):
                 text, anchor, first, last, h = anchors(group, width)
                 bounds = np.searchsorted(text, np.arange(len(chosen) + 1))
-                hits, contexts, leads = [], [], []
+                hits, contexts = [], []
                 for row, base, raw in group:  # a text has one piece in a group
                     if row not in known:
-                        known = {row: unpacked(b"".join(batch.column(3)[chosen[row]].as_py()))}
+                        known = {row: batch.column(3)[chosen[row]].values.to_numpy().view(np.uint64)}
                     lo, hi = bounds[row], bounds[row + 1]
                     found = lo + np.flatnonzero(np.isin(h[lo:hi] & TOP, known[row]))
                     hits.append(found)
-                    for a, p, q in zip((anchor[found] - base).tolist(), (first[found] - base).tolist(), (last[found] - base + width).tolist(), strict=True):
-                        contexts.append(raw[p:q])
-                        leads.append(raw[a : a + LEAD])
+                    contexts += [raw[p:q] for p, q in zip((first[found] - base).tolist(), (last[found] - base + width).tolist(), strict=True)]
                 hit = np.concatenate(hits)
                 own = docs[text[hit]]
                 least: dict[bytes, int] = {}
@@ -204,8 +191,8 @@ def _records(width: int):
                 size = np.array([len(c) for c in contexts], np.int64)
                 lost = [a if c is None else None for a, c in zip((first[hit] + size - width).tolist(), kept, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(gs[text[hit]]), pa.array(leads, pa.binary()), pa.array(kept, pa.binary()), pa.array(first[hit].astype(np.int32)), pa.array(lost, pa.int32())],
-                    ["doc", "g", "lead", "context", "at", "lost_to"],
+                    [pa.array(own), pa.array(gs[text[hit]]), pa.array(kept, pa.binary()), pa.array((anchor - first)[hit].astype(np.int32)), pa.array(first[hit].astype(np.int32)), pa.array(lost, pa.int32())],
+                    [x.split()[0] for x in RECORD.split(", ")],
                 )
 
     return run
@@ -344,13 +331,14 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, ran
     firsts = written(facts.groupBy("g", "m").agg(F.min("doc").alias("first")), "firsts")
     buckets = max(8, -(-(facts.agg(F.sum("n_bytes")).first()[0] or 0) // range_bytes))
     texts = rows.where(F.octet_length("text") >= width)
-    keys = map_texts(texts.select("g", "text"), _dealt(width, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated(buckets), "g long, keys binary")
-    wanted = keys.groupBy("g").agg(F.collect_list("keys").alias("keys")).join(firsts, "g").select(F.col("first").alias("doc"), "g", "keys")
+    keys = map_texts(texts.select("g", "text"), _dealt(width, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated(buckets), "g long, key long")
+    wanted = keys.groupBy("g").agg(F.collect_list("key").alias("keys")).join(firsts, "g").select(F.col("first").alias("doc"), "g", "keys")
     asked = texts.join(wanted.hint("merge"), ["doc", "g"]).select("doc", "g", "text", "keys")
-    records = written(map_texts(asked, _records(width), RECORD + ", lost_to int"), "records")
-    spread = F.coalesce(F.xxhash64("context"), F.xxhash64("doc", "at"))
-    sent = records.where(F.col("context").isNotNull()).select("doc", "g", "lead", "context", "at").repartitionByRange(max(partitions(docs.sparkSession), buckets // 4), F.col("lead"), spread)
-    settled = written(sent.sortWithinPartitions("lead", "context", "doc").mapInArrow(_settled(width, chunk), LOST), "settled")
+    records = written(map_texts(asked, _records(width), RECORD), "records")
+    lead = F.substring("context", F.col("ahead") + 1, F.lit(LEAD))
+    sent = records.where(F.col("context").isNotNull()).select("doc", "g", "context", "ahead", "at").repartitionByRange(max(partitions(docs.sparkSession), buckets // 4), lead, F.xxhash64("doc", "at"))
+    ordered = sent.select("doc", "g", "context", "at", lead.alias("lead")).sortWithinPartitions("lead", "context", "doc")
+    settled = written(ordered.mapInArrow(_settled(width, chunk), LOST), "settled")
     here = records.where(F.col("context").isNull()).select("doc", "g", F.col("at").alias("lo"), F.col("lost_to").alias("hi"))
     across = settled.where(F.col("string").isNotNull())
     least = across.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where(F.col("least") < F.col("most")).select("string", "least")
