@@ -2,17 +2,20 @@
 
 A text is cut into sentences at ends of lines and after full stops, question and exclamation marks. At every
 sentence one span starts and one ends: the shortest run of at least ``least_sentences`` sentences with at least
-``least_words`` words (a sentence of ``long_sentence`` words is a span alone), so that every repeated run of so many
-sentences and words is covered to both ends. A document of several sentences but fewer words is one span. Spans are
-hashed (white space is
-squeezed) and grouped over all documents; the first span of a group is the one with the lowest
-document id, then the lowest place. Sentences that any other span of the group covers are removed.
-
-Spans are rows of four numbers, aggregated before the shuffle; the join back to the spans is an equi-join that
-adaptive execution splits where one span is very common. No group is ever collected.
-
-Edge cases: a null or empty text has no sentences and is kept; rows equal in id and text count as one document;
-null ids come before others; an empty table gives no rows; further columns are ignored, or kept by ``dedup``.
+``least_words`` words, so that every repeated run of so many sentences and words is covered to both ends. (Shorter runs
+agree by chance in unrelated texts.) A document of several sentences but fewer words is one span. Spans are hashed to
+128 bits, over the hashes of their sentences with white space squeezed, and joined over all documents; the first span
+of a group is the one in the document with the lowest id, and there at the lowest place. Sentences that any other span
+of the group covers are removed.
+
+Texts are read once for their spans, which are written as rows of numbers. A span that repeats within its own document
+is settled there and sent once; so each document counts once, counts are aggregated before they are shuffled, and the
+join back is of two written tables, which adaptive execution splits where a span is very common. No group is ever
+collected.
+
+Edge cases: a null or empty text has no sentences and is kept; rows that share an id count as one document, so a span
+at which only they agree stays; null ids come before others; an empty table gives no rows; further columns are ignored,
+or kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, table, text_of, whole
+from fathom.llm.base import map_batches, table, text_of, whole, written
 
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n+|$)")
-LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 15, 30
+LEAST_SENTENCES, LEAST_WORDS = 2, 15
+NO_ID = -(1 << 63)
 
 
 def sentences(text: str) -> list[str]:
@@ -46,19 +51,15 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(parts: list[str], least_sentences: int, least_words: int, long_sentence: int) -> list[tuple[int, int, str]]:
-    """(first sentence, sentence after the last, squeezed text) of the spans that start or end at each sentence, in order."""
-    words = [p.split() for p in parts]
+def spans(words: list[list[str]], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """(first sentence, sentence after the last) of the spans that start or end at each sentence, in order; ``words`` by sentence."""
     found, end, held = set(), 0, 0
     for i, own in enumerate(words):
-        if end <= i:
-            end, held = i, 0
-        while end < len(parts) and (held < least_words or end - i < least_sentences) and not (end == i + 1 and len(own) >= long_sentence):
+        while end < len(words) and (held < least_words or end - i < least_sentences):
             held += len(words[end])
             end += 1
-        if held >= least_words and (end - i >= least_sentences or len(own) >= long_sentence):
-            stop = i + 1 if len(own) >= long_sentence else end
-            found.add((i, stop))
+        if held >= least_words and end - i >= least_sentences:
+            found.add((i, end))
         held -= len(own)
     begin, held = 0, 0
     for i, own in enumerate(words):
@@ -66,17 +67,20 @@ def spans(parts: list[str], least_sentences: int, least_words: int, long_sentenc
         while i - begin >= least_sentences and held - len(words[begin]) >= least_words:
             held -= len(words[begin])
             begin += 1
-        if own and len(own) < long_sentence and i + 1 - begin >= least_sentences and held >= least_words:
+        if own and i + 1 - begin >= least_sentences and held >= least_words:
             found.add((begin, i + 1))
     if not found and sum(map(bool, words)) >= least_sentences:
-        found.add((0, len(parts)))
+        found.add((0, len(words)))
     if words and not words[-1]:  # white space after the last sentence belongs to it
-        found = {(i, len(parts) if stop == len(parts) - 1 else stop) for i, stop in found}
-    return [(i, stop, " ".join([w for x in words[i:stop] for w in x])) for i, stop in sorted(found)]
+        found = {(i, len(words) if stop == len(words) - 1 else stop) for i, stop in found}
+    return sorted(found)
 
 
-def hashed(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+def hashed_spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentence after the last, 128-bit hash) of a text's spans."""
+    words = [p.split() for p in sentences(text)]
+    own = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() if w else b"" for w in words]
+    return [(i, stop, hashlib.blake2b(b"".join(own[i:stop]), digest_size=16).digest()) for i, stop in spans(words, least_sentences, least_words)]
 
 
 def removed(parts: list[str], places: list[int]) -> list[bool]:
@@ -88,40 +92,51 @@ def removed(parts: list[str], places: list[int]) -> list[bool]:
     return gone
 
 
-def repeated_spans(rows: DataFrame, least_sentences: int, least_words: int, long_sentence: int) -> DataFrame:
-    """doc_id, g, places: the spans, as start times 2**32 plus end, that are not the first of their group. ``rows`` has doc_id, g, text."""
+SPAN = "doc long, g long, a long, b long, i long, again boolean"
+
+
+def repeated_spans(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
+    """doc, g, places: the spans, as start times 2**32 plus end, that are not the first of their group. ``rows`` has doc, g, text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, keys, hashes, places = [], [], [], []
+        docs, keys, hashes, places, again = [], [], [], [], []
         for doc, g, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for i, stop, span in spans(sentences(text), least_sentences, least_words, long_sentence):
+            seen = set()
+            for i, stop, h in hashed_spans(text, least_sentences, least_words):
                 docs.append(doc)
                 keys.append(g)
-                hashes.append(hashed(span))
+                hashes.append(h)
                 places.append(i << 32 | stop)
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "g", "h", "i"])
-
-    found = map_batches(rows.select("doc_id", "g", "text"), run, "doc_id long, g long, h long, i long")
-    place = F.struct("doc_id", "g", "i")
-    firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first")
-    later = found.join(firsts, "h").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(F.col("doc_id").alias("_d"), F.col("g").alias("_k")).agg(F.array_sort(F.collect_set("i")).alias("places"))
-
-
-def marked(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
+                again.append(h in seen)
+                seen.add(h)
+        two = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        columns = [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(places, pa.int64()), pa.array(again, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SPAN.split(", ")])
+
+    found = written(map_batches(rows.select("doc", "g", "text"), run, SPAN, size=2 << 20), "spans")
+    once = found.where(~F.col("again"))
+    counts = once.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where(F.col("least") < F.col("most"))
+    firsts = written(counts.select("a", "b", "least"), "span-firsts")
+    later = once.join(firsts.hint("merge"), ["a", "b"]).where(F.col("doc") > F.col("least")).select("doc", "g", "i")
+    every = later.unionByName(found.where("again").select("doc", "g", "i"))
+    return every.groupBy(F.col("doc").alias("_d"), F.col("g").alias("_k")).agg(F.array_sort(F.collect_set("i")).alias("places"))
+
+
+def marked(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` and one more column: the places of each row's spans that go, null where nothing repeats."""
-    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_g"))
-    later = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("g"), text_of().alias("text")), least_sentences, least_words, long_sentence)
-    joined = rows.join(later, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_k")), "left")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(whole(docs), doc.alias("_id"), F.xxhash64(text_of()).alias("_g"))
+    later = written(repeated_spans(docs.select(doc.alias("doc"), F.xxhash64(text_of()).alias("g"), text_of().alias("text")), least_sentences, least_words), "span-places")
+    joined = rows.join(later.hint("merge"), (F.col("_id") == F.col("_d")) & (F.col("_g") == F.col("_k")), "left")
     name = "_places"
     while name in docs.columns:
         name += "_"
     return joined.select("_all.*", F.col("places").alias(name))
 
 
-def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
+def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated sentences gone from the text; all columns stay."""
-    rows = marked(docs, least_sentences, least_words, long_sentence)
+    rows = marked(docs, least_sentences, least_words)
     names = docs.columns
     at, last = names.index("text"), len(names)
 

@@ -144,21 +144,32 @@ def test_components(spark):
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 7), (5, 8), (9, 10)]
 
 
+def spans_of(text):
+    """The spans of a text by definition: of all runs of sentences that are long enough, those that are shortest at their start or end."""
+    parts = [p.split() for p in sentences.sentences(text)]
+    n = len(parts)
+    good = [(a, b) for a in range(n) for b in range(a + 2, n + 1) if sum(map(len, parts[a:b])) >= 15]
+    found = {min(x for x in good if x[0] == a) for a, _ in good} | {max(x for x in good if x[1] == b) for _, b in good if parts[b - 1]}
+    if not found and sum(map(bool, parts)) >= 2:
+        found = {(0, n)}
+    if n and not parts[-1]:
+        found = {(a, n if b == n - 1 else b) for a, b in found}
+    return {(a, b): " | ".join(" ".join(p) for p in parts[a:b] if p) for a, b in found}
+
+
 def test_sentences(spark, folder):
     got = rows_of(spark, "op4_sentences", folder)
-    seen, spans = {}, {}
+    first = {}
+    for i, t in enumerate(TEXTS):
+        assert "".join(sentences.sentences(t or "")) == (t or "")
+        for (a, _), s in sorted(spans_of(t or "").items()):
+            first.setdefault(s, (i, a))
     for i, t in enumerate(TEXTS):
         parts = sentences.sentences(t or "")
-        assert "".join(parts) == (t or "")
-        for a, b, s in sentences.spans(parts, 2, 15, 30):
-            seen.setdefault(s, (i, a))
-            spans.setdefault(i, []).append((a, b, s))
-    for i in range(len(TEXTS)):
-        gone = set()
-        for a, b, s in spans.get(i, []):
-            if seen[s] != (i, a):
-                gone.update(range(a, b))
-        assert got[i].n_removed == len(gone)
+        gone = [any(first[s] != (i, a) and a <= k < b for (a, b), s in spans_of(t or "").items()) for k in range(len(parts))]
+        runs = sum(x and not y for x, y in zip(gone, [False, *gone], strict=False))
+        kept = "".join(p for p, x in zip(parts, gone, strict=True) if not x)
+        assert (got[i].n_sentences, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(parts), sum(gone), runs, hashlib.sha256(kept.encode()).hexdigest())
     both = [i for i, t in enumerate(TEXTS) if t and "\nbar" in t or t and t.startswith("Baz")]
     assert got[both[0]].n_removed == 0 and got[both[1]].n_removed >= 4
 
@@ -171,18 +182,25 @@ def test_repeated_runs_of_sentences_go_to_both_ends(spark):
 
     for _ in range(300):  # brute force: every run that qualifies is covered by spans within it
         parts = [sentence(rng.choice([1, 3, 8, 14, 20, 31])) for _ in range(rng.randint(1, 8))]
-        found = [(a, b) for a, b, _ in sentences.spans(parts, 2, 15, 30)]
+        found = sentences.spans([p.split() for p in parts])
         for a in range(len(parts)):
             for b in range(a + 2, len(parts) + 1):
                 if sum(len(p.split()) for p in parts[a:b]) >= 15:
                     assert {k for x, y in found if a <= x and y <= b for k in range(x, y)} == set(range(a, b))
     run, copy, after_long = [sentence(20), sentence(8), sentence(4)], [sentence(12), sentence(9), sentence(2)], [sentence(35), sentence(5)]
-    short = "Two words. And three more."
-    texts = [["", *run, sentence(9)], [sentence(7), *run, sentence(11)], copy, copy, [*after_long, sentence(8)], [*after_long, sentence(6)], [short], [short], [short + " \n \n"], [sentence(3)]]
+    short, single = "Two words. And three more.", sentence(40)
+    texts = [["", *run, sentence(9)], [sentence(7), *run, sentence(11)], copy, copy, [*after_long, sentence(8)], [*after_long, sentence(6)], [short], [short], [short + " \n \n"], [sentence(3)], [single], [single], [sentence(6), sentence(5), *run, sentence(3), *run]]
     docs = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in sentences.dedup(docs).collect()}
-    wanted = {k: "".join(t) for k, t in enumerate(texts)} | {1: texts[1][0] + texts[1][-1], 3: "", 5: texts[5][-1], 7: "", 8: ""}
-    assert got == wanted
+    wanted = {k: "".join(t) for k, t in enumerate(texts)} | {1: texts[1][0] + texts[1][-1], 3: "", 5: texts[5][-1], 7: "", 8: "", 12: texts[12][0] + texts[12][1] + texts[12][5]}
+    assert got == wanted  # a single sentence is no run of several, however long
+
+
+def test_sentences_of_shared_and_null_ids(spark):
+    rng = random.Random(14)
+    text = "".join(" ".join(words(rng, 12)) + ". " for _ in range(3))
+    docs = spark.createDataFrame([(None, text), (5, text), (5, text), (5, text + "More. "), (7, text)], "doc_id long, text string")
+    assert sorted(r.text for r in sentences.dedup(docs).collect()) == sorted([text, "", "", "More. ", ""])
 
 
 def test_sentence_dedup_keeps_columns(spark, folder):
