@@ -3,7 +3,8 @@
 ``fit`` learns from labelled documents: stems whose words mark toxic documents become the lexicon; the
 Levenshtein automata of its terms, intersected with the trie they form, are compiled to one deterministic
 table; and a logistic model weighs hits by their context. Words are runs of letters and marks of any script, in
-both; the table has a symbol for each letter of the terms. ``score`` runs it over all words of a batch at once. A hit between quotation marks or next to a reporting word counts as quoted; hits in one
+both; the table has a symbol for each letter of the terms. ``score`` runs it over all words of a batch at once. A hit
+between quotation marks or next to a reporting word counts as quoted; hits in one
 window of words add up, as abuse clusters and quotations do not.
 
 The fit reads a bounded sample of labelled rows (``fit_rows``, the rows whose id hashes lowest), and what it
@@ -11,9 +12,9 @@ brings to the driver is bounded by ``fit_rows`` and ``most_terms``. Scoring is a
 shuffle.
 
 Edge cases: a null or empty text scores as a text without hits; ids, languages, sources and labels are no
-inputs of a score; without labels of both kinds the lexicon is empty and all scores are the share of toxic
-labels; labels of one document that differ count as toxic; an empty table gives no rows; further columns
-are ignored.
+inputs of a score; without labels of both kinds nothing can be learnt, so all scores are 0 and no document is
+rejected; labels of one document that differ count as toxic; an empty table gives no rows; further columns
+are ignored. A lexicon whose automata would have too many states loses the edits of its longest terms first.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, table, text_of
+from fathom.llm.base import map_batches, table, text_of, written
 
 FIT_ROWS = 20_000
 MOST_TERMS = 96
@@ -64,7 +65,22 @@ def symbols_of(terms: list[tuple[str, bool]]) -> dict[str, int]:
 
 
 def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> Automaton:
-    """Subset construction over (trie node, edits); ``terms`` are (letters, whole word or open stem)."""
+    """The table for ``terms`` (letters, whole word or open stem). While it has too many states, the longest half of
+    the terms that still have edits loses them; without edits it has a state for each letter at most."""
+    edits = [edits_for(*t) for t in terms]
+    while True:
+        made = _compiled(terms, edits, most_states)
+        if made is not None:
+            return made
+        having = sorted((k for k, e in enumerate(edits) if e), key=lambda k: (-len(terms[k][0]), terms[k][0]))
+        if not having:
+            return _compiled(terms, edits, 1 << 62)
+        for k in having[: -(-len(having) // 2)]:
+            edits[k] = 0
+
+
+def _compiled(terms: list[tuple[str, bool]], allowed: list[int], most_states: int) -> Automaton | None:
+    """Subset construction over (trie node, edits); none if there are too many states."""
     symbols = symbols_of(terms)
     count = len(symbols) + 1
     children: list[dict[int, int]] = [{}]
@@ -72,7 +88,7 @@ def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> A
     room = [0]
     for k, (term, whole) in enumerate(terms):
         node = 0
-        most = edits_for(term, whole)
+        most = allowed[k]
         room[0] = max(room[0], most)
         for c in term:
             if (following := children[node].get(symbols[c])) is None:
@@ -121,7 +137,7 @@ def compile_terms(terms: list[tuple[str, bool]], most_states: int = 60_000) -> A
                 numbers[state] = len(order)
                 order.append(state)
                 if len(order) > most_states:
-                    raise ValueError("the lexicon makes too many states")
+                    return None
             row.append(numbers[state])
         moves.append(row)
         at += 1
@@ -158,7 +174,7 @@ def wide_characters(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, size, code
 
 
-def hits_of(texts: list[str], automaton: Automaton, longest: int) -> list[tuple[int, int, int, int, int]]:
+def hits_of(texts: list[str], automaton: Automaton) -> list[tuple[int, int, int, int, int]]:
     """(text, byte position, term, edits, quoted) of all words that the automaton accepts."""
     lows = [(t.translate(QUOTES) if not t.isascii() else t).lower().encode() for t in texts]
     joined = b" ".join(lows) + b"  "
@@ -222,12 +238,11 @@ def hits_of(texts: list[str], automaton: Automaton, longest: int) -> list[tuple[
 
 def features_of(texts: list[str], automaton: Automaton, model: Model) -> np.ndarray:
     """Rows of 1, direct and quoted weight of all hits, and the most direct weight in one window (logarithms)."""
-    longest = max((len(t) for t, _ in model.terms), default=0)
     out = np.zeros((len(texts), 4))
     out[:, 0] = 1
     windows: dict[int, list[tuple[int, float]]] = {}
     if model.terms:
-        for row, at, term, edits, quoted in hits_of(texts, automaton, longest):
+        for row, at, term, edits, quoted in hits_of(texts, automaton):
             weight = model.weights.get((term, edits), 0.0)
             out[row, 2 if quoted else 1] += weight
             if not quoted:
@@ -274,29 +289,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_terms
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marks.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(fit_rows)
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # fit_rows rows at most: two integers each
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
     words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), NO_WORD))).alias("word")).where(F.length("word") >= 4)
     counts = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     sizes = chosen.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic, clean = int(sizes[0] or 0), int(sizes[1] or 0)
     model = Model()
-    share = (toxic + 0.5) / (toxic + clean + 1)
-    model.coefficients[0] = math.log(share / (1 - share))
     if not toxic or not clean:
+        model.coefficients[0] = -30.0  # a score of 0
         return model
+    share = toxic / (toxic + clean)
+    model.coefficients[0] = math.log(share / (1 - share))
     prefixes = counts.select("word", "t", "c", F.explode(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(12)))).alias("n")).groupBy(F.expr("substring(word, 1, n)").alias("p")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(F.length("word") == F.col("n"), F.col("t")).otherwise(0)).alias("e"))
     least = max(4.0, 0.012 * toxic)
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 2) / F.lit(clean + 1.0))
     rows = prefixes.where((F.col("t") >= least) & (odds >= 3.5)).orderBy((odds * F.col("t")).desc(), "p").limit(16 * most_terms).collect()
     model.terms = choose_terms([(r.p, r.t, r.c, r.e) for r in rows], most_terms)
     if not model.terms:
+        model.coefficients[0] = min(model.coefficients[0], -1e-6)  # nothing tells the kinds apart, so nothing is rejected
         return model
     automaton = compile_terms(model.terms)
-    longest = max(len(t) for t, _ in model.terms)
 
     def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks = batch.column(1).to_pylist()
-        seen = {(row, term, edits) for row, _, term, edits, _ in hits_of(batch.column(0).to_pylist(), automaton, longest)}
+        seen = {(row, term, edits) for row, _, term, edits, _ in hits_of(batch.column(0).to_pylist(), automaton)}
         out = [(term, edits, marks[row]) for row, term, edits in seen]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["term", "edits", "toxic"])
 

@@ -219,6 +219,51 @@ def test_media_round_trip(spark, folder, codec):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32, got[i].codec) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), codec)
 
 
+def expanded(code, law):
+    """One sample by the definition of G.711, bit by bit."""
+    if law == "mulaw":
+        code = ~code & 0xFF
+        size = ((2 * (code % 16) + 33) * 2 ** (code // 16 % 8) - 33) * 4
+        return -size if code >= 128 else size
+    code ^= 0x55
+    part, low = code // 16 % 8, code % 16
+    size = (2 * low + 1) * 8 if part == 0 else (2 * low + 33) * 2 ** (part + 2)
+    return size if code >= 128 else -size
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+def test_stored_pcm_against_one_sample_at_a_time(spark, tmp_path, codec):
+    texts = ["hello telephone", None, "é" * 100, "x" * 64]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pcm", F.lit(1)).withColumn("rate", F.lit("clash"))
+    got = {r.doc_id: r for r in media.store_pcm(docs, str(tmp_path / "pcm"), codec).collect()}
+    figures = {r.doc_id: r for r in media.read_payloads(media.store_payloads(docs, codec)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        raw += b"\0" * (-len(raw) % 64 if raw else 64)
+        plain = media.decode_adpcm(raw).ravel().tolist() if codec == "adpcm" else [expanded(c, codec) for c in raw]
+        want = []
+        for k in range(2 * len(plain)):
+            a, b = plain[k // 2], plain[min(k // 2 + 1, len(plain) - 1)]
+            want.append(a if k % 2 == 0 else (8000 * a + 8000 * b) // 16000)
+        assert (got[i].rate, got[i].samples, got[i].codec) == (16000, len(want), codec)
+        assert np.frombuffer(got[i].pcm, "<i2").tolist() == want
+        assert media.parse_wav(got[i].media)[2] == raw
+        peak, square, turns = max(map(abs, want)), sum(x * x for x in want) // len(want), sum((a < 0) != (b < 0) for a, b in zip(want, want[1:], strict=False))
+        assert figures[i].feature == f"16000:{len(want)}:{peak}:{square}:{turns}"
+        assert (figures[i].pcm_sha256, figures[i].media_sha256) == (hashlib.sha256(got[i].pcm).hexdigest(), hashlib.sha256(got[i].media).hexdigest())
+
+
+def test_damaged_media_give_nulls(spark, monkeypatch):
+    good = media.wav("mulaw", b"a" * 64)
+    rows = [(1, 1, bytearray(good)), (2, 1, None), (3, 1, bytearray(good[:-1])), (4, 1, bytearray(b"junk"))]
+    got = {r.doc_id: r for r in media.read_payloads(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_bytes == 64 and all(got[k].feature is None and got[k].payload_sha256 is None and got[k].pcm_samples is None for k in (2, 3, 4))
+    sound = np.random.default_rng(3).integers(-32768, 32768, 5000).astype(np.int16)
+    whole = media.describe(sound, 8000), media.resample(sound, 8000, 16000).tolist(), media.decode_adpcm(sound.tobytes()[:6400]).tolist()
+    monkeypatch.setattr(media, "SLICE", 300)
+    assert whole == (media.describe(sound, 8000), media.resample(sound, 8000, 16000).tolist(), media.decode_adpcm(sound.tobytes()[:6400]).tolist())
+
+
 def test_telephony_tables():
     mu, a = media.mulaw_table(), media.alaw_table()
     assert (mu[0xFF], mu[0x7F], mu[0], mu[0x80]) == (0, 0, -32124, 32124)
@@ -372,6 +417,22 @@ def test_automaton_accepts_what_is_near():
         assert (run(w) or (0, None))[1] == (min(near) if near else None), w
 
 
+def test_lexicon_with_too_many_states_loses_edits():
+    terms = [("disgusting", True), ("moron", True), ("scum", True)]
+    auto = toxicity.compile_terms(terms, most_states=60)
+    assert len(auto.moves) <= 60
+    assert [(w, e) for _, _, w, e, _ in toxicity.hits_of(["disgusting moron scum disgustin"], auto)] == [(0, 0), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("marks", [[], [(1, 1)], [(1, 0)], [(1, 1), (2, 0)], [(None, 1), (2, None)]])
+def test_without_labels_of_both_kinds_all_documents_stay(spark, marks):
+    docs = spark.createDataFrame([(1, "you utter moron", 1), (2, None, 2), (3, "clean words", 3), (None, "", 4)], "doc_id long, text string, score long")
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
 def test_toxicity_learns_and_uses_no_labels(spark, tmp_path):
     rng = random.Random(11)
     docs, marks = [], []
@@ -411,7 +472,7 @@ def test_toxicity_learns_words_with_letters_beyond_ascii(spark):
     assert sum(got[k].predicted == (k % 4 == 0) for k in held) >= 0.97 * len(held)
     auto = toxicity.compile_terms(model.terms)
     texts = ["«Идиот…» VÉREUX—véreus 𝐀é", "vreux est dégoutant"]
-    found = [(row, model.terms[term][0], edits) for row, _, term, edits, _ in toxicity.hits_of(texts, auto, 9)]
+    found = [(row, model.terms[term][0], edits) for row, _, term, edits, _ in toxicity.hits_of(texts, auto)]
     assert found == [(0, "идиот", 0), (0, "véreux", 0), (0, "véreux", 1), (1, "véreux", 1), (1, "dégoûtant", 1)]
 
 
