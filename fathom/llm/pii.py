@@ -3,15 +3,17 @@
 Base kinds are found by regular expressions, whose groups are possessive so that long runs cost linear time
 and no stack, and checked by digit counts, number ranges and Luhn sums.
 
-The method on top: seed entities (base matches, and strings of 32 or more hexadecimal digits as secrets)
-induce lexical patterns, the two words before them. A graph joins patterns with the instances (distinct
-strings) that follow them. In each round a pattern scores the share of its instances that are trusted, times a
-damping for few instances, and an instance scores what its best pattern does. Patterns that end above
-``confidence`` with ``support`` seeds or more discover identifiers that no base pattern knows: every string with a
-digit that follows them gets the kind ``id``.
+The method on top: seed entities (base matches, and strings of 32 or more hexadecimal digits, which are themselves
+reported as secrets) induce lexical patterns: the two words before them, the one word before them, and the words on both
+sides. A graph joins patterns with the instances (distinct strings with a digit) that they surround. In each round a
+pattern scores the share of its instances that are trusted, times a damping for few instances; it is accepted at a score
+of ``confidence`` with ``support`` trusted instances. Trusted are the seeds, and from then on all that an accepted pattern
+surrounds, so that identifiers found by one pattern induce the next. Rounds go on until none adds a pattern. Every string
+with a digit that an accepted pattern surrounds gets the kind ``id``.
 
 One pass over the texts writes what it finds to a narrow table; patterns and instances are counted before they
-are joined, so a pattern that a third of all rows shares is one row for each distinct instance.
+are joined, so a pattern that a third of all rows shares is one row for each distinct instance. Accepted patterns are
+a written table, so that adaptive execution can split the rows of a common one in the joins.
 
 Edge cases: a null text is empty; rows with one id and one text get equal results; null ids match null ids; an
 empty table gives no rows; further columns are ignored.
@@ -37,7 +39,9 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 STRINGS = r"(?<!\S)(?=\S{5})(?=[^\s0-9]*+[0-9])\S++"  # white-space separated strings of 5 characters or more with a digit
 SECRET = "^[0-9a-fA-F]{32,}$"
-SPAN = "array<struct<start:int,end:int,value:string,context:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,context:string,after:string>>"
+EXTRA = "array<struct<kind:string,start:int,end:int>>"
+NEAR = 48  # code points of context on each side
 
 
 def digits(value: Column) -> Column:
@@ -63,7 +67,8 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def spans(text: Column, pattern: str, hint: Column) -> Column:
-    """Matches with their places in code points and the 48 code points before them; empty where the hint is false.
+    """Matches with their places in code points and up to ``NEAR`` code points of the text before and after them; empty
+    where the hint is false.
 
     Lengths are summed in chunks of 256 matches, as an array that grows by one at a time would take quadratic time.
     """
@@ -73,17 +78,20 @@ def spans(text: Column, pattern: str, hint: Column) -> Column:
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(48)).alias("context"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], pair["gap"]), F.lit(NEAR))
+        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), before.alias("context"), F.substring(pair["after"], 1, NEAR).alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, pair["value"]), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     def add_chunk(acc: Column, chunk: Column) -> Column:
-        part = F.aggregate(chunk, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
-        return F.struct(part["at"].alias("at"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+        part = F.aggregate(chunk, F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("out")), add)
+        return F.struct(part["at"].alias("at"), part["tail"].alias("tail"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
 
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("value")), F.lit(1), F.size(found))
+    following = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("value"), following.alias("after")), F.lit(1), F.size(found))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / 256).cast("int")), lambda c: F.slice(pairs, c * 256 + 1, F.lit(256)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.when(hint, F.flatten(F.aggregate(F.when(F.size(found) > 0, chunks).otherwise(F.array().cast("array<array<struct<gap:string,value:string>>>")), start, add_chunk)["out"])).otherwise(empty)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast("array<array<struct<gap:string,value:string,after:string>>>")
+    return F.when(hint, F.flatten(F.aggregate(F.when(F.size(found) > 0, chunks).otherwise(none), start, add_chunk)["out"])).otherwise(empty)
 
 
 def _checked(kind: str):
@@ -107,9 +115,19 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def pattern_of(context: Column) -> Column:
-    """The last two words before a span, in lower case and without digits."""
-    return F.regexp_replace(F.lower(F.regexp_extract(context, r"(\S+\s+\S+\s*)\W{0,2}$", 1)), r"[0-9]+|\s+$", "")
+def patterns_of(context: Column, after: Column) -> Column:
+    """The lexical patterns around a span: two words before, one word before, and a word on each side. In lower case, runs
+    of digits as #; each needs a letter. A word that the context's limit may have cut does not count."""
+
+    def words(text: Column) -> Column:
+        return F.split(F.regexp_replace(F.lower(text), "[0-9]+", "#"), r"\s+")
+
+    whole = F.when(F.char_length(context) == NEAR, F.regexp_replace(context, r"^\S*", "")).otherwise(context)
+    left = F.array_remove(words(whole), "")
+    last, before = F.get(left, F.size(left) - 1), F.get(left, F.size(left) - 2)
+    right = F.regexp_extract(F.lower(after), r"^\s*(\S*[\p{L}]\S*)\s", 1)
+    kinds = F.array(F.concat(before, F.lit(" "), last, F.lit(" _")), F.concat(last, F.lit(" _")), F.when(right != "", F.concat(last, F.lit(" _ "), F.regexp_replace(right, "[0-9]+", "#"))))
+    return F.filter(F.array_compact(kinds), lambda p: p.rlike(r"\p{L}"))
 
 
 def found_in(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -122,59 +140,77 @@ def found_in(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """Strings and seeds with their patterns: doc_id, h, start, end, value, pattern, seed."""
+    """Strings and seeds with their patterns: doc_id, h, start, end, value, patterns, seed, secret."""
     trimmed = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
     seeds = found.select("doc_id", "h", F.explode(F.concat(*KINDS)).alias("s"), F.lit(True).alias("base"))
     every = seeds.unionByName(found.select("doc_id", "h", F.explode("strings").alias("s"), F.lit(False).alias("base")))
-    cut = every.select("doc_id", "h", "base", "s.start", "s.value", F.regexp_replace("s.value", trimmed, "").alias("core"), pattern_of(F.col("s.context")).alias("pattern"))
+    cut = every.select("doc_id", "h", "base", "s.start", "s.value", F.regexp_replace("s.value", trimmed, "").alias("core"), patterns_of(F.col("s.context"), F.col("s.after")).alias("patterns"))
     at = F.col("start") + F.instr("value", F.col("core")) - 1
-    out = cut.where((F.char_length("core") >= 5) & (F.col("pattern") != "")).select("doc_id", "h", at.alias("start"), (at + F.char_length("core")).alias("end"), F.col("core").alias("value"), "pattern", (F.col("base") | F.col("core").rlike(SECRET)).alias("seed"))
-    return out
+    secret = ~F.col("base") & F.col("core").rlike(SECRET)
+    return cut.where(F.char_length("core") >= 5).select("doc_id", "h", at.alias("start"), (at + F.char_length("core")).alias("end"), F.col("core").alias("value"), "patterns", (F.col("base") | secret).alias("seed"), secret.alias("secret"))
+
+
+CONFIDENCE, SUPPORT = 0.4, 3
 
 
-def score_patterns(seen: DataFrame, rounds: int = 2, confidence: float = 0.5, support: int = 3) -> DataFrame:
+def score_patterns(seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Patterns that the bootstrapping trusts: pattern, confidence. ``seen`` has pattern, value, seed."""
     edges = written(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    trust = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    scored = None
-    for _ in range(rounds):
-        held = edges.join(trust, "value")
-        scored = held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"), F.sum("trust").alias("trusted"))
-        scored = scored.select("pattern", "seeds", (F.col("trusted") / F.col("n") * (1 - 1 / (F.lit(1.0) + F.col("n")))).alias("confidence"))
-        best = held.join(scored.where(F.col("seeds") > 0), "pattern").groupBy("value").agg(F.greatest(F.max("trust"), F.max("confidence")).alias("trust"))
-        trust = trust.alias("t").join(best.alias("b"), "value", "left").select("value", F.coalesce("b.trust", "t.trust").alias("trust"))
-        trust = written(trust, "pii-trust")
-    return scored.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "confidence")
-
-
-def discover(found: DataFrame, rounds: int = 2, confidence: float = 0.5, support: int = 3) -> DataFrame:
-    """Spans beyond the base ones: doc_id, h, extra (an array of start, end)."""
-    seen = occurrences(found)
-    patterns = score_patterns(seen, rounds, confidence, support)
-    hits = seen.join(patterns, "pattern").select("doc_id", "h", "start", "end").distinct()
-    return hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("extra"))
-
-
-def with_extra(found: DataFrame) -> DataFrame:
-    """``found`` with the column extra, without spans that overlap base ones."""
-    more = discover(found)
-    joined = found.drop("strings").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
+    seeds = edges.where("seed").select("value").distinct()
+    trusted, known = seeds, 0
+    while True:
+        held = edges.join(trusted.withColumn("good", F.lit(1)), "value", "left").select("pattern", "good")
+        scored = held.groupBy("pattern").agg(F.count("*").alias("n"), F.count("good").alias("good"))
+        score = F.round(F.col("good") / F.col("n") * (1 - 1 / (F.lit(1.0) + F.col("n"))), 9)
+        accepted = written(scored.where(F.col("good") >= support).select("pattern", score.alias("confidence")).where(F.col("confidence") >= confidence), "pii-patterns")
+        now = accepted.count()
+        if now == known:
+            return accepted
+        known = now
+        reached = edges.join(accepted.hint("merge"), "pattern").select("value")
+        trusted = written(seeds.unionByName(reached).distinct(), "pii-trusted")
+
+
+def discover(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """Spans beyond the base ones: doc_id, h, extra (an array of kind, start, end)."""
+    seen = written(occurrences(found), "pii-seen")
+    spread = seen.select("doc_id", "h", "start", "end", "value", "seed", "secret", F.explode("patterns").alias("pattern"))
+    patterns = score_patterns(spread.select("pattern", "value", "seed"), confidence, support)
+    met = spread.where(~F.col("secret")).join(patterns.hint("merge"), "pattern").select("doc_id", "h", F.lit("id").alias("kind"), "start", "end")
+    hits = met.unionByName(seen.where("secret").select("doc_id", "h", F.lit("secret").alias("kind"), "start", "end")).distinct()
+    return hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
+
+
+def with_extra(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """``found`` with the column extra, in order of start, without spans that overlap base ones."""
+    more = written(discover(found, confidence, support), "pii-extra")
+    joined = found.drop("strings").join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
     base = F.concat(*KINDS)
-    free = F.filter(F.coalesce("extra", F.array().cast("array<struct<start:int,end:int>>")), lambda x: ~F.exists(base, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return joined.withColumn("extra", free)
+    free = F.filter(F.coalesce("extra", F.array().cast(EXTRA)), lambda x: ~F.exists(base, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    ordered = F.array_sort(free, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["end"] - b["end"]))
+    return joined.withColumn("extra", ordered)
+
+
+METHOD = ["secret", "id"]  # kinds of the method, in the order in which they follow the base kinds
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_extra(found_in(table(spark, sf_dir, "documents")))
     base = F.concat(*[F.transform(k, _listed(k)) for k in KINDS])
-    every = F.concat(base, F.transform("extra", _listed("id")))
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+    own = {k: F.filter("extra", _of_kind(k)) for k in METHOD}
+    every = F.concat(base, *[F.transform(own[k], _listed(k)) for k in METHOD])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS] + [F.size(own[k]).cast("long").alias(f"n_{k}") for k in METHOD]
+    return rows.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets; n_chars, if there, follows."""
     found = with_extra(found_in(docs))
-    tagged = F.concat(*[F.transform(k, _tagged(k)) for k in KINDS], F.transform("extra", _tagged("id")))
+    tagged = F.concat(*[F.transform(k, _tagged(k)) for k in KINDS], *[F.transform(F.filter("extra", _of_kind(k)), _tagged(k)) for k in METHOD])
     marks = found.select("doc_id", "h", F.array_sort(tagged).alias("marks")).where(F.size("marks") > 0).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), F.col("marks").alias("_marks"))
     own = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), text_of().alias("_text"))
     joined = own.join(marks, F.col("_id").eqNullSafe(F.col("_d")) & (F.xxhash64("_text") == F.col("_g")), "left")
