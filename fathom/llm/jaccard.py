@@ -9,12 +9,17 @@ Any order that is the same everywhere gives exact results. Here a share of the c
 above 1 - t, comes first, by the number of rows that hold them, which is counted over all documents; the other
 columns follow by hash. So a document whose counted columns are mostly its own drops out, whatever passages it shares.
 
-Documents that meet form candidate groups (stars, never all pairs). In every group the product is then taken exactly,
-in row and column blocks with accumulated overlap counts, dropping what falls below the bound; large groups are cut
-into pairs of row blocks that run as tasks of their own.
+What meets is multiplied in two steps, never as all pairs of a group of like documents:
 
-Equal sets are one class from the start, so copies cost nothing. Classes are named by 64-bit hashes. Nothing is
-collected: components are found by joins.
+1. in every column of the prefixes the least row meets each other row (a star). A sketch of each row, the parities of
+   its counts in 1024 bins, bounds the difference of two sets from below; pairs beyond what their sizes allow are
+   discarded. For the rest, overlaps are accumulated over column blocks, and a pair is dropped as soon as the columns
+   left cannot lift it to its bound;
+2. links make components. Only columns that still hold rows of several components are left; there the rows that are near
+   in size meet in blocks, all pairs of different components pass the same sketch bound and product, and new links join.
+
+Copies are one row from the start, named by a 128-bit hash of the set. Nothing is collected: components are found by
+joins of written tables, which adaptive execution can split at common rows.
 
 Edge cases: a null text is empty; documents without words have the size 0 and stay alone; rows that share an id are
 one node and so linked; a null id has no component; an empty table gives no rows; further columns are ignored.
@@ -22,23 +27,31 @@ one node and so linked; a null id has no component; an empty table gives no rows
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.base import map_batches, table, text_of, whole, written
-from fathom.llm.graph import components, local_stars
-from fathom.llm.hashing import bucket_count, deal, from_blobs, mix, shingle_sets
+from fathom.llm.graph import components
+from fathom.llm.hashing import TOP, bucket_count, deal, from_blobs, shingle_sets
 
 ROWS_A_BLOCK = 1024
-COLUMNS_A_BLOCK = 4096
+COLUMN_BLOCKS = 8
+ROWS_A_BUCKET = 20_000
+PAIRS_AT_ONCE = 1 << 16
+BINS = 1024
+COUNTED_SHARE = 0.4
+COUNTED = np.uint64(int(COUNTED_SHARE * 2**64) & ~0xFFFF)  # hashes below it are of the columns that are counted and come first
 
 
-def class_key(found: np.ndarray) -> int:
-    """A name of the set, as a signed long."""
-    x = int(mix(found ^ np.uint64(len(found))).sum(dtype=np.uint64)) if len(found) else 0
-    return x - (1 << 64) if x >> 63 else x
+def class_key(found: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of the set, as two signed longs."""
+    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -46,169 +59,272 @@ def prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
-COUNTED_SHARE = 0.4
-COUNTED = np.uint64(int(COUNTED_SHARE * 2**64) & ~0xFFFF)  # hashes below it are of the columns that are counted and come first
+def sketch(found: np.ndarray) -> bytes:
+    """The parities of the set's counts in ``BINS`` bins: two sketches differ in no more bits than the sets in members."""
+    return np.packbits(np.bincount((found & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 1).tobytes()
+
+
+def least_overlap(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap that links sets of the sizes m and n."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+def may_link(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of eight-byte words) leave room for a link."""
+    need = least_overlap(m, n, percent)
+    apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return (np.minimum(m, n) >= need) & (apart <= m + n - 2 * need)
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sorted sets meet the threshold. Overlaps are accumulated over column blocks, for the pairs that can
+    still reach their bound with the columns that are left."""
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    need = least_overlap(m, n, percent)
+    overlap = np.zeros(len(left), np.int64)
+    live = np.flatnonzero(np.minimum(m, n) >= need)
+    edges = np.array([(k << 64) // COLUMN_BLOCKS for k in range(1, COLUMN_BLOCKS)], np.uint64)
+    at_left, at_right = ({int(k): [0, *np.searchsorted(side[k], edges).tolist(), len(side[k])] for k in live} for side in (left, right))
+    for block in range(COLUMN_BLOCKS):
+        keep = []
+        for k in live.tolist():
+            a, b = at_left[k], at_right[k]
+            own, other = left[k][a[block] : a[block + 1]], right[k][b[block] : b[block + 1]]
+            if len(own) and len(other):
+                overlap[k] += np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
+            if overlap[k] + min(a[-1] - a[block + 1], b[-1] - b[block + 1]) >= need[k]:
+                keep.append(k)
+        live = np.array(keep, np.int64)
+    out = np.zeros(len(left), bool)
+    out[live] = True
+    return out
+
+
+def _sorted_pairs(blobs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of key and owner of a bucket, in order."""
+    keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    if len(keys):
+        once = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))  # an owner can come in several batches
+        keys, owners = keys[once], owners[once]
+    return keys, owners
 
 
-TOP = np.uint64(0xFFFFFFFFFFFF0000)
-
-
-def labels_of(links: np.ndarray) -> np.ndarray:
-    """Least row of each row's component in a symmetric boolean matrix."""
-    label = np.full(len(links), -1)
-    for start in range(len(links)):
-        if label[start] < 0:
-            label[start] = start
-            front = np.array([start])
-            while len(front):
-                near = links[front].any(0) & (label < 0)
-                front = np.flatnonzero(near)
-                label[front] = start
-    return label
-
-
-def product_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs meet the threshold: overlaps are accumulated over column blocks of the incidence matrix."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))  # the least overlap of a link
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    column, owner = column[shared], owner[shared]
-    number = np.cumsum(times > 1) - 1
-    column = number[column]
-    overlap = np.zeros((m, m), np.float32)
-    left = np.bincount(owner, minlength=m)
-    total = int(number[-1]) + 1 if len(number) else 0
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for lo in range(0, total, COLUMNS_A_BLOCK):
-        a, b = np.searchsorted(column, [lo, lo + COLUMNS_A_BLOCK])
-        block = np.zeros((m, min(COLUMNS_A_BLOCK, total - lo)), np.float32)
-        block[owner[a:b], column[a:b] - lo] = 1
-        rows = np.flatnonzero(block.any(1))
-        overlap[np.ix_(rows, rows)] += block[rows] @ block[rows].T
-        left = left - np.bincount(owner[a:b], minlength=m)
-        if not (overlap + np.minimum(left[:, None], left[None, :]) >= need).any():
-            return np.zeros((m, m), bool)
-    return overlap >= need
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each group of equal keys."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return begin, np.diff(np.append(begin, len(keys)))
+
+
+def _shared(blobs: pa.Table) -> pa.Table:
+    """owner, key, holders of the keys of a bucket that more than one owner has."""
+    keys, owners = _sorted_pairs(blobs)
+    _, size = _groups(keys)
+    holders = np.repeat(size, size)
+    keep = holders > 1
+    return pa.table({"owner": pa.array(owners[keep], pa.int64()), "key": pa.array(keys[keep].view(np.int64), pa.int64()), "holders": pa.array(holders[keep], pa.int64())})
 
 
 def _stars(blobs: pa.Table) -> pa.Table:
-    """Stars that connect the owners of equal keys of a bucket."""
-    keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
-    if not len(keys):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    least = np.minimum.reduceat(owners, begin)
-    leader = np.repeat(least, np.diff(np.append(begin, len(keys))))
-    apart = owners != leader
-    a, b = local_stars(leader[apart], owners[apart])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Distinct pairs of the least owner of a key and each other one."""
+    keys, owners = _sorted_pairs(blobs)
+    begin, size = _groups(keys)
+    least = np.repeat(owners[begin], size)
+    pairs = np.unique(np.stack([least, owners], 1)[least != owners], axis=0)
+    return pa.table({"l": pa.array(pairs[:, 0], pa.int64()), "r": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _shared(blobs: pa.Table) -> pa.Table:
-    """node, key, holders of the counted keys of a bucket that more than one node has."""
-    keys, owners = from_blobs(x.as_py() for x in blobs.column("blob"))
-    if not len(keys):
-        return pa.table({"node": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "holders": pa.array([], pa.int64())})
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    once = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))  # a node can come in several batches
-    keys, owners = keys[once], owners[once]
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    holders = np.repeat(np.diff(np.append(begin, len(keys))), np.diff(np.append(begin, len(keys))))
-    keep = holders > 1
-    return pa.table({"node": pa.array(owners[keep]), "key": pa.array(keys[keep].view(np.int64)), "holders": pa.array(holders[keep])})
+def _words(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u8").reshape(-1, BINS // 64)
 
 
-def _linked(percent: int):
+def _across(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Stars of the linked nodes in each group of a bucket."""
-        nodes, sets = rows.column("node").to_numpy(), rows.column("shingles").to_pylist()
-        group = rows.column("group").to_numpy()
-        a, b = [], []
-        order = np.argsort(group, kind="stable")
-        for rows_of in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            if len(rows_of) < 2:
-                continue
-            found = [np.frombuffer(sets[i], "<u8") for i in rows_of]
-            label = labels_of(product_links(found, percent))
-            names = nodes[rows_of]
-            a.append(names[label])
-            b.append(names)
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or empty), pa.int64()), "b": pa.array(np.concatenate(b or empty), pa.int64())})
+        """Pairs of rows of different components that may link, in each group of a bucket."""
+        order = np.argsort(rows.column("group").to_numpy(), kind="stable")
+        group, node, name, n, part = (rows.column(c).to_numpy()[order] for c in ("group", "first", "a", "n", "component"))
+        words = _words(rows.column("sketch"))[order]
+        begin, size = _groups(group)
+        found: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def test() -> None:
+            if held:
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                apart = part[i] != part[j]
+                i, j = i[apart], j[apart]
+                good = may_link(n[i], n[j], words[i], words[j], percent)
+                found.append(np.stack([i[good], j[good]], 1))
+
+        count = 0
+        for at, m in zip(begin.tolist(), size.tolist(), strict=True):
+            for k in range(at, at + m - 1):
+                j = np.arange(k + 1, at + m)
+                held.append((np.full(len(j), k), j))
+                count += len(j)
+                if count >= PAIRS_AT_ONCE:
+                    test()
+                    count = 0
+        test()
+        i, j = np.concatenate(found or [np.empty((0, 2), np.int64)]).T
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        rows4 = np.unique(np.stack([node[i], name[i], node[j], name[j]], 1).astype(np.int64), axis=0)
+        return pa.table({c: pa.array(rows4[:, k], pa.int64()) for k, c in enumerate(("lf", "la", "rf", "ra"))})
 
     return run
 
 
+PAIR = "lf long, la long, rf long, ra long"
+
+
+class _Join:
+    """One join: its rows, classes and prefixes, as written tables."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str):
+        self.words, self.percent = words, percent
+        rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+        self.rows, self.known = rows, rows.where(F.col("doc_id").isNotNull())
+        self.facts = written(map_batches(rows, self._describe(), "doc_id long, n_shingles long, a long, b long, sampled long, more array<long>, sketch binary", size=1 << 20), "shingles")
+        counted = self.facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+        own = ("n_shingles", "sampled", "more", "sketch")
+        firsts = counted.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min_by(F.struct(*own), "doc_id").alias("x"))
+        self.classes = written(firsts.select("a", "b", "first", F.col("x.n_shingles").alias("n"), "x.sampled", "x.more", "x.sketch"), "classes")
+
+    def _describe(self):
+        words, percent = self.words, self.percent
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            below = [int(np.searchsorted(x, COUNTED)) for x in sets]  # sets are sorted
+            sampled = [len(np.unique(x[:s] & TOP)) for x, s in zip(sets, below, strict=True)]
+            more = [(x[s : prefix_size(len(x), percent)] & TOP).view(np.int64) for x, s in zip(sets, below, strict=True)]
+            names = [class_key(x) for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array(sampled, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "a", "b", "sampled", "more", "sketch"])
+
+        return run
+
+    def prefixes(self) -> DataFrame:
+        """a, first, keys: the columns of each class's prefix that other classes hold too, as far as they are counted."""
+        words, percent = self.words, self.percent
+
+        def counted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found = {class_key(x)[0]: x[: np.searchsorted(x, COUNTED)] & TOP for x in shingle_sets(batch.column(0).to_pylist(), words)}
+            names = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
+            return np.concatenate(list(found.values()) or [np.empty(0, np.uint64)]), names
+
+        shared = deal(self.known.select("text"), counted_keys, self._buckets()).groupBy("bucket").applyInArrow(_shared, "owner long, key long, holders long")
+        listed = shared.groupBy(F.col("owner").alias("a")).agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("shared"))
+        same = F.count("*").over(Window.partitionBy("a"))  # classes that agree in half of their names share a list, so take all of it
+        joined = self.classes.select("*", same.alias("same")).join(listed, "a", "left")
+        own = F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0))  # columns that no other row has
+        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        left = F.when(F.col("same") > 1, F.size("shared")).otherwise(F.greatest(F.lit(0).cast("long"), prefix - own).cast("int"))
+        met = F.transform(F.slice(F.coalesce("shared", F.array().cast("array<struct<holders:bigint,key:bigint>>")), F.lit(1), F.coalesce(left, F.lit(0))), lambda x: x["key"])
+        return written(joined.select("a", "first", F.concat(met, "more").alias("keys")).where(F.size("keys") > 0), "prefixes")
+
+    def _buckets(self) -> int:
+        """Hash ranges of about a million pairs, from the counted sizes of all rows."""
+        pairs = self.facts.agg(F.sum("n_shingles")).first()[0] or 0
+        return max(8, math.ceil(COUNTED_SHARE * pairs / (1 << 20)), bucket_count(self.facts))
+
+    def dealt(self, keyed: DataFrame) -> DataFrame:
+        """Blobs of ``keyed`` (an owner and its keys)."""
+
+        def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found = batch.column(1)
+            return found.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(0).to_numpy(), np.diff(found.offsets.to_numpy()))
+
+        return deal(keyed, keys_of, bucket_count(keyed)).groupBy("bucket")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """a, b of the pairs (PAIR) that link: sets are made for the rows of the pairs alone."""
+        words, percent = self.words, self.percent
+        needed = written(pairs.select(F.col("lf").alias("first"), F.col("la").alias("a")).unionByName(pairs.select(F.col("rf").alias("first"), F.col("ra").alias("a"))).distinct(), "needed")
+        wanted = self.known.join(needed.hint("merge"), F.col("doc_id") == F.col("first")).select("first", "a", "text")
+
+        def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
+            good = [class_key(s)[0] == a for s, a in zip(sets, batch.column(1).to_pylist(), strict=True)]  # another row may share the id
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["first", "a", "shingles"])
+            return out.filter(pa.array(good, pa.bool_()))
+
+        sets = written(map_batches(wanted, sets_of, "first long, a long, shingles binary", size=1 << 20).dropDuplicates(["first", "a"]), "sets")
+        left = sets.select(F.col("first").alias("lf"), F.col("a").alias("la"), F.col("shingles").alias("ls"))
+        right = sets.select(F.col("first").alias("rf"), F.col("a").alias("ra"), F.col("shingles").alias("rs"))
+        both = pairs.join(left.hint("merge"), ["lf", "la"]).join(right.hint("merge"), ["rf", "ra"]).select("lf", "rf", "ls", "rs")
+
+        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sides = [[np.frombuffer(x, "<u8") for x in batch.column(k).to_pylist()] for k in (2, 3)]
+            good = pa.array(linked_pairs(*sides, percent), pa.bool_())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+
+        return written(map_batches(both, verify, "a long, b long", size=4 << 20), "links")
+
+    def stars(self, prefixes: DataFrame) -> DataFrame:
+        """Pairs (PAIR) of the least and each other row of a column that sizes and sketches leave."""
+        percent = self.percent
+        edges = self.dealt(prefixes.select("a", "keys")).applyInArrow(_stars, "l long, r long").distinct()
+        side = lambda k: self.classes.select(F.col("a").alias(k), F.col("first").alias(k + "f"), F.col("n").alias(k + "n"), F.col("sketch").alias(k + "s")).hint("merge")
+        both = written(edges, "stars").join(side("l"), "l").join(side("r"), "r").select("lf", F.col("l").alias("la"), "rf", F.col("r").alias("ra"), "ln", "rn", "ls", "rs").where("lf <> rf")
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            m, n = (batch.column(k).to_numpy() for k in (4, 5))
+            good = may_link(m, n, _words(batch.column(6)), _words(batch.column(7)), percent)
+            return batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+        return written(map_batches(both, run, PAIR), "star-pairs")
+
+    def across(self, prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (PAIR) of rows of different components that share a column and that sizes and sketches leave."""
+        percent = self.percent
+        placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
+        placed = written(placed, "placed")
+        mixed = written(self.dealt(placed.select("component", "keys")).applyInArrow(_shared, "owner long, key long, holders long").select(F.col("owner").alias("component"), "key"), "mixed-columns")
+        # columns are compared by the bits that blobs keep, as there
+        met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"])
+        sized = written(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+        rows = sized.withColumn("band", F.explode(F.array(band, band + 1)))
+        big = rows.groupBy("key", "band").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK)
+        rows = rows.join(written(big, "large-columns").hint("merge"), ["key", "band"], "left")
+        blocks = F.ceil(F.coalesce("members", F.lit(1)) / ROWS_A_BLOCK).cast("int")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("first"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
+        buckets = max(bucket_count(rows), -(-2 * sized.count() // ROWS_A_BUCKET))
+        dealt = rows.select("a", "first", "component", "n", "sketch", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
+        return written(dealt.groupBy("bucket").applyInArrow(_across(percent), PAIR).distinct(), "pairs-across")
+
+    def shared_ids(self, of_row: DataFrame) -> DataFrame:
+        """Links of the classes of rows that share an id; ``of_row`` has doc_id and first."""
+        some = of_row.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("most")).where(F.col("a") < F.col("most")).select("doc_id", "a")
+        return of_row.join(some.hint("merge"), "doc_id").select("a", F.col("first").alias("b")).distinct()
+
+    def result(self) -> DataFrame:
+        prefixes = self.prefixes()
+        links = self.links(self.stars(prefixes))
+        more = self.links(self.across(prefixes, components(links)))
+        near = self.facts.select("doc_id", "n_shingles", "a", "b").join(self.classes.select("a", "b", "first").hint("merge"), ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
+        of_row = written(near, "rows")
+        groups = components(links.unionByName(more).unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))
+        joined = of_row.join(groups.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
+        return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module. Links: 100 * intersection >= percent * union."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-
-    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1).to_pylist(), words)
-        sampled = [int(np.searchsorted(x, COUNTED)) for x in sets]  # sets are sorted
-        more = [(x[s : prefix_size(len(x), percent)] & TOP).view(np.int64) for x, s in zip(sets, sampled, strict=True)]
-        columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([class_key(x) for x in sets], pa.int64()), pa.array(sampled, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "node", "sampled", "more"])
-
-    def counted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found = {class_key(x): x[: np.searchsorted(x, COUNTED)] & TOP for x in shingle_sets(batch.column(0).to_pylist(), words)}
-        names = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
-        return np.concatenate(list(found.values()) or [np.empty(0, np.uint64)]), names
-
-    def prefix_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(x, np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
-        return np.concatenate(found or [np.empty(0, np.uint64)]), np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-
-    facts = written(map_batches(rows, describe, "doc_id long, n_shingles long, node long, sampled long, more array<long>", size=1 << 20), "shingles")
-    classes = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min("sampled").alias("sampled"), F.first("more").alias("more"))
-    known = rows.where(F.col("doc_id").isNotNull())
-    shared_keys = deal(known.select("text"), counted_keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_shared, "node long, key long, holders long")
-    listed = shared_keys.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("shared"))
-    own = F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0))  # columns that no other row has
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = F.greatest(F.lit(0).cast("long"), prefix - own).cast("int")
-    met = F.transform(F.slice(F.coalesce("shared", F.array().cast("array<struct<holders:bigint,key:bigint>>")), F.lit(1), left), lambda x: x["key"])
-    prefixes = classes.join(listed, "node", "left").select("node", F.concat(met, "more").alias("keys")).where(F.size("keys") > 0)
-    stars = deal(prefixes, prefix_keys, bucket_count(rows)).groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    candidates = components(stars)
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
-    chosen = written(candidates.join(sizes, "component").join(classes.select("node", "first"), "node").select("node", "component", "members", "first"), "candidates")
-
-    wanted = known.join(chosen.select("node", "component", "members", "first").hint("merge"), F.col("doc_id") == F.col("first")).select("node", "component", "members", "text")
-
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(3).to_pylist(), words)
-        good = [class_key(s) == n for s, n in zip(sets, batch.column(0).to_pylist(), strict=True)]  # another row may share the id
-        out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "component", "members", "shingles"])
-        return out.filter(pa.array(good, pa.bool_()))
-
-    sets = map_batches(wanted, sets_of, "node long, component long, members long, shingles binary", size=1 << 20)
-    blocks = F.ceil(F.col("members") / ROWS_A_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = sets.select("node", "component", "shingles", own.alias("own"), other.alias("other"))
-    group = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("node", "shingles", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(8 * bucket_count(rows))))
-    links = dealt.groupBy("bucket").applyInArrow(_linked(percent), "a long, b long")
-    shared = facts.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    groups = components(links.unionByName(shared))
-    least = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = classes.join(groups, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return facts.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
+    return _Join(docs, words, percent, id_column, text_column).result()
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their group, all columns; rows without an id stay."""
-    gone = link(docs, words, percent).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id")).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    gone = written(link(docs, words, percent).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id")).join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti")
     return kept.select("_all.*")
 
 

@@ -15,7 +15,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from fathom.llm import jaccard, licenses, media, mixing, packing, pii, sentences, simhash, suffixes, toxicity
-from fathom.llm.graph import components, local_stars
+from fathom.llm.graph import components
 from fathom.llm.registry import oracle_sql, queries
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -103,46 +103,67 @@ def union_find(pairs, n):
 def test_jaccard_components(spark, folder, size, percent):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("lang", "node")
     got = {r.doc_id: r for r in jaccard.link(docs, size, percent).collect()}
-    sets = []
-    for t in TEXTS:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
-    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    assert links
-    assert [got[i].component_id for i in range(len(sets))] == union_find(links, len(sets))
+    sets = [set(x) for x in ([tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else [] for w in ((t or "").encode().lower().split() for t in TEXTS))]
+    assert [got[i].component_id for i in range(len(TEXTS))] == components_of(TEXTS, size, percent)
     assert [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
 
 
-def test_product_links_in_blocks(monkeypatch):
+def test_products_and_sketch_bounds_against_intersections():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.95], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(30)]
-    monkeypatch.setattr(jaccard, "COLUMNS_A_BLOCK", 37)
-    got = jaccard.product_links(sets, 90)
-    for i, j in itertools.product(range(30), repeat=2):
-        inter = len(np.intersect1d(sets[i], sets[j]))
-        assert got[i, j] == (100 * inter >= 90 * (len(sets[i]) + len(sets[j]) - inter))
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < rng.choice([0.9, 0.95, 0.99])], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(30)]
+    sets += [np.empty(0, np.uint64), base[:1], base[:2], np.unique(base)]
+    i, j = np.triu_indices(len(sets), 1)
+    size = np.array([len(x) for x in sets])
+    words = np.frombuffer(b"".join(map(jaccard.sketch, sets)), "<u8").reshape(len(sets), -1)
+    for percent in (50, 80, 90):
+        want = []
+        for a, b in zip(i, j, strict=True):
+            inter = len(np.intersect1d(sets[a], sets[b]))
+            want.append(100 * inter >= percent * (size[a] + size[b] - inter))
+        assert jaccard.linked_pairs([sets[k] for k in i], [sets[k] for k in j], percent).tolist() == want
+        assert (jaccard.may_link(size[i], size[j], words[i], words[j], percent) >= np.array(want)).all()
+
+
+def components_of(texts, size, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return union_find(links, len(sets))
 
 
-def test_large_components_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "ROWS_A_BLOCK", 4)
+def test_chains_of_near_copies_are_joined(spark, monkeypatch):
+    """Neighbours of a chain are alike and its ends are not, so that stars alone do not join it; and many small sets."""
     rng = random.Random(3)
-    base = words(rng, 200)
     texts = []
-    for k in range(40):
-        w = list(base)
-        w[k] = w[k + 40] = "zz"
-        texts.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.component_id for r in jaccard.link(docs, 3, 90).collect()} == {0}
+    for length in (30, 12):
+        w = words(rng, 120)
+        for k in range(length):
+            w[(7 * k) % 120] = f"new{length}x{k}"
+            texts.append(" ".join(w))
+    texts += [" ".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(80)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, first int")
+    monkeypatch.setattr(jaccard, "ROWS_A_BLOCK", 3)
+    for size, percent in ((3, 90), (2, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard.link(docs, size, percent).collect()}
+        assert [got[k] for k in range(len(texts))] == components_of(texts, size, percent)
+
+
+def test_rows_that_share_an_id_are_linked(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (7, c), (None, a), (8, None), (6, " ")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.link(docs, 3, 90).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 7), (None, None), (8, 8), (6, 6)}
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one(docs, 3, 90).collect()) == ["1", "6", "7", "8", "None"]
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50) if i % 10 != 9]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: i // 10 * 10 for i in range(51) if i != 50 or False}
-    a, b = local_stars(np.array([5, 5, 9]), np.array([7, 8, 10]))
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 7), (5, 8), (9, 10)]
 
 
 def spans_of(text):
