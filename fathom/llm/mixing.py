@@ -29,7 +29,7 @@ from fathom.llm.base import table, whole
 
 BLOCK = 16
 MOST_SLOTS = 1 << 18
-RANGE_ROWS = 1 << 14
+RANGE_ROWS = 1 << 12
 
 
 def shares(sizes: dict, weights: dict | None) -> dict:
