@@ -55,16 +55,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """As ``written``, with the folder, for ``remove``."""
+    """As ``written``, with the folder, for ``remove``. What is not removed before goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/fathom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, place = _place(df.sparkSession, path)
+    fs.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``written_at`` made."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
 
 
 def map_batches(df: DataFrame, function: Callable, schema, size: int = 8 << 20) -> DataFrame:

@@ -2,48 +2,29 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.base import written
-
-
-def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (least node, node) that connect what the edges (a, b) connect: one for each node at most."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    apart = label != np.arange(len(nodes))
-    return nodes[label[apart]], nodes[apart]
+from fathom.llm.base import remove, written, written_at
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the least node that can be reached) of every node of ``edges`` (a, b).
 
     Every round points each node to the least label among its neighbours' labels and its own, then to the label
-    of its label, until nothing changes. Each round is a table in the shared folder.
+    of its label, until nothing changes. Each round is a table in the shared folder, removed once the next is written.
     """
     both = edges.where(F.col("a") != F.col("b"))
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    labels, path = written_at(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = written(met.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("further", "c")).alias("component")), "labels")
-        labels = new.select("node", "component")
-        if new.where(F.col("was") != F.col("component")).isEmpty():
+        near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        met = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("c"))
+        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further")).hint("merge")
+        new, after = written_at(met.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("further", "c")).alias("component")), "labels")
+        settled = new.where(F.col("was") != F.col("component")).isEmpty()
+        remove(both.sparkSession, path)
+        labels, path = new.select("node", "component"), after
+        if settled:
             return labels
     raise RuntimeError("components did not settle")
