@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+ROW_GROUP = 16 << 20  # bytes, as rows may hold texts and media
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, with the folder, for ``remove``. What is not removed before goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/fathom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     fs, place = _place(df.sparkSession, path)
     fs.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -15,8 +15,11 @@ What meets is multiplied in two steps, never as all pairs of a group of like doc
    its counts in 1024 bins, bounds the difference of two sets from below; pairs beyond what their sizes allow are
    discarded. For the rest, overlaps are accumulated over column blocks, and a pair is dropped as soon as the columns
    left cannot lift it to its bound;
-2. links make components. Only columns that still hold rows of several components are left; there the rows that are near
-   in size meet in blocks, all pairs of different components pass the same sketch bound and product, and new links join.
+2. links make components. Only columns that still hold rows of several components are left; there all pairs of rows of
+   different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
+   columns sends on a forest, the pairs that connect its components, so rows sent grow with the rows and not with pairs.
+   The product follows; if it refutes a pair, the step is repeated without that pair, until it refutes none. Then no pair
+   is left that could link two components.
 
 Copies are one row from the start, named by a 128-bit hash of the set. Nothing is collected: components are found by
 joins of written tables, which adaptive execution can split at common rows.
@@ -141,38 +144,43 @@ def _words(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _across(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Pairs of rows of different components that may link, in each group of a bucket."""
+        """A forest of the pairs that may link rows of different components, over all groups of a bucket."""
         order = np.argsort(rows.column("group").to_numpy(), kind="stable")
         group, node, name, n, part = (rows.column(c).to_numpy()[order] for c in ("group", "first", "a", "n", "component"))
         words = _words(rows.column("sketch"))[order]
+        refuted = rows.column("refuted")
+        barred = {k: set(refuted[int(order[k])].as_py()) for k in np.flatnonzero(rows.column("refuted").is_valid().to_numpy()[order]).tolist()}
         begin, size = _groups(group)
-        found: list[np.ndarray] = []
+        _, label = np.unique(part, return_inverse=True)
+        found: list[tuple[int, int]] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def test() -> None:
-            if held:
-                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                apart = part[i] != part[j]
-                i, j = i[apart], j[apart]
-                good = may_link(n[i], n[j], words[i], words[j], percent)
-                found.append(np.stack([i[good], j[good]], 1))
+            if not held:
+                return
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            good = may_link(n[i], n[j], words[i], words[j], percent)
+            for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                if label[x] != label[y] and node[y] not in barred.get(x, ()):
+                    label[label == label[y]] = label[x]
+                    found.append((x, y) if node[x] < node[y] else (y, x))
 
         count = 0
         for at, m in zip(begin.tolist(), size.tolist(), strict=True):
             for k in range(at, at + m - 1):
-                j = np.arange(k + 1, at + m)
-                held.append((np.full(len(j), k), j))
-                count += len(j)
+                j = k + 1 + np.flatnonzero(label[k + 1 : at + m] != label[k])
+                if len(j):
+                    held.append((np.full(len(j), k), j))
+                    count += len(j)
                 if count >= PAIRS_AT_ONCE:
                     test()
                     count = 0
         test()
-        i, j = np.concatenate(found or [np.empty((0, 2), np.int64)]).T
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        rows4 = np.unique(np.stack([node[i], name[i], node[j], name[j]], 1).astype(np.int64), axis=0)
-        return pa.table({c: pa.array(rows4[:, k], pa.int64()) for k, c in enumerate(("lf", "la", "rf", "ra"))})
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"lf": pa.array(node[i]), "la": pa.array(name[i]), "rf": pa.array(node[j]), "ra": pa.array(name[j])})
 
     return run
 
@@ -229,7 +237,7 @@ class _Join:
     def _buckets(self) -> int:
         """Hash ranges of about a million pairs, from the counted sizes of all rows."""
         pairs = self.facts.agg(F.sum("n_shingles")).first()[0] or 0
-        return max(8, math.ceil(COUNTED_SHARE * pairs / (1 << 20)), bucket_count(self.facts))
+        return max(math.ceil(COUNTED_SHARE * pairs / (1 << 20)), 8 * bucket_count(self.facts))
 
     def dealt(self, keyed: DataFrame) -> DataFrame:
         """Blobs of ``keyed`` (an owner and its keys)."""
@@ -238,7 +246,7 @@ class _Join:
             found = batch.column(1)
             return found.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(0).to_numpy(), np.diff(found.offsets.to_numpy()))
 
-        return deal(keyed, keys_of, bucket_count(keyed)).groupBy("bucket")
+        return deal(keyed, keys_of, 8 * bucket_count(keyed)).groupBy("bucket")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs (PAIR) that link: sets are made for the rows of the pairs alone."""
@@ -278,26 +286,45 @@ class _Join:
 
         return written(map_batches(both, run, PAIR), "star-pairs")
 
-    def across(self, prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (PAIR) of rows of different components that share a column and that sizes and sketches leave."""
+    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None) -> DataFrame:
+        """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
+        those of ``refuted`` (lf, rf)."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
         placed = written(placed, "placed")
         mixed = written(self.dealt(placed.select("component", "keys")).applyInArrow(_shared, "owner long, key long, holders long").select(F.col("owner").alias("component"), "key"), "mixed-columns")
         # columns are compared by the bits that blobs keep, as there
         met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"])
-        sized = written(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
+        rows = written(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
+        if refuted is None:
+            rows = rows.withColumn("refuted", F.lit(None).cast("array<long>"))
+        else:
+            both = refuted.select(F.col("lf").alias("first"), F.col("rf").alias("other")).unionByName(refuted.select(F.col("rf").alias("first"), F.col("lf").alias("other")))
+            rows = rows.join(both.groupBy("first").agg(F.collect_set("other").alias("refuted")).hint("merge"), "first", "left")
+        big = written(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK), "large-columns")
+        rows = rows.join(big.hint("merge"), "key", "left")
+        # in a large column, rows near in size share a band; then bands are cut into blocks that meet two by two
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
-        rows = sized.withColumn("band", F.explode(F.array(band, band + 1)))
-        big = rows.groupBy("key", "band").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK)
-        rows = rows.join(written(big, "large-columns").hint("merge"), ["key", "band"], "left")
+        rows = rows.withColumn("band", F.explode(F.when(F.col("members").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(band, band + 1))))
         blocks = F.ceil(F.coalesce("members", F.lit(1)) / ROWS_A_BLOCK).cast("int")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("first"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
-        buckets = max(bucket_count(rows), -(-2 * sized.count() // ROWS_A_BUCKET))
-        dealt = rows.select("a", "first", "component", "n", "sketch", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
+        buckets = max(2 * bucket_count(rows), -(-(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0) // ROWS_A_BUCKET))
+        dealt = rows.select("a", "first", "component", "n", "sketch", "refuted", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
         return written(dealt.groupBy("bucket").applyInArrow(_across(percent), PAIR).distinct(), "pairs-across")
 
+    def joined(self, prefixes: DataFrame, links: DataFrame) -> DataFrame:
+        """``links`` and those that join components further, until no pair is left that might."""
+        refuted = None
+        while True:
+            pairs = self.across(prefixes, components(links), refuted)
+            more = self.links(pairs)
+            links = links.unionByName(more)
+            wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
+            if wrong.isEmpty():
+                return links
+            refuted = wrong if refuted is None else refuted.unionByName(wrong)
+
     def shared_ids(self, of_row: DataFrame) -> DataFrame:
         """Links of the classes of rows that share an id; ``of_row`` has doc_id and first."""
         some = of_row.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("most")).where(F.col("a") < F.col("most")).select("doc_id", "a")
@@ -305,11 +332,10 @@ class _Join:
 
     def result(self) -> DataFrame:
         prefixes = self.prefixes()
-        links = self.links(self.stars(prefixes))
-        more = self.links(self.across(prefixes, components(links)))
+        links = self.joined(prefixes, self.links(self.stars(prefixes)))
         near = self.facts.select("doc_id", "n_shingles", "a", "b").join(self.classes.select("a", "b", "first").hint("merge"), ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
         of_row = written(near, "rows")
-        groups = components(links.unionByName(more).unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))
+        groups = components(links.unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))
         joined = of_row.join(groups.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
         return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
 

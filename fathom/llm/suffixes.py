@@ -320,7 +320,7 @@ def _settled(width: int, chunk: int):
     return run
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, range_bytes: int = 7 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_starts(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, range_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """Rows of doc, g, m, n_bytes, sha, first (the least id with that text), and the runs of starts that go: doc, g, lost.
 
     ``docs`` has doc (no nulls) and text. ``range_bytes`` is the amount of text whose anchors make up one hash range.
@@ -336,7 +336,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, ran
     asked = texts.join(wanted.hint("merge"), ["doc", "g"]).select("doc", "g", "text", "keys")
     records = written(map_texts(asked, _records(width), RECORD), "records")
     lead = F.substring("context", F.col("ahead") + 1, F.lit(LEAD))
-    sent = records.where(F.col("context").isNotNull()).select("doc", "g", "context", "ahead", "at").repartitionByRange(max(partitions(docs.sparkSession), buckets // 4), lead, F.xxhash64("doc", "at"))
+    sent = records.where(F.col("context").isNotNull()).select("doc", "g", "context", "ahead", "at").repartitionByRange(max(partitions(docs.sparkSession), buckets // 16), lead, F.xxhash64("doc", "at"))
     ordered = sent.select("doc", "g", "context", "at", lead.alias("lead")).sortWithinPartitions("lead", "context", "doc")
     settled = written(ordered.mapInArrow(_settled(width, chunk), LOST), "settled")
     here = records.where(F.col("context").isNull()).select("doc", "g", F.col("at").alias("lo"), F.col("lost_to").alias("hi"))
