@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 ROW_GROUP = 16 << 20  # bytes, as rows may hold texts and media
 
 
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to a few megabytes, as texts and media may be long; a smaller setting stays."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_LIMIT))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's reader opens it, so any store works."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,6 +99,7 @@ def map_batches(df: DataFrame, function: Callable, schema, size: int = 8 << 20)
                 if out is not None:
                     yield out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -96,6 +109,7 @@ def map_texts(df: DataFrame, function: Callable, schema, size: int = 1 << 20) ->
     def run(batches):
         return function(part for batch in batches for part in cut(batch, size))
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
