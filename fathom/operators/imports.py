@@ -57,7 +57,8 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]]
 
 def edges(imports: DataFrame, files: DataFrame, prefix: str | None = None, aliases: list[tuple[str, str]] = ()) -> DataFrame:
     """Distinct repo_id, src, dst. With a prefix only imports of files under it count, as does their letter case not."""
-    own = resolve(imports, files, aliases)
+    once = imports.groupBy("file_id", "source_path").agg(F.min("import_id").alias("import_id"))  # a path means the same in all imports of a file
+    own = resolve(once, files, aliases)
     own = own if prefix is None else own.where(loose_like(F.col("from_path"), F.lit(prefix + "%")))
     return own.select("repo_id", F.col("from_path").alias("src"), F.col("to_path").alias("dst")).distinct()
 
@@ -78,12 +79,6 @@ def dead_code_summary(files: DataFrame, symbols: DataFrame, dead: DataFrame, orp
     return one.crossJoin(dead.agg(F.count("*").alias("dead_exports"))).crossJoin(orphaned.agg(F.count("*").alias("orphaned_files")))
 
 
-def canonical(path: Column) -> Column:
-    """A cycle (without its closing node) turned so that its least node comes first."""
-    at = F.array_position(path, F.array_min(path)).cast("int")
-    return F.concat(F.slice(path, at, F.size(path) - at + 1), F.slice(path, F.lit(1), at - 1))
-
-
 def cycles_by_search(graph: DataFrame, most_depth: int = 10) -> DataFrame:
     """Cycles that one depth-first search finds, in the order of names: repo_id, cycle (closed), length.
 
@@ -127,7 +122,7 @@ def cycles_by_search(graph: DataFrame, most_depth: int = 10) -> DataFrame:
 
 def all_cycles(graph: DataFrame, most_length: int = 10) -> DataFrame:
     """All simple cycles up to a length: repo_id, cycle (closed), length. Paths grow from their least node only."""
-    g = graph.select("repo_id", "src", "dst").distinct()
+    g = graph.select("repo_id", "src", "dst").distinct().checkpoint()
     paths = g.where(F.col("dst") >= F.col("src")).select("repo_id", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = None
     for _ in range(most_length):
@@ -151,7 +146,7 @@ def reverse_reach(graph: DataFrame, targets: DataFrame, most_degree: int = 3, ca
     """target, file, degree: files that import the targets (target) over at most ``most_degree`` steps, ``cap`` a degree."""
     from pyspark.sql import Window
 
-    back = graph.select(F.col("dst").alias("at"), F.col("src").alias("file")).distinct()
+    back = graph.select(F.col("dst").alias("at"), F.col("src").alias("file")).distinct().checkpoint()
     seen = targets.select("target", F.col("target").alias("file"), F.lit(0).alias("degree"))
     front = seen
     for degree in range(1, most_degree + 1):
@@ -164,16 +159,32 @@ def reverse_reach(graph: DataFrame, targets: DataFrame, most_degree: int = 3, ca
     return seen.where("degree > 0")
 
 
-def risk(reach: DataFrame, covered: DataFrame, boundary: DataFrame) -> DataFrame:
-    """target, points, risk: 10, 5, 2 and 1 points by degree; more without tests or across a boundary, less for tests alone.
+# Paths of routes and interfaces.
+BOUNDARIES = r"(?:^|/)(?:routes?|router|api|endpoints|handlers|controllers)/[^/]*\.[a-z]+$"
+
+
+def boundaries(targets: DataFrame, reach: DataFrame) -> DataFrame:
+    """target of those whose own file or reach is a route or an interface, by the folder's name."""
+    every = targets.select("target", F.col("target").alias("file")).unionByName(reach.select("target", "file"))
+    return every.where(F.col("file").rlike(BOUNDARIES)).select("target").distinct()
+
+
+def risk(targets: DataFrame, reach: DataFrame, covered: DataFrame, boundary: DataFrame) -> DataFrame:
+    """target, points, risk, score (1 to 10) of each changed file: 10 points for the change, 5, 2 and 1 by degree of reach.
 
-    ``covered`` and ``boundary`` list targets.
+    30 % more where no test covers it (``covered`` lists targets), 50 % more across a service boundary (``boundary``
+    likewise), 20 % less where tests alone are reached or changed.
     """
-    point = F.when(F.col("degree") == 1, 10).when(F.col("degree") == 2, 5).when(F.col("degree") == 3, 2).otherwise(1)
-    test = F.col("file").rlike(r"(test|spec)")
-    base = reach.groupBy("target").agg(F.sum(point).cast("double").alias("base"), F.bool_and(test).alias("tests_only"))
-    flags = base.join(covered.select("target", F.lit(True).alias("covered")).distinct(), "target", "left").join(boundary.select("target", F.lit(True).alias("edge")).distinct(), "target", "left")
-    factor = 1 + F.when(F.col("covered").isNull(), 0.3).otherwise(0.0) + F.when(F.col("edge").isNotNull(), 0.5).otherwise(0.0) - F.when(F.col("tests_only"), 0.2).otherwise(0.0)
-    points = F.col("base") * factor
-    level = F.when(points < 20, "low").when(points < 50, "medium").when(points < 100, "high").otherwise("critical")
-    return flags.select("target", points.alias("points"), level.alias("risk"))
+    point = F.when(F.col("degree") == 1, 5).when(F.col("degree") == 2, 2).when(F.col("degree") == 3, 1).otherwise(0)
+    test = F.col("file").rlike(r"(?:test|spec)")
+    sums = reach.groupBy("target").agg(F.sum(point).alias("more"), F.bool_and(test).alias("tests"))
+    flag = lambda df, name: df.select("target", F.lit(True).alias(name)).distinct()
+    flags = targets.select("target").distinct().join(sums, "target", "left").join(flag(covered, "covered"), "target", "left").join(flag(boundary, "edge"), "target", "left")
+    only = F.coalesce("tests", F.lit(True)) & F.col("target").rlike(r"(?:test|spec)")
+    tenths = 10 + F.when(F.col("covered").isNull(), 3).otherwise(0) + F.when(F.col("edge").isNotNull(), 5).otherwise(0) - F.when(only, 2).otherwise(0)
+    points = (10 + F.coalesce("more", F.lit(0))) * tenths / 10.0
+    scored = flags.select("target", points.alias("points"))
+    p = F.col("points")
+    level = F.when(p < 20, "low").when(p < 50, "medium").when(p <= 100, "high").otherwise("critical")
+    place = F.when(p < 20, F.least(F.lit(3), 1 + F.floor(p * 3 / 20))).when(p < 50, F.least(F.lit(6), 4 + F.floor((p - 20) * 3 / 30))).when(p <= 100, F.least(F.lit(9), 7 + F.floor((p - 50) * 3 / 50))).otherwise(10)
+    return scored.select("target", "points", level.alias("risk"), place.cast("int").alias("score"))

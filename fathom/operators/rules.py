@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.scalar import ascii_fold, glob_to_like, loose_like
 
 
-def usable_rules(rules: list[dict]) -> list[dict]:
-    """Rules whose pattern compiles, by falling priority, in their order among equals."""
+def usable_rules(spark: SparkSession, rules: list[dict]) -> list[dict]:
+    """Rules whose pattern compiles where it will run, in the JVM, by falling priority, in their order among equals."""
+    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
     good = []
     for r in rules:
         try:
-            re.compile(r["pattern"])
-        except re.error:
+            compiler.compile("(?i)" + r["pattern"])
+        except (IllegalArgumentException, Py4JJavaError):
             continue
         good.append(r)
     return sorted(good, key=lambda r: -(r.get("priority") or 0))
 
 
-def evaluate_rules(subjects: DataFrame, rules: list[dict], event: str, subject: str = "subject", id_column: str = "id") -> DataFrame:
-    """id, matched (rule names in order), blocked, block_message (of the last blocking match) for each subject.
+def evaluate_rules(subjects: DataFrame, rules: list[dict], event: str, subject: str = "subject", id_column: str = "id", keep: bool = False) -> DataFrame:
+    """id, matched (rule names in order), blocked, block_message (of the last blocking match) for each subject; with ``keep``,
+    behind all columns of ``subjects``.
 
     ``rules`` (name, event, pattern, action, message, priority, enabled) is a configuration list, so each rule is an
     expression of one pass and nothing is joined.
     """
-    chosen = [r for r in usable_rules(rules) if r.get("enabled", True) and r["event"] == event]
+    chosen = [r for r in usable_rules(subjects.sparkSession, rules) if r.get("enabled", True) and r["event"] == event]
     hits = [F.col(subject).rlike("(?i)" + r["pattern"]) for r in chosen]
     names = F.array_compact(F.array(*[F.when(h, F.lit(r["name"])) for h, r in zip(hits, chosen, strict=True)])) if chosen else F.array().cast("array<string>")
     message: Column = F.lit(None).cast("string")
@@ -36,8 +38,9 @@ def evaluate_rules(subjects: DataFrame, rules: list[dict], event: str, subject:
     for h, r in zip(hits, chosen, strict=True):
         if r["action"] == "block":
             message = F.when(h, F.lit(r.get("message"))).otherwise(message)
-            blocked = blocked | h
-    return subjects.select(F.col(id_column), names.alias("matched"), blocked.alias("blocked"), message.alias("block_message"))
+            blocked = blocked | F.coalesce(h, F.lit(False))
+    first = subjects.columns if keep else [F.col(id_column)]
+    return subjects.select(*first, names.alias("matched"), blocked.alias("blocked"), message.alias("block_message"))
 
 
 def edit_subject(path: Column, content: Column) -> Column:

@@ -16,14 +16,20 @@ USAGE = [("event_id", "log_id"), ("user_id", "solution_id"), ("ts", "ts"), ("CAS
 ERRORS = [("event_id", "seq"), ("ts", "ts"), ("CASE WHEN event_id % 3 = 0 THEN 'build' ELSE 'runtime' END", "error_type"),
           ("concat('Error at line ', CAST(event_id % 40 AS STRING), ' in /usr/src/app', CAST(user_id % 3 AS STRING), '/main.ts: cannot find ''x', CAST(user_id AS STRING), ''' in  module ', CASE WHEN user_id % 4 = 0 THEN 'alpha' WHEN user_id % 4 = 1 THEN 'beta' ELSE 'gamma' END)", "error_message"),
           ("CASE WHEN event_id % 5 = 0 THEN concat('cause ', CAST(user_id AS STRING)) END", "root_cause"), ("CASE WHEN event_id % 11 = 0 THEN concat('fix ', CAST(event_id AS STRING)) END", "fix_applied")]
-FILE_PATH = "CASE WHEN {k} % 25 = 0 THEN concat('src/m', CAST({k} % 5 AS STRING), '/index.ts') WHEN {k} % 25 = 1 THEN concat('scripts/f', CAST({k} AS STRING), '.ts') ELSE concat('src/m', CAST({k} % 5 AS STRING), '/f', CAST({k} AS STRING), '.ts') END"
+# A file for each supplier; every 25th is a folder's index and every 25th, one further, a script.
+STEM = "CASE WHEN {k} % 25 = 0 THEN concat('src/m', CAST({k} % 5 AS STRING), '/d', CAST({k} AS STRING)) WHEN {k} % 25 = 1 THEN concat('scripts/f', CAST({k} AS STRING)) ELSE concat('src/m', CAST({k} % 5 AS STRING), '/f', CAST({k} AS STRING)) END"
+FILE_PATH = "concat({stem}, CASE WHEN {k} % 25 = 0 THEN '/index.ts' ELSE '.ts' END)".replace("{stem}", STEM)
 FILES = [("s_suppkey", "file_id"), ("CAST(1 AS BIGINT)", "repo_id"), (FILE_PATH.format(k="s_suppkey"), "file_path"), ("s_nationkey", "mtime")]
-SYMBOLS = [("p_partkey", "symbol_id"), ("p_partkey % 100", "file_id"), ("concat(replace(p_name, ' ', '_'), CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS STRING) ELSE '' END)", "name"), ("p_type", "kind"), ("p_size % 2 = 1", "exported"), ("p_size", "line"), ("p_brand", "scope")]
-IMPORTS = [("l.l_orderkey * 10 + l.l_linenumber", "import_id"), ("l.l_suppkey", "file_id"), ("concat(replace(p.p_name, ' ', '_'), CASE WHEN p.p_partkey % 3 = 0 THEN CAST(p.p_partkey % 50 AS STRING) ELSE '' END)", "imported_name"),
-           ("concat('l_', CAST(l.l_partkey % 30 AS STRING))", "local_name"), ("CASE WHEN l.l_partkey % 6 = 0 THEN 'lodash' WHEN l.l_partkey % 5 = l.l_suppkey % 5 THEN concat('./f', CAST(l.l_partkey % 100 AS STRING)) ELSE concat('../m', CAST(l.l_partkey % 5 AS STRING), '/', CASE WHEN l.l_partkey % 4 = 0 THEN 'index' ELSE concat('f', CAST(l.l_partkey % 100 AS STRING)) END) END", "source_path"),
-           ("l.l_linenumber = 1 AND l.l_partkey % 9 = 0", "is_default"), ("l.l_linenumber = 2 AND l.l_partkey % 9 = 0", "is_namespace"), ("l.l_linenumber", "line")]
-IMPORTS_FROM = "lineitem l JOIN part p ON l.l_partkey = p.p_partkey"
-IMPORTS_WHERE = "l.l_orderkey % 300 = 0 AND l.l_suppkey < 100"
+NAME = "concat(replace({p}name, ' ', '_'), CASE WHEN {p}partkey % 3 < 2 THEN CAST(CAST(floor({p}partkey / 40.0) AS BIGINT) AS STRING) ELSE '' END)"
+SYMBOLS = [("p_partkey", "symbol_id"), ("CAST(floor(p_partkey / 20.0) AS BIGINT)", "file_id"), (NAME.format(p="p_"), "name"), ("p_type", "kind"), ("p_size % 2 = 1", "exported"), ("p_size", "line"), ("p_brand", "scope")]
+# Every line item is an import: of another file of the supplier's block of five (a circle and its chords), or of a file of
+# the next block; some by an alias, some of a package, some with an extension that no file has.
+TARGET = "CASE WHEN l.l_linenumber % 3 = 0 AND l.l_suppkey % 25 = 3 THEN l.l_suppkey + 5 ELSE l.l_suppkey - l.l_suppkey % 5 + (l.l_suppkey + 1 + l.l_partkey % 2) % 5 END"
+UP = "CASE WHEN x.l_suppkey % 25 = 0 THEN '../../../' WHEN x.l_suppkey % 25 = 1 THEN '../' ELSE '../../' END"
+SOURCE = f"concat(CASE WHEN x.l_orderkey % 6 = 0 THEN 'lodash' WHEN x.l_orderkey % 6 = 1 AND x.to_file % 25 <> 1 THEN concat('@app', substr({STEM.format(k='x.to_file')}, 4)) WHEN x.l_suppkey % 25 > 1 AND x.to_file % 25 > 1 AND x.l_suppkey % 5 = x.to_file % 5 THEN concat('./f', CAST(x.to_file AS STRING)) ELSE concat({UP}, {STEM.format(k='x.to_file')}) END, CASE WHEN x.l_orderkey % 11 = 0 THEN '.js' ELSE '' END)"
+IMPORTS = [("x.l_orderkey * 10 + x.l_linenumber", "import_id"), ("x.l_suppkey", "file_id"), (NAME.format(p="p_"), "imported_name"), ("concat('l_', CAST(x.l_partkey % 30 AS STRING))", "local_name"), (SOURCE, "source_path"),
+           ("x.l_linenumber = 1 AND x.l_partkey % 9 = 0", "is_default"), ("x.l_linenumber = 2 AND x.l_partkey % 9 = 0", "is_namespace"), ("x.l_linenumber", "line")]
+IMPORTS_INNER = f"SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_partkey, {TARGET} AS to_file, p.p_name, p.p_partkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"
 WARNINGS = [("p_partkey", "id"), ("CASE WHEN p_partkey % 5 = 0 THEN 'package' ELSE 'file' END", "type"), ("CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '-') WHEN p_partkey % 2 = 0 THEN concat(substr(p_name, 1, 4), '*') ELSE p_name END", "target"),
             ("CASE WHEN p_partkey % 10 = 0 THEN 'npm' END", "ecosystem"), ("CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 4 END", "repo_id"), ("CASE WHEN p_size % 3 = 0 THEN 'block' WHEN p_size % 3 = 1 THEN 'warn' ELSE 'info' END", "severity"), ("p_brand", "reason")]
 COMMAND = "CASE WHEN event_id % 8 = 0 THEN concat('npm install -D pkg', CAST(user_id AS STRING), '@5.0.', CAST(event_id % 9 AS STRING), ' @scope/', event_type, '@^1.2 lodash') WHEN event_id % 8 = 1 THEN concat('pip install requests==2.', CAST(event_id % 7 AS STRING)) WHEN event_id % 8 = 2 THEN 'npm i lodash@latest' WHEN event_id % 8 = 3 THEN concat('git commit -m \"', event_type, '\"') WHEN event_id % 8 = 4 THEN concat('cargo add --dev c', CAST(user_id AS STRING)) WHEN event_id % 8 = 5 THEN '  jj describe' WHEN event_id % 8 = 6 THEN 'sudo npm i x' ELSE 'bun add a b@1' END"
@@ -57,7 +63,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "supplier").where("s_suppkey < 100").selectExpr(*exprs(FILES))
+    return t(spark, sf_dir, "supplier").selectExpr(*exprs(FILES))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,9 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").alias("l").join(t(spark, sf_dir, "part").alias("p"), F.expr("l.l_partkey = p.p_partkey")).where(IMPORTS_WHERE).selectExpr(*exprs(IMPORTS))
+    lines = t(spark, sf_dir, "lineitem").alias("l").join(t(spark, sf_dir, "part").alias("p"), F.expr("l.l_partkey = p.p_partkey"))
+    placed = lines.selectExpr("l.l_orderkey", "l.l_linenumber", "l.l_suppkey", "l.l_partkey", f"{TARGET} AS to_file", "p.p_name", "p.p_partkey")
+    return placed.alias("x").selectExpr(*exprs(IMPORTS))
 
 
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +93,9 @@ CTES = {
     "repos": "repos AS (SELECT label AS repo_id, min_by(embedding, vec_id) AS vector FROM embeddings GROUP BY label)",
     "usage": _cte("usage_log", USAGE, "events"),
     "errors": _cte("errors", ERRORS, "events", "event_type = 'error'"),
-    "files": _cte("files", FILES, "supplier", "s_suppkey < 100"),
+    "files": _cte("files", FILES, "supplier"),
     "symbols": _cte("symbols", SYMBOLS, "part"),
-    "imports": _cte("imports", IMPORTS, IMPORTS_FROM, IMPORTS_WHERE),
+    "imports": _cte("imports", IMPORTS, f"({IMPORTS_INNER}) x"),
     "warnings": _cte("warnings", WARNINGS, "part"),
     "prompts": f"prompts AS (SELECT c.conv_id, c.turn, {PROMPT} AS prompt FROM conversations c)",
 }

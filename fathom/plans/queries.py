@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from fathom.functions import prompts as P
 from fathom.functions import scalar as S
 from fathom.operators import codeindex as C
+from fathom.operators import hooks as H
 from fathom.operators import imports as G
 from fathom.operators import memory as M
+from fathom.operators import repos as D
 from fathom.operators import review as V
 from fathom.operators import rules as R
 from fathom.plans import projections as J
@@ -53,10 +55,10 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return M.search(t(spark, d, "embeddings"), first_vector(spark, d), 10, 0.2, "vec_id").select("id", q4("similarity").alias("similarity"))
 
 
-@query("vector_topk_batch", f"SELECT query_id, id, {R4.format('s')} AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS.format('q.embedding', 'e.embedding')} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE s >= 0.1) WHERE rank <= 5")
+@query("vector_topk_batch", f"SELECT query_id, id, {R4.format('s')} AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS.format('q.embedding', 'e.embedding')} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE s >= 0.1) WHERE rank <= 5")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return M.search_many(rows, rows.where("id % 50 = 0"), 5, 0.1).select("query_id", "id", q4("similarity").alias("similarity"), "rank")
+    return M.search_many(rows, rows.where("id % 20 = 0"), 5, 0.1).select("query_id", "id", q4("similarity").alias("similarity"), "rank")
 
 
 def _recall(where: str, least: float) -> str:
@@ -98,12 +100,17 @@ def dedup_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder, if the session names none."""
+    """The session's checkpoint folder; a local session without one gets a folder of its own, as in tests."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+            where = tempfile.mkdtemp()
+        context.setCheckpointDir(where)
 
 
 FOLD = "list_reduce(list_prepend(0.5::DOUBLE, list(CASE outcome WHEN 'success' THEN 1.0 WHEN 'partial' THEN 2.0 WHEN 'failure' THEN 3.0 ELSE 0.0 END::DOUBLE ORDER BY ts, log_id)), lambda s, o: CASE WHEN o = 1 THEN s + 0.1::DOUBLE * (1 - s) WHEN o = 2 THEN least(1.0::DOUBLE, s + 0.03::DOUBLE) WHEN o = 3 THEN greatest(0.1::DOUBLE, s - 0.15::DOUBLE) ELSE s END)"
@@ -318,12 +325,19 @@ def get_imports(spark: SparkSession, d: str) -> DataFrame:
     return C.file_imports(J.imports(spark, d), J.files(spark, d), "src/m3/f8.ts").select("import_id", "imported_name", "local_name", "source_path", "line")
 
 
-CALL = "(i.imported_name = x.name OR i.local_name = x.name OR ((i.is_default OR i.is_namespace) AND (i.source_path = x.base OR ends_with(i.source_path, concat('/', x.base)) OR ends_with(i.source_path, concat('/', x.base, '/index')))))"
 BASE = r"regexp_extract(regexp_replace(file_path, '\.(ts|tsx|js|jsx|mjs)$', ''), '[^/]*$')"
+PLACED = r"""placed AS (SELECT i.*, f.file_path FROM imports i JOIN files f USING (file_id)),
+whole AS (SELECT *, regexp_extract(source_path, '[^/]*$') AS last, CASE WHEN ends_with(source_path, '/index') THEN regexp_extract(source_path, '([^/]*)/index$', 1) END AS folder FROM placed WHERE is_default OR is_namespace)"""
 TOP = f"top AS (SELECT symbol_id AS def_id, name, file_path AS def_path, {BASE} AS base FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY exported DESC, file_path, line, symbol_id) AS n FROM symbols JOIN files USING (file_id)) WHERE n = 1)"
 
 
-@query("find_callers", sql("files", "symbols", "imports", body=f"{TOP} SELECT x.def_id, f.file_path, i.line, arg_min(i.imported_name, i.import_id) AS imported_name FROM top x, imports i JOIN files f USING (file_id) WHERE f.file_path <> x.def_path AND {CALL} GROUP BY x.def_id, f.file_path, i.line"))
+def _met(name: str, definitions: str) -> str:
+    """A CTE of the places that import each definition (def_id, name, def_path, base)."""
+    ways = [("placed", "i.imported_name = x.name"), ("placed", "i.local_name = x.name"), ("whole", "i.last = x.base"), ("whole", "i.folder = x.base")]
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT x.def_id, i.file_path, i.line, i.import_id, i.imported_name FROM {definitions} x JOIN {t} i ON {on} WHERE i.file_path <> x.def_path" for t, on in ways) + ")"
+
+
+@query("find_callers", sql("files", "symbols", "imports", body=f"{PLACED}, {TOP}, {_met('met', 'top')} SELECT def_id, file_path, line, arg_min(imported_name, import_id) AS imported_name FROM met GROUP BY def_id, file_path, line"))
 def find_callers(spark: SparkSession, d: str) -> DataFrame:
     return C.callers(C.top_definition(J.symbols(spark, d), J.files(spark, d)), J.imports(spark, d), J.files(spark, d))
 
@@ -334,24 +348,33 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 ENTRY_SQL = "regexp_matches({}, " + _quoted("|".join(f"(?:{p})" for p in G.ENTRY_POINTS)) + ")"
-DEAD = f"SELECT symbol_id, x.name, x.file_path, x.line FROM (SELECT *, {BASE} AS base FROM symbols JOIN files USING (file_id)) x WHERE exported AND NOT {ENTRY_SQL.format('x.file_path')} AND NOT EXISTS (SELECT 1 FROM imports i JOIN files f USING (file_id) WHERE f.file_path <> x.file_path AND {CALL}) ORDER BY x.file_path, x.line, symbol_id LIMIT 100"
+EXPORTED = f"exported AS (SELECT symbol_id AS def_id, name, file_path AS def_path, line, {BASE} AS base FROM symbols JOIN files USING (file_id) WHERE exported AND NOT {ENTRY_SQL.format('file_path')})"
+DEAD_CTES = f"{PLACED}, {EXPORTED}, {_met('called', 'exported')}"
+DEAD = "SELECT def_id AS symbol_id, name, def_path AS file_path, line FROM exported WHERE def_id NOT IN (SELECT def_id FROM called) ORDER BY def_path, line, def_id LIMIT 100"
 
 
 def _dead(spark: SparkSession, d: str) -> DataFrame:
     return C.dead_exports(J.symbols(spark, d), J.imports(spark, d), J.files(spark, d), G.is_entry(F.col("file_path")))
 
 
-@query("dead_exports", sql("files", "symbols", "imports", body=DEAD))
+@query("dead_exports", sql("files", "symbols", "imports", body=f"{DEAD_CTES} {DEAD}"))
 def dead_exports(spark: SparkSession, d: str) -> DataFrame:
     return _dead(spark, d).select("symbol_id", "name", "file_path", "line")
 
 
-# the test imports are ./x or ../m/x below src/m or scripts
-RESOLVED = """tried AS (SELECT i.import_id, f.file_path AS from_path, concat(CASE WHEN starts_with(i.source_path, './') THEN concat(regexp_extract(f.file_path, '^(.*)/[^/]*$', 1), '/', substr(i.source_path, 3)) WHEN starts_with(f.file_path, 'src/') THEN concat('src/', substr(i.source_path, 4)) ELSE substr(i.source_path, 4) END, e.ext) AS file_path, e.p FROM imports i JOIN files f USING (file_id), (VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('.mjs', 5), ('/index.ts', 6), ('/index.tsx', 7), ('/index.js', 8), ('/index.jsx', 9), ('/index.mjs', 10)) e(ext, p) WHERE starts_with(i.source_path, '.')),
+def _resolved(alias: bool = False) -> str:
+    """Edges by SQL: each .. drops a folder of the importing file's; with ``alias``, @app/ means src/."""
+    bare = "concat('src/', substr(source_path, 6))" if alias else "NULL"
+    return rf"""split AS (SELECT import_id, file_path AS from_path, source_path, len(regexp_extract(source_path, '^((\.\./)*)', 1)) // 3 AS ups, string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/') AS folders FROM imports JOIN files USING (file_id)),
+meant AS (SELECT import_id, from_path, CASE WHEN starts_with(source_path, './') THEN array_to_string(list_append(folders, substr(source_path, 3)), '/') WHEN ups > 0 THEN array_to_string(list_append(folders[1 : len(folders) - ups], substr(source_path, 3 * ups + 1)), '/') WHEN starts_with(source_path, '@app/') THEN {bare} END AS stem FROM split),
+tried AS (SELECT import_id, from_path, concat(stem, e.ext) AS file_path, e.p FROM meant, (VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('.mjs', 5), ('/index.ts', 6), ('/index.tsx', 7), ('/index.js', 8), ('/index.jsx', 9), ('/index.mjs', 10)) e(ext, p) WHERE stem IS NOT NULL),
 resolved AS (SELECT import_id, from_path, arg_min(file_path, p) AS to_path FROM tried JOIN (SELECT DISTINCT file_path FROM files) USING (file_path) GROUP BY import_id, from_path),
 edges AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM resolved)"""
 
 
+RESOLVED = _resolved()
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return G.edges(J.imports(spark, d), J.files(spark, d))
 
@@ -361,6 +384,11 @@ def import_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select("src", "dst")
 
 
+@query("import_edges_aliased", sql("files", "imports", body=f"{_resolved(True)} SELECT src, dst FROM edges"))
+def import_edges_aliased(spark: SparkSession, d: str) -> DataFrame:
+    return G.edges(J.imports(spark, d), J.files(spark, d), aliases=[("@app/*", "src/*")]).select("src", "dst")
+
+
 ORPHANS = f"SELECT f.file_path, coalesce(n, 0) AS symbols, coalesce(x, 0) AS exports FROM files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (exported) AS x FROM symbols GROUP BY file_id) s USING (file_id) WHERE NOT {ENTRY_SQL.format('f.file_path')} AND f.file_path NOT IN (SELECT dst FROM edges) ORDER BY f.file_path LIMIT 100"
 
 
@@ -369,34 +397,35 @@ def orphaned_files(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans(J.files(spark, d), _edges(spark, d), J.symbols(spark, d))
 
 
-@query("dead_code_summary", sql("files", "symbols", "imports", body=f"{RESOLVED} SELECT (SELECT count(*) FROM files WHERE lower(file_path) LIKE 'src/%') AS files_analyzed, (SELECT count(*) FROM symbols WHERE exported) AS symbols_analyzed, (SELECT count(*) FROM ({DEAD})) AS dead_exports, (SELECT count(*) FROM ({ORPHANS})) AS orphaned_files"))
+@query("dead_code_summary", sql("files", "symbols", "imports", body=f"{RESOLVED}, {DEAD_CTES} SELECT (SELECT count(*) FROM files WHERE lower(file_path) LIKE 'src/%') AS files_analyzed, (SELECT count(*) FROM symbols WHERE exported) AS symbols_analyzed, (SELECT count(*) FROM ({DEAD})) AS dead_exports, (SELECT count(*) FROM ({ORPHANS})) AS orphaned_files"))
 def dead_code_summary(spark: SparkSession, d: str) -> DataFrame:
     files, symbols = J.files(spark, d), J.symbols(spark, d)
     return G.dead_code_summary(files, symbols, _dead(spark, d), G.orphans(files, _edges(spark, d), symbols), "src/")
 
 
-RING = "SELECT DISTINCT CAST(1 AS BIGINT) AS repo_id, concat('n', CAST(n_nationkey AS STRING)) AS src, concat('n', CAST((n_nationkey * 3 + k) % 25 AS STRING)) AS dst FROM nation, (SELECT 1 AS k UNION ALL SELECT 2 AS k) ks"
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).select("repo_id", "src", "dst")
 
 
-def _ring(spark: SparkSession, d: str) -> DataFrame:
-    t(spark, d, "nation").createOrReplaceTempView("nation")
-    return spark.sql(RING)
+# every cycle is found once, from its least file on
+ALL_CYCLES = f"""{RESOLVED}, p(first, last, path, closed) AS (SELECT src, dst, [src, dst], src = dst FROM edges WHERE dst >= src UNION ALL
+SELECT p.first, g.dst, list_append(p.path, g.dst), g.dst = p.first FROM p JOIN edges g ON g.src = p.last WHERE NOT p.closed AND len(p.path) <= 10 AND (g.dst = p.first OR (g.dst > p.first AND NOT list_contains(p.path, g.dst))))"""
 
 
-ALL_CYCLES = f"""WITH RECURSIVE g AS ({RING}), p(first, last, path, closed) AS (SELECT src, dst, [src, dst], src = dst FROM g WHERE dst >= src UNION ALL
-SELECT p.first, g.dst, list_append(p.path, g.dst), g.dst = p.first FROM p JOIN g ON g.src = p.last WHERE NOT p.closed AND len(p.path) <= 5 AND (g.dst = p.first OR (g.dst > p.first AND NOT list_contains(p.path, g.dst))))"""
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("all_cycles", f"{ALL_CYCLES} SELECT array_to_string(path, '>') AS cycle, CAST(len(path) - 1 AS INTEGER) AS length FROM p WHERE closed")
+@query("all_cycles", _recursive(sql("files", "imports", body=f"{ALL_CYCLES} SELECT array_to_string(path, '>') AS cycle, CAST(len(path) - 1 AS INTEGER) AS length FROM p WHERE closed")))
 def all_cycles(spark: SparkSession, d: str) -> DataFrame:
     _checkpoints(spark)
-    return G.all_cycles(_ring(spark, d), 5).select(F.array_join("cycle", ">").alias("cycle"), "length")
+    return G.all_cycles(_graph(spark, d)).select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
-@query("cycle_summary", f"{ALL_CYCLES} SELECT count(*) AS cycles, CAST(max(len(path) - 1) AS INTEGER) AS longest, (SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM p WHERE closed)) AS files FROM p WHERE closed")
+@query("cycle_summary", _recursive(sql("files", "imports", body=f"{ALL_CYCLES} SELECT count(*) AS cycles, CAST(max(len(path) - 1) AS INTEGER) AS longest, (SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM p WHERE closed)) AS files FROM p WHERE closed")))
 def cycle_summary(spark: SparkSession, d: str) -> DataFrame:
     _checkpoints(spark)
-    return G.cycle_summary(G.all_cycles(_ring(spark, d), 5))
+    return G.cycle_summary(G.all_cycles(_graph(spark, d)))
 
 
 @query("circular_deps")
@@ -404,20 +433,32 @@ def circular_deps(spark: SparkSession, d: str) -> DataFrame:
     return G.cycles_by_search(_edges(spark, d)).select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
-REACH = f"WITH RECURSIVE g AS ({RING}), r(target, file, degree) AS (SELECT 'n0', 'n0', 0 UNION SELECT r.target, g.src, r.degree + 1 FROM r JOIN g ON g.dst = r.file WHERE r.degree < 3), near AS (SELECT target, file, CAST(min(degree) AS INTEGER) AS degree FROM r GROUP BY target, file HAVING min(degree) > 0)"
+REACH = f"{RESOLVED}, r(target, file, degree) AS (SELECT file_path, file_path, 0 FROM files UNION SELECT r.target, g.src, r.degree + 1 FROM r JOIN edges g ON g.dst = r.file WHERE r.degree < 3), near AS (SELECT target, file, CAST(min(degree) AS INTEGER) AS degree FROM r GROUP BY target, file HAVING min(degree) > 0)"
+
 
+def _reach(spark: SparkSession, d: str) -> DataFrame:
+    return G.reverse_reach(_graph(spark, d), J.files(spark, d).select(F.col("file_path").alias("target")))
 
-@query("reverse_reach", f"{REACH} SELECT * FROM near")
+
+@query("reverse_reach", _recursive(sql("files", "imports", body=f"{REACH} SELECT * FROM near")))
 def reverse_reach(spark: SparkSession, d: str) -> DataFrame:
     _checkpoints(spark)
-    return G.reverse_reach(_ring(spark, d), spark.sql("SELECT 'n0' AS target"), cap=None)
+    return _reach(spark, d)
 
 
-@query("blast_risk", f"{REACH} SELECT target, p AS points, CASE WHEN p < 20 THEN 'low' WHEN p < 50 THEN 'medium' WHEN p < 100 THEN 'high' ELSE 'critical' END AS risk FROM (SELECT target, CAST(sum(CASE degree WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 1 END) AS DOUBLE) * 1.3 AS p FROM near GROUP BY target)")
+@query("blast_risk", _recursive(sql("files", "imports", body=f"""{REACH},
+points AS (SELECT f.file_path AS target, 10 + coalesce(sum(CASE n.degree WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 1 END), 0) AS base,
+  coalesce(bool_or(starts_with(n.file, 'scripts/')), false) AS covered, starts_with(f.file_path, 'src/m1/') OR coalesce(bool_or(starts_with(n.file, 'src/m1/')), false) AS edge FROM files f LEFT JOIN near n ON n.target = f.file_path GROUP BY f.file_path),
+weighed AS (SELECT target, floor(base * (10 + CASE WHEN covered THEN 0 ELSE 3 END + CASE WHEN edge THEN 5 ELSE 0 END) + 0.5) / 10.0 AS points FROM points)
+SELECT target, points, CASE WHEN points < 20 THEN 'low' WHEN points < 50 THEN 'medium' WHEN points <= 100 THEN 'high' ELSE 'critical' END AS risk,
+  CAST(CASE WHEN points < 20 THEN least(3, 1 + floor(points * 3 / 20)) WHEN points < 50 THEN least(6, 4 + floor((points - 20) * 3 / 30)) WHEN points <= 100 THEN least(9, 7 + floor((points - 50) * 3 / 50)) ELSE 10 END AS INTEGER) AS score FROM weighed""")))
 def blast_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts stand for tests, and the folder m1 for the service boundary."""
     _checkpoints(spark)
-    none = spark.sql("SELECT '' AS target").where("false")
-    return G.risk(G.reverse_reach(_ring(spark, d), spark.sql("SELECT 'n0' AS target"), cap=None), none, none)
+    files = J.files(spark, d).select(F.col("file_path").alias("target"))
+    reach = _reach(spark, d).checkpoint()
+    edge = files.where("target LIKE 'src/m1/%'").unionByName(reach.where("file LIKE 'src/m1/%'").select("target"))
+    return G.risk(files, reach, reach.where("file LIKE 'scripts/%'").select("target"), edge)
 
 
 DIFF_NEW = "SELECT concat('f', CAST(page_id AS STRING)) AS file_path, page_id % 7 AS mtime, sha256(html) AS hash FROM pages WHERE page_id % 5 <> 0"
@@ -501,9 +542,28 @@ def copied_blocks(spark: SparkSession, d: str) -> DataFrame:
     return V.copied_blocks(V.lines_of(texts), 3).select("digest", "copies")
 
 
-@query("review_triage", "SELECT id, s AS score, CAST(CASE WHEN s >= 90 THEN 1 WHEN s >= 70 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM (SELECT p_partkey AS id, CAST(greatest(0, least(100, p_size * 2 + CASE WHEN p_partkey % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 15 ELSE 0 END - CASE WHEN p_partkey % 11 = 0 THEN 10 ELSE 0 END)) AS INTEGER) AS s FROM part)")
+FINDING_PATH = "CASE WHEN p_partkey % 7 = 0 THEN concat('src/api/f', CAST(p_partkey AS STRING), '.ts') WHEN p_partkey % 7 = 1 THEN concat('tests/f', CAST(p_partkey AS STRING), '.ts') WHEN p_partkey % 7 = 2 THEN concat('src/f', CAST(p_partkey AS STRING), '.spec.ts') WHEN p_partkey % 7 = 3 THEN concat('src/apis/f', CAST(p_partkey AS STRING), '.ts') ELSE concat('src/f', CAST(p_partkey AS STRING), '.ts') END"
+
+
+@query("review_triage", """SELECT id, s AS score, CAST(CASE WHEN s >= 90 THEN 1 WHEN s >= 70 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM (SELECT p_partkey AS id, CAST(greatest(0, least(100, p_size * 2
+ + CASE p_partkey % 7 WHEN 0 THEN 15 WHEN 1 THEN -10 WHEN 2 THEN -10 ELSE 0 END + CASE WHEN p_partkey % 23 > 10 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END - CASE WHEN p_partkey % 11 = 0 THEN 15 ELSE 0 END
+ + CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN -10 ELSE 0 END)) AS INTEGER) AS s FROM part)""")
 def review_triage(spark: SparkSession, d: str) -> DataFrame:
-    return V.triage(t(spark, d, "part").selectExpr("p_partkey AS id", "p_size * 2 AS score", "p_partkey % 2 = 0 AS in_diff", "p_partkey % 3 = 0 AS has_test", "p_partkey % 5 = 0 AS has_repro", "p_partkey % 7 = 0 AS style_only", "p_partkey % 11 = 0 AS speculative"))
+    rows = t(spark, d, "part").selectExpr("p_partkey AS id", f"{FINDING_PATH} AS file_path", "p_size * 2 AS score", "p_partkey % 23 AS callers", "p_partkey % 5 = 0 AS confirmed", "p_partkey % 11 = 0 AS false_positives", "CASE p_partkey % 4 WHEN 0 THEN 'introduced' WHEN 1 THEN 'existing' END AS hygiene")
+    return V.triage(rows)
+
+
+@query("cleanup_confidence", """SELECT * FROM (SELECT id, category, CAST(s AS INTEGER) AS score, CAST(CASE WHEN s >= 90 THEN 1 WHEN s >= 70 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM (SELECT p_partkey AS id,
+ CASE p_partkey % 4 WHEN 0 THEN 'dead_export' WHEN 1 THEN 'stale_todo' WHEN 2 THEN 'circular_dependency' ELSE 'unused_package' END AS category,
+ CASE p_partkey % 4 WHEN 0 THEN least(100, 85 + CASE WHEN p_size % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 5 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 60 ELSE 0 END)
+  WHEN 1 THEN 60 + CASE WHEN p_size % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 10 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 20 ELSE 0 END
+  WHEN 2 THEN 100 ELSE 75 + CASE WHEN p_size % 2 = 0 THEN 15 ELSE 0 END - CASE WHEN p_size % 3 = 0 THEN 20 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 25 ELSE 0 END END AS s FROM part WHERE p_size % 13 <> 0)) WHERE tier < 3""")
+def cleanup_confidence(spark: SparkSession, d: str) -> DataFrame:
+    flags = {0: ("no_callers", "underscore", "public_doc"), 1: ("over_12_months", "over_6_months", "issue"), 2: ("none", "at", "all"), 3: ("never_imported", "peer", "scripts_only")}
+    names = [F.when(F.col("p_partkey") % 4 == k, F.array(*map(F.lit, v))) for k, v in flags.items()]
+    held = F.array_compact(F.array(*[F.when(F.col("p_size") % m == 0, F.get(F.coalesce(*names), F.lit(i))) for i, m in enumerate((2, 3, 5))]))
+    category = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'dead_export' WHEN 1 THEN 'stale_todo' WHEN 2 THEN 'circular_dependency' ELSE 'unused_package' END")
+    return V.cleanup_confidence(t(spark, d, "part").select(F.col("p_partkey").alias("id"), category.alias("category"), held.alias("flags"), (F.col("p_size") % 13 == 0).alias("safe")), "aggressive")
 
 
 @query("signal_ratio", "SELECT 100.0::DOUBLE * count(*) FILTER (p_size * 2 >= 70) / count(*) AS ratio FROM part")
@@ -511,7 +571,7 @@ def signal_ratio(spark: SparkSession, d: str) -> DataFrame:
     return V.signal_ratio(t(spark, d, "part").select(V.tier(F.col("p_size") * 2).alias("tier")))
 
 
-@query("test_coverage", sql("files", "symbols", "imports", body=f"{TOP} SELECT avg(CASE WHEN def_id IN (SELECT x.def_id FROM top x, imports i JOIN files f USING (file_id) WHERE f.file_path <> x.def_path AND starts_with(f.file_path, 'scripts') AND {CALL}) THEN 1.0 ELSE 0.0 END) AS coverage FROM top"))
+@query("test_coverage", sql("files", "symbols", "imports", body=f"{PLACED}, {TOP}, {_met('met', 'top')} SELECT avg(CASE WHEN def_id IN (SELECT def_id FROM met WHERE starts_with(file_path, 'scripts')) THEN 1.0 ELSE 0.0 END) AS coverage FROM top"))
 def test_coverage(spark: SparkSession, d: str) -> DataFrame:
     tops = C.top_definition(J.symbols(spark, d), J.files(spark, d))
     called = C.callers(tops, J.imports(spark, d), J.files(spark, d)).withColumn("file_path", F.regexp_replace("file_path", "^scripts", "test"))
@@ -529,15 +589,15 @@ def parse_sources(spark: SparkSession, d: str) -> DataFrame:
     return parsers.symbol_rows(parsers.parse_files(files))
 
 
-LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.log(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('const a = ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat('# TODO ', event_type) ELSE '// plain words' END"
-LINE_PATH = "concat(CASE WHEN user_id % 4 = 0 THEN 'src/logger' ELSE 'src/f' END, CAST(user_id AS STRING), '.ts')"
+LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.', CASE WHEN event_id % 3 = 0 THEN 'log' WHEN event_id % 3 = 1 THEN 'table' ELSE 'warn' END, '(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('please print this console.log page ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat('# TODO ', event_type) ELSE 'if (DEBUG) console.log(1)' END"
+LINE_PATH = "concat(CASE WHEN user_id % 5 = 0 THEN 'src/logger.' WHEN user_id % 5 = 1 THEN 'scripts/f' WHEN user_id % 5 = 2 THEN 'src/client' ELSE 'src/f' END, CAST(user_id AS STRING), '.ts')"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").selectExpr(f"{LINE_PATH} AS file_path", "CAST(event_id AS INT) AS line", f"{LINES} AS text", "ts AS written")
 
 
-@query("debug_leftovers", f"SELECT file_path, line FROM (SELECT {LINE_PATH} AS file_path, CAST(event_id AS INTEGER) AS line, event_id, user_id FROM events) WHERE event_id % 5 = 0 AND user_id % 4 <> 0")
+@query("debug_leftovers", f"SELECT file_path, line FROM (SELECT {LINE_PATH} AS file_path, CAST(event_id AS INTEGER) AS line, event_id, user_id FROM events) WHERE event_id % 5 = 0 AND event_id % 3 < 2 AND user_id % 5 > 1")
 def debug_leftovers(spark: SparkSession, d: str) -> DataFrame:
     return V.debug_leftovers(_lines(spark, d)).select("file_path", "line")
 
@@ -553,12 +613,17 @@ def todo_ages(spark: SparkSession, d: str) -> DataFrame:
     return V.todos(lines.select("file_path", "line", "text"), lines.select("file_path", "line", "written"), F.expr("TIMESTAMP '2025-01-10 00:00:00'")).select("file_path", "line", "tier")
 
 
-@query("recall_hints", sql("solutions", body="SELECT id, array_to_string(list_filter([CASE WHEN supersedes IS NOT NULL THEN concat('superseded by ', CAST(supersedes AS STRING)) END, CASE WHEN successes > 0 AND successes < failures THEN 'low success rate' WHEN successes = 0 AND failures > 0 THEN 'low success rate' END, CASE WHEN complexity >= 7 THEN 'complex, plan first' END], lambda x: x IS NOT NULL)[1:3], '|') AS hints FROM solutions"))
+HINT_ORDER = """list_filter([CASE WHEN rate < 0.5 THEN concat('Top solution has ', CAST(CAST(floor(rate * 100 + 0.5) AS INTEGER) AS STRING), '% success rate - verify before using.') END, CASE WHEN supersedes IS NOT NULL THEN concat('Solution superseded by ', CAST(supersedes AS STRING), ' - consider using newer version.') END,
+ CASE WHEN id % 3 = 0 THEN 'Avoid: any, eval' END, CASE WHEN id % 4 = 0 THEN 'Prerequisites: node' END, CASE WHEN complexity >= 7 THEN 'High complexity solution - consider breaking into steps.' END,
+ CASE WHEN id % 2 = 0 THEN 'Strong match. Reward it (success, partial or failure) after implementing.' ELSE 'Partial match. Adapt solution, then reward it to improve future rankings.' END, CASE WHEN id % 5 = 0 THEN 'Related errors found above - review to avoid repeating mistakes.' END], lambda x: x IS NOT NULL)"""
+
+
+@query("recall_hints", sql("solutions", body=f"SELECT id, array_to_string({HINT_ORDER}[1:3], '|') AS hints FROM (SELECT *, CASE WHEN successes + failures > 0 THEN successes / (successes + failures) ELSE 0.5 END AS rate FROM solutions)"))
 def recall_hints(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
+    texts = lambda step, *xs: F.when(F.col("id") % step == 0, F.array(*map(F.lit, xs))).otherwise(F.array().cast("array<string>"))
     rate = F.when(F.col("successes") + F.col("failures") > 0, F.col("successes") / (F.col("successes") + F.col("failures"))).otherwise(0.5)
-    rows = J.solutions(spark, d).select("id", F.lit(0.5).alias("similarity"), rate.alias("success_rate"), F.col("supersedes").alias("superseded_by"), none.alias("anti_patterns"), none.alias("prerequisites"), "complexity")
-    return M.hints(rows).select("id", F.array_join("hints", "|").alias("hints"))
+    rows = J.solutions(spark, d).select("id", F.when(F.col("id") % 2 == 0, 0.81).otherwise(0.8).alias("similarity"), rate.alias("success_rate"), F.col("supersedes").alias("superseded_by"), texts(3, "any", "eval", "goto").alias("anti_patterns"), texts(4, "node").alias("prerequisites"), "complexity")
+    return M.hints(rows, F.col("id") % 5 == 0).select("id", F.array_join("hints", "|").alias("hints"))
 
 
 @query("warnings_list", sql("warnings", body="SELECT id, target, severity FROM warnings WHERE type = 'file' AND (repo_id = 2 OR repo_id IS NULL)"))
@@ -573,3 +638,122 @@ def unused_imports(spark: SparkSession, d: str) -> DataFrame:
     names = part.selectExpr("concat('f', CAST(p_partkey AS STRING)) AS file_path", "concat('v', CAST(p_size AS STRING)) AS local_name", "'m' AS source_path", "1 AS line")
     texts = part.selectExpr("concat('f', CAST(p_partkey AS STRING)) AS file_path", "concat('import {v', CAST(p_size AS STRING), '} from m\nuse(', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'w' END, 'v', CAST(p_size AS STRING), ')') AS text")
     return V.unused_imports(names, texts).select("file_path", "local_name")
+
+
+HOOK_WARNINGS = "hw AS (SELECT * FROM warnings WHERE type = 'package' UNION ALL SELECT -1 AS id, 'package' AS type, 'lodash' AS target, 'npm' AS ecosystem, CAST(NULL AS BIGINT) AS repo_id, 'block' AS severity, 'left unmaintained' AS reason UNION ALL SELECT -2, 'package', 'requests==2.3', 'npm', CAST(NULL AS BIGINT), 'block', 'other ecosystem' UNION ALL SELECT -3, 'package', 'a', CAST(NULL AS STRING), 2, 'block', 'in repo two')"
+
+
+def _hook_warnings(spark: SparkSession, d: str) -> DataFrame:
+    more = spark.sql("SELECT * FROM VALUES (-1L, 'package', 'lodash', 'npm', CAST(NULL AS BIGINT), 'block', 'left unmaintained'), (-2L, 'package', 'requests==2.3', 'npm', CAST(NULL AS BIGINT), 'block', 'other ecosystem'), (-3L, 'package', 'a', CAST(NULL AS STRING), 2L, 'block', 'in repo two') AS w(id, type, target, ecosystem, repo_id, severity, reason)")
+    return J.warnings(spark, d).where("type = 'package'").unionByName(more)
+
+
+@query("hook_pre_bash", sql("warnings", body=f"""{HOOK_WARNINGS}, c AS (SELECT event_id, user_id % 3 AS repo_id, event_type, user_id, {J.COMMAND} AS command FROM events),
+why AS (SELECT event_id, user_id, regexp_matches(command, '(?i)git\\s+commit') AND event_type = 'purchase' AS ruled, event_id % 8 IN (3, 5) AS commits, list_filter([
+ CASE WHEN event_id % 8 = 0 AND user_id % 4 = 0 THEN '[CVE] 2 critical/high CVE(s) found' END, CASE WHEN event_id % 8 = 0 THEN '[WARNING] left unmaintained' END,
+ CASE WHEN event_id % 8 = 7 AND repo_id = 2 THEN '[WARNING] in repo two' END], lambda x: x IS NOT NULL) AS issues FROM c)
+SELECT event_id AS id, CASE WHEN ruled THEN 'deny' WHEN NOT commits AND len(issues) > 0 THEN 'ask' END AS decision,
+ CASE WHEN ruled THEN 'no purchases' WHEN commits THEN CASE WHEN event_id % 8 = 3 THEN 'Git commit: review first' ELSE 'Jj commit: review first' END WHEN len(issues) > 0 THEN array_to_string(issues, '; ') END AS reason FROM why"""))
+def hook_pre_bash(spark: SparkSession, d: str) -> DataFrame:
+    commands = t(spark, d, "events").selectExpr("event_id AS id", f"{J.COMMAND} AS command", "user_id % 3 AS repo_id")
+    advisories = t(spark, d, "events").where("user_id % 4 = 0").selectExpr("concat('pkg', CAST(user_id AS STRING)) AS package").distinct().selectExpr("package", "'npm' AS ecosystem", "explode(array('high', 'CRITICAL', 'low')) AS level")
+    rules = [{"name": "commit", "event": "bash", "pattern": "git\\s+commit.*purchase", "action": "block", "message": "no purchases", "priority": 1}]
+    return H.pre_bash(commands, rules, _hook_warnings(spark, d), advisories)
+
+
+FILE_WARNINGS = "SELECT * FROM VALUES (1L, 'file', 'src/*1.ts', CAST(NULL AS STRING), CAST(NULL AS BIGINT), 'block', 'cursed'), (2L, 'file', 'SRC/click?.ts', CAST(NULL AS STRING), 1L, 'warn', 'odd'), (3L, 'file', 'src/e*', CAST(NULL AS STRING), 2L, 'block', 'second repo') AS w(id, type, target, ecosystem, repo_id, severity, reason)"
+SENSITIVE_SQL = "CASE WHEN ends_with(path, '.env.example') THEN NULL " + " ".join(f"WHEN regexp_matches(path, '{P.any_of(ps)}') THEN '{c}'" for c, ps in P.SENSITIVE) + " END"
+
+
+@query("hook_pre_read", f"""WITH r AS (SELECT event_id AS id, {J.PATH} AS path, user_id % 3 AS repo_id FROM events),
+x AS (SELECT id, path LIKE 'db/%click' AS ruled, {SENSITIVE_SQL} AS category, path LIKE 'src/%1.ts' OR (repo_id = 1 AND path LIKE 'src/click_.ts') OR (repo_id = 2 AND path LIKE 'src/e%') AS warned FROM r)
+SELECT id, CASE WHEN ruled THEN 'deny' WHEN category IS NOT NULL OR warned THEN 'ask' END AS decision, CASE WHEN ruled THEN 'no dumps' WHEN category IS NOT NULL OR warned THEN coalesce(category, 'warning') END AS reason FROM x""")
+def hook_pre_read(spark: SparkSession, d: str) -> DataFrame:
+    reads = t(spark, d, "events").selectExpr("event_id AS id", f"{J.PATH} AS path", "user_id % 3 AS repo_id")
+    rules = [{"name": "dumps", "event": "read", "pattern": "^db/.*click$", "action": "block", "message": "no dumps", "priority": 1}]
+    return H.pre_read(reads, rules, spark.sql(FILE_WARNINGS), allowed=[".env.example"])
+
+
+@query("hook_pre_edit", f"""WITH r AS (SELECT event_id AS id, {J.PATH} AS path, user_id % 3 AS repo_id, props FROM events),
+x AS (SELECT id, contains(props, '7') AND starts_with(path, 'src/') AS ruled, list_filter([CASE WHEN repo_id = 2 AND path LIKE 'src/e%' THEN 'second repo' END, CASE WHEN path LIKE 'src/%1.ts' THEN 'cursed' END], lambda w: w IS NOT NULL) AS why FROM r)
+SELECT id, CASE WHEN ruled THEN 'deny' WHEN len(why) > 0 THEN 'ask' END AS decision, CASE WHEN ruled THEN 'no sevens' WHEN len(why) > 0 THEN array_to_string(why, '; ') END AS reason FROM x""")
+def hook_pre_edit(spark: SparkSession, d: str) -> DataFrame:
+    edits = t(spark, d, "events").selectExpr("event_id AS id", f"{J.PATH} AS path", "user_id % 3 AS repo_id", "props AS content")
+    rules = [{"name": "sevens", "event": "edit", "pattern": "^src/[^\\n]*\\n.*7", "action": "block", "message": "no sevens", "priority": 1}]
+    return H.pre_edit(edits, rules, spark.sql(FILE_WARNINGS))
+
+
+@query("hook_pre_web", "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'deny' END AS decision, CASE WHEN turn % 3 = 0 THEN 'react: hooks' END AS reason FROM conversations")
+def hook_pre_web(spark: SparkSession, d: str) -> DataFrame:
+    query_text = F.expr("CASE WHEN turn % 3 = 0 THEN 'React hooks documentation' WHEN turn % 3 = 1 THEN 'weather in may' END")
+    url = F.expr("CASE WHEN turn % 3 = 2 THEN 'https://example.org/a/b' END")
+    return H.pre_web(t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), query_text.alias("query"), url.alias("url")))
+
+
+@query("hook_permission", "SELECT event_id AS id, CASE WHEN event_type IN ('click', 'error') THEN 'allow' END AS decision, CAST(NULL AS STRING) AS reason FROM events")
+def hook_permission(spark: SparkSession, d: str) -> DataFrame:
+    tool = F.expr("CASE event_type WHEN 'click' THEN 'Read' WHEN 'error' THEN 'doctor' WHEN 'view' THEN 'WebFetch' WHEN 'signup' THEN 'Grep' ELSE 'Write' END")
+    return H.permission_request(t(spark, d, "events").select(F.col("event_id").alias("id"), tool.alias("tool")), never=["Grep"])
+
+
+@query("hook_session_start", f"SELECT root, concat('repo_', substr(sha256(CAST(root AS STRING)), 1, 8)) AS repo_id, bool_or(name = 'package.json') AS indexable FROM ({LISTING}) GROUP BY root")
+def hook_session_start(spark: SparkSession, d: str) -> DataFrame:
+    t(spark, d, "events").createOrReplaceTempView("events")
+    return H.session_start(spark.sql(LISTING))
+
+
+STORED_REPOS = "SELECT concat('id', CAST(s_suppkey AS STRING)) AS id, concat('/r/', CAST(s_suppkey AS STRING)) AS path, s_name AS name, s_nationkey AS v, TIMESTAMP '2024-01-01 00:00:00' AS at FROM supplier WHERE s_suppkey % 3 > 0"
+DETECTED_REPOS = "SELECT concat('/r/', CAST(s_suppkey AS STRING)) AS path, concat('new', s_name) AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE s_nationkey + 100 END AS v FROM supplier WHERE s_suppkey % 5 > 0"
+
+
+@query("repo_upsert", f"""SELECT coalesce(s.id, concat('repo_', substr(sha256(n.path), 1, 8))) AS id, coalesce(s.path, n.path) AS path, CASE WHEN n.path IS NOT NULL AND (s.id IS NULL OR s.v <> n.v) THEN n.name ELSE s.name END AS name,
+CASE WHEN n.path IS NOT NULL AND (s.id IS NULL OR s.v <> n.v) THEN n.v ELSE s.v END AS v, CASE WHEN n.path IS NOT NULL AND (s.id IS NULL OR s.v <> n.v) THEN {AS_OF} ELSE s.at END AS updated_at, coalesce(s.at, {AS_OF}) AS created_at FROM ({STORED_REPOS}) s FULL JOIN ({DETECTED_REPOS}) n ON s.path = n.path""")
+def repo_upsert(spark: SparkSession, d: str) -> DataFrame:
+    from fathom.sources import schemas
+
+    t(spark, d, "supplier").createOrReplaceTempView("supplier")
+    lists = lambda df: df.withColumns({c: F.array(F.col("v").cast("string")) for c in D.PRINTS})
+    stored = schemas.conform(lists(spark.sql(STORED_REPOS)).withColumn("created_at", F.col("at")).withColumn("updated_at", F.col("at")), "repos")
+    detected = lists(spark.sql(DETECTED_REPOS)).withColumn("test_framework", F.lit(None).cast("string")).withColumn("fingerprint_embedding", F.lit(None).cast("array<float>"))
+    return D.upsert_repos(stored, detected, F.expr(AS_OF)).select("id", "path", "name", F.get("languages", F.lit(0)).cast("int").alias("v"), "updated_at", "created_at")
+
+
+@query("repo_clear", sql("files", "symbols", "imports", body="SELECT (SELECT count(*) FROM files WHERE file_id % 4 <> 1) AS files, (SELECT count(*) FROM symbols WHERE file_id % 4 <> 1) AS symbols, (SELECT count(*) FROM imports WHERE file_id % 4 <> 1) AS imports"))
+def repo_clear(spark: SparkSession, d: str) -> DataFrame:
+    files = J.files(spark, d).select(F.col("file_id").alias("id"), (F.col("file_id") % 4).alias("repo_id"), "file_path")
+    left = D.clear_repo(files, J.symbols(spark, d), J.imports(spark, d), 1)
+    counts = [df.agg(F.count("*").alias(n)) for df, n in zip(left, ("files", "symbols", "imports"), strict=True)]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
+
+
+@query("meta_upsert", f"SELECT coalesce(s.key, n.key) AS key, coalesce(n.value, s.value) AS value, CASE WHEN n.key IS NOT NULL THEN {AS_OF} ELSE s.at END AS updated_at FROM (SELECT n_name AS key, 'old' AS value, TIMESTAMP '2024-01-01 00:00:00' AS at FROM nation WHERE n_nationkey % 2 = 0) s FULL JOIN (SELECT n_name AS key, CAST(n_regionkey AS STRING) AS value FROM nation WHERE n_nationkey % 3 = 0) n ON s.key = n.key")
+def meta_upsert(spark: SparkSession, d: str) -> DataFrame:
+    nation = t(spark, d, "nation")
+    stored = nation.where("n_nationkey % 2 = 0").selectExpr("n_name AS key", "'old' AS value", "TIMESTAMP '2024-01-01 00:00:00' AS updated_at")
+    new = nation.where("n_nationkey % 3 = 0").selectExpr("n_name AS key", "CAST(n_regionkey AS STRING) AS value")
+    return D.upsert_meta(stored, new.unionByName(new), F.expr(AS_OF))
+
+
+@query("index_merge", "SELECT coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN n.file_path IS NOT NULL THEN n.v ELSE o.v END AS v FROM (SELECT concat('f', CAST(page_id AS STRING)) AS file_path, page_id AS v FROM pages WHERE page_id % 4 <> 0 AND page_id % 6 <> 1) o FULL JOIN (SELECT concat('f', CAST(page_id AS STRING)) AS file_path, page_id + 1000000 AS v FROM pages WHERE page_id % 4 = 0) n ON o.file_path = n.file_path")
+def index_merge(spark: SparkSession, d: str) -> DataFrame:
+    pages = t(spark, d, "pages").selectExpr("concat('f', CAST(page_id AS STRING)) AS file_path", "page_id AS v")
+    changes = pages.selectExpr("file_path", "CASE WHEN v % 4 = 0 THEN 'modified' WHEN v % 6 = 1 THEN 'deleted' ELSE 'unchanged' END AS status")
+    return C.merge_index(pages, pages.where("v % 4 = 0").withColumn("v", F.col("v") + 1000000), changes)
+
+
+@query("ledger_clear", "SELECT event_type AS hook_name, user_id AS session_id, min(ts) AS executed_at FROM events WHERE NOT (event_type = 'click' AND user_id = 3) AND event_type <> 'view' GROUP BY 1, 2")
+def ledger_clear(spark: SparkSession, d: str) -> DataFrame:
+    marked = R.ledger_mark(t(spark, d, "events").selectExpr("event_type AS hook_name", "user_id AS session_id", "ts AS executed_at"))
+    return R.ledger_clear(R.ledger_clear(marked, "click", 3), "view")
+
+
+@query("warnings_remove", sql("warnings", body="SELECT id, target FROM warnings WHERE id % 9 <> 0"))
+def warnings_remove(spark: SparkSession, d: str) -> DataFrame:
+    return R.remove_warnings(J.warnings(spark, d), t(spark, d, "part").where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("id"))).select("id", "target")
+
+
+@query("repo_names", "SELECT DISTINCT url, CASE WHEN page_id % 2 = 0 THEN concat('app', CAST(page_id AS STRING)) ELSE concat('dir', CAST(page_id AS STRING)) END AS name, page_id FROM pages")
+def repo_names(spark: SparkSession, d: str) -> DataFrame:
+    remote = F.expr("CASE WHEN page_id % 4 = 0 THEN concat('git@host:team/app', CAST(page_id AS STRING), '.git') WHEN page_id % 2 = 0 THEN concat('https://host/team/app', CAST(page_id AS STRING)) END")
+    root = F.expr("concat('/home/dir', CAST(page_id AS STRING), CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END)")
+    return t(spark, d, "pages").select("url", D.repo_name(root, remote).alias("name"), "page_id")
