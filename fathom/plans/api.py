@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.scalar import cosine, error_signature, normalize_error
-from fathom.operators import codeindex, imports, memory, rules
-from fathom.sources import config, parsers, scan, schemas
+from fathom.operators import codeindex, hooks, imports, memory, repos, rules
+from fathom.sources import config, doctor, parsers, scan, schemas
 from fathom.sources.store import Store
 
 
@@ -38,6 +38,15 @@ class Engine:
         repos = self.store.read("repos").where("fingerprint_embedding IS NOT NULL").select(F.col("id").alias("repo_id"), F.col("fingerprint_embedding").alias("vector"))
         return memory.recall(self._solutions().withColumnRenamed("problem_embedding", "embedding"), repos, self._vector(text, vector), repo_id, limit, least, 0.7, scope, category, most_complexity)
 
+    def recall_with_hints(self, text: str | None = None, vector=None, repo_id=None, **options) -> dict[str, DataFrame]:
+        """A recall with the two most related failures and at most three hints on the best match."""
+        found = self.recall(text, vector, repo_id, **options)
+        failures = self.search_failures(text, vector, 2)
+        details = self._solutions().select("id", "anti_patterns", "prerequisites", "complexity")
+        best = found.withColumn("rank_key", F.col("similarity") * F.col("score")).orderBy(F.col("rank_key").desc(), "id").limit(1).join(details, "id", "left")
+        one = self.spark.range(1).select(F.lit(True).alias("_one")).join(best, F.lit(True), "left")
+        return {"solutions": found, "failures": failures, "hints": memory.hints(one, F.lit(not failures.isEmpty()))}
+
     def record_use(self, matches: DataFrame) -> None:
         self.store.write("solutions", memory.apply_usage(self._solutions(), memory.usage_delta(matches, F.lit(self.clock()))))
 
@@ -100,6 +109,33 @@ class Engine:
     def status(self) -> DataFrame:
         return memory.table_counts({n: self.store.read(n) for n in ("solutions", "failures", "repos")})
 
+    def status_report(self, repo_id=None) -> dict[str, DataFrame]:
+        """Counts, schema version, the tags used most, the latest solutions, and what is known of the repository."""
+        solutions = self._solutions()
+        own = self.store.read("repos")
+        return {
+            "counts": self.status(), "version": schemas.version_of(self.store.read("schema_version")), "tags": memory.top_tags(solutions),
+            "recent": memory.recent(solutions.select("id", "problem", "scope", "score", "created_at"), "created_at"),
+            "repo": (own if repo_id is None else own.where(F.col("id") == repo_id)).select("name", "languages", "frameworks", "patterns"),
+        }
+
+    def session_start(self, listing: DataFrame, version: str) -> DataFrame:
+        """Notes the version, and gives root, repo_id and indexable of each project folder (root, name)."""
+        new = self.spark.createDataFrame([("install_source", "plugin"), ("version", version)], "key string, value string")
+        self.store.write("plugin_meta", repos.upsert_meta(self.store.read("plugin_meta"), new, F.lit(self.clock())))
+        return hooks.session_start(listing)
+
+    def put_repos(self, detected: DataFrame) -> None:
+        self.store.write("repos", repos.upsert_repos(self.store.read("repos"), detected, F.lit(self.clock())))
+
+    def clear_repo(self, repo_id: str) -> None:
+        """Forgets files, symbols and imports of a repository."""
+        names = ("repo_files", "symbols", "imports")
+        for name, rows in zip(names, repos.clear_repo(*(self.store.read(n) for n in names), repo_id), strict=True):
+            if name != "repo_files":
+                self.store.write(name, rows)
+        self.store.write("repo_files", self.store.read("repo_files").where(~F.col("repo_id").eqNullSafe(F.lit(repo_id))))
+
     def warn_check(self, kind: str, target: str, repo_id=None) -> DataFrame:
         self._check(type=kind)
         probe = self.spark.createDataFrame([(target, repo_id)], "probe string, repo_id string")
@@ -116,7 +152,17 @@ class Engine:
     def warn_list(self, kind=None, repo_id=None) -> DataFrame:
         return rules.list_warnings(self.store.read("warnings"), kind, repo_id)
 
-    def doctor(self) -> DataFrame:
+    def doctor(self, settings: dict | None = None, fix: bool = False, listing: list[str] | None = None, skills: list[str] | None = None) -> dict:
+        """Twelve checks of store and configuration; with ``fix``, what can be mended is, and the checks are made again."""
+        settings = config.DEFAULTS if settings is None else settings
+        found = doctor.checks(self.store, settings, listing, skills)
+        if fix:
+            _, settings = doctor.fixed(self.store, settings, found, self.clock)
+            found = doctor.checks(self.store, settings, listing, skills)
+        return {"healthy": doctor.healthy(found), "checks": found, "config": settings}
+
+    def diagnose(self) -> DataFrame:
+        """Columns and orphaned keys of every table."""
         return schemas.diagnose({n: self.store.read(n) for n in schemas.TABLES if self.store.current(n)})
 
     # the code index
@@ -192,11 +238,20 @@ class Engine:
             out["orphaned_files"] = imports.orphans(self._files(), self._graph(prefix, aliases), self._symbols(), prefix, entry_points, limit)
         return out
 
+    def dead_code_summary(self, prefix=None, entry_points=(), aliases=()) -> DataFrame:
+        """Counts of files and symbols looked at, of dead exports and of orphans, without a limit."""
+        found = self.find_dead_code("all", prefix, entry_points, 1 << 30, aliases)
+        return imports.dead_code_summary(self._files(), self._symbols(), found["dead_exports"], found["orphaned_files"], prefix)
+
     def find_circular_deps(self, prefix=None, most_depth: int = 10) -> DataFrame:
         self._check(most_depth=most_depth)
         graph = self._graph(prefix).withColumn("repo_id", F.xxhash64("repo_id"))
         return imports.cycles_by_search(graph, most_depth)
 
+    def circular_summary(self, prefix=None, most_depth: int = 10) -> DataFrame:
+        """How many cycles and files in them, and the longest."""
+        return imports.cycle_summary(self.find_circular_deps(prefix, most_depth))
+
 
 def similar(a, b):
     """Cosine of two vector columns."""

@@ -103,6 +103,58 @@ def test_engine(spark, tmp_path):
     assert engine.warn_list().count() == 0
 
 
+def test_engine_reports_and_fixes(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), dimension=2)
+    first = engine.doctor({"permissions": {"never": ["warn_add", "warn_list", "Write"]}})
+    assert not first["healthy"] and len(first["checks"]) == 12
+    mended = engine.doctor({"permissions": {"never": ["warn_add", "warn_list", "Write"]}}, fix=True, listing=["package.json"], skills=[])
+    assert mended["healthy"] and {c["name"]: c["status"] for c in mended["checks"] if c["status"] != "pass"} == {"Code Index": "warn"}
+    assert mended["config"]["permissions"]["never"] == ["warn", "Write"] and mended["config"]["search"] == config.DEFAULTS["search"]
+    assert engine.recall_with_hints(vector=[1.0, 0.0])["hints"].first().hints == ["No matches. After solving: store it with tags for future recall."]
+    engine.remember("s1", "p", "fix", "global", vector=[1.0, 0.0], tags=["a", "b"], complexity=8)
+    engine.failure("build", "line 1", vector=[1.0, 0.0])
+    report = engine.recall_with_hints(vector=[1.0, 0.0])
+    assert report["solutions"].count() == report["failures"].count() == 1
+    assert [h[:12] for h in report["hints"].first().hints] == ["High complex", "Strong match", "Related erro"]
+    status = engine.status_report()
+    assert {r.tag for r in status["tags"].collect()} == {"a", "b"} and [r.id for r in status["recent"].collect()] == ["s1"] and status["version"].first().current == schemas.VERSION
+    listing = spark.createDataFrame([("/w/app", "package.json"), ("/w/doc", "readme.md")], "root string, name string")
+    assert {r.root: r.indexable for r in engine.session_start(listing, "2").collect()} == {"/w/app": True, "/w/doc": False}
+    engine.session_start(listing, "3")
+    assert {r.key: r.value for r in engine.store.read("plugin_meta").collect()} == {"install_source": "plugin", "version": "3"}
+    row = ("/w/app", "app", ["ts"], [], [], [], None, [1.0, 0.0])
+    detected = "path string, name string, languages array<string>, frameworks array<string>, dependencies array<string>, patterns array<string>, test_framework string, fingerprint_embedding array<float>"
+    engine.put_repos(spark.createDataFrame([row], detected))
+    known = engine.store.read("repos").first()
+    engine.put_repos(spark.createDataFrame([("/w/app", "other name", *row[2:])], detected))
+    assert engine.store.read("repos").first() == known and known.id.startswith("repo_")
+    engine.store.vacuum("repos", 1)
+    assert engine.store.read("repos").count() == 1
+
+
+def test_index_of_a_repository_can_be_cleared(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), dimension=2)
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.ts").write_text("import { b } from './b';\nexport function a() {}\n")
+        (tmp_path / name / "b.ts").write_text("import { a } from './a';\nexport function b() {}\n")
+        engine.reindex(str(tmp_path / name), name)
+    assert tuple(engine.circular_summary().first()) == (2, 2, 2)
+    engine.clear_repo("one")
+    assert tuple(engine.index_status().select("files", "symbols", "imports").first()) == (2, 2, 2)
+    assert engine.dead_code_summary().first().orphaned_files == 0
+
+
+def test_export_forms(spark, tmp_path):
+    from fathom.sources.store import export
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    for form in ("json", "csv", "parquet", "orc"):
+        export(df, str(tmp_path / form), form)
+        back = spark.read.format(form).option("header", True).load(str(tmp_path / form))
+        assert {(int(r["id"]), r["name"]) for r in back.select("id", "name").collect()} == {(1, "a"), (2, None)}
+
+
 def test_store_keeps_old_snapshot_readable(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.write("t", spark.range(3))
