@@ -69,12 +69,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, with the folder, for ``remove``. What is not removed before goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/fathom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    store_at(df, path)
     fs, place = _place(df.sparkSession, path)
     fs.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def store_at(df: DataFrame, path: str) -> None:
+    """Writes ``df`` as Parquet, over what an unfinished write may have left there."""
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

@@ -12,8 +12,8 @@ columns follow by hash. So a document whose counted columns are mostly its own d
 What meets is multiplied in two steps, never as all pairs of a group of like documents:
 
 1. in every column of the prefixes the least row meets each other row (a star). A sketch of each row, the parities of
-   its counts in 1024 bins, bounds the difference of two sets from below; pairs beyond what their sizes allow are
-   discarded. For the rest, overlaps are accumulated over column blocks, and a pair is dropped as soon as the columns
+   its counts in about as many bins as it has members, bounds the difference of two sets from below; pairs beyond what
+   their sizes allow are discarded. For the rest, overlaps are accumulated over column blocks, and a pair is dropped as soon as the columns
    left cannot lift it to its bound;
 2. links make components. Only columns that still hold rows of several components are left; there all pairs of rows of
    different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, table, text_of, whole, written
+from fathom.llm.base import map_batches, remove, table, text_of, whole, written, written_at
 from fathom.llm.graph import components
 from fathom.llm.hashing import TOP, bucket_count, deal, from_blobs, shingle_sets
 
@@ -46,7 +46,7 @@ ROWS_A_BLOCK = 1024
 COLUMN_BLOCKS = 8
 ROWS_A_BUCKET = 20_000
 PAIRS_AT_ONCE = 1 << 16
-BINS = 1024
+LEAST_BINS, MOST_BINS = 512, 1 << 14
 COUNTED_SHARE = 0.4
 COUNTED = np.uint64(int(COUNTED_SHARE * 2**64) & ~0xFFFF)  # hashes below it are of the columns that are counted and come first
 
@@ -63,8 +63,50 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """The parities of the set's counts in ``BINS`` bins: two sketches differ in no more bits than the sets in members."""
-    return np.packbits(np.bincount((found & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 1).tobytes()
+    """The parities of the set's counts in bins: two sketches differ in no more bits than the sets in members.
+
+    The number of bins is the least power of two that is not below the set's size, within limits; halves that are put
+    together by exclusive or are the sketch in half as many bins.
+    """
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << max(0, len(found) - 1).bit_length()))
+    return np.packbits(np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of eight-byte words) in ``width`` words."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+class Sketches:
+    """Sketches of many rows, which are compared in the bins that both rows of a pair have."""
+
+    def __init__(self, column: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in column], np.int64)
+        self.words = [np.frombuffer(x, "<u8") for x in column]
+        self.at: dict[int, np.ndarray] = {}
+
+    def _in(self, width: int) -> np.ndarray:
+        """The sketches of at least that width, folded to it; others are left out as zeros."""
+        if width not in self.at:
+            out = np.zeros((len(self.words), width), np.uint64)
+            for k in np.flatnonzero(self.width >= width).tolist():
+                out[k] = folded(self.words[k], width)
+            self.at[width] = out
+        return self.at[width]
+
+    def apart(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> np.ndarray:
+        """In how many bits the rows i differ from the rows j of ``other``."""
+        out = np.zeros(len(i), np.int64)
+        width = np.minimum(self.width[i], other.width[j])
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            for lo in range(0, len(own), 1 << 14):
+                part = own[lo : lo + (1 << 14)]
+                out[part] = np.bitwise_count(self._in(w)[i[part]] ^ other._in(w)[j[part]]).sum(1, dtype=np.int64)
+        return out
 
 
 def least_overlap(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,10 +114,9 @@ def least_overlap(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (m + n) // (100 + percent))
 
 
-def may_link(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches (rows of eight-byte words) leave room for a link."""
+def may_link(m: np.ndarray, n: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes m and n, and sketches that differ in ``apart`` bits, leave room for a link."""
     need = least_overlap(m, n, percent)
-    apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
     return (np.minimum(m, n) >= need) & (apart <= m + n - 2 * need)
 
 
@@ -138,16 +179,14 @@ def _stars(blobs: pa.Table) -> pa.Table:
     return pa.table({"l": pa.array(pairs[:, 0], pa.int64()), "r": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _words(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), "<u8").reshape(-1, BINS // 64)
-
-
 def _across(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         """A forest of the pairs that may link rows of different components, over all groups of a bucket."""
-        order = np.argsort(rows.column("group").to_numpy(), kind="stable")
+        # in order of nodes, so that buckets send on the same pairs where they can
+        order = np.lexsort((rows.column("first").to_numpy(), rows.column("group").to_numpy()))
         group, node, name, n, part = (rows.column(c).to_numpy()[order] for c in ("group", "first", "a", "n", "component"))
-        words = _words(rows.column("sketch"))[order]
+        raw = rows.column("sketch").to_pylist()
+        sketches = Sketches([raw[k] for k in order.tolist()])
         refuted = rows.column("refuted")
         barred = {k: set(refuted[int(order[k])].as_py()) for k in np.flatnonzero(rows.column("refuted").is_valid().to_numpy()[order]).tolist()}
         begin, size = _groups(group)
@@ -162,7 +201,10 @@ def _across(percent: int):
             held.clear()
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            good = may_link(n[i], n[j], words[i], words[j], percent)
+            need = least_overlap(n[i], n[j], percent)
+            near = np.minimum(n[i], n[j]) >= need
+            i, j = i[near], j[near]
+            good = may_link(n[i], n[j], sketches.apart(i, sketches, j), percent)
             for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
                 if label[x] != label[y] and node[y] not in barred.get(x, ()):
                     label[label == label[y]] = label[x]
@@ -248,19 +290,22 @@ class _Join:
 
         return deal(keyed, keys_of, 8 * bucket_count(keyed)).groupBy("bucket")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs (PAIR) that link: sets are made for the rows of the pairs alone."""
-        words, percent = self.words, self.percent
-        needed = written(pairs.select(F.col("lf").alias("first"), F.col("la").alias("a")).unionByName(pairs.select(F.col("rf").alias("first"), F.col("ra").alias("a"))).distinct(), "needed")
-        wanted = self.known.join(needed.hint("merge"), F.col("doc_id") == F.col("first")).select("first", "a", "text")
+    def sets_of(self, prefixes: DataFrame) -> tuple[DataFrame, str]:
+        """first, a, shingles of the rows that share a column, the only sets that can be needed; and the table's path."""
+        words = self.words
+        wanted = self.known.join(prefixes.select("first", "a").distinct().hint("merge"), F.col("doc_id") == F.col("first")).select("first", "a", "text")
 
-        def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             good = [class_key(s)[0] == a for s, a in zip(sets, batch.column(1).to_pylist(), strict=True)]  # another row may share the id
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["first", "a", "shingles"])
             return out.filter(pa.array(good, pa.bool_()))
 
-        sets = written(map_batches(wanted, sets_of, "first long, a long, shingles binary", size=1 << 20).dropDuplicates(["first", "a"]), "sets")
+        return written_at(map_batches(wanted, run, "first long, a long, shingles binary", size=1 << 20).dropDuplicates(["first", "a"]), "sets")
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b of the pairs (PAIR) that link."""
+        percent = self.percent
         left = sets.select(F.col("first").alias("lf"), F.col("a").alias("la"), F.col("shingles").alias("ls"))
         right = sets.select(F.col("first").alias("rf"), F.col("a").alias("ra"), F.col("shingles").alias("rs"))
         both = pairs.join(left.hint("merge"), ["lf", "la"]).join(right.hint("merge"), ["rf", "ra"]).select("lf", "rf", "ls", "rs")
@@ -281,21 +326,23 @@ class _Join:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             m, n = (batch.column(k).to_numpy() for k in (4, 5))
-            good = may_link(m, n, _words(batch.column(6)), _words(batch.column(7)), percent)
+            left, right = (Sketches(batch.column(k).to_pylist()) for k in (6, 7))
+            own = np.arange(len(m))
+            good = may_link(m, n, left.apart(own, right, own), percent)
             return batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
-        return written(map_batches(both, run, PAIR), "star-pairs")
+        return written(map_batches(both, run, PAIR, size=1 << 20), "star-pairs")
 
     def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None) -> DataFrame:
         """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
         those of ``refuted`` (lf, rf)."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
-        placed = written(placed, "placed")
-        mixed = written(self.dealt(placed.select("component", "keys")).applyInArrow(_shared, "owner long, key long, holders long").select(F.col("owner").alias("component"), "key"), "mixed-columns")
+        placed, path = written_at(placed, "placed")
+        mixed, path_2 = written_at(self.dealt(placed.select("component", "keys")).applyInArrow(_shared, "owner long, key long, holders long").select(F.col("owner").alias("component"), "key"), "mixed-columns")
         # columns are compared by the bits that blobs keep, as there
         met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"])
-        rows = written(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
+        rows, path_3 = written_at(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
         if refuted is None:
             rows = rows.withColumn("refuted", F.lit(None).cast("array<long>"))
         else:
@@ -311,17 +358,22 @@ class _Join:
         group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
         buckets = max(2 * bucket_count(rows), -(-(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0) // ROWS_A_BUCKET))
         dealt = rows.select("a", "first", "component", "n", "sketch", "refuted", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
-        return written(dealt.groupBy("bucket").applyInArrow(_across(percent), PAIR).distinct(), "pairs-across")
-
-    def joined(self, prefixes: DataFrame, links: DataFrame) -> DataFrame:
-        """``links`` and those that join components further, until no pair is left that might."""
-        refuted = None
+        out = written(dealt.groupBy("bucket").applyInArrow(_across(percent), PAIR).distinct(), "pairs-across")
+        for done in (path, path_2, path_3):
+            remove(out.sparkSession, done)
+        return out
+
+    def joined(self, prefixes: DataFrame) -> DataFrame:
+        """Links that make the components: of stars, and of pairs across components until none is left that might link."""
+        sets, path = self.sets_of(prefixes)
+        links, refuted = self.links(self.stars(prefixes), sets), None
         while True:
             pairs = self.across(prefixes, components(links), refuted)
-            more = self.links(pairs)
+            more = self.links(pairs, sets)
             links = links.unionByName(more)
             wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
             if wrong.isEmpty():
+                remove(wrong.sparkSession, path)
                 return links
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
 
@@ -332,7 +384,7 @@ class _Join:
 
     def result(self) -> DataFrame:
         prefixes = self.prefixes()
-        links = self.joined(prefixes, self.links(self.stars(prefixes)))
+        links = self.joined(prefixes)
         near = self.facts.select("doc_id", "n_shingles", "a", "b").join(self.classes.select("a", "b", "first").hint("merge"), ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
         of_row = written(near, "rows")
         groups = components(links.unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))

@@ -113,16 +113,20 @@ def test_products_and_sketch_bounds_against_intersections():
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
     sets = [np.unique(np.concatenate([base[rng.random(300) < rng.choice([0.9, 0.95, 0.99])], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(30)]
     sets += [np.empty(0, np.uint64), base[:1], base[:2], np.unique(base)]
+    sets += [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (700, 3000, 40_000)]
+    sets += [np.unique(np.append(x[:-20], np.uint64(7))) for x in sets[-3:]]
     i, j = np.triu_indices(len(sets), 1)
     size = np.array([len(x) for x in sets])
-    words = np.frombuffer(b"".join(map(jaccard.sketch, sets)), "<u8").reshape(len(sets), -1)
+    sketches = jaccard.Sketches(list(map(jaccard.sketch, sets)))
+    apart = sketches.apart(i, sketches, j)
+    assert all(a <= len(np.setxor1d(sets[x], sets[y])) for a, x, y in zip(apart, i, j, strict=True)) and apart.max() > 1000
     for percent in (50, 80, 90):
         want = []
         for a, b in zip(i, j, strict=True):
             inter = len(np.intersect1d(sets[a], sets[b]))
             want.append(100 * inter >= percent * (size[a] + size[b] - inter))
         assert jaccard.linked_pairs([sets[k] for k in i], [sets[k] for k in j], percent).tolist() == want
-        assert (jaccard.may_link(size[i], size[j], words[i], words[j], percent) >= np.array(want)).all()
+        assert (jaccard.may_link(size[i], size[j], apart, percent) >= np.array(want)).all()
 
 
 def components_of(texts, size, percent):
