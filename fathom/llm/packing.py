@@ -1,14 +1,15 @@
 """Hierarchical multi-length packing of tokenised documents.
 
-Each document becomes its token ids and an end id. What is as long as the longest window fills whole
-windows. The rest of it is routed to the smallest tier that holds it and opens a window there; the gap
-is filled from the pending shorter pieces, the largest that fits first, and at last by cutting one.
-The windows of all tiers have lengths that are powers of two, so a full one needs no padding; what is
-left at the end of a partition is cut into such lengths too. Sequences are dealt to step groups of
-equal token counts.
+Each document becomes its token ids and an end id. What is as long as the longest window fills whole windows. The rest
+of it is routed to the tier of the smallest window that holds it. Tiers are packed one after another, the longest first:
+a piece opens a window of its tier, and the gap is filled from the shorter tiers, the largest that fits first, and at
+last by cutting one. The windows of all tiers have lengths that are powers of two, so a full one needs no padding; what
+is left at the end of a partition is cut into such lengths too, at most one of each. Sequences are dealt to step groups
+of exactly ``step_windows`` windows' tokens, each to the fullest open group that has room; only the last groups of a
+partition, at most one open for each window length, stay below.
 
-Every partition of the input is packed alone and in order, with a bounded number of pending tokens, so
-nothing is shuffled, and a task that is run again for a lost executor gives the same rows.
+Every partition of the input is packed alone, with a bounded number of pending tokens, so nothing is shuffled, and a task
+that is run again for a lost executor gives the same rows. The order of the input is kept but for the pending pieces.
 
 Edge cases: a null or empty text is its end id alone; a null id and repeated rows are documents of their
 own; an empty table gives no rows; further columns are ignored.
@@ -193,6 +194,24 @@ class Encoder:
         key ^= key >> np.uint64(29)
         return key * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
 
+    def _distinct(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct piece, and which of them each piece is: by a 64-bit hash, checked by length, first and
+        last eight bytes, and where that fails by the bytes themselves."""
+        _, at, which = np.unique(self._hash(a, starts, ends), return_index=True, return_inverse=True)
+        padded = np.append(a, np.zeros(8, np.uint8))
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        size = ends - starts
+        own = np.minimum(size, 8)
+        mask = (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * own.astype(np.uint64)))
+        first = np.ascontiguousarray(eight[starts]).view("<u8").ravel() & mask
+        last = np.ascontiguousarray(eight[ends - own]).view("<u8").ravel() & mask
+        same = at[which]
+        if ((size == size[same]) & (first == first[same]) & (last == last[same])).all():
+            return at, which
+        raw = a.tobytes()
+        _, at, which = np.unique(np.array([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)
+        return at, which
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         lows, rows = [], []
@@ -209,7 +228,7 @@ class Encoder:
         starts, ends, letters = self._cut(a)
         if not len(starts):
             return out
-        _, at, which = np.unique(self._hash(a, starts, ends), return_index=True, return_inverse=True)
+        at, which = self._distinct(a, starts, ends)
         begin, end, plain = starts[at], ends[at], letters[at]
         size = end - begin
         raw, place = [a], np.where(plain & (size < 64), begin, -1)
@@ -282,41 +301,57 @@ class Packer:
     def __init__(self, window: int, tiers: tuple[int, ...], base: int, pending_windows: int, step_windows: int):
         self.window, self.tiers, self.base = window, sorted(tiers), base
         self.most, self.step = pending_windows * window, step_windows * window
-        self.keys: list[tuple[int, int]] = []  # (length, number) of the pending pieces
+        self.waiting: dict[int, list[tuple[int, int]]] = {t: [] for t in self.tiers}  # (length, number) of each tier's pieces, in order
         self.pieces: dict[int, tuple] = {}
-        self.pending = self.number = self.sequence = self.group_tokens = self.group = 0
+        self.pending = self.number = self.sequence = self.groups = 0
+        self.open: list[list[int]] = []  # room and number of the open step groups
         self.rows: list[tuple] = []
 
+    def _group(self, size: int) -> int:
+        """The step group of a sequence: the fullest open one that has room, or a new one."""
+        fits = [g for g in self.open if g[0] >= size]
+        if not fits:
+            fits = [[self.step, self.groups]]
+            self.open += fits
+            self.groups += 1
+        chosen = min(fits)
+        chosen[0] -= size
+        if not chosen[0]:
+            self.open.remove(chosen)
+        return self.base + chosen[1]
+
     def _emit(self, members: list[tuple], tier: int) -> None:
+        group = self._group(sum(len(m[2]) for m in members) // 4)
         offset = 0
         for doc, start, ids, total in members:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequence, offset, tier, self.base + self.group))
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequence, offset, tier, group))
             offset += n
         self.sequence += 1
-        self.group_tokens += offset
-        if self.group_tokens >= self.step:
-            self.group, self.group_tokens = self.group + 1, 0
+
+    def _tier(self, n: int) -> int:
+        return self.tiers[bisect.bisect_left(self.tiers, n)]
 
     def _push(self, piece: tuple) -> None:
         n = len(piece[2]) // 4
-        bisect.insort(self.keys, (n, self.number))
+        bisect.insort(self.waiting[self._tier(n)], (n, self.number))
         self.pieces[self.number] = piece
         self.number += 1
         self.pending += n
 
-    def _pop(self, at: int) -> tuple:
-        n, number = self.keys.pop(at)
+    def _pop(self, tier: int, at: int) -> tuple:
+        n, number = self.waiting[tier].pop(at)
         self.pending -= n
         return self.pieces.pop(number)
 
     def _fill(self, members: list[tuple], gap: int) -> None:
         while gap:
-            at = bisect.bisect_left(self.keys, (gap + 1, -1)) - 1
-            if at >= 0:
-                piece = self._pop(at)
+            fits = ((t, at) for t in reversed(self.tiers) if t < 2 * gap or t == self.tiers[0] if (at := bisect.bisect_left(self.waiting[t], (gap + 1, -1)) - 1) >= 0)
+            found = next(fits, None)
+            if found:
+                piece = self._pop(*found)
             else:
-                doc, start, ids, total = self._pop(0)
+                doc, start, ids, total = self._pop(next(t for t in self.tiers if self.waiting[t]), 0)
                 piece = (doc, start, ids[: 4 * gap], total)
                 self._push((doc, start + gap, ids[4 * gap :], total))
             members.append(piece)
@@ -333,13 +368,12 @@ class Packer:
             self._pack(self.most // 2)
 
     def _pack(self, left: int) -> None:
-        while self.pending >= max(left, self.window):
-            first = self._pop(-1)
-            n = len(first[2]) // 4
-            tier = next(t for t in self.tiers if t >= n)
-            members = [first]
-            self._fill(members, tier - n)
-            self._emit(members, tier)
+        for tier in reversed(self.tiers):
+            while self.waiting[tier] and self.pending >= max(left, self.window):
+                first = self._pop(tier, -1)
+                members = [first]
+                self._fill(members, tier - len(first[2]) // 4)
+                self._emit(members, tier)
 
     def finish(self) -> None:
         self._pack(0)

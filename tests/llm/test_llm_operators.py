@@ -610,6 +610,40 @@ def test_packing(spark, folder):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_step_groups_are_balanced_and_tiers_need_no_padding():
+    rng = random.Random(31)
+    packer = packing.Packer(4096, (512, 1024, 2048, 4096), 0, 8, 4)
+    want = {}
+    for k in range(600):
+        n = rng.choice([1, 2, 40, 300, 700, 1500, 3000, 4096, 9000])
+        want[k] = np.full(n, k, "<u4")
+        packer.add(k, want[k].tobytes())
+    packer.finish()
+    rows = packer.rows
+    groups, sequences, pieces = {}, {}, {}
+    for doc, start, n, crc, total, seq, offset, tier, group in rows:
+        sequences.setdefault(seq, []).append((offset, n, tier, group))
+        pieces.setdefault(doc, []).append((start, n))
+        assert total == len(want[doc]) and crc == zlib.crc32(np.full(n, doc, "<u4").tobytes())
+    for members in sequences.values():
+        size = sum(n for _, n, _, _ in members)
+        assert size & (size - 1) == 0 and size <= members[0][2] and len({(t, g) for _, _, t, g in members}) == 1
+        groups[members[0][3]] = groups.get(members[0][3], 0) + size
+    assert sum(size != 4 * 4096 for size in groups.values()) <= 4 and max(groups.values()) == 4 * 4096
+    for doc, found in pieces.items():
+        assert sum(n for _, n in found) == len(want[doc]) and [s for s, _ in sorted(found)] == [sum(n for _, n in sorted(found)[:k]) for k in range(len(found))]
+
+
+def test_pieces_of_equal_hashes_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, own = Tokenizer.from_file(path), packing.Encoder(path)
+    monkeypatch.setattr(own, "_hash", lambda a, starts, ends: (ends - starts).astype(np.uint64))
+    text = "several words of equal length, other words too"
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_on_odd_texts():
     from tokenizers import Tokenizer
 
