@@ -63,6 +63,7 @@ LIBRARIES = [
     ("langchain", "langchain"), ("openai", "openai"), ("anthropic", "anthropic"), ("vercel-ai", r"vercel.?ai|ai.?sdk"),
 ]
 
+# Fixed value: words that are no topic.
 TOPIC_WORDS = r"(?i)\b(docs?|documentation|api|reference|guide|tutorial|how\s+to|getting\s+started)\b"
 
 

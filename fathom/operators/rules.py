@@ -55,11 +55,13 @@ def check_warnings(probes: DataFrame, warnings: DataFrame, kind: str = "file", b
     """
     own = warnings.where(F.col("type") == kind).withColumnRenamed("repo_id", "w_repo")
     visible = F.col("w_repo").isNull() | (F.col("w_repo") == F.col("repo_id"))
-    if kind == "file":  # targets meet probes that share their letters before the first wildcard, four at most
-        stem = F.substring(F.regexp_extract(ascii_fold(F.col("target")), r"^[^*?%_]*", 0), 1, 4)
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.substring(ascii_fold(F.col("probe")), F.lit(1), n)))
-        keyed = probes.withColumn("_stem", F.explode(starts))
-        met = keyed.join(own.withColumn("_stem", stem), "_stem").where(visible & loose_like(F.col("probe"), glob_to_like(F.col("target"))))
+    if kind == "file":  # a target meets probes that hold the first three letters of its longest part without wildcards
+        part = F.array_sort(F.split(ascii_fold(F.col("target")), r"[*?%_]"), lambda a, b: F.length(b) - F.length(a))
+        gram = F.when(F.length(F.get(part, F.lit(0))) >= 3, F.substring(F.get(part, F.lit(0)), 1, 3)).otherwise("")
+        low = ascii_fold(F.col("probe"))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda k: F.substring(low, k, F.lit(3)))
+        keyed = probes.withColumn("_gram", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))))
+        met = keyed.join(own.withColumn("_gram", gram), "_gram").where(visible & loose_like(F.col("probe"), glob_to_like(F.col("target"))))
     else:
         met = probes.join(own, F.col("probe") == F.col("target")).where(visible)
     severity = F.when(F.col("severity") == "block", 3).when(F.col("severity") == "warn", 2).otherwise(1).desc() if by_severity_rank else F.col("severity").desc()

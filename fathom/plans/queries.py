@@ -248,7 +248,10 @@ def doc_queries(spark: SparkSession, d: str) -> DataFrame:
     return J.prompts(spark, d).select("conv_id", "turn", P.is_doc_query(F.col("prompt")).alias("is_doc"), F.array_join(P.libraries_in(F.col("prompt")), ",").alias("libraries"))
 
 
-@query("doc_topics")
+LIBRARIES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(prompt, {_quoted(f'(?i)\\b({p})\\b')}) THEN '{n}' END" for n, p in P.LIBRARIES) + "], lambda x: x IS NOT NULL)"
+
+
+@query("doc_topics", sql("prompts", body=f"SELECT conv_id, turn, CASE WHEN topic = '' THEN 'general usage' ELSE topic END AS topic FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(list_reduce(list_prepend(prompt, {LIBRARIES_SQL}), lambda a, n: regexp_replace(a, concat('(?i)\\b', n, '\\b'), '', 'g')), {_quoted(P.TOPIC_WORDS)}, '', 'g'), '\\s+', ' ', 'g')) AS topic FROM prompts)"))
 def doc_topics(spark: SparkSession, d: str) -> DataFrame:
     return J.prompts(spark, d).select("conv_id", "turn", P.topic_of(F.col("prompt"), P.libraries_in(F.col("prompt"))).alias("topic"))
 
@@ -578,15 +581,58 @@ def test_coverage(spark: SparkSession, d: str) -> DataFrame:
     return V.coverage(called, tops)
 
 
-@query("parse_sources")
-def parse_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Sources made of the parts' names: a class, a function and an import a file."""
+# One file a part, in five languages by turns: an import over several lines, a class of the part's name, a method and a helper.
+SOURCES = {
+    "ts": "import {\n  x,\n  y as z\n} from './base';\nexport class NAME {\n  run(): void {\n  }\n}\nfunction helper() {}\n",
+    "py": "from .base import (\n    x,\n    y as z,\n)\nclass NAME:\n    def run(self):\n        pass\ndef _helper():\n    pass\n",
+    "go": 'package p\nimport (\n  "fmt"\n  io "a/b"\n)\ntype NAME struct {\n}\nfunc (f *NAME) Run() {\n}\nfunc helper() {\n}\n',
+    "rs": "use base::{\n    x,\n    y as z,\n};\npub struct NAME {\n}\nimpl NAME {\n    pub fn run(&self) {\n    }\n}\nfn helper() {\n}\n",
+    "java": "import base.x;\nimport base.y.*;\npublic class NAME {\n    public void run() {\n    }\n    private int helper() {\n    }\n}\n",
+}
+# what each file declares and imports, by the languages' own rules: name, kind, line, exported; name, local name, path, line
+DECLARED = {
+    0: [("NAME", "class", 5, True), ("run", "method", 6, False), ("helper", "function", 9, False)],
+    1: [("NAME", "class", 5, True), ("run", "method", 6, True), ("_helper", "function", 8, False)],
+    2: [("NAME", "class", 6, True), ("Run", "method", 8, True), ("helper", "function", 10, False)],
+    3: [("NAME", "class", 5, True), ("run", "method", 8, True), ("helper", "function", 11, False)],
+    4: [("NAME", "class", 3, True), ("run", "method", 4, True), ("helper", "method", 6, False)],
+}
+IMPORTED = {
+    0: [("x", "x", "./base", 1), ("y", "z", "./base", 1)],
+    1: [("x", "x", ".base", 1), ("y", "z", ".base", 1)],
+    2: [("*", "fmt", "fmt", 3), ("*", "io", "a/b", 4)],
+    3: [("x", "x", "base::x", 1), ("y", "z", "base::y", 1)],
+    4: [("x", "x", "base.x", 1), ("*", "*", "base.y", 2)],
+}
+SOURCE_NAME = "concat('C', replace(p_name, ' ', ''))"
+SOURCE_PATH = "concat('src/p', CAST(p_partkey AS STRING), '.', CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(SOURCES)) + " END)"
+
+
+def _literals(table: dict) -> str:
+    cell = lambda v: str(v).lower() if isinstance(v, bool) else _quoted(v) if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(cell(v) for v in (k, *row)) + ")" for k, rows in table.items() for row in rows)
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    from fathom.sources import parsers
+
+    texts = F.array(*[F.lit(x) for x in SOURCES.values()])
+    content = F.replace(F.get(texts, (F.col("p_partkey") % 5).cast("int")), F.lit("NAME"), F.expr(SOURCE_NAME))
+    return parsers.parse_files(t(spark, d, "part").select(F.expr(SOURCE_PATH).alias("file_path"), content.cast("binary").alias("content")))
+
+
+@query("parse_symbols", f"SELECT {SOURCE_PATH} AS file_path, CASE WHEN s.name = 'NAME' THEN {SOURCE_NAME} ELSE s.name END AS name, kind, CAST(line AS INTEGER) AS line, exported FROM part JOIN (VALUES {_literals(DECLARED)}) s(k, name, kind, line, exported) ON p_partkey % 5 = k")
+def parse_symbols(spark: SparkSession, d: str) -> DataFrame:
+    from fathom.sources import parsers
+
+    return parsers.symbol_rows(_parsed(spark, d)).select("file_path", "name", "kind", "line", "exported")
+
+
+@query("parse_imports", f"SELECT {SOURCE_PATH} AS file_path, s.name AS imported_name, local_name, source_path, CAST(line AS INTEGER) AS line FROM part JOIN (VALUES {_literals(IMPORTED)}) s(k, name, local_name, source_path, line) ON p_partkey % 5 = k")
+def parse_imports(spark: SparkSession, d: str) -> DataFrame:
     from fathom.sources import parsers
 
-    name = F.initcap(F.regexp_replace("p_name", " ", ""))
-    text = F.concat(F.lit("import { x } from './base';\nexport class "), F.regexp_replace(name, " ", ""), F.lit(" {\n  run(): void {\n  }\n}\nfunction helper() {}\n"))
-    files = t(spark, d, "part").select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), text.cast("binary").alias("content"))
-    return parsers.symbol_rows(parsers.parse_files(files))
+    return parsers.import_rows(_parsed(spark, d)).select("file_path", "imported_name", "local_name", "source_path", "line")
 
 
 LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.', CASE WHEN event_id % 3 = 0 THEN 'log' WHEN event_id % 3 = 1 THEN 'table' ELSE 'warn' END, '(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('please print this console.log page ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat('# TODO ', event_type) ELSE 'if (DEBUG) console.log(1)' END"

@@ -181,13 +181,37 @@ def _imports(kind: str, m: re.Match, line: int) -> Iterator[dict]:
         yield _import("*" if whole else last, alias or last, path, line, namespace=whole, of_type=kind == "php")
 
 
+# A statement that goes on in the next lines, by what begins it and what ends it.
+OPEN = {
+    "script": (re.compile(r"^\s*(?:import\s+(?:type\s+)?[\w$,\s*]*|export\s+(?:type\s+)?)\{[^}]*$"), "}"),
+    "rust": (re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s[^;]*$"), ";"),
+    "php": (re.compile(r"^\s*use\s[^;]*$"), ";"),
+}
+LONGEST = 500  # lines of one statement
+
+
+def logical_lines(language: str, text: str) -> Iterator[tuple[int, str]]:
+    """Number and text of each line; an import over several lines is one, at its first."""
+    opens, end = OPEN.get("script" if RULES[language] is SCRIPT else language, (None, ""))
+    lines = text.split("\n")
+    at = 0
+    while at < len(lines):
+        first = at
+        if opens and opens.match(lines[at]):
+            while end not in lines[at] and at + 1 < min(len(lines), first + LONGEST):
+                at += 1
+            at = at if end in lines[at] else first
+        yield first + 1, lines[first] if at == first else " ".join(x.strip() if k else x.rstrip() for k, x in enumerate(lines[first : at + 1]))
+        at += 1
+
+
 def parse_lines(language: str, text: str) -> tuple[list[dict], list[dict]]:
     rules = RULES[language]
     symbols, imports = [], []
     scope: list[tuple[int, str]] = []
     hidden = False
     in_block = False
-    for number, line in enumerate(text.split("\n"), 1):
+    for number, line in logical_lines(language, text):
         bare = line.strip()
         if not bare or bare.startswith(("//", "*", "/*", "--")) or (bare.startswith("#") and language not in ("c", "cpp", "csharp", "rust")):
             continue

@@ -34,8 +34,11 @@ FRAMEWORKS = {
     "fastapi": ["fastapi"], "django": ["django"], "flask": ["flask"], "starlette": ["starlette"], "actix": ["actix-web"], "axum": ["axum"], "rocket": ["rocket"], "warp": ["warp"],
     "gin": ["github.com/gin-gonic/gin"], "echo": ["github.com/labstack/echo"], "fiber": ["github.com/gofiber/fiber"], "chi": ["github.com/go-chi/chi"],
 }
+# Test frameworks by their packages.
 TEST_FRAMEWORKS = {"jest": ["jest", "@jest/core"], "vitest": ["vitest"], "mocha": ["mocha"], "pytest": ["pytest"], "unittest": ["unittest"], "cargo-test": ["#[test]"], "go-test": ["testing"], "bun": ["bun:test"]}
+# Packages of interfaces.
 API_DEPS = ["express", "fastify", "hono", "koa", "fastapi", "flask", "django", "actix-web", "axum", "gin"]
+# Packages of command lines.
 CLI_DEPS = ["commander", "yargs", "clap", "cobra", "click", "argparse"]
 
 
