@@ -138,7 +138,10 @@ def is_doc_query(text: Column) -> Column:
 
 
 def libraries_in(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b({p})\b"), F.lit(name)) for name, p in LIBRARIES]))
+    """The libraries that a text names, in the table's order; one pass over the text finds out whether there is any."""
+    found = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b({p})\b"), F.lit(name)) for name, p in LIBRARIES]))
+    some = "|".join(f"(?:{p})" for _, p in LIBRARIES)
+    return F.when(text.rlike(rf"(?i)\b(?:{some})\b"), found).otherwise(F.array().cast("array<string>"))
 
 
 def topic_of(text: Column, libraries: Column) -> Column:

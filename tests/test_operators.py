@@ -118,3 +118,72 @@ def test_review_parts(spark):
     assert [r.local_name for r in V.unused_imports(names, texts).collect()] == ["y"]
     dates = spark.createDataFrame([("a.ts", 4, datetime(2023, 1, 1))], "file_path string, line int, written timestamp")
     assert V.todos(lines, dates, F.lit(datetime(2024, 2, 1))).first().tier == "stale"
+
+
+def test_risk_of_a_change(spark):
+    targets = spark.createDataFrame([("src/a.ts",), ("src/alone.ts",), ("test/x.test.ts",), ("src/api/u.ts",)], "target string")
+    reach = spark.createDataFrame([("src/a.ts", "b", 1), ("src/a.ts", "c", 2), ("src/a.ts", "d", 3), ("test/x.test.ts", "y.spec.ts", 1)] + [("src/api/u.ts", f"f{k}", 1) for k in range(14)], "target string, file string, degree int")
+    covered = spark.createDataFrame([("src/alone.ts",)], "target string")
+    found = {r.target: (r.points, r.risk, r.score) for r in G.risk(targets, reach, covered, G.boundaries(targets, reach)).collect()}
+    # 10 for the change, 5, 2 and 1 by degree; 30 % more uncovered, 50 % more at a boundary, 20 % less for tests alone
+    assert found == {"src/a.ts": (23.4, "medium", 4), "src/alone.ts": (10.0, "low", 2), "test/x.test.ts": (16.5, "low", 3), "src/api/u.ts": (144.0, "critical", 10)}
+
+
+def test_debug_leftovers_are_calls_of_the_console(spark):
+    rows = [("src/a.ts", "please print this page"), ("src/a.ts", "console.trace(x)"), ("src/a.ts", "console.dir(x);"), ("src/client.ts", "console.log(1)"), ("scripts/b.ts", "console.log(1)"), ("src/logger.ts", "console.log(1)"),
+            ("cli.ts", "console.table(t)"), ("src/a.ts", "console.error(e)"), ("src/a.ts", "if (DEBUG) console.log(2)"), ("src/a.ts", "if (process.env.NODE_ENV === 'development') console.debug(2)"), ("src/bin/x.ts", "console.log(1)")]
+    lines = spark.createDataFrame([(p, k, t) for k, (p, t) in enumerate(rows)], "file_path string, line int, text string")
+    assert sorted(r.line for r in V.debug_leftovers(lines).collect()) == [1, 2, 3]
+
+
+def test_rules_compile_where_they_run(spark):
+    rules = [{"name": n, "event": "bash", "pattern": p, "action": "block", "message": n} for n, p in (("java", "(?<n>x)"), ("python", "(?P<n>x)"), ("open", "("))]
+    subjects = spark.createDataFrame([(1, "an X"), (2, None)], "id int, subject string")
+    assert {r.id: (r.matched, r.blocked) for r in R.evaluate_rules(subjects, rules, "bash").collect()} == {1: (["java"], True), 2: ([], False)}
+
+
+def test_cleanup_confidence_and_modes(spark):
+    rows = [(1, "dead_export", ["no_callers"], False), (2, "dead_export", ["reexported"], False), (3, "circular_dependency", [], False), (4, "orphaned_file", ["entry_point"], True), (5, "commented_code", ["license", "doc"], False), (6, "unused_package", [], None)]
+    findings = spark.createDataFrame(rows, "id int, category string, flags array<string>, safe boolean")
+    assert {r.id: (r.score, r.tier) for r in V.cleanup_confidence(findings).collect()} == {1: (95, 1), 2: (45, 3), 3: (100, 1), 5: (0, 3), 6: (75, 2)}
+    assert {r.id for r in V.cleanup_confidence(findings, "safe").collect()} == {1, 3}
+    assert {r.id for r in V.cleanup_confidence(findings, "aggressive").collect()} == {1, 3, 6}
+
+
+def test_renamed_copies_are_equal_when_names_do_not_count(spark):
+    a = "const total = price * 2;\nif (total > 10) {\n  send(total);\n}\nreturn total;"
+    b = "const sum = cost * 3;\nif (sum > 99) {\n  post(sum);\n}\nreturn sum;"
+    lines = V.lines_of(spark.createDataFrame([("a.ts", a), ("b.ts", b)], "file_path string, text string"))
+    assert V.copied_blocks(lines).count() == 0 and [r.copies for r in V.copied_blocks(lines, loose=True).collect()] == [2]
+
+
+def test_paths_that_a_cleanup_may_touch(spark):
+    paths = ["src/a.ts", "src/index.ts", "src/api/b.ts", "x.config.ts", "gen/c.ts", "src/d.stories.ts"]
+    rows = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    assert [r.file_path for r in V.safe_paths(rows, ["gen/"]).collect()] == ["src/a.ts"]
+
+
+def test_small_texts(spark):
+    from fathom.functions import prompts as P
+    from fathom.functions.scalar import duration
+
+    rows = spark.createDataFrame([("Implement OAuth with Google across the entire codebase", 500), ("hello", 61_000), ("fix typo", 1500)], "prompt string, ms int")
+    found = rows.select(P.prompt_reasoning(F.col("prompt")).alias("why"), duration(F.col("ms")).alias("took")).collect()
+    assert [r.took for r in found] == ["500ms", "1.0m", "1.5s"] and found[1].why == "standard task" and found[2].why == "simple task" and found[0].why.startswith("implementation task")
+    assert spark.createDataFrame([("a.ts", "x")], "p string, c string").select(R.edit_subject(F.col("p"), F.col("c"))).first()[0] == "a.ts\nx"
+
+
+def test_depth_first_search_is_not_complete(spark):
+    graph = spark.createDataFrame([(1, a, b) for a, b in (("1", "2"), ("2", "1"), ("1", "3"), ("3", "2"))], "repo_id long, src string, dst string")
+    assert [list(r.cycle) for r in G.cycles_by_search(graph).collect()] == [["1", "2", "1"]]
+    assert sorted(list(r.cycle) for r in G.all_cycles(graph).collect()) == [["1", "2", "1"], ["1", "3", "2", "1"]]
+
+
+def test_warnings_that_start_with_wildcards(spark):
+    rows = [("w1", "file", "*.Env", None, None, "warn", ""), ("w2", "file", "*", None, None, "info", ""), ("w3", "file", "a?", None, None, "block", ""), ("w4", "file", "src/*/deep*.ts", None, None, "warn", "")]
+    warnings = spark.createDataFrame(rows, "id string, type string, target string, ecosystem string, repo_id string, severity string, reason string")
+    probes = spark.createDataFrame([("app/.env", None), ("ab", None), ("SRC/x/deeper.ts", None), ("", None)], "probe string, repo_id string")
+    found = {}
+    for r in R.check_warnings(probes, warnings).orderBy("place").collect():
+        found.setdefault(r.probe, []).append(r.id)
+    assert found == {"app/.env": ["w1", "w2"], "ab": ["w2", "w3"], "SRC/x/deeper.ts": ["w4", "w2"], "": ["w2"]}
