@@ -93,7 +93,11 @@ def dedup_all(spark: SparkSession, d: str) -> DataFrame:
     return M.dedup_all(t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4).select("id")
 
 
-@query("dedup_greedy")
+# a fold over the rows in order: a row stays unless one that stayed is among its earlier neighbours
+GREEDY = f"WITH near AS (SELECT a.vec_id AS id, coalesce(list(b.vec_id) FILTER (b.vec_id IS NOT NULL), []) AS earlier FROM embeddings a LEFT JOIN embeddings b ON b.vec_id < a.vec_id AND {COS.format('a.embedding', 'b.embedding')} >= 0.4 GROUP BY a.vec_id)"
+
+
+@query("dedup_greedy", f"{GREEDY} SELECT unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list(list_prepend(id, earlier) ORDER BY id)), lambda kept, row: CASE WHEN list_has_any(kept, row[2:]) THEN kept ELSE list_append(kept, row[1]) END)) AS id FROM near")
 def dedup_greedy(spark: SparkSession, d: str) -> DataFrame:
     _checkpoints(spark)
     return M.dedup_greedy(t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4).select("id")
