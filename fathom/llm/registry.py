@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathom.llm.jaccard import op3_jaccard
+from fathom.llm.jaccard import OP3_SQL, op3_jaccard
 from fathom.llm.licenses import OP1_SQL, op1_licenses
 from fathom.llm.media import op5_media
 from fathom.llm.mixing import op2_mixing
@@ -12,7 +12,7 @@ from fathom.llm.packing import op9_packing
 from fathom.llm.pii import op6_pii
 from fathom.llm.sentences import op4_sentences
 from fathom.llm.simhash import op10_simhash
-from fathom.llm.suffixes import op7_suffixes
+from fathom.llm.suffixes import OP7_SQL, op7_suffixes
 from fathom.llm.toxicity import op8_toxicity
 
 Query = Callable
@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": OP1_SQL}
+    return {"op1_licenses": OP1_SQL, "op3_jaccard": OP3_SQL, "op7_suffixes": OP7_SQL}

@@ -383,3 +383,14 @@ def op7_suffixes(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFr
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("spans", zero)).alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, place, substr(h, 2 * place + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS place FROM d)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+lost AS (SELECT doc_id, place, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50 THEN 0 ELSE 1 END AS begins FROM strings JOIN firsts USING (s) WHERE doc_id > first),
+runs AS (SELECT doc_id, min(place) AS lo, max(place) + 50 AS hi FROM (SELECT doc_id, place, sum(begins) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM lost) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b, hi FROM runs),
+kept AS (SELECT doc_id, sum(hi - b) AS gone, count(*) AS runs, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) || substr(any_value(h), 2 * max(hi) + 1) AS left_over FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
