@@ -784,6 +784,29 @@ def test_mixing_of_repeated_rows_null_ids_and_weight_zero(spark):
     assert out.columns == docs.columns and out.collect()[-1].source in ("b", None) and out.count() == len(rows)
 
 
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A few awkward texts, one of them very long, without and with further columns whose names operators use themselves."""
+    rng = random.Random(41)
+    long = "\n".join(" ".join(words(rng, 40)) + ". " for _ in range(3000)) + " 12345 a1b2c " * 2000
+    texts = [None, "", "x", *TEXTS[:4], TEXTS[-1], TEXTS[-2], TEXTS[-3], "MIT License", long, "once more: " + long[:5000], TEXTS[0], TEXTS[0]]
+    plain, more = (tmp_path_factory.mktemp(n) for n in ("plain", "more"))
+    rows = [(k, t, f"s{k % 3}") for k, t in enumerate(texts)]
+    marks = [(k, k % 2) for k in range(len(texts))]
+    names = ["h", "g", "doc", "keys", "fp", "n", "part", "label", "a", "b", "first", "component", "node", "_all", "_id", "_g", "_slot", "_block", "_copies", "slot", "block", "place", "words", "low", "media", "pcm", "extra", "strings", "email", "lang", "n_chars", "next", "edited", "copies", "text_", "doc_id_"]
+    base = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for at, df in ((plain, base), (more, base.select("*", *[F.lit("clash").alias(n) for n in names]))):
+        df.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(plain), str(more), len(texts)
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_further_columns_and_very_long_texts(spark, small, name):
+    plain, more = (sorted(map(str, queries()[name](spark, at).collect())) for at in small[:2])
+    assert plain == more and len(plain) >= small[2]
+
+
 def test_repeated_rows_and_null_ids(spark, tmp_path):
     rows = [(1, "same text here " * 9, "en", "s", 1)] * 3 + [(None, "same text here " * 9, "en", None, 1), (None, None, None, None, None), (2, "other words entirely", "en", "s", 1)]
     at = str(tmp_path)
