@@ -18,7 +18,7 @@ What meets is multiplied in two steps, never as all pairs of a group of like doc
 2. links make components. Only columns that still hold rows of several components are left; there all pairs of rows of
    different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
    columns sends on a forest, the pairs that connect its components, so rows sent grow with the rows and not with pairs.
-   The product follows; if it refutes a pair, the step is repeated without that pair, and with sixteen times as many pairs
+   The product follows; if it refutes a pair, the step is repeated without that pair, and with 64 times as many pairs
    for each two components, until it refutes none. Then no pair is left that could link two components.
 
 Copies are one row from the start, named by a 128-bit hash of the set. Nothing is collected: components are found by
@@ -337,7 +337,7 @@ class _Join:
 
         return written(map_batches(both, run, PAIR, size=1 << 20), "star-pairs")
 
-    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1) -> DataFrame:
+    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 4) -> DataFrame:
         """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
         those of ``refuted`` (lf, rf); at most ``quota`` of a bucket for each two components."""
         percent = self.percent
@@ -370,10 +370,10 @@ class _Join:
     def joined(self, prefixes: DataFrame) -> DataFrame:
         """Links that make the components: of stars, and of pairs across components until none is left that might link."""
         sets, path = self.sets_of(prefixes)
-        links, refuted, quota = self.links(self.stars(prefixes), sets), None, 1
+        links, refuted, quota = self.links(self.stars(prefixes), sets), None, 4
         while True:
             pairs = self.across(prefixes, components(links), refuted, quota)
-            quota *= 16
+            quota *= 64
             more = self.links(pairs, sets)
             links = links.unionByName(more)
             wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
