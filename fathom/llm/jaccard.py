@@ -319,7 +319,7 @@ class _Join:
             good = pa.array(linked_pairs(*sides, percent), pa.bool_())
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
-        return written(map_batches(both, verify, "a long, b long", size=4 << 20), "links")
+        return written(map_batches(both, verify, "a long, b long", size=1 << 20), "links")
 
     def stars(self, prefixes: DataFrame) -> DataFrame:
         """Pairs (PAIR) of the least and each other row of a column that sizes and sketches leave."""

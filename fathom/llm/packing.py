@@ -418,7 +418,7 @@ def pack(
         packer = Packer(window, tiers, TaskContext.get().partitionId() << 32, pending_windows, step_windows)
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in cut(batch, 4 << 20):
+            for part in cut(batch, 2 << 20):
                 for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     packer.add(doc, ids + end)
                 if (out := packer.take()) is not None:

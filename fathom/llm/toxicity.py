@@ -40,6 +40,7 @@ FOLLOWING = 26  # the symbol of any character that is neither a to z nor a lette
 NO_WORD = r"[^\p{L}\p{M}]+"
 NEAR = 24  # bytes next to a hit that are searched for a reporting word
 WINDOW = 200  # bytes of the window in which hits add up
+BATCH = 2 << 20  # bytes of text that are scored at once
 
 
 @dataclass
@@ -317,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_terms
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["term", "edits", "toxic"])
 
     tallies = {}
-    for r in map_batches(sample.select("text", F.col("toxic").cast("long")), tally, "term long, edits long, toxic long").groupBy("term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect():
+    for r in map_batches(sample.select("text", F.col("toxic").cast("long")), tally, "term long, edits long, toxic long", size=BATCH).groupBy("term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect():
         tallies[r.term, r.edits] = max(0.0, math.log((r.t + 0.5) / (toxic + 1)) - math.log((r.n - r.t + 0.5) / (clean + 1))) / 8
     for k in range(len(model.terms)):
         plain = tallies.get((k, 0), 0.5)
@@ -328,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_terms
         x = features_of(batch.column(0).to_pylist(), automaton, model)
         return pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(1, 4))], ["y", "a", "b", "c"])
 
-    pairs = map_batches(sample.select("text", F.col("toxic").cast("double").alias("y")), feature_rows, "y double, a double, b double, c double").groupBy("y", "a", "b", "c").agg(F.count("*").alias("n")).toArrow().sort_by([(k, "ascending") for k in "yabc"])
+    pairs = map_batches(sample.select("text", F.col("toxic").cast("double").alias("y")), feature_rows, "y double, a double, b double, c double", size=BATCH).groupBy("y", "a", "b", "c").agg(F.count("*").alias("n")).toArrow().sort_by([(k, "ascending") for k in "yabc"])
     data = np.array([pairs.column(k).to_numpy() for k in ("y", "a", "b", "c", "n")], float).T
     model.coefficients = logistic(np.column_stack([np.ones(len(data)), data[:, 1:4]]), data[:, 0], data[:, 4]).tolist()
     return model
@@ -359,7 +360,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         p = np.round(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 9)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), run, "doc_id long, score double, predicted int")
+    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), run, "doc_id long, score double, predicted int", size=BATCH)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -372,7 +373,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         x = features_of([t or "" for t in batch.column(at).to_pylist()], automaton, model)
         return batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < 0.5))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, size=BATCH)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
