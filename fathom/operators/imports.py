@@ -48,11 +48,11 @@ def candidates(from_path: Column, source: Column, aliases: list[tuple[str, str]]
 
 
 def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] = ()) -> DataFrame:
-    """import_id, from_path, to_path: the first candidate that is a file of the same repo; others drop out."""
+    """import_id, repo_id, from_path, source_path, to_path: the first candidate that is a file of the same repo; others drop out."""
     placed = imports.join(files.select("file_id", "repo_id", F.col("file_path").alias("from_path")), "file_id")
-    listed = placed.select("import_id", "repo_id", "from_path", F.posexplode(candidates(F.col("from_path"), F.col("source_path"), aliases)).alias("place", "file_path"))
+    listed = placed.select("import_id", "repo_id", "from_path", "source_path", F.posexplode(candidates(F.col("from_path"), F.col("source_path"), aliases)).alias("place", "file_path"))
     met = listed.join(files.select("repo_id", "file_path"), ["repo_id", "file_path"])
-    return met.groupBy("import_id", "repo_id", "from_path").agg(F.min_by("file_path", "place").alias("to_path"))
+    return met.groupBy("import_id", "repo_id", "from_path", "source_path").agg(F.min_by("file_path", "place").alias("to_path"))
 
 
 def edges(imports: DataFrame, files: DataFrame, prefix: str | None = None, aliases: list[tuple[str, str]] = ()) -> DataFrame:

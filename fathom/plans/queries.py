@@ -373,9 +373,9 @@ def _resolved(alias: bool = False) -> str:
     """Edges by SQL: each .. drops a folder of the importing file's; with ``alias``, @app/ means src/."""
     bare = "concat('src/', substr(source_path, 6))" if alias else "NULL"
     return rf"""split AS (SELECT import_id, file_path AS from_path, source_path, len(regexp_extract(source_path, '^((\.\./)*)', 1)) // 3 AS ups, string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/') AS folders FROM imports JOIN files USING (file_id)),
-meant AS (SELECT import_id, from_path, CASE WHEN starts_with(source_path, './') THEN array_to_string(list_append(folders, substr(source_path, 3)), '/') WHEN ups > 0 THEN array_to_string(list_append(folders[1 : len(folders) - ups], substr(source_path, 3 * ups + 1)), '/') WHEN starts_with(source_path, '@app/') THEN {bare} END AS stem FROM split),
-tried AS (SELECT import_id, from_path, concat(stem, e.ext) AS file_path, e.p FROM meant, (VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('.mjs', 5), ('/index.ts', 6), ('/index.tsx', 7), ('/index.js', 8), ('/index.jsx', 9), ('/index.mjs', 10)) e(ext, p) WHERE stem IS NOT NULL),
-resolved AS (SELECT import_id, from_path, arg_min(file_path, p) AS to_path FROM tried JOIN (SELECT DISTINCT file_path FROM files) USING (file_path) GROUP BY import_id, from_path),
+meant AS (SELECT import_id, from_path, source_path, CASE WHEN starts_with(source_path, './') THEN array_to_string(list_append(folders, substr(source_path, 3)), '/') WHEN ups > 0 THEN array_to_string(list_append(folders[1 : len(folders) - ups], substr(source_path, 3 * ups + 1)), '/') WHEN starts_with(source_path, '@app/') THEN {bare} END AS stem FROM split),
+tried AS (SELECT import_id, from_path, source_path, concat(stem, e.ext) AS file_path, e.p FROM meant, (VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('.mjs', 5), ('/index.ts', 6), ('/index.tsx', 7), ('/index.js', 8), ('/index.jsx', 9), ('/index.mjs', 10)) e(ext, p) WHERE stem IS NOT NULL),
+resolved AS (SELECT import_id, from_path, source_path, arg_min(file_path, p) AS to_path FROM tried JOIN (SELECT DISTINCT file_path FROM files) USING (file_path) GROUP BY import_id, from_path, source_path),
 edges AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM resolved)"""
 
 
