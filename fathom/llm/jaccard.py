@@ -18,8 +18,8 @@ What meets is multiplied in two steps, never as all pairs of a group of like doc
 2. links make components. Only columns that still hold rows of several components are left; there all pairs of rows of
    different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
    columns sends on a forest, the pairs that connect its components, so rows sent grow with the rows and not with pairs.
-   The product follows; if it refutes a pair, the step is repeated without that pair, and with 64 times as many pairs
-   for each two components, until it refutes none. Then no pair is left that could link two components.
+   The product follows; if it refutes a pair, the step is repeated without that pair, and with sixteen times as many pairs
+   for each component, until it refutes none. Then no pair is left that could link two components.
 
 Copies are one row from the start, named by a 128-bit hash of the set. Nothing is collected: components are found by
 joins of written tables, which adaptive execution can split at common rows.
@@ -192,7 +192,7 @@ def _across(percent: int, quota: int):
         begin, size = _groups(group)
         _, label = np.unique(part, return_inverse=True)
         found: list[tuple[int, int]] = []
-        sent: dict[tuple[int, int], int] = {}
+        sent: dict[int, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def test() -> None:
@@ -208,10 +208,11 @@ def _across(percent: int, quota: int):
             good = may_link(n[i], n[j], sketches.apart(i, sketches, j), percent)
             for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
                 if label[x] != label[y] and node[y] not in barred.get(x, ()):
-                    both = (label[x], label[y]) if label[x] < label[y] else (label[y], label[x])
-                    sent[both] = sent.get(both, 0) + 1
-                    if sent[both] >= quota:
-                        label[label == label[y]] = label[x]
+                    p, q = int(label[x]), int(label[y])
+                    sent[p], sent[q] = sent.get(p, 0) + 1, sent.get(q, 0) + 1
+                    if sent[p] >= quota or sent[q] >= quota:
+                        label[label == q] = p
+                        sent[p] = max(sent[p], sent[q])
                     found.append((x, y) if node[x] < node[y] else (y, x))
 
         count = 0
@@ -337,9 +338,9 @@ class _Join:
 
         return written(map_batches(both, run, PAIR, size=1 << 20), "star-pairs")
 
-    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 4) -> DataFrame:
+    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1) -> DataFrame:
         """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
-        those of ``refuted`` (lf, rf); at most ``quota`` of a bucket for each two components."""
+        those of ``refuted`` (lf, rf): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
         placed, path = written_at(placed, "placed")
@@ -370,10 +371,10 @@ class _Join:
     def joined(self, prefixes: DataFrame) -> DataFrame:
         """Links that make the components: of stars, and of pairs across components until none is left that might link."""
         sets, path = self.sets_of(prefixes)
-        links, refuted, quota = self.links(self.stars(prefixes), sets), None, 4
+        links, refuted, quota = self.links(self.stars(prefixes), sets), None, 1
         while True:
             pairs = self.across(prefixes, components(links), refuted, quota)
-            quota *= 64
+            quota *= 16
             more = self.links(pairs, sets)
             links = links.unionByName(more)
             wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
