@@ -70,8 +70,7 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, with the folder, for ``remove``. What is not removed before goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/fathom-{label}-{uuid.uuid4().hex}"
     store_at(df, path)
-    fs, place = _place(df.sparkSession, path)
-    fs.deleteOnExit(place)
+    remove_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -96,6 +95,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends."""
+    fs, place = _place(spark, path)
+    fs.deleteOnExit(place)
+
+
 def map_batches(df: DataFrame, function: Callable, schema, size: int = 8 << 20) -> DataFrame:
     """``function(pa.RecordBatch) -> pa.RecordBatch | dict | None`` over the Arrow batches of ``df``.
 

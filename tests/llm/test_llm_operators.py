@@ -46,6 +46,18 @@ def make_texts():
 TEXTS = make_texts()
 
 
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def awkward_vectors():
+    """Ties, repeated rows, a common label, nulls, components that are not finite, vectors of other lengths, a null id."""
+    rng = random.Random(5)
+    rows = [(k, [rng.randint(-3, 9) / 16 for _ in range(8)], 1 if k % 3 else rng.randrange(10)) for k in range(0, 400, 2)]
+    rows += [rows[3], rows[3], rows[50], rows[50], (None, [0.5] * 8, 1), (None, [0.4] * 8, 2)]
+    rows += [(1001, [0.5] * 7 + [None], 1), (1003, [0.5] * 7 + [float("nan")], 1), (1005, [float("inf")] * 8, 1), (1007, None, 1), (1009, [0.5] * 8, None), (1050, None, 2)]
+    return rows + [(1100, [0.3] * 5, 1), (1101, [0.9] * 12, 1), (1102, [0.6] * 3, 2), (1150, [], 3), (1103, [], 3), (-50, [0.25] * 8, 1), (-7, [0.2] * 8, 9)]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
@@ -53,6 +65,7 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
     marks = [(k, 1, int(k % 2)) for k in range(40)]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(awkward_vectors(), VECTORS).repartition(3).write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -61,6 +74,7 @@ def empty(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -801,7 +815,7 @@ def small(spark, tmp_path_factory):
     return str(plain), str(more), len(texts)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(set(queries()) - {"op13_negatives"}))
 def test_further_columns_and_very_long_texts(spark, small, name):
     plain, more = (sorted(map(str, queries()[name](spark, at).collect())) for at in small[:2])
     assert plain == more and len(plain) >= small[2]
@@ -813,6 +827,8 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     for name, q in queries().items():
+        if name == "op13_negatives":
+            continue
         got = q(spark, at).collect()
         assert len(got) >= 6, name
         assert {r.doc_id for r in got} == {1, 2, None}, name
