@@ -70,8 +70,8 @@ def callers(definitions: DataFrame, imports: DataFrame, files: DataFrame) -> Dat
     return met.groupBy("def_id", "file_path", "line").agg(first)
 
 
-def dead_exports(symbols: DataFrame, imports: DataFrame, files: DataFrame, entry: Column | None = None, limit: int = 100) -> DataFrame:
-    """Exported symbols without a caller, in files that are no entry points: two anti-joins.
+def dead_exports(symbols: DataFrame, imports: DataFrame, files: DataFrame, entry: Column | None = None, limit: int | None = 100) -> DataFrame:
+    """Exported symbols without a caller, in files that are no entry points: two anti-joins. Without a limit, all of them.
 
     A file that imports a name counts for all definitions of the name but its own; so a name with one importing
     file is alive everywhere but there. Only (name, smallest and largest importing file) is joined.
@@ -85,7 +85,7 @@ def dead_exports(symbols: DataFrame, imports: DataFrame, files: DataFrame, entry
     left = rows.withColumn("base", base_name(F.col("file_path"))).alias("s")
     left = left.join(names.alias("n"), (F.col("s.name") == F.col("n.name")) & elsewhere("n"), "left_anti")
     left = left.join(whole.alias("w"), (F.col("s.base") == F.col("w.base")) & elsewhere("w"), "left_anti")
-    return left.orderBy("file_path", "line", "symbol_id").limit(limit)
+    return left if limit is None else left.orderBy("file_path", "line", "symbol_id").limit(limit)
 
 
 def index_status(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def pre_bash(commands: DataFrame, rules: list[dict], warnings: DataFrame, adviso
     visible = (F.col("w_repo").isNull() | (F.col("w_repo") == F.col("repo_id"))) & (F.col("w_ecosystem").isNull() | (F.col("w_ecosystem") == F.col("ecosystem")))
     warned = open_rows.join(own, "package").where(visible).select("id", "place", F.lit(1).alias("kind"), F.concat(F.lit("[WARNING] "), F.col("why")).alias("issue"))
     issues = known.unionByName(warned).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "issue"))), lambda x: x["issue"]), "; ").alias("issues"))
-    review = F.concat(F.initcap("vcs"), F.lit(" commit: review first"))
+    review = F.concat(F.when(F.col("vcs") == "jj", F.lit("Jujutsu")).otherwise(F.initcap("vcs")), F.lit(" commit: review first"))
     return rows.join(issues, "id", "left").select(
         "id", F.when(F.col("blocked"), "deny").when(F.col("issues").isNotNull(), "ask").alias("decision"),
         F.when(F.col("blocked"), F.col("block_message")).when(F.col("vcs").isNotNull(), review).otherwise(F.col("issues")).alias("reason"),

@@ -63,13 +63,14 @@ def edges(imports: DataFrame, files: DataFrame, prefix: str | None = None, alias
     return own.select("repo_id", F.col("from_path").alias("src"), F.col("to_path").alias("dst")).distinct()
 
 
-def orphans(files: DataFrame, graph: DataFrame, symbols: DataFrame, prefix: str | None = None, globs: list[str] = (), limit: int = 100) -> DataFrame:
-    """Files that nothing imports and that are no entry points, with their symbols and exports."""
+def orphans(files: DataFrame, graph: DataFrame, symbols: DataFrame, prefix: str | None = None, globs: list[str] = (), limit: int | None = 100) -> DataFrame:
+    """Files that nothing imports and that are no entry points, with their symbols and exports; all of them without a limit."""
     own = files if prefix is None else files.where(F.col("file_path").startswith(prefix))
     own = own.where(~is_entry(F.col("file_path"), globs))
     free = own.join(graph.select("repo_id", F.col("dst").alias("file_path")).distinct(), ["repo_id", "file_path"], "left_anti")
     counts = symbols.groupBy("file_id").agg(F.count("*").alias("symbols"), F.count_if("exported").alias("exports"))
-    return free.join(counts, "file_id", "left").select("file_path", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("exports", F.lit(0)).alias("exports")).orderBy("file_path").limit(limit)
+    counted = free.join(counts, "file_id", "left").select("repo_id", "file_path", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("exports", F.lit(0)).alias("exports"))
+    return counted if limit is None else counted.orderBy("file_path").limit(limit)
 
 
 def dead_code_summary(files: DataFrame, symbols: DataFrame, dead: DataFrame, orphaned: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -80,11 +81,16 @@ def dead_code_summary(files: DataFrame, symbols: DataFrame, dead: DataFrame, orp
 
 
 def cycles_by_search(graph: DataFrame, most_depth: int = 10) -> DataFrame:
-    """Cycles that one depth-first search finds, in the order of names: repo_id, cycle (closed), length.
+    """Cycles that a depth-first search of each strongly connected component finds, from its least file and in the order of
+    names: repo_id, cycle (closed), length.
 
-    A search in order is sequential, so each repo's graph is one group; nodes deeper than ``most_depth`` from the
-    root of the search are cut off.
+    Components come first, by joins: no edge between them is on a cycle, and files on no cycle never reach a worker. A
+    search in order is sequential, so each component is one group; files deeper than ``most_depth`` from its root are
+    cut off. Every component of several files within that depth has a cycle in the result.
     """
+    from fathom.operators.graphs import inner_edges, strong_components
+
+    inner = inner_edges(graph.select("repo_id", "src", "dst").distinct(), strong_components(graph))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
@@ -117,7 +123,7 @@ def cycles_by_search(graph: DataFrame, most_depth: int = 10) -> DataFrame:
                     todo.append(iter(near[following]))
         return pd.DataFrame({"repo_id": part["repo_id"].iloc[0], "cycle": list(found.values()), "length": [len(k) for k in found]})
 
-    return graph.groupBy("repo_id").applyInPandas(run, "repo_id long, cycle array<string>, length int")
+    return inner.groupBy("repo_id", "component").applyInPandas(run, "repo_id long, cycle array<string>, length int")
 
 
 def all_cycles(graph: DataFrame, most_length: int = 10) -> DataFrame:

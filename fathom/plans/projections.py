@@ -19,17 +19,25 @@ ERRORS = [("event_id", "seq"), ("ts", "ts"), ("CASE WHEN event_id % 3 = 0 THEN '
 # A file for each supplier; every 25th is a folder's index and every 25th, one further, a script.
 STEM = "CASE WHEN {k} % 25 = 0 THEN concat('src/m', CAST({k} % 5 AS STRING), '/d', CAST({k} AS STRING)) WHEN {k} % 25 = 1 THEN concat('scripts/f', CAST({k} AS STRING)) ELSE concat('src/m', CAST({k} % 5 AS STRING), '/f', CAST({k} AS STRING)) END"
 FILE_PATH = "concat({stem}, CASE WHEN {k} % 25 = 0 THEN '/index.ts' ELSE '.ts' END)".replace("{stem}", STEM)
-FILES = [("s_suppkey", "file_id"), ("CAST(1 AS BIGINT)", "repo_id"), (FILE_PATH.format(k="s_suppkey"), "file_path"), ("s_nationkey", "mtime")]
+FILES = [("s_suppkey", "file_id"), ("CAST(floor(s_suppkey / 25.0) AS BIGINT) % 4 + 1", "repo_id"), (FILE_PATH.format(k="s_suppkey"), "file_path"), ("s_nationkey", "mtime")]
 NAME = "concat(replace({p}name, ' ', '_'), CASE WHEN {p}partkey % 3 < 2 THEN CAST(CAST(floor({p}partkey / 40.0) AS BIGINT) AS STRING) ELSE '' END)"
 SYMBOLS = [("p_partkey", "symbol_id"), ("CAST(floor(p_partkey / 20.0) AS BIGINT)", "file_id"), (NAME.format(p="p_"), "name"), ("p_type", "kind"), ("p_size % 2 = 1", "exported"), ("p_size", "line"), ("p_brand", "scope")]
 # Every line item is an import: of another file of the supplier's block of five (a circle and its chords), or of a file of
-# the next block; some by an alias, some of a package, some with an extension that no file has.
-TARGET = "CASE WHEN l.l_linenumber % 3 = 0 AND l.l_suppkey % 25 = 3 THEN l.l_suppkey + 5 ELSE l.l_suppkey - l.l_suppkey % 5 + (l.l_suppkey + 1 + l.l_partkey % 2) % 5 END"
+# the next block; some by an alias, some of a package, some with an extension that no file has. No import is of a file
+# whose number leaves 17 by 25, nor of the name of a part whose number leaves 5 by 8; whole files are imported of every fourth.
+MEANT = "CASE WHEN l.l_linenumber % 3 = 0 AND l.l_suppkey % 25 = 3 THEN l.l_suppkey + 5 ELSE l.l_suppkey - l.l_suppkey % 5 + (l.l_suppkey + 1 + l.l_partkey % 2) % 5 END"
+TARGET = f"{MEANT} + CASE WHEN ({MEANT}) % 25 = 17 THEN 1 ELSE 0 END"
 UP = "CASE WHEN x.l_suppkey % 25 = 0 THEN '../../../' WHEN x.l_suppkey % 25 = 1 THEN '../' ELSE '../../' END"
 SOURCE = f"concat(CASE WHEN x.l_orderkey % 6 = 0 THEN 'lodash' WHEN x.l_orderkey % 6 = 1 AND x.to_file % 25 <> 1 THEN concat('@app', substr({STEM.format(k='x.to_file')}, 4)) WHEN x.l_suppkey % 25 > 1 AND x.to_file % 25 > 1 AND x.l_suppkey % 5 = x.to_file % 5 THEN concat('./f', CAST(x.to_file AS STRING)) ELSE concat({UP}, {STEM.format(k='x.to_file')}) END, CASE WHEN x.l_orderkey % 11 = 0 THEN '.js' ELSE '' END)"
-IMPORTS = [("x.l_orderkey * 10 + x.l_linenumber", "import_id"), ("x.l_suppkey", "file_id"), (NAME.format(p="p_"), "imported_name"), ("concat('l_', CAST(x.l_partkey % 30 AS STRING))", "local_name"), (SOURCE, "source_path"),
-           ("x.l_linenumber = 1 AND x.l_partkey % 9 = 0", "is_default"), ("x.l_linenumber = 2 AND x.l_partkey % 9 = 0", "is_namespace"), ("x.l_linenumber", "line")]
+IMPORTS = [("x.l_orderkey * 10 + x.l_linenumber", "import_id"), ("x.l_suppkey", "file_id"), (f"CASE WHEN p_partkey % 8 = 5 THEN '*' ELSE {NAME.format(p='p_')} END", "imported_name"), ("concat('l_', CAST(x.l_partkey % 30 AS STRING))", "local_name"), (SOURCE, "source_path"),
+           ("x.l_linenumber = 1 AND x.l_partkey % 9 = 0 AND x.to_file % 4 = 1", "is_default"), ("x.l_linenumber = 2 AND x.l_partkey % 9 = 0 AND x.to_file % 4 = 1", "is_namespace"), ("x.l_linenumber", "line")]
 IMPORTS_INNER = f"SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_partkey, {TARGET} AS to_file, p.p_name, p.p_partkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"
+# Every line item is a line of code too: dynamic imports of one file in fifty, re-exports, names in quotes, decorators, tags.
+CODE = """CASE WHEN l.l_linenumber = 1 AND l.l_orderkey % 3 = 0 THEN concat('const m = await import("../m', CAST((l.l_suppkey - l.l_suppkey % 50 + 17) % 5 AS STRING), '/f', CAST(l.l_suppkey - l.l_suppkey % 50 + 17 AS STRING), '")')
+ WHEN l.l_linenumber = 2 THEN concat('const r = require("./f', CAST(l.l_suppkey - l.l_suppkey % 50 + 18 AS STRING), '.js")') WHEN l.l_linenumber = 3 THEN concat('export * from "./f', CAST(l.l_suppkey - l.l_suppkey % 75 + 20 AS STRING), '";')
+ WHEN l.l_linenumber = 4 AND p.p_partkey % 3 = 0 THEN concat('container.resolve("', {name}, '")') WHEN l.l_linenumber = 5 AND l.l_suppkey % 30 = 2 THEN '@Injectable()' WHEN l.l_linenumber = 6 AND l.l_suppkey % 40 = 3 THEN '/** @public */'
+ ELSE concat('total += f(', {name}, ');') END""".replace("{name}", NAME.format(p="p.p_"))
+LINES = [("f.repo_id", "repo_id"), ("f.file_path", "file_path"), ("l.l_orderkey * 10 + l.l_linenumber", "line"), (CODE, "text")]
 WARNINGS = [("p_partkey", "id"), ("CASE WHEN p_partkey % 5 = 0 THEN 'package' ELSE 'file' END", "type"), ("CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '-') WHEN p_partkey % 2 = 0 THEN concat(substr(p_name, 1, 4), '*') ELSE p_name END", "target"),
             ("CASE WHEN p_partkey % 10 = 0 THEN 'npm' END", "ecosystem"), ("CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 4 END", "repo_id"), ("CASE WHEN p_size % 3 = 0 THEN 'block' WHEN p_size % 3 = 1 THEN 'warn' ELSE 'info' END", "severity"), ("p_brand", "reason")]
 COMMAND = "CASE WHEN event_id % 8 = 0 THEN concat('npm install -D pkg', CAST(user_id AS STRING), '@5.0.', CAST(event_id % 9 AS STRING), ' @scope/', event_type, '@^1.2 lodash') WHEN event_id % 8 = 1 THEN concat('pip install requests==2.', CAST(event_id % 7 AS STRING)) WHEN event_id % 8 = 2 THEN 'npm i lodash@latest' WHEN event_id % 8 = 3 THEN concat('git commit -m \"', event_type, '\"') WHEN event_id % 8 = 4 THEN concat('cargo add --dev c', CAST(user_id AS STRING)) WHEN event_id % 8 = 5 THEN '  jj describe' WHEN event_id % 8 = 6 THEN 'sudo npm i x' ELSE 'bun add a b@1' END"
@@ -76,6 +84,11 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.alias("x").selectExpr(*exprs(IMPORTS))
 
 
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = t(spark, sf_dir, "lineitem").alias("l").join(t(spark, sf_dir, "part").alias("p"), F.expr("l.l_partkey = p.p_partkey"))
+    return lines.join(files(spark, sf_dir).alias("f"), F.expr("l.l_suppkey = f.file_id")).selectExpr(*exprs(LINES))
+
+
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").selectExpr(*exprs(WARNINGS))
 
@@ -96,6 +109,7 @@ CTES = {
     "files": _cte("files", FILES, "supplier"),
     "symbols": _cte("symbols", SYMBOLS, "part"),
     "imports": _cte("imports", IMPORTS, f"({IMPORTS_INNER}) x"),
+    "lines": _cte("code_lines", LINES, "lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN files f ON l.l_suppkey = f.file_id"),
     "warnings": _cte("warnings", WARNINGS, "part"),
     "prompts": f"prompts AS (SELECT c.conv_id, c.turn, {PROMPT} AS prompt FROM conversations c)",
 }

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from fathom.functions import prompts as P
 from fathom.functions import scalar as S
 from fathom.operators import codeindex as C
+from fathom.operators import graphs as N
 from fathom.operators import hooks as H
 from fathom.operators import imports as G
 from fathom.operators import memory as M
+from fathom.operators import references as E
 from fathom.operators import repos as D
 from fathom.operators import review as V
+from fathom.operators import rewards as W
 from fathom.operators import rules as R
+from fathom.operators import similar as Y
 from fathom.plans import projections as J
 from fathom.plans.projections import sql, t
 from fathom.sources import scan as X
@@ -122,7 +126,7 @@ FOLD = "list_reduce(list_prepend(0.5::DOUBLE, list(CASE outcome WHEN 'success' T
 
 @query("reward_fold", sql("usage", body=f"SELECT solution_id, {R4.format(FOLD)} AS score, count(*) FILTER (outcome = 'success') AS successes, count(*) FILTER (outcome = 'partial') AS partials, count(*) FILTER (outcome = 'failure') AS failures FROM usage_log GROUP BY solution_id"))
 def reward_fold(spark: SparkSession, d: str) -> DataFrame:
-    return M.reward_state(J.usage(spark, d)).withColumn("score", q4("score"))
+    return W.reward_state(J.usage(spark, d)).withColumn("score", q4("score"))
 
 
 @query("usage_counters", sql("solutions", body="SELECT s.id, s.successes + coalesce(u.n, 0) AS uses, u.last AS last_used_at FROM solutions s LEFT JOIN (SELECT user_id AS id, CAST(count(*) AS BIGINT) AS n, max(ts) AS last FROM events GROUP BY user_id) u ON u.id = s.id"))
@@ -357,11 +361,11 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 ENTRY_SQL = "regexp_matches({}, " + _quoted("|".join(f"(?:{p})" for p in G.ENTRY_POINTS)) + ")"
 EXPORTED = f"exported AS (SELECT symbol_id AS def_id, name, file_path AS def_path, line, {BASE} AS base FROM symbols JOIN files USING (file_id) WHERE exported AND NOT {ENTRY_SQL.format('file_path')})"
 DEAD_CTES = f"{PLACED}, {EXPORTED}, {_met('called', 'exported')}"
-DEAD = "SELECT def_id AS symbol_id, name, def_path AS file_path, line FROM exported WHERE def_id NOT IN (SELECT def_id FROM called) ORDER BY def_path, line, def_id LIMIT 100"
+DEAD = "SELECT def_id AS symbol_id, name, def_path AS file_path, line FROM exported WHERE def_id NOT IN (SELECT def_id FROM called)"
 
 
 def _dead(spark: SparkSession, d: str) -> DataFrame:
-    return C.dead_exports(J.symbols(spark, d), J.imports(spark, d), J.files(spark, d), G.is_entry(F.col("file_path")))
+    return C.dead_exports(J.symbols(spark, d), J.imports(spark, d), J.files(spark, d), G.is_entry(F.col("file_path")), None)
 
 
 @query("dead_exports", sql("files", "symbols", "imports", body=f"{DEAD_CTES} {DEAD}"))
@@ -396,18 +400,60 @@ def import_edges_aliased(spark: SparkSession, d: str) -> DataFrame:
     return G.edges(J.imports(spark, d), J.files(spark, d), aliases=[("@app/*", "src/*")]).select("src", "dst")
 
 
-ORPHANS = f"SELECT f.file_path, coalesce(n, 0) AS symbols, coalesce(x, 0) AS exports FROM files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (exported) AS x FROM symbols GROUP BY file_id) s USING (file_id) WHERE NOT {ENTRY_SQL.format('f.file_path')} AND f.file_path NOT IN (SELECT dst FROM edges) ORDER BY f.file_path LIMIT 100"
+ORPHANS = f"SELECT f.file_path, coalesce(n, 0) AS symbols, coalesce(x, 0) AS exports FROM files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (exported) AS x FROM symbols GROUP BY file_id) s USING (file_id) WHERE NOT {ENTRY_SQL.format('f.file_path')} AND f.file_path NOT IN (SELECT dst FROM edges)"
 
 
 @query("orphaned_files", sql("files", "symbols", "imports", body=f"{RESOLVED} {ORPHANS}"))
 def orphaned_files(spark: SparkSession, d: str) -> DataFrame:
-    return G.orphans(J.files(spark, d), _edges(spark, d), J.symbols(spark, d))
+    return G.orphans(J.files(spark, d), _edges(spark, d), J.symbols(spark, d), limit=None).drop("repo_id")
+
+
+BY_REGEX = "SELECT repo_id, file_path, '{0}' AS kind, {2} AS key FROM (SELECT repo_id, file_path, unnest(regexp_extract_all(text, '{1}', 1)) AS x FROM code_lines)"
+KEY = "CASE WHEN contains({x}, '/') AND regexp_replace({x}, '.*/', '') = 'index' THEN regexp_extract({x}, '([^/]*)/index$', 1) ELSE regexp_replace({x}, '.*/', '') END"
+SOURCE_KEY = KEY.replace("{x}", r"regexp_replace(x, '\.(ts|tsx|js|jsx|mjs)$', '')")
+KINDS = [("dynamic", E.DYNAMIC, SOURCE_KEY), ("reexport", E.REEXPORT, SOURCE_KEY), ("string", E.STRING, "x"), ("decorator", E.DECORATOR, "x"), ("tag", E.TAG, "x")]
+POSTED = "posted AS (" + " UNION ALL ".join(BY_REGEX.format(kind, pattern.replace("'", "''"), key) for kind, pattern, key in KINDS) + ")"
+
+
+@query("reference_postings", sql("files", "lines", body=f"{POSTED} SELECT repo_id, kind, key, min(file_path) AS lo, max(file_path) AS hi FROM posted GROUP BY repo_id, kind, key"))
+def reference_postings(spark: SparkSession, d: str) -> DataFrame:
+    return E.postings(J.code_lines(spark, d))
+
+
+OWN_KEY = KEY.replace("{x}", r"regexp_replace(c.file_path, '\.(ts|tsx|js|jsx|mjs)$', '')")
+_IN_ANY = "EXISTS (SELECT 1 FROM posted q WHERE q.repo_id = c.repo_id AND q.kind = '{}' AND {})"
+FLAGS_SQL = {
+    "dynamic_import": _IN_ANY.format("dynamic", "q.key = c.own AND q.file_path <> c.file_path"), "reexported": _IN_ANY.format("reexport", "q.key = c.own AND q.file_path <> c.file_path"), "string_named": _IN_ANY.format("string", "q.key = c.name"),
+    "decorated": _IN_ANY.format("decorator", "q.file_path = c.file_path AND q.key = 'Injectable'"), "public_doc": _IN_ANY.format("tag", "q.file_path = c.file_path"),
+}
+EVIDENCE = "evidence AS (SELECT c.*, " + ", ".join(f"{x} AS {k}" for k, x in FLAGS_SQL.items()) + f" FROM (SELECT *, {OWN_KEY} AS own FROM found c) c)"
+FOUND = f"dead AS ({DEAD}), lone AS ({ORPHANS}), found AS (SELECT repo_id, 'dead_export' AS category, d.file_path, d.name, symbol_id AS id, 1 AS exports FROM dead d JOIN files f USING (file_path) UNION ALL SELECT repo_id, 'orphaned_file', o.file_path, NULL, file_id, exports FROM lone o JOIN files f USING (file_path))"
+UNUSED = f"{RESOLVED}, {DEAD_CTES}, {FOUND}, {POSTED}, {EVIDENCE}"
+
+
+def _unused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Dead exports and orphaned files of all repositories, with the ids of symbols and of files."""
+    files = J.files(spark, d)
+    dead = _dead(spark, d).select("repo_id", "file_path", "name", F.col("symbol_id").alias("id"))
+    lone = G.orphans(files, _edges(spark, d), J.symbols(spark, d), limit=None).join(files.select("file_path", F.col("file_id").alias("id")), "file_path")
+    return dead, lone.select("repo_id", "file_path", "exports", "id")
+
+
+@query("dead_code_evidence", sql("files", "symbols", "imports", "lines", body=f"{UNUSED} SELECT id, name, file_path, dynamic_import, reexported, string_named, decorated, public_doc FROM evidence WHERE category = 'dead_export'"))
+def dead_code_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return E.evidence(_unused(spark, d)[0], J.code_lines(spark, d)).select("id", "name", "file_path", "dynamic_import", "reexported", "string_named", "decorated", "public_doc")
+
+
+@query("dead_code_confidence", sql("files", "symbols", "imports", "lines", body=f"""{UNUSED}, points AS (SELECT id, category, CAST(CASE WHEN category = 'dead_export' THEN greatest(0, 95 - CASE WHEN reexported THEN 40 ELSE 0 END - CASE WHEN public_doc THEN 60 ELSE 0 END) ELSE 80 + CASE WHEN exports = 0 THEN 10 ELSE 0 END - CASE WHEN dynamic_import OR reexported THEN 40 ELSE 0 END END AS INTEGER) AS score FROM evidence
+WHERE NOT (decorated OR (category = 'dead_export' AND (dynamic_import OR string_named)))) SELECT id, category, score, CAST(CASE WHEN score >= 90 THEN 1 WHEN score >= 70 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM points"""))
+def dead_code_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return V.cleanup_confidence(E.dead_code(*_unused(spark, d), J.code_lines(spark, d)))
 
 
 @query("dead_code_summary", sql("files", "symbols", "imports", body=f"{RESOLVED}, {DEAD_CTES} SELECT (SELECT count(*) FROM files WHERE lower(file_path) LIKE 'src/%') AS files_analyzed, (SELECT count(*) FROM symbols WHERE exported) AS symbols_analyzed, (SELECT count(*) FROM ({DEAD})) AS dead_exports, (SELECT count(*) FROM ({ORPHANS})) AS orphaned_files"))
 def dead_code_summary(spark: SparkSession, d: str) -> DataFrame:
     files, symbols = J.files(spark, d), J.symbols(spark, d)
-    return G.dead_code_summary(files, symbols, _dead(spark, d), G.orphans(files, _edges(spark, d), symbols), "src/")
+    return G.dead_code_summary(files, symbols, _dead(spark, d), G.orphans(files, _edges(spark, d), symbols, limit=None), "src/")
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
@@ -435,8 +481,19 @@ def cycle_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.cycle_summary(G.all_cycles(_graph(spark, d)))
 
 
+# two files are of one component where each reaches the other
+COMPONENTS = f"{RESOLVED}, reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM reach JOIN edges ON b = src), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
+
+
+@query("strong_components", _recursive(sql("files", "imports", body=f"{COMPONENTS} SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT node, least(node, coalesce((SELECT min(r.b) FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a WHERE r.a = node), node)) AS component FROM nodes)")))
+def strong_components(spark: SparkSession, d: str) -> DataFrame:
+    _checkpoints(spark)
+    return N.strong_components(_graph(spark, d)).select("node", "component", "size")
+
+
 @query("circular_deps")
 def circular_deps(spark: SparkSession, d: str) -> DataFrame:
+    _checkpoints(spark)
     return G.cycles_by_search(_edges(spark, d)).select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
@@ -525,16 +582,18 @@ def fingerprint_text(spark: SparkSession, d: str) -> DataFrame:
 LISTING = "SELECT user_id AS root, CASE WHEN event_id % 5 = 0 THEN 'package.json' WHEN event_id % 5 = 1 THEN concat('app', CAST(user_id AS STRING), '.csproj') WHEN event_id % 5 = 2 THEN 'deno.json' WHEN event_id % 5 = 3 THEN 'Makefile' ELSE 'readme.md' END AS name FROM events"
 
 
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(LISTING.replace("FROM events", "FROM {events}"), events=t(spark, d, "events"))
+
+
 @query("project_types", f"SELECT root, CASE WHEN name = 'package.json' THEN 'TypeScript/JavaScript' WHEN name = 'deno.json' THEN 'Deno' WHEN name = 'Makefile' THEN 'C/C++' ELSE 'C#' END AS project, bool_or(name <> 'deno.json') AS indexable FROM ({LISTING}) WHERE name <> 'readme.md' GROUP BY 1, 2")
 def project_types(spark: SparkSession, d: str) -> DataFrame:
-    t(spark, d, "events").createOrReplaceTempView("events")
-    return X.project_types(spark.sql(LISTING))
+    return X.project_types(_listing(spark, d))
 
 
 @query("session_indexable", f"SELECT root, bool_or(name = 'package.json') AS indexable FROM ({LISTING}) GROUP BY root")
 def session_indexable(spark: SparkSession, d: str) -> DataFrame:
-    t(spark, d, "events").createOrReplaceTempView("events")
-    return X.session_indexable(spark.sql(LISTING))
+    return X.session_indexable(_listing(spark, d))
 
 
 @query("unused_packages", sql("imports", body="SELECT name FROM (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'lodash' ELSE concat('pkg', CAST(user_id % 20 AS STRING)) END AS name FROM events) WHERE name NOT IN (SELECT source_path FROM imports) AND name NOT IN ('pkg1', 'pkg2')"))
@@ -549,6 +608,16 @@ def copied_blocks(spark: SparkSession, d: str) -> DataFrame:
     return V.copied_blocks(V.lines_of(texts), 3).select("digest", "copies")
 
 
+@query("similar_blocks")
+def similar_blocks(spark: SparkSession, d: str) -> DataFrame:
+    _checkpoints(spark)
+    return Y.similar_blocks(_doc_lines(spark, d), 3).select("a", "b", "similarity", "a_first", "b_first")
+
+
+def _doc_lines(spark: SparkSession, d: str) -> DataFrame:
+    return V.lines_of(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text"))
+
+
 FINDING_PATH = "CASE WHEN p_partkey % 7 = 0 THEN concat('src/api/f', CAST(p_partkey AS STRING), '.ts') WHEN p_partkey % 7 = 1 THEN concat('tests/f', CAST(p_partkey AS STRING), '.ts') WHEN p_partkey % 7 = 2 THEN concat('src/f', CAST(p_partkey AS STRING), '.spec.ts') WHEN p_partkey % 7 = 3 THEN concat('src/apis/f', CAST(p_partkey AS STRING), '.ts') ELSE concat('src/f', CAST(p_partkey AS STRING), '.ts') END"
 
 
@@ -639,7 +708,7 @@ def parse_imports(spark: SparkSession, d: str) -> DataFrame:
     return parsers.import_rows(_parsed(spark, d)).select("file_path", "imported_name", "local_name", "source_path", "line")
 
 
-LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.', CASE WHEN event_id % 3 = 0 THEN 'log' WHEN event_id % 3 = 1 THEN 'table' ELSE 'warn' END, '(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('please print this console.log page ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat('# TODO ', event_type) ELSE 'if (DEBUG) console.log(1)' END"
+LINES = "CASE WHEN event_id % 5 = 0 THEN concat('  console.', CASE WHEN event_id % 3 = 0 THEN 'log' WHEN event_id % 3 = 1 THEN 'table' ELSE 'warn' END, '(', event_type, ');') WHEN event_id % 5 = 1 THEN concat('// if (', event_type, ') { go(); }') WHEN event_id % 5 = 2 THEN concat('please print this console.log page ', CAST(user_id AS STRING)) WHEN event_id % 5 = 3 THEN concat(CASE WHEN event_id % 2 = 0 THEN '# TODO ' ELSE '# TEMPORARY: ' END, event_type) ELSE 'if (DEBUG) console.log(1)' END"
 LINE_PATH = "concat(CASE WHEN user_id % 5 = 0 THEN 'src/logger.' WHEN user_id % 5 = 1 THEN 'scripts/f' WHEN user_id % 5 = 2 THEN 'src/client' ELSE 'src/f' END, CAST(user_id AS STRING), '.ts')"
 
 
@@ -663,9 +732,9 @@ def todo_ages(spark: SparkSession, d: str) -> DataFrame:
     return V.todos(lines.select("file_path", "line", "text"), lines.select("file_path", "line", "written"), F.expr("TIMESTAMP '2025-01-10 00:00:00'")).select("file_path", "line", "tier")
 
 
-HINT_ORDER = """list_filter([CASE WHEN rate < 0.5 THEN concat('Top solution has ', CAST(CAST(floor(rate * 100 + 0.5) AS INTEGER) AS STRING), '% success rate - verify before using.') END, CASE WHEN supersedes IS NOT NULL THEN concat('Solution superseded by ', CAST(supersedes AS STRING), ' - consider using newer version.') END,
- CASE WHEN id % 3 = 0 THEN 'Avoid: any, eval' END, CASE WHEN id % 4 = 0 THEN 'Prerequisites: node' END, CASE WHEN complexity >= 7 THEN 'High complexity solution - consider breaking into steps.' END,
- CASE WHEN id % 2 = 0 THEN 'Strong match. Reward it (success, partial or failure) after implementing.' ELSE 'Partial match. Adapt solution, then reward it to improve future rankings.' END, CASE WHEN id % 5 = 0 THEN 'Related errors found above - review to avoid repeating mistakes.' END], lambda x: x IS NOT NULL)"""
+HINT_ORDER = """list_filter([CASE WHEN rate < 0.5 THEN concat('Only ', CAST(CAST(floor(rate * 100 + 0.5) AS INTEGER) AS STRING), '% of its uses succeeded, so check it first.') END, CASE WHEN supersedes IS NOT NULL THEN concat('Solution ', CAST(supersedes AS STRING), ' replaces it.') END,
+ CASE WHEN id % 3 = 0 THEN 'Do not use: any, eval' END, CASE WHEN id % 4 = 0 THEN 'It needs: node' END, CASE WHEN complexity >= 7 THEN 'It is complex: take it in small steps.' END,
+ CASE WHEN id % 2 = 0 THEN 'Close match: apply it and report the outcome.' ELSE 'Loose match: adapt it and report the outcome.' END, CASE WHEN id % 5 = 0 THEN 'Known errors are listed with it: look at them before you start.' END], lambda x: x IS NOT NULL)"""
 
 
 @query("recall_hints", sql("solutions", body=f"SELECT id, array_to_string({HINT_ORDER}[1:3], '|') AS hints FROM (SELECT *, CASE WHEN successes + failures > 0 THEN successes / (successes + failures) ELSE 0.5 END AS rate FROM solutions)"))
@@ -703,7 +772,7 @@ why AS (SELECT event_id, user_id, regexp_matches(command, '(?i)git\\s+commit') A
  CASE WHEN event_id % 8 = 0 AND user_id % 4 = 0 THEN '[CVE] 2 critical/high CVE(s) found' END, CASE WHEN event_id % 8 = 0 THEN '[WARNING] left unmaintained' END,
  CASE WHEN event_id % 8 = 7 AND repo_id = 2 THEN '[WARNING] in repo two' END], lambda x: x IS NOT NULL) AS issues FROM c)
 SELECT event_id AS id, CASE WHEN ruled THEN 'deny' WHEN NOT commits AND len(issues) > 0 THEN 'ask' END AS decision,
- CASE WHEN ruled THEN 'no purchases' WHEN commits THEN CASE WHEN event_id % 8 = 3 THEN 'Git commit: review first' ELSE 'Jj commit: review first' END WHEN len(issues) > 0 THEN array_to_string(issues, '; ') END AS reason FROM why"""))
+ CASE WHEN ruled THEN 'no purchases' WHEN commits THEN CASE WHEN event_id % 8 = 3 THEN 'Git commit: review first' ELSE 'Jujutsu commit: review first' END WHEN len(issues) > 0 THEN array_to_string(issues, '; ') END AS reason FROM why"""))
 def hook_pre_bash(spark: SparkSession, d: str) -> DataFrame:
     commands = t(spark, d, "events").selectExpr("event_id AS id", f"{J.COMMAND} AS command", "user_id % 3 AS repo_id")
     advisories = t(spark, d, "events").where("user_id % 4 = 0").selectExpr("concat('pkg', CAST(user_id AS STRING)) AS package").distinct().selectExpr("package", "'npm' AS ecosystem", "explode(array('high', 'CRITICAL', 'low')) AS level")
@@ -748,8 +817,7 @@ def hook_permission(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hook_session_start", f"SELECT root, concat('repo_', substr(sha256(CAST(root AS STRING)), 1, 8)) AS repo_id, bool_or(name = 'package.json') AS indexable FROM ({LISTING}) GROUP BY root")
 def hook_session_start(spark: SparkSession, d: str) -> DataFrame:
-    t(spark, d, "events").createOrReplaceTempView("events")
-    return H.session_start(spark.sql(LISTING))
+    return H.session_start(_listing(spark, d))
 
 
 STORED_REPOS = "SELECT concat('id', CAST(s_suppkey AS STRING)) AS id, concat('/r/', CAST(s_suppkey AS STRING)) AS path, s_name AS name, s_nationkey AS v, TIMESTAMP '2024-01-01 00:00:00' AS at FROM supplier WHERE s_suppkey % 3 > 0"
@@ -761,10 +829,10 @@ CASE WHEN n.path IS NOT NULL AND (s.id IS NULL OR s.v <> n.v) THEN n.v ELSE s.v
 def repo_upsert(spark: SparkSession, d: str) -> DataFrame:
     from fathom.sources import schemas
 
-    t(spark, d, "supplier").createOrReplaceTempView("supplier")
+    of = lambda text: spark.sql(text.replace("FROM supplier", "FROM {supplier}"), supplier=t(spark, d, "supplier"))
     lists = lambda df: df.withColumns({c: F.array(F.col("v").cast("string")) for c in D.PRINTS})
-    stored = schemas.conform(lists(spark.sql(STORED_REPOS)).withColumn("created_at", F.col("at")).withColumn("updated_at", F.col("at")), "repos")
-    detected = lists(spark.sql(DETECTED_REPOS)).withColumn("test_framework", F.lit(None).cast("string")).withColumn("fingerprint_embedding", F.lit(None).cast("array<float>"))
+    stored = schemas.conform(lists(of(STORED_REPOS)).withColumn("created_at", F.col("at")).withColumn("updated_at", F.col("at")), "repos")
+    detected = lists(of(DETECTED_REPOS)).withColumn("test_framework", F.lit(None).cast("string")).withColumn("fingerprint_embedding", F.lit(None).cast("array<float>"))
     return D.upsert_repos(stored, detected, F.expr(AS_OF)).select("id", "path", "name", F.get("languages", F.lit(0)).cast("int").alias("v"), "updated_at", "created_at")
 
 
