@@ -839,16 +839,30 @@ def test_license_blocks_against_all_pairs(spark):
     vocabulary = [f"w{k}" for k in range(25)]
     templates = []
     for k in range(8):
-        own = rng.sample(vocabulary, rng.randint(3, 9))
-        templates.append((f"t{k}", " ".join(own[: rng.randint(1, 2)]), " ".join(own)))
+        own = rng.sample(vocabulary, rng.randint(3, 8))
+        templates.append((f"t{k}", rng.choice([" ", ";"]).join(own[: rng.randint(1, 2)]), " ".join(own)))
     texts = [rng.choice([" ", "\n", ", "]).join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(150)]
+    texts += [" ".join(rng.choices(vocabulary, k=20) + t[2].split() + rng.choices(vocabulary, k=9)) for t in templates for _ in range(4)]
+    some = 0
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("label", F.lit("clash"))
     got = {r.doc_id: r.labels for r in licenses.scan(docs, templates, 0.7, span=8).collect()}
     for i, t in enumerate(texts):
         ws = re.findall(r"w\d+", t)
-        blocks = [set(ws[k : k + 16]) for k in range(0, max(1, len(ws) - 8), 8)] if ws else []
-        want = {label for label, telling, x in templates for b in blocks if set(telling.split()) <= b and len(set(x.split()) & b) >= 0.7 * len(set(x.split())) - 1e-9}
+        blocks, want = [ws[k : k + 16] for k in range(0, max(1, len(ws) - 8), 8)] if ws else [], set()
+        for label, telling, x in templates:
+            own, n = set(x.split()), len(x.split())
+            for w in (b[k : k + 2 * n] for b in blocks for k in range(0, max(1, -(-len(b) // n) * n - n), n)):
+                if len(own & set(w)) >= 0.7 * n - 1e-9 and all(f" {p} " in f" {' '.join(w)} " for p in telling.split(";")):
+                    want.add(label)
         assert got[i] == ",".join(sorted(want)), t
+        some += len(want)
+    assert some > 20
+
+
+def test_templates_longer_than_the_span_are_refused():
+    for telling, text in (("mit", "mit " * 9), ("", "mit"), ("x", "mit")):
+        with pytest.raises(ValueError):
+            licenses.prepared([("t", telling, text)], 8)
 
 
 def test_license_notices_in_the_wild(spark):
@@ -862,6 +876,8 @@ def test_license_notices_in_the_wild(spark):
     cases = [
         (gpl, "gpl,gpl-3.0"), (filler + "\n" + mit + "\n" + filler, "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"), ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"),
         ("Released under the Apache License.", "apache"), ("Released under the BSD License.", ""), ("Released under the MIT License.", "mit"), ("licensed under the GNU General Public License", "gpl"), (filler, ""),
+        ("she was released under the license of mit hospital", ""), ("he studied at MIT and got the driver license under the new rules released in May", ""),
+        ("This work is licensed under the GNU General Public License, version 2. " + filler[:100] + " In 3 of the cases", "gpl"), ("This work, licensed under the GNU General Public License (version 3)", "gpl,gpl-3.0"),
     ]
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == [want for _, want in cases]
