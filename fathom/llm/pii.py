@@ -5,13 +5,14 @@ and no stack, and checked by digit counts, number ranges and Luhn sums.
 
 The method on top: seed entities (base matches, and strings of 32 or more hexadecimal digits, which are themselves
 reported as secrets) induce lexical patterns: the two words before them, the one word before them, and the words on both
-sides. A graph joins patterns with the instances (distinct strings with a digit) that they surround. In each round a
+sides. A pattern needs a telling word: one that of all its places in the corpus stands next to a string with a digit in at
+least a share of ``TELLING``, as words that stand anywhere (in, of, the) tell nothing. A graph joins patterns with the instances (distinct strings with a digit) that they surround. In each round a
 pattern scores the share of its instances that are trusted, times a damping for few instances; it is accepted at a score
 of ``confidence`` with ``support`` trusted instances. Trusted are the seeds, and from then on all that an accepted pattern
 surrounds, so that identifiers found by one pattern induce the next. Rounds go on until none adds a pattern. Every string
 with a digit that an accepted pattern surrounds gets the kind ``id``.
 
-One pass over the texts writes what it finds to a narrow table; patterns and instances are counted before they
+One pass over the texts writes what it finds to a narrow table, a second one counts their words; patterns and instances are counted before they
 are joined, so a pattern that a third of all rows shares is one row for each distinct instance. Accepted patterns are
 a written table, so that adaptive execution can split the rows of a common one in the joins.
 
@@ -150,7 +151,22 @@ def occurrences(found: DataFrame) -> DataFrame:
     return cut.where(F.char_length("core") >= 5).select("doc_id", "h", at.alias("start"), (at + F.char_length("core")).alias("end"), F.col("core").alias("value"), "patterns", (F.col("base") | secret).alias("seed"), secret.alias("secret"))
 
 
-CONFIDENCE, SUPPORT = 0.4, 3
+CONFIDENCE, SUPPORT, TELLING = 0.4, 3, 0.05
+
+
+def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """word, total: how often each word stands in the texts, written as in patterns."""
+    words = F.split(F.regexp_replace(F.lower(text_of(text_column)), "[0-9]+", "#"), r"\s+")
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+
+
+def telling_patterns(seen: DataFrame, spread: DataFrame, totals: DataFrame, support: int = SUPPORT, telling: float = TELLING) -> DataFrame:
+    """Patterns of ``support`` instances or more with a telling word. ``seen`` has a row of patterns for each string, ``spread`` one for each of them."""
+    words = lambda p: F.array_remove(F.split(p, " "), "_")
+    near = seen.select(F.explode(F.array_distinct(F.flatten(F.transform("patterns", words)))).alias("word")).groupBy("word").agg(F.count("*").alias("near"))
+    told = near.join(totals, "word").where(F.col("near") >= telling * F.col("total")).select("word")
+    frequent = spread.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support).select("pattern")
+    return frequent.withColumn("word", F.explode(words(F.col("pattern")))).join(told, "word", "left_semi").select("pattern").distinct()
 
 
 def score_patterns(seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -171,19 +187,21 @@ def score_patterns(seen: DataFrame, confidence: float = CONFIDENCE, support: int
         trusted = written(seeds.unionByName(reached).distinct(), "pii-trusted")
 
 
-def discover(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """Spans beyond the base ones: doc_id, h, extra (an array of kind, start, end)."""
+def discover(found: DataFrame, docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """Spans beyond the base ones: doc_id, h, extra (an array of kind, start, end). ``found`` is what ``found_in`` gives for ``docs``."""
     seen = written(occurrences(found), "pii-seen")
     spread = seen.select("doc_id", "h", "start", "end", "value", "seed", "secret", F.explode("patterns").alias("pattern"))
+    telling = written(telling_patterns(seen, spread, word_counts(docs), support), "pii-telling")
+    spread = spread.join(telling.hint("merge"), "pattern", "left_semi")
     patterns = score_patterns(spread.select("pattern", "value", "seed"), confidence, support)
     met = spread.where(~F.col("secret")).join(patterns.hint("merge"), "pattern").select("doc_id", "h", F.lit("id").alias("kind"), "start", "end")
     hits = met.unionByName(seen.where("secret").select("doc_id", "h", F.lit("secret").alias("kind"), "start", "end")).distinct()
     return hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
 
 
-def with_extra(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def with_extra(found: DataFrame, docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """``found`` with the column extra, in order of start, without spans that overlap base ones."""
-    more = written(discover(found, confidence, support), "pii-extra")
+    more = written(discover(found, docs, confidence, support), "pii-extra")
     joined = found.drop("strings").join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
     base = F.concat(*KINDS)
     free = F.filter(F.coalesce("extra", F.array().cast(EXTRA)), lambda x: ~F.exists(base, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
@@ -199,7 +217,8 @@ def _of_kind(kind: str):
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_extra(found_in(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    rows = with_extra(found_in(docs), docs)
     base = F.concat(*[F.transform(k, _listed(k)) for k in KINDS])
     own = {k: F.filter("extra", _of_kind(k)) for k in METHOD}
     every = F.concat(base, *[F.transform(own[k], _listed(k)) for k in METHOD])
@@ -209,7 +228,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets; n_chars, if there, follows."""
-    found = with_extra(found_in(docs))
+    found = with_extra(found_in(docs), docs)
     tagged = F.concat(*[F.transform(k, _tagged(k)) for k in KINDS], *[F.transform(F.filter("extra", _of_kind(k)), _tagged(k)) for k in METHOD])
     marks = found.select("doc_id", "h", F.array_sort(tagged).alias("marks")).where(F.size("marks") > 0).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), F.col("marks").alias("_marks"))
     own = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), text_of().alias("_text"))

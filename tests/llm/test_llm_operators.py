@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -371,11 +372,15 @@ def bootstrapped(texts, confidence=0.4, support=3):
             secret = not seed and re.fullmatch("[0-9a-fA-F]{32,}", core) is not None
             own.append((at, at + len(core), core, patterns, seed or secret, secret))
         around.append((own, base))
+    plain = [re.sub("[0-9]+", "#", t.lower()).split() for t in texts]
+    total, near = Counter(w for ws in plain for w in ws), Counter(w for own, _ in around for _, _, _, patterns, _, _ in own for w in {w for p in patterns for w in p.split()} - {"_"})
+    telling = {w for w in near if near[w] >= 0.05 * total[w]}
     graph, seeds = {}, {core for own, _ in around for _, _, core, _, seed, _ in own if seed}
     for own, _ in around:
         for _, _, core, patterns, _, _ in own:
             for p in patterns:
-                graph.setdefault(p, set()).add(core)
+                if telling & set(p.split()):
+                    graph.setdefault(p, set()).add(core)
     trusted, accepted = seeds, set()
     while True:
         now = {p for p, v in graph.items() if len(v & trusted) >= support and round(len(v & trusted) / len(v) * (1 - 1 / (1 + len(v))), 9) >= confidence}
@@ -428,7 +433,7 @@ def make_identifiers():
 def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     cases = make_identifiers()
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
-    got = {r.doc_id: {t for t in (cases[r.doc_id][0][e.start : e.end] for e in r.extra)} for r in pii.with_extra(pii.found_in(docs)).collect()}
+    got = {r.doc_id: {t for t in (cases[r.doc_id][0][e.start : e.end] for e in r.extra)} for r in pii.with_extra(pii.found_in(docs), docs).collect()}
     planted = [(k, x) for k, (_, xs) in enumerate(cases) for x in xs]
     assert sum(x in got[k] for k, x in planted) >= 0.9 * len(planted)  # recall, over three steps of bootstrapping
     assert not any(got[k] for k, (_, xs) in enumerate(cases) if not xs)
@@ -436,6 +441,18 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in enumerate(want)}
 
 
+def test_words_that_stand_anywhere_tell_nothing(spark):
+    """Cards and numbers that are none between the same function words; and account numbers behind a word that tells them."""
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choices(["in", "the", "of", "and", *words(rng, 4)], k=300))
+    cards = [f"{filler()} in 4111 1111 1111 1111 the {filler()}" for _ in range(3)] + [f"{filler()} in {c} the {filler()}" for c in ("4111111111111111", "5500005555555559", "4012888888881881", "340000000000009")]
+    none = [f"{filler()} in {c} the {filler()}" for c in ("4111111111111112", "5500005555555558", "4012888888881882")]
+    known = [f"{filler()} cardno {c} and {filler()}" for c in ("4111111111111111", "5500005555555559", "4012888888881881")]
+    docs = spark.createDataFrame(list(enumerate([*cards, *none, *known, f"{filler()} cardno 99123-X and {filler()}"])), "doc_id long, text string")
+    got = {r.doc_id: [e.kind for e in r.extra] for r in pii.with_extra(pii.found_in(docs), docs).collect()}
+    assert {k: v for k, v in got.items() if v} == {13: ["id"]}
+
+
 def test_pii_redacts_secrets_and_discovered_identifiers(spark):
     secret = "0a" * 20
     seeds = [(k, f"text {k} user contact: a{k}@b.example and more") for k in range(20)]
