@@ -1,7 +1,8 @@
 """Symbols and imports of source files: Python by its own parser, the other languages by tables of line patterns.
 
-The line patterns cover declarations that start on a line of their own and single import statements; they are
-approximations, without scopes of nested blocks beyond the enclosing type.
+A lexer first blanks comments and strings of several lines and joins declarations and imports that go on in further lines.
+The patterns cover declarations that start on a line of their own; they are approximations, without scopes of nested
+blocks beyond the enclosing type.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.sources.lexer import code_of, head_end
 from fathom.sources.scan import EXTENSION_LANGUAGE
 
 SYMBOL = "struct<name:string,kind:string,line:int,column:int,exported:boolean,scope:string>"
@@ -64,6 +66,7 @@ SCRIPT = Rules(
     [
         ("es", r"^\s*(?:import|export)\s+(?P<type>type\s+)?(?P<what>[\w$*{][^'\"]*?)\s+from\s+['\"](?P<path>[^'\"]+)['\"]"),
         ("bare", r"^\s*import\s+['\"](?P<path>[^'\"]+)['\"]"),
+        ("require", r"^\s*(?:export\s+)?(?:(?:const|let|var)\s+(?P<what>[\w$]+|\{[^}]*\})\s*(?::[^=]+)?=\s*)?require\(\s*['\"](?P<path>[^'\"]+)['\"]\s*\)"),
         ("es", r"^\s*export\s+(?P<type>)(?P<what>\*)\s+from\s+['\"](?P<path>[^'\"]+)['\"]"),
     ],
     lambda m: "export" in (m.groupdict().get("vis") or ""),
@@ -106,7 +109,7 @@ RUBY = Rules(
 )
 PHP = Rules(
     [("namespace", r"^\s*namespace\s+(?P<name>[\w\\]+)"), ("class", rf"^\s*{MODS}(?:class|trait)\s+{NAME}"), ("interface", rf"^\s*{MODS}interface\s+{NAME}"), ("enum", rf"^\s*{MODS}enum\s+{NAME}"), ("method", rf"^\s+{MODS}function\s+&?{NAME}"), ("function", rf"^\s*function\s+&?{NAME}"), ("const", rf"^\s*(?P<vis>(?:public\s+|private\s+|protected\s+|final\s+)*)const\s+{NAME}"), ("property", rf"^\s+(?P<vis>(?:public|private|protected|var)\s+(?:static\s+|readonly\s+)*)(?:\??[\w\\|]+\s+)?\$(?P<name>\w+)")],
-    [("php", r"^\s*use\s+(?:function\s+|const\s+)?(?P<path>[\w\\]+)(?:\s+as\s+(?P<alias>\w+))?\s*;")],
+    [("php", r"^use\s+(?:function\s+|const\s+)?(?P<path>[^;()]+);")],
     lambda m: not re.search(r"\b(private|protected)\b", m.groupdict().get("vis") or "") ,
 )
 C_TYPE = r"(?P<vis>(?:(?:static|extern|inline|const|unsigned|signed|struct|enum|union|volatile|virtual|constexpr|explicit|friend)\s+)*)"
@@ -137,6 +140,26 @@ def _import(name, local, path, line, default=False, namespace=False, of_type=Fal
     return {"imported_name": name, "local_name": local, "source_path": path, "is_default": default, "is_namespace": namespace, "is_type": of_type, "line": line}
 
 
+def use_tree(text: str, separator: str) -> Iterator[tuple[str, str | None]]:
+    """(full path, alias) of each leaf of a tree such as ``a::{b::{c, d as e}, self}``; ``self`` is the branch itself."""
+    prefixes, at = [""], 0
+    for m in re.finditer(r"[^{},]+|[{},]", text):
+        part = m.group()
+        if part == "{":
+            at += 1
+        elif part == "}":
+            prefixes.pop()
+            at -= 1
+        elif part != "," and (part := " ".join(part.split())):
+            name, _, local = part.partition(" as ")
+            if text[m.end() : m.end() + 1] == "{":
+                prefixes.append(prefixes[-1] + name.strip())
+            elif name.strip() == "self" and at:
+                yield prefixes[-1].removesuffix(separator), local.strip() or None
+            else:
+                yield prefixes[-1] + name.strip(), local.strip() or None
+
+
 def _imports(kind: str, m: re.Match, line: int) -> Iterator[dict]:
     g = m.groupdict()
     path, alias = g["path"].strip(), (g.get("alias") or "").strip() or None
@@ -159,15 +182,22 @@ def _imports(kind: str, m: re.Match, line: int) -> Iterator[dict]:
                 yield _import(name.strip(), (local or name).strip(), path, line, of_type=typed or own)
     elif kind == "bare":
         yield _import("*", "*", path, line)
+    elif kind == "require":
+        what = g["what"]
+        if what is None or not what.startswith("{"):
+            yield _import("*", what or "*", path, line, namespace=what is not None)
+            return
+        for part in filter(None, (x.strip() for x in what.strip("{} ").split(","))):
+            name, _, local = part.partition(":")
+            yield _import(name.split("=")[0].strip().removeprefix("..."), (local or name).split("=")[0].strip().removeprefix("..."), path, line)
     elif kind == "rust":
-        prefix, _, tree = path.partition("{")
-        for part in (tree.rstrip("}").split(",") if tree else [path]):
-            part = part.strip()
-            if part:
-                full = (prefix if tree else "") + part
-                name, _, local = full.partition(" as ")
-                end = name.strip().split("::")[-1]
-                yield _import(end, (local or end).strip(), name.strip(), line, namespace=end == "*")
+        for name, local in use_tree(path, "::"):
+            end = name.split("::")[-1]
+            yield _import(end, local or end, name, line, namespace=end == "*")
+    elif kind == "php":
+        for name, local in use_tree(re.sub(r"\b(?:function|const)\s+", "", path), "\\"):
+            last = name.split("\\")[-1]
+            yield _import(local or last, local or last, name.lstrip("\\"), line, of_type=True)
     elif kind == "go":
         yield _import("*", "*" if alias == "." else alias or last, path, line, namespace=True)
     elif kind in ("java", "kotlin"):
@@ -178,7 +208,7 @@ def _imports(kind: str, m: re.Match, line: int) -> Iterator[dict]:
         yield _import("*", base, path, line, namespace=True)
     else:
         whole = kind in ("cs", "swift", "elixir", "zig", "ruby", "crate") and not g.get("static") and not g.get("kind") and g.get("how") not in ("require", "use")
-        yield _import("*" if whole else last, alias or last, path, line, namespace=whole, of_type=kind == "php")
+        yield _import("*" if whole else last, alias or last, path, line, namespace=whole)
 
 
 # A statement that goes on in the next lines, by what begins it and what ends it.
@@ -191,9 +221,9 @@ LONGEST = 500  # lines of one statement
 
 
 def logical_lines(language: str, text: str) -> Iterator[tuple[int, str]]:
-    """Number and text of each line; an import over several lines is one, at its first."""
+    """Number and text of each line of code; an import or the head of a declaration over several lines is one, at its first."""
     opens, end = OPEN.get("script" if RULES[language] is SCRIPT else language, (None, ""))
-    lines = text.split("\n")
+    lines = code_of(language, text).split("\n")
     at = 0
     while at < len(lines):
         first = at
@@ -201,6 +231,8 @@ def logical_lines(language: str, text: str) -> Iterator[tuple[int, str]]:
             while end not in lines[at] and at + 1 < min(len(lines), first + LONGEST):
                 at += 1
             at = at if end in lines[at] else first
+        if at == first:
+            at = head_end(lines, at)
         yield first + 1, lines[first] if at == first else " ".join(x.strip() if k else x.rstrip() for k, x in enumerate(lines[first : at + 1]))
         at += 1
 

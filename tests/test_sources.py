@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from fathom.operators.memory import NO_MATCH
 from fathom.plans.api import Engine
 from fathom.sources import config, parsers, scan, schemas
 from fathom.sources.store import Store
@@ -110,7 +111,7 @@ def test_engine_reports_and_fixes(spark, tmp_path):
     mended = engine.doctor({"permissions": {"never": ["warn_add", "warn_list", "Write"]}}, fix=True, listing=["package.json"], skills=[])
     assert mended["healthy"] and {c["name"]: c["status"] for c in mended["checks"] if c["status"] != "pass"} == {"Code Index": "warn"}
     assert mended["config"]["permissions"]["never"] == ["warn", "Write"] and mended["config"]["search"] == config.DEFAULTS["search"]
-    assert engine.recall_with_hints(vector=[1.0, 0.0])["hints"].first().hints == ["No matches. After solving: store it with tags for future recall."]
+    assert engine.recall_with_hints(vector=[1.0, 0.0])["hints"].first().hints == [NO_MATCH]
     engine.remember("s1", "p", "fix", "global", vector=[1.0, 0.0], tags=["a", "b"], complexity=8)
     engine.failure("build", "line 1", vector=[1.0, 0.0])
     report = engine.recall_with_hints(vector=[1.0, 0.0])
