@@ -48,7 +48,8 @@ class Engine:
         return {"solutions": found, "failures": failures, "hints": memory.hints(one, F.lit(not failures.isEmpty()))}
 
     def record_use(self, matches: DataFrame) -> None:
-        self.store.write("solutions", memory.apply_usage(self._solutions(), memory.usage_delta(matches, F.lit(self.clock()))))
+        delta = memory.usage_delta(matches, F.lit(self.clock()))
+        self.store.change("solutions", ["id"], memory.apply_usage(self._solutions().join(delta.select("id"), "id", "left_semi"), delta))
 
     def remember(self, solution_id: str, problem: str, solution: str, scope: str, vector=None, threshold: float = 0.9, **fields) -> dict:
         """Stores a solution unless one is already as near as ``threshold``; the nearest is named then."""
@@ -78,7 +79,7 @@ class Engine:
         hit = F.col("id") == solution_id
         counter = {"success": "successes", "partial": "partial_successes", "failure": "failures"}[outcome]
         new = old.withColumn("score", F.when(hit, reward(F.col("score"), F.lit(outcome))).otherwise(F.col("score"))).withColumn(counter, F.when(hit, F.col(counter) + 1).otherwise(F.col(counter)))
-        self.store.write("solutions", new)
+        self.store.change("solutions", ["id"], new.where(hit))
         log = self.spark.createDataFrame([(solution_id, outcome, notes, self.clock())], "solution_id string, outcome string, notes string, created_at timestamp")
         self.store.append("usage_log", schemas.conform(log, "usage_log"))
 
@@ -97,7 +98,7 @@ class Engine:
                 new = new.withColumn(c, F.when(hit, F.coalesce(F.lit(v), F.col(c))).otherwise(F.col(c)))
             if fix:
                 new = new.withColumn("resolved_at", F.when(hit, F.lit(now)).otherwise(F.col("resolved_at")))
-            self.store.write("failures", new)
+            self.store.change("failures", ["id"], new.where(hit))
             return {"status": "updated", "signature": one["s"]}
         row = self.spark.createDataFrame([(failure_id or "fail_" + one["s"][:8], kind, message, one["s"], self._vector(message, vector), root_cause, fix, now)], "id string, error_type string, error_message string, error_signature string, error_embedding array<float>, root_cause string, fix_applied string, created_at timestamp")
         self.store.append("failures", schemas.conform(row, "failures"))
@@ -130,11 +131,12 @@ class Engine:
 
     def clear_repo(self, repo_id: str) -> None:
         """Forgets files, symbols and imports of a repository."""
-        names = ("repo_files", "symbols", "imports")
-        for name, rows in zip(names, repos.clear_repo(*(self.store.read(n) for n in names), repo_id), strict=True):
-            if name != "repo_files":
-                self.store.write(name, rows)
-        self.store.write("repo_files", self.store.read("repo_files").where(~F.col("repo_id").eqNullSafe(F.lit(repo_id))))
+        own = self.store.read("repo_files").where(F.col("repo_id").eqNullSafe(F.lit(repo_id)))
+        for name in ("symbols", "imports"):
+            if self.store.current(name):
+                self.store.change(name, ["file_id"], gone=own.select(F.col("id").alias("file_id")))
+        if self.store.current("repo_files"):
+            self.store.change("repo_files", ["repo_id"], gone=self.spark.createDataFrame([(repo_id,)], "repo_id string"))
 
     def warn_check(self, kind: str, target: str, repo_id=None) -> DataFrame:
         self._check(type=kind)
@@ -144,10 +146,14 @@ class Engine:
     def warn_add(self, warning_id: str, kind: str, target: str, reason: str, severity: str = "warn", ecosystem=None, repo_id=None) -> None:
         self._check(type=kind, severity=severity, ecosystem=ecosystem)
         row = self.spark.createDataFrame([(warning_id, kind, target, ecosystem, repo_id, severity, reason, self.clock())], schemas.schema("warnings"))
-        self.store.write("warnings", rules.merge_warnings(self.store.read("warnings"), row))
+        known = self.store.read("warnings")
+        for column, value in (("type", kind), ("target", target), ("ecosystem", ecosystem), ("repo_id", repo_id)):
+            known = known.where(F.col(column).eqNullSafe(F.lit(value)))
+        self.store.change("warnings", ["id"], rules.merge_warnings(known, row))
 
     def warn_remove(self, warning_id: str) -> None:
-        self.store.write("warnings", self.store.read("warnings").where(F.col("id") != warning_id))
+        if self.store.current("warnings"):
+            self.store.change("warnings", ["id"], gone=self.spark.createDataFrame([(warning_id,)], "id string"))
 
     def warn_list(self, kind=None, repo_id=None) -> DataFrame:
         return rules.list_warnings(self.store.read("warnings"), kind, repo_id)
@@ -192,9 +198,8 @@ class Engine:
         files = seen.join(fresh, "file_path", "left_semi").select(key.alias("id"), F.lit(repo_id).alias("repo_id"), "file_path", "mtime", "hash", F.lit(self.clock()).alias("indexed_at"))
         symbols = parsers.symbol_rows(parsed).select(F.xxhash64(F.lit(repo_id), "file_path", "line", "column", "name").alias("id"), F.lit(repo_id).alias("repo_id"), key.alias("file_id"), "name", "kind", "line", "column", "exported", "scope")
         found = parsers.import_rows(parsed).select(F.xxhash64(F.lit(repo_id), "file_path", "line", "imported_name", "local_name").alias("id"), key.alias("file_id"), "imported_name", "local_name", "source_path", "is_default", "is_namespace", "is_type", "line")
-        left = lambda name, by: self.store.read(name).join(gone.select(F.col("file_id").alias(by)), by, "left_anti")
         for name, by, new in (("symbols", "file_id", symbols), ("imports", "file_id", found), ("repo_files", "id", files)):
-            self.store.write(name, left(name, by).unionByName(schemas.conform(new, name)))
+            self.store.change(name, [by], schemas.conform(new, name), gone.select(F.col("file_id").alias(by)))
         for df in (seen, changes, parsed):
             df.unpersist()
         return counts

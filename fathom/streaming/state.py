@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from fathom.operators.memory import upsert_failures
+from fathom.operators.memory import failure_rows, upsert_failures
 from fathom.sources.store import Store
 
 
@@ -23,7 +23,8 @@ def counted_failures(errors: DataFrame, store: Store, name: str = "failures") ->
             return
         empty = "signature string, error_type string, error_message string, root_cause string, fix_applied string, occurrences long, resolved_at timestamp"
         stored = store.read(name) if store.current(name) else store.spark.createDataFrame([], empty)
-        store.write(name, upsert_failures(stored, batch), note=number)
+        met = failure_rows(batch).select("signature").distinct()
+        store.change(name, ["signature"], upsert_failures(stored.join(met, "signature", "left_semi"), batch), note=number)
 
     return errors.writeStream.foreachBatch(merge)
 

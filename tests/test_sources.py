@@ -116,7 +116,7 @@ def test_engine_reports_and_fixes(spark, tmp_path):
     engine.failure("build", "line 1", vector=[1.0, 0.0])
     report = engine.recall_with_hints(vector=[1.0, 0.0])
     assert report["solutions"].count() == report["failures"].count() == 1
-    assert [h[:12] for h in report["hints"].first().hints] == ["High complex", "Strong match", "Related erro"]
+    assert [h[:12] for h in report["hints"].first().hints] == ["It is comple", "Close match:", "Known errors"]
     status = engine.status_report()
     assert {r.tag for r in status["tags"].collect()} == {"a", "b"} and [r.id for r in status["recent"].collect()] == ["s1"] and status["version"].first().current == schemas.VERSION
     listing = spark.createDataFrame([("/w/app", "package.json"), ("/w/doc", "readme.md")], "root string, name string")
@@ -163,6 +163,29 @@ def test_store_keeps_old_snapshot_readable(spark, tmp_path):
     assert sorted(r.id for r in store.read("t").collect()) == [1, 2]
 
 
+def size(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_change_writes_what_it_changes(spark, tmp_path):
+    store = Store(spark, str(tmp_path), most_segments=4)
+    store.write("t", spark.range(100_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"), F.when(F.col("id") > 2, F.col("id") % 7).alias("g")), note=1)
+    whole, before = size(tmp_path / "t"), store.read("t")
+    store.change("t", ["id"], spark.createDataFrame([(5, "new", 0), (-1, "more", None)], "id long, v string, g long"), spark.createDataFrame([(6, "x")], "id long, y string"), note=2)
+    assert size(tmp_path / "t") - whole < whole / 500 and store.note("t") == 2
+    assert before.count() == 100_000 and store.read("t").count() == 100_000
+    assert {r.id: r.v for r in store.read("t").where("id IN (-1, 5, 6)").collect()} == {-1: "more", 5: "new"}
+    store.change("t", ["g"], gone=spark.createDataFrame([(None,), (0,)], "g long"))
+    left = store.read("t")
+    assert left.where("g IS NULL OR g = 0").isEmpty() and left.count() == sum(k % 7 != 0 for k in range(3, 100_000) if k not in (5, 6))
+    store.append("t", spark.createDataFrame([(6, "back", 0)], "id long, v string, g long"))  # what comes after a change stays
+    assert store.read("t").where("g = 0").count() == 1 and len(store.pointer("t")["segments"]) == 4
+    store.change("t", ["id"], gone=spark.createDataFrame([(8,)], "id long"), note=3)
+    assert len(store.pointer("t")["segments"]) == 1 and store.note("t") == 3 and store.read("t").count() == left.count()
+    store.vacuum("t", 1)
+    assert store.read("t").count() == left.count() and len(list((tmp_path / "t").iterdir())) == 1
+
+
 def test_streams(spark, tmp_path):
     from fathom.streaming.state import counted_failures, first_runs
 
