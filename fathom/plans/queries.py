@@ -20,6 +20,7 @@ from fathom.operators import review as V
 from fathom.operators import rewards as W
 from fathom.operators import rules as R
 from fathom.operators import similar as Y
+from fathom.operators import trigrams as T
 from fathom.plans import projections as J
 from fathom.plans.projections import sql, t
 from fathom.sources import scan as X
@@ -331,6 +332,20 @@ def search_symbols(spark: SparkSession, d: str) -> DataFrame:
     return C.search_symbols(J.symbols(spark, d), J.files(spark, d), "r").select("symbol_id", "name", "tier")
 
 
+FOUND_BY = "SELECT symbol_id, name, tier FROM (SELECT *, CASE WHEN name = '{q}' THEN 0 WHEN lower(name) LIKE '{q}%' THEN 1 ELSE 2 END AS tier FROM symbols JOIN files USING (file_id) WHERE lower(name) LIKE '%{q}%') ORDER BY tier, exported DESC, length(name), file_path, line, symbol_id LIMIT 30"
+
+
+@query("search_symbols_indexed", sql("files", "symbols", body=FOUND_BY.replace("{q}", "ste")))
+def search_symbols_indexed(spark: SparkSession, d: str) -> DataFrame:
+    symbols = J.symbols(spark, d)
+    return T.search_postings(T.name_postings(symbols), symbols, J.files(spark, d), "ste").select("symbol_id", "name", "tier")
+
+
+@query("ranked_files")
+def ranked_files(spark: SparkSession, d: str) -> DataFrame:
+    return T.ranked_files(J.files(spark, d), "sm1f")
+
+
 @query("get_imports", sql("files", "imports", body="SELECT import_id, imported_name, local_name, source_path, line FROM imports JOIN files USING (file_id) WHERE file_path = 'src/m3/f8.ts'"))
 def get_imports(spark: SparkSession, d: str) -> DataFrame:
     return C.file_imports(J.imports(spark, d), J.files(spark, d), "src/m3/f8.ts").select("import_id", "imported_name", "local_name", "source_path", "line")

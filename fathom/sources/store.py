@@ -142,6 +142,12 @@ class Store:
         """Makes one segment of all."""
         self.write(name, self.read(name), note=self.note(name))
 
+    def drop(self, name: str) -> None:
+        """Deletes a table, if there is one: the pointers first."""
+        for path in (f"{self.root}/{name}.pointers", f"{self.root}/{name}"):
+            fs, p = self._files(path)
+            fs.delete(p, True)
+
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Deletes what only pointers before the last ``keep`` name, and those pointers."""
         names = self._pointers(name)
