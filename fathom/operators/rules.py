@@ -47,6 +47,15 @@ def edit_subject(path: Column, content: Column) -> Column:
     return F.concat_ws("\n", path, content)
 
 
+SALTS = 64  # ways that targets of wildcards alone are dealt, as they meet every probe
+
+
+def _runs(text: Column) -> Column:
+    """The runs of one, two and three letters of a text, and the empty one."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
+    return F.concat(of(1), of(2), of(3), F.array(F.lit("")))
+
+
 def check_warnings(probes: DataFrame, warnings: DataFrame, kind: str = "file", by_severity_rank: bool = False) -> DataFrame:
     """Warnings that meet each probe (probe, repo_id), first those of its repo, then by severity.
 
@@ -55,13 +64,14 @@ def check_warnings(probes: DataFrame, warnings: DataFrame, kind: str = "file", b
     """
     own = warnings.where(F.col("type") == kind).withColumnRenamed("repo_id", "w_repo")
     visible = F.col("w_repo").isNull() | (F.col("w_repo") == F.col("repo_id"))
-    if kind == "file":  # a target meets probes that hold the first three letters of its longest part without wildcards
+    if kind == "file":  # a target meets probes that hold the first letters, three at most, of its longest part without wildcards
         part = F.array_sort(F.split(ascii_fold(F.col("target")), r"[*?%_]"), lambda a, b: F.length(b) - F.length(a))
-        gram = F.when(F.length(F.get(part, F.lit(0))) >= 3, F.substring(F.get(part, F.lit(0)), 1, 3)).otherwise("")
         low = ascii_fold(F.col("probe"))
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda k: F.substring(low, k, F.lit(3)))
-        keyed = probes.withColumn("_gram", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))))
-        met = keyed.join(own.withColumn("_gram", gram), "_gram").where(visible & loose_like(F.col("probe"), glob_to_like(F.col("target"))))
+        keyed = probes.withColumn("_gram", F.explode(F.array_distinct(_runs(low))))
+        keyed = keyed.withColumn("_salt", F.when(F.col("_gram") == "", F.pmod(F.xxhash64("probe"), F.lit(SALTS))).otherwise(0).cast("int"))
+        own = own.withColumn("_gram", F.substring(F.get(part, F.lit(0)), 1, 3))
+        own = own.withColumn("_salt", F.explode(F.when(F.col("_gram") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        met = keyed.join(own, ["_gram", "_salt"]).where(visible & loose_like(F.col("probe"), glob_to_like(F.col("target"))))
     else:
         met = probes.join(own, F.col("probe") == F.col("target")).where(visible)
     severity = F.when(F.col("severity") == "block", 3).when(F.col("severity") == "warn", 2).otherwise(1).desc() if by_severity_rank else F.col("severity").desc()

@@ -335,10 +335,10 @@ def search_symbols(spark: SparkSession, d: str) -> DataFrame:
 FOUND_BY = "SELECT symbol_id, name, tier FROM (SELECT *, CASE WHEN name = '{q}' THEN 0 WHEN lower(name) LIKE '{q}%' THEN 1 ELSE 2 END AS tier FROM symbols JOIN files USING (file_id) WHERE lower(name) LIKE '%{q}%') ORDER BY tier, exported DESC, length(name), file_path, line, symbol_id LIMIT 30"
 
 
-@query("search_symbols_indexed", sql("files", "symbols", body=FOUND_BY.replace("{q}", "ste")))
+@query("search_symbols_indexed", sql("files", "symbols", body=FOUND_BY.replace("{q}", "plat")))
 def search_symbols_indexed(spark: SparkSession, d: str) -> DataFrame:
     symbols = J.symbols(spark, d)
-    return T.search_postings(T.name_postings(symbols), symbols, J.files(spark, d), "ste").select("symbol_id", "name", "tier")
+    return T.search_postings(T.name_postings(symbols), symbols, J.files(spark, d), "plat").select("symbol_id", "name", "tier")
 
 
 @query("ranked_files")
