@@ -112,6 +112,28 @@ def audit_packages(packages: DataFrame, warnings: DataFrame, advisories: DataFra
     return joined.select("package", "ecosystem", F.coalesce("n_warnings", F.lit(0)).cast("long").alias("n_warnings"), F.coalesce("n_advisories", F.lit(0)).cast("long").alias("n_advisories"), (yes("blocks") | yes("critical")).alias("ask"))
 
 
+def package_issues(packages: DataFrame, warnings: DataFrame, advisories: DataFrame, facts: DataFrame, most_bytes: int = 500_000, deprecations: bool = True) -> DataFrame:
+    """package, ecosystem, type, severity, detail: a row for each thing that speaks against installing a package.
+
+    ``packages`` has package, ecosystem; ``advisories`` also level; ``facts`` (of npm packages alone) package, deprecated (a
+    text or null), size and gzip in bytes. Types: cve (critical ones, and the others, as one row each, with their number),
+    warning (the warning's own severity, a block as critical), deprecated (the first 100 letters of its text) and size.
+    """
+    own = packages.select("package", "ecosystem").distinct()
+    row = lambda kind, severity, detail: ["package", "ecosystem", F.lit(kind).alias("type"), severity.alias("severity"), detail.alias("detail")]
+    critical = F.lower("level") == "critical"
+    counted = own.join(advisories.groupBy("package", "ecosystem", critical.alias("critical")).agg(F.count("*").alias("n")), ["package", "ecosystem"])
+    found = counted.select(*row("cve", F.when(F.col("critical"), "critical").otherwise("warn"), F.concat(F.col("n").cast("string"), F.when(F.col("critical"), " critical").otherwise(" of lower levels"))))
+    local = warnings.where(F.col("type") == "package").select(F.col("target").alias("package"), F.col("ecosystem").alias("of"), F.col("severity").alias("level"), F.col("reason"))
+    warned = own.join(local, "package").where(F.col("of").isNull() | (F.col("of") == F.col("ecosystem")))
+    found = found.unionByName(warned.select(*row("warning", F.when(F.col("level") == "block", "critical").otherwise(F.col("level")), F.col("reason"))))
+    known = own.where("ecosystem = 'npm'").join(facts, "package")
+    if deprecations:
+        found = found.unionByName(known.where(F.length("deprecated") > 0).select(*row("deprecated", F.lit("warn"), F.substring("deprecated", 1, 100))))
+    kilobytes = lambda c: F.concat(F.floor(F.col(c) / 1024 + 0.5).cast("string"), F.lit(" KB"))
+    return found.unionByName(known.where(F.col("size") > most_bytes).select(*row("size", F.lit("info"), F.concat(kilobytes("size"), F.lit(", gzip "), kilobytes("gzip")))))
+
+
 def cache_get(cache: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """The latest entry of each key that is younger than the time to live."""
     return cache_latest(cache).where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))

@@ -221,6 +221,22 @@ def warnings_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_warnings(one(rows), one(new))
 
 
+PACKAGE_FACTS = "SELECT replace(p_name, ' ', '-') AS package, max(CASE WHEN p_partkey % 17 = 0 THEN concat('use ', p_brand) END) AS deprecated, max(p_partkey * 1000) AS size, max(p_partkey * 300) AS gzip FROM part GROUP BY 1"
+PACKAGE_ADVISORIES = "SELECT replace(p_name, ' ', '-') AS package, 'npm' AS ecosystem, CASE WHEN p_size > 40 THEN 'CRITICAL' ELSE 'low' END AS level FROM part WHERE p_partkey % 13 = 0"
+
+
+@query("package_issues", sql("warnings", body=f"""own AS (SELECT DISTINCT replace(p_name, ' ', '-') AS package, CASE WHEN p_partkey % 9 = 0 THEN 'pip' ELSE 'npm' END AS ecosystem FROM part), facts AS ({PACKAGE_FACTS}), advisories AS ({PACKAGE_ADVISORIES})
+SELECT package, ecosystem, 'cve' AS type, CASE WHEN c THEN 'critical' ELSE 'warn' END AS severity, concat(CAST(n AS STRING), CASE WHEN c THEN ' critical' ELSE ' of lower levels' END) AS detail FROM own JOIN (SELECT package, ecosystem, level = 'CRITICAL' AS c, count(*) AS n FROM advisories GROUP BY ALL) USING (package, ecosystem)
+UNION ALL SELECT o.package, o.ecosystem, 'warning', CASE WHEN w.severity = 'block' THEN 'critical' ELSE w.severity END, w.reason FROM own o JOIN warnings w ON w.target = o.package AND w.type = 'package' AND coalesce(w.ecosystem, o.ecosystem) = o.ecosystem
+UNION ALL SELECT package, ecosystem, 'deprecated', 'warn', substr(deprecated, 1, 100) FROM own JOIN facts USING (package) WHERE ecosystem = 'npm' AND deprecated <> ''
+UNION ALL SELECT package, ecosystem, 'size', 'info', concat(CAST(CAST(floor(size / 1024.0 + 0.5) AS BIGINT) AS STRING), ' KB, gzip ', CAST(CAST(floor(gzip / 1024.0 + 0.5) AS BIGINT) AS STRING), ' KB') FROM own JOIN facts USING (package) WHERE ecosystem = 'npm' AND size > 500000"""))
+def package_issues(spark: SparkSession, d: str) -> DataFrame:
+    part = t(spark, d, "part")
+    of = lambda text: spark.sql(text.replace("FROM part", "FROM {part}"), part=part)
+    own = part.selectExpr("replace(p_name, ' ', '-') AS package", "CASE WHEN p_partkey % 9 = 0 THEN 'pip' ELSE 'npm' END AS ecosystem")
+    return R.package_issues(own, J.warnings(spark, d), of(PACKAGE_ADVISORIES), of(PACKAGE_FACTS))
+
+
 @query("package_audit", sql("warnings", body="SELECT package, 'npm' AS ecosystem, coalesce(w.n, 0) AS n_warnings, coalesce(a.n, 0) AS n_advisories, coalesce(w.b, false) OR coalesce(a.c, false) AS ask FROM (SELECT DISTINCT replace(p_name, ' ', '-') AS package FROM part) p LEFT JOIN (SELECT target, count(*) AS n, bool_or(severity = 'block') AS b FROM warnings WHERE type = 'package' GROUP BY target) w ON w.target = package LEFT JOIN (SELECT replace(p_name, ' ', '-') AS ap, count(*) AS n, bool_or(p_size = 50) AS c FROM part WHERE p_partkey % 13 = 0 GROUP BY 1) a ON a.ap = package"))
 def package_audit(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part")

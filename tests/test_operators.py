@@ -187,3 +187,16 @@ def test_warnings_that_start_with_wildcards(spark):
     for r in R.check_warnings(probes, warnings).orderBy("place").collect():
         found.setdefault(r.probe, []).append(r.id)
     assert found == {"app/.env": ["w1", "w2"], "ab": ["w2", "w3"], "SRC/x/deeper.ts": ["w4", "w2"], "": ["w2"]}
+
+
+def test_package_issues(spark):
+    packages = spark.createDataFrame([("a", "npm"), ("a", "pip"), ("b", "npm"), ("b", "npm"), ("c", "npm")], "package string, ecosystem string")
+    warnings = spark.createDataFrame([("package", "a", None, "block", "bad"), ("package", "a", "pip", "info", "old"), ("file", "b", None, "warn", "no")], "type string, target string, ecosystem string, severity string, reason string")
+    advisories = spark.createDataFrame([("a", "npm", "Critical"), ("a", "npm", "low"), ("a", "npm", "high"), ("z", "npm", "low")], "package string, ecosystem string, level string")
+    facts = spark.createDataFrame([("a", "gone " * 40, 10, 5), ("b", "", 500_000, 1), ("c", None, 512_001, 2048)], "package string, deprecated string, size long, gzip long")
+    got = {tuple(r) for r in R.package_issues(packages, warnings, advisories, facts).collect()}
+    assert got == {
+        ("a", "npm", "cve", "critical", "1 critical"), ("a", "npm", "cve", "warn", "2 of lower levels"), ("a", "npm", "warning", "critical", "bad"), ("a", "pip", "warning", "critical", "bad"), ("a", "pip", "warning", "info", "old"),
+        ("a", "npm", "deprecated", "warn", ("gone " * 40)[:100]), ("c", "npm", "size", "info", "500 KB, gzip 2 KB"),
+    }
+    assert not any(r.type == "deprecated" for r in R.package_issues(packages, warnings, advisories, facts, deprecations=False).collect())
