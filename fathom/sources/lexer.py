@@ -144,7 +144,7 @@ def code_of(language: str, text: str) -> str:
     return "".join([*out, text[copied:]])
 
 
-NOT_DECLARED = r"(?!\s*(?:if|for|foreach|while|switch|catch|return|else|throw|new|await|yield|when|match|elsif|elif|unless|until|assert|do)\b)"
+NOT_DECLARED = r"(?!\s*(?:if|for|foreach|while|switch|catch|return|else|throw|new|await|yield|when|match|elsif|elif|unless|until|assert|do)\b|\s*(?:import|const|var|type)\s*\()"  # the last are groups of declarations
 BEGINS = re.compile(NOT_DECLARED + r"^\s*(?:[^\s()=;\"'`#/][^()=;\"'`]*[\s*&>.:])?[\w$~?!]+\s*(?:<[^()]*>)?\((?:[^()\"'`]|\([^()]*\))*$|" + NOT_DECLARED + r"^\s*(?:export\s+)?(?:const|let|var)\s+[\w$]+\s*(?::[^=]+)?=\s*(?:async\s+)?\([^()]*$")
 CALLBACK = re.compile(r"(?:=>|\bfunction\b[^()]*\([^()]*\)|\bdo\b(?:\s*\|[^|]*\|)?)\s*\{?\s*$")
 STRINGS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'")

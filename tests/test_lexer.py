@@ -53,3 +53,8 @@ def test_use_trees():
 def test_required_modules():
     text = "const a = require('x')\nconst { b, c: d, e = 1 } = require(\"./y\")\nrequire('z')\n// require('no')\nimport q, { r } from 's'\n"
     assert names("a.js", text)[1] == [("*", "a", "x"), ("b", "b", "./y"), ("c", "d", "./y"), ("e", "e", "./y"), ("*", "*", "z"), ("default", "q", "s"), ("r", "r", "s")]
+
+
+def test_groups_of_declarations_stay_lines():
+    assert names("a.go", 'package p\nimport (\n  "fmt"\n  io "a/b"\n)\nconst (\n  A = 1\n)\nfunc f(\n  x int,\n) {\n}\n')[1] == [("*", "fmt", "fmt"), ("*", "io", "a/b")]
+    assert ("function", "f", 9) in names("a.go", 'package p\nimport (\n  "fmt"\n  io "a/b"\n)\nconst (\n  A = 1\n)\nfunc f(\n  x int,\n) {\n}\n')[0]
