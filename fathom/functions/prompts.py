@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,19 @@ def any_of(patterns: list[str]) -> str:
     return "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+BLANK = r"[\t\n\f\r ]"
+_ASCII = {r"\b": r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))", r"\s": BLANK, r"\w": r"[\w\u017F\u212A]", ".": r"[^\n]", "k": r"[k\u212A]", "s": r"[s\u017F]"}
+
+
+def ascii_rules(pattern: str) -> str:
+    """A ``(?i)`` pattern by the rules of RE2: ``\\b`` knows ASCII words alone, so that a word may follow an accented letter;
+    ``\\s`` has no vertical tab, a dot meets all but a line feed, and k and s meet the Kelvin sign and the long s too.
+
+    Character classes stay as they are.
+    """
+    return re.sub(r"\(\?[a-z]*[:)]|\[(?:\\.|[^\\\]])*\]|\\.|[.ks]", lambda m: _ASCII.get(m[0], m[0]), pattern)
+
+
 def end_only(pattern: str) -> str:
     """``$`` as the very end; elsewhere it may stand before a last line break too."""
     return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
@@ -78,23 +93,23 @@ def end_only(pattern: str) -> str:
 
 def prompt_factors(prompt: Column) -> Column:
     """The labels of a prompt's categories, in order."""
-    found = [F.when(prompt.rlike(any_of(patterns)), F.lit(label)) for _, label, patterns in COMPLEXITY]
+    found = [F.when(prompt.rlike(ascii_rules(any_of(patterns))), F.lit(label)) for _, label, patterns in COMPLEXITY]
     return F.array_compact(F.array(*found, F.when(word_count(prompt) > 100, F.lit("detailed prompt")), F.when(sentence_count(prompt) >= 4, F.lit("multi-part request"))))
 
 
 def word_count(prompt: Column) -> Column:
-    return F.size(F.split(prompt, r"\s+"))
+    return F.size(F.split(prompt, BLANK + "+"))
 
 
 def sentence_count(prompt: Column) -> Column:
-    return F.size(F.filter(F.split(prompt, "[.!?]+"), lambda s: F.length(F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))) > 10))
+    return F.size(F.filter(F.split(prompt, "[.!?]+"), lambda s: F.length(F.regexp_replace(s, rf"\A{BLANK}+|{BLANK}+\z", "")) > 10))
 
 
 def prompt_complexity(prompt: Column) -> Column:
     """1 to 10: a base of 3, the weight of each category met, and one each for many words and sentences."""
     total = F.lit(3.0)
     for weight, _, patterns in COMPLEXITY:
-        total = total + F.when(prompt.rlike(any_of(patterns)), weight).otherwise(0.0)
+        total = total + F.when(prompt.rlike(ascii_rules(any_of(patterns))), weight).otherwise(0.0)
     total = total + F.when(word_count(prompt) > 100, 1.0).otherwise(0.0) + F.when(sentence_count(prompt) >= 4, 1.0).otherwise(0.0)
     return F.greatest(F.lit(1), F.least(F.lit(10), half_up(total, 0).cast("int")))
 
@@ -134,19 +149,21 @@ def sensitive_category(path: Column, allowed: list[str] = (), custom: list[str]
 
 
 def is_doc_query(text: Column) -> Column:
-    return text.rlike(any_of(DOCS))
+    return text.rlike(ascii_rules(any_of(DOCS)))
 
 
 def libraries_in(text: Column) -> Column:
     """The libraries that a text names, in the table's order; one pass over the text finds out whether there is any."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b({p})\b"), F.lit(name)) for name, p in LIBRARIES]))
+    found = F.array_compact(F.array(*[F.when(text.rlike(ascii_rules(rf"(?i)\b({p})\b")), F.lit(name)) for name, p in LIBRARIES]))
     some = "|".join(f"(?:{p})" for _, p in LIBRARIES)
-    return F.when(text.rlike(rf"(?i)\b(?:{some})\b"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(ascii_rules(rf"(?i)\b(?:{some})\b")), found).otherwise(F.array().cast("array<string>"))
 
 
 def topic_of(text: Column, libraries: Column) -> Column:
-    bare = F.aggregate(libraries, text, lambda acc, name: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b"), name, F.lit(r"\b")), F.lit("")))
-    topic = F.trim(F.regexp_replace(F.regexp_replace(bare, TOPIC_WORDS, ""), r"\s+", " "))
+    known = F.create_map(*[F.lit(x) for name, _ in LIBRARIES for x in (name, ascii_rules(name))])
+    edge = F.lit(_ASCII[r"\b"])
+    bare = F.aggregate(libraries, text, lambda acc, name: F.regexp_replace(acc, F.concat(F.lit("(?i)"), edge, F.coalesce(F.try_element_at(known, name), name), edge), F.lit("")))
+    topic = F.trim(F.regexp_replace(F.regexp_replace(bare, ascii_rules(TOPIC_WORDS), ""), BLANK + "+", " "))
     return F.when(topic == "", F.lit("general usage")).otherwise(topic)
 
 

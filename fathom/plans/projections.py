@@ -94,7 +94,8 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "conversations").alias("c").selectExpr("c.conv_id AS conv_id", "c.turn AS turn", f"{PROMPT} AS prompt")
+    turns = t(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))  # the SQL's concat passes over nulls
+    return turns.alias("c").selectExpr("c.conv_id AS conv_id", "c.turn AS turn", f"{PROMPT} AS prompt")
 
 
 def _cte(name: str, columns: list[tuple[str, str]], source: str, where: str = "") -> str:

@@ -77,3 +77,21 @@ def test_sensitive_paths(spark):
 def test_vectors_as_bytes(spark):
     back = spark.createDataFrame([([1.5, -2.0],)], "v array<float>").select(S.decode_vector(S.encode_vector(F.col("v"))).alias("v")).first()["v"]
     assert list(back) == [1.5, -2.0]
+
+
+def test_prompts_follow_the_rules_of_their_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from fathom.plans.queries import ORACLE, QUERIES
+
+    rng = random.Random(5)
+    parts = ["éliste", "élist", "list", "é", "ſse", "sse", "K8s", "k8s", "docs.", "\v", "\n- a", "- b ", " ", "  ", "what\vis", "what is", "stripe", "Express", "next.js", "ünext", "a" * 11, ". ", "!\u0085", "1. ſ", "ONLY a", "the ", "İ", "ı", "\r", "vue", "guide", "apixreference", "api-reference"]
+    rows = [(k, k % 5, None if k == 7 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for k in range(600)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("prompt_complexity", "doc_queries", "doc_topics"):
+        got, rel = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE[name])
+        assert sorted(map(tuple, got.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr), name
