@@ -102,6 +102,22 @@ def test_similar_blocks_against_all_pairs(spark):
     assert got == want and len(want) > 10 and 81 in {*want.values(), 81}
 
 
+def test_blocks_that_share_tokens_alone_are_no_pairs_sent(spark, monkeypatch):
+    rng, sent = random.Random(3), []
+    keep = Y.stored
+    monkeypatch.setattr(Y, "stored", lambda df: sent.append(keep(df)) or sent[-1])
+    words = [f"w{k}" for k in range(60)]
+    rows = [(f"f{k:03}", n, " ".join(rng.sample(words, 20))) for k in range(200) for n in range(2)]
+    rows += [(f"g{k}", n, " ".join([*words[:30], f"x{k}"])) for k in range(3) for n in range(2)]
+    df = spark.createDataFrame(rows, "file_path string, line int, text string")
+    whole = Y.similar_blocks(df, 2).select("a", "b", "similarity").collect()
+    pairs = [x for x in sent if x.columns == ["a", "b"]]
+    assert len(whole) == 3 and len(pairs) == 1 and pairs[0].count() < 1000  # nearly all of the 20,503 pairs share a token of a prefix
+    monkeypatch.setattr(Y, "ROWS_A_TOKEN", 16)
+    monkeypatch.setattr(Y, "ROWS_A_BUCKET", 500)
+    assert sorted(Y.similar_blocks(df, 2).select("a", "b", "similarity").collect()) == sorted(whole)
+
+
 def test_renamed_blocks_are_alike_and_copies_are_one_class(spark):
     df = spark.createDataFrame([(f, n, x) for f, name in (("a", "left"), ("b", "right"), ("c", "left")) for n, x in enumerate([f"let {name} = 1", f"if ({name} > 22) go()", "end"])], "file_path string, line int, text string")
     assert Y.blocks(df, 3, loose=True).count() == 1 and Y.blocks(df, 3).count() == 2
