@@ -94,6 +94,24 @@ def test_dedup_modes(spark):
     assert [r.id for r in M.dedup_greedy(rows, 0.9).orderBy("id").collect()] == [0, 2, 3]
 
 
+def test_dedup_in_chunks_sends_no_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 150, 0) + rng.normal(size=(150, 8)) * 0.05, rng.normal(size=(250, 8)), np.zeros((2, 8))])[rng.permutation(402)]
+    y = M.unit_rows(x.tolist())
+    near = np.tril(y @ y.T >= 0.6, -1)
+    kept = []
+    for k in range(len(x)):
+        if not near[k, kept].any():
+            kept.append(k)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())] + [(402, None)], "id long, embedding array<double>").repartition(5)
+    for chunk in (16, 64, 1000):
+        assert [int(k) for own in M.kept_chunks(rows, 0.6, chunk) for k in own["id"]] == [*kept, 402], chunk
+    assert sorted(r.id for r in M.dedup_greedy(rows, 0.6).collect()) == [*kept, 402]
+    assert sorted(r.id for r in M.dedup_all(rows, 0.6).collect()) == [*np.flatnonzero(~near.any(1)).tolist(), 402]
+
+
 def test_warnings_order(spark):
     rows = [("w1", "file", "src/legacy/*", None, None, "block", ""), ("w2", "file", "src/legacy/a.ts", None, "r1", "info", ""), ("w3", "file", "src/legacy/*.ts", None, None, "warn", "")]
     warnings = spark.createDataFrame(rows, "id string, type string, target string, ecosystem string, repo_id string, severity string, reason string")
