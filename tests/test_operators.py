@@ -94,6 +94,14 @@ def test_dedup_modes(spark):
     assert [r.id for r in M.dedup_greedy(rows, 0.9).orderBy("id").collect()] == [0, 2, 3]
 
 
+def test_unused_imports_are_not_broadcast(spark):
+    names = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 2), ("a", "*", 3), ("b", "z", 1), ("c", "q", 1), ("d", "w", 1), ("e", None, 1)], "file_path string, local_name string, line int")
+    texts = spark.createDataFrame([("a", "import x\nimport y\nimport *\nx1(x)"), ("b", "import z"), ("b", "-\n$z + z"), ("c", None), ("e", "-")], "file_path string, text string")
+    found = V.unused_imports(names, texts)
+    assert sorted((r.file_path, r.local_name) for r in found.collect()) == [("a", "y"), ("a", "y"), ("c", "q")]
+    assert found.columns == names.columns and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_in_chunks_sends_no_pairs(spark):
     import numpy as np
 
