@@ -898,3 +898,10 @@ def test_license_notices_in_the_wild(spark):
     ]
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == [want for _, want in cases]
+
+
+def test_links_of_licenses_need_no_telling_phrase(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    texts = [bsd, bsd.replace("Redistribution", "Copying"), "released under the license of a town", "one two " * 90 + bsd.replace("binary", "object"), None, "of the and"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_links, r.labels) for r in got] == [(1, "bsd"), (1, ""), (1, ""), (1, ""), (0, ""), (0, "")]
