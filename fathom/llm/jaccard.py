@@ -242,11 +242,21 @@ class _Join:
         self.words, self.percent = words, percent
         rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
         self.rows, self.known = rows, rows.where(F.col("doc_id").isNotNull())
-        self.facts = written(map_batches(rows, self._describe(), "doc_id long, n_shingles long, a long, b long, sampled long, more array<long>, sketch binary", size=1 << 20), "shingles")
+        self.paths: list[str] = []  # tables that go once the rows have their classes
+        self.facts = self._held(map_batches(rows, self._describe(), "doc_id long, n_shingles long, a long, b long, sampled long, more array<long>, sketch binary", size=1 << 20), "shingles")
         counted = self.facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         own = ("n_shingles", "sampled", "more", "sketch")
         firsts = counted.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min_by(F.struct(*own), "doc_id").alias("x"))
-        self.classes = written(firsts.select("a", "b", "first", F.col("x.n_shingles").alias("n"), "x.sampled", "x.more", "x.sketch"), "classes")
+        self.classes = self._held(firsts.select("a", "b", "first", F.col("x.n_shingles").alias("n"), "x.sampled", "x.more", "x.sketch"), "classes")
+
+    def _held(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = written_at(df, label)
+        self.paths.append(path)
+        return out
+
+    def _done(self, *paths: str) -> None:
+        for path in paths:
+            remove(self.known.sparkSession, path)
 
     def _describe(self):
         words, percent = self.words, self.percent
@@ -279,7 +289,7 @@ class _Join:
         prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
         left = F.when(F.col("same") > 1, F.size("shared")).otherwise(F.greatest(F.lit(0).cast("long"), prefix - own).cast("int"))
         met = F.transform(F.slice(F.coalesce("shared", F.array().cast("array<struct<holders:bigint,key:bigint>>")), F.lit(1), F.coalesce(left, F.lit(0))), lambda x: x["key"])
-        return written(joined.select("a", "first", F.concat(met, "more").alias("keys")).where(F.size("keys") > 0), "prefixes")
+        return self._held(joined.select("a", "first", F.concat(met, "more").alias("keys")).where(F.size("keys") > 0), "prefixes")
 
     def _buckets(self) -> int:
         """Hash ranges of about a million pairs, from the counted sizes of all rows."""
@@ -322,12 +332,13 @@ class _Join:
 
         return written(map_batches(both, verify, "a long, b long", size=1 << 20), "links")
 
-    def stars(self, prefixes: DataFrame) -> DataFrame:
-        """Pairs (PAIR) of the least and each other row of a column that sizes and sketches leave."""
+    def stars(self, prefixes: DataFrame) -> tuple[DataFrame, str]:
+        """Pairs (PAIR) of the least and each other row of a column that sizes and sketches leave; and the table's path."""
         percent = self.percent
         edges = self.dealt(prefixes.select("a", "keys")).applyInArrow(_stars, "l long, r long").distinct()
         side = lambda k: self.classes.select(F.col("a").alias(k), F.col("first").alias(k + "f"), F.col("n").alias(k + "n"), F.col("sketch").alias(k + "s")).hint("merge")
-        both = written(edges, "stars").join(side("l"), "l").join(side("r"), "r").select("lf", F.col("l").alias("la"), "rf", F.col("r").alias("ra"), "ln", "rn", "ls", "rs").where("lf <> rf")
+        edges, path = written_at(edges, "stars")
+        both = edges.join(side("l"), "l").join(side("r"), "r").select("lf", F.col("l").alias("la"), "rf", F.col("r").alias("ra"), "ln", "rn", "ls", "rs").where("lf <> rf")
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             m, n = (batch.column(k).to_numpy() for k in (4, 5))
@@ -336,11 +347,13 @@ class _Join:
             good = may_link(m, n, left.apart(own, right, own), percent)
             return batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
-        return written(map_batches(both, run, PAIR, size=1 << 20), "star-pairs")
+        out = written_at(map_batches(both, run, PAIR, size=1 << 20), "star-pairs")
+        self._done(path)
+        return out
 
-    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1) -> DataFrame:
+    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1) -> tuple[DataFrame, str]:
         """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
-        those of ``refuted`` (lf, rf): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another."""
+        those of ``refuted`` (lf, rf): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another; and the table's path."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
         placed, path = written_at(placed, "placed")
@@ -353,7 +366,7 @@ class _Join:
         else:
             both = refuted.select(F.col("lf").alias("first"), F.col("rf").alias("other")).unionByName(refuted.select(F.col("rf").alias("first"), F.col("lf").alias("other")))
             rows = rows.join(both.groupBy("first").agg(F.collect_set("other").alias("refuted")).hint("merge"), "first", "left")
-        big = written(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK), "large-columns")
+        big, path_4 = written_at(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK), "large-columns")
         rows = rows.join(big.hint("merge"), "key", "left")
         # in a large column, rows near in size share a band; then bands are cut into blocks that meet two by two
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
@@ -363,23 +376,25 @@ class _Join:
         group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
         buckets = max(2 * bucket_count(rows), -(-(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0) // ROWS_A_BUCKET))
         dealt = rows.select("a", "first", "component", "n", "sketch", "refuted", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
-        out = written(dealt.groupBy("bucket").applyInArrow(_across(percent, quota), PAIR).distinct(), "pairs-across")
-        for done in (path, path_2, path_3):
-            remove(out.sparkSession, done)
+        out = written_at(dealt.groupBy("bucket").applyInArrow(_across(percent, quota), PAIR).distinct(), "pairs-across")
+        self._done(path, path_2, path_3, path_4)
         return out
 
     def joined(self, prefixes: DataFrame) -> DataFrame:
         """Links that make the components: of stars, and of pairs across components until none is left that might link."""
         sets, path = self.sets_of(prefixes)
-        links, refuted, quota = self.links(self.stars(prefixes), sets), None, 1
+        pairs, pairs_path = self.stars(prefixes)
+        links, refuted, quota = self.links(pairs, sets), None, 1
+        self._done(pairs_path)
         while True:
-            pairs = self.across(prefixes, components(links), refuted, quota)
+            pairs, pairs_path = self.across(prefixes, components(links), refuted, quota)
             quota *= 16
             more = self.links(pairs, sets)
             links = links.unionByName(more)
             wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
+            self._done(pairs_path)
             if wrong.isEmpty():
-                remove(wrong.sparkSession, path)
+                self._done(path)
                 return links
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
 
@@ -393,6 +408,7 @@ class _Join:
         links = self.joined(prefixes)
         near = self.facts.select("doc_id", "n_shingles", "a", "b").join(self.classes.select("a", "b", "first").hint("merge"), ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
         of_row = written(near, "rows")
+        self._done(*self.paths)
         groups = components(links.unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))
         joined = of_row.join(groups.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
         return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))

@@ -905,3 +905,14 @@ def test_links_of_licenses_need_no_telling_phrase(spark):
     texts = [bsd, bsd.replace("Redistribution", "Copying"), "released under the license of a town", "one two " * 90 + bsd.replace("binary", "object"), None, "of the and"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.n_links, r.labels) for r in got] == [(1, "bsd"), (1, ""), (1, ""), (1, ""), (0, ""), (0, "")]
+
+
+def test_the_join_leaves_few_tables(spark):
+    import glob
+
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{place}/fathom-*"))
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(60)) + f" x{k % 3}") for k in range(30)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.link(docs, 3, 90).collect()} == {0}
+    left = {x.split("/")[-1].rsplit("-", 1)[0] for x in set(glob.glob(f"{place}/fathom-*")) - before}
+    assert not left & {"fathom-shingles", "fathom-classes", "fathom-prefixes", "fathom-stars", "fathom-star-pairs", "fathom-pairs-across", "fathom-large-columns", "fathom-edges", "fathom-sets"}
