@@ -19,7 +19,9 @@ What meets is multiplied in two steps, never as all pairs of a group of like doc
    different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
    columns sends on a forest, the pairs that connect its components, so rows sent grow with the rows and not with pairs.
    The product follows; if it refutes a pair, the step is repeated without that pair, and with sixteen times as many pairs
-   for each component, until it refutes none. Then no pair is left that could link two components.
+   for each component, until it refutes none. Then no pair is left that could link two components. Rows of refuted pairs
+   get sketches of more bins first, so that of a group of rows that are almost alike only pairs at the threshold are
+   multiplied and remembered, and not the square of the group.
 
 Copies are one row from the start, named by a 128-bit hash of the set. Nothing is collected: components are found by
 joins of written tables, which adaptive execution can split at common rows.
@@ -47,6 +49,8 @@ COLUMN_BLOCKS = 8
 ROWS_A_BUCKET = 20_000
 PAIRS_AT_ONCE = 1 << 16
 LEAST_BINS, MOST_BINS = 512, 1 << 14
+FINER, MOST_FINE_BINS = 8, 1 << 16  # sketches of rows of refuted pairs: bins a member, and at most
+WORDS_AT_ONCE = 1 << 19  # of sketches that are compared
 COUNTED_SHARE = 0.4
 COUNTED = np.uint64(int(COUNTED_SHARE * 2**64) & ~0xFFFF)  # hashes below it are of the columns that are counted and come first
 
@@ -62,13 +66,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
-def sketch(found: np.ndarray) -> bytes:
+def sketch(found: np.ndarray, finer: int = 1, most: int = MOST_BINS) -> bytes:
     """The parities of the set's counts in bins: two sketches differ in no more bits than the sets in members.
 
-    The number of bins is the least power of two that is not below the set's size, within limits; halves that are put
+    The number of bins is the least power of two that is not below the set's size (``finer`` times), within limits; halves that are put
     together by exclusive or are the sketch in half as many bins.
     """
-    bins = min(MOST_BINS, max(LEAST_BINS, 1 << max(0, len(found) - 1).bit_length()))
+    bins = min(most, max(LEAST_BINS, 1 << max(0, finer * len(found) - 1).bit_length()))
     return np.packbits(np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).tobytes()
 
 
@@ -86,16 +90,18 @@ class Sketches:
     def __init__(self, column: list[bytes]):
         self.width = np.array([len(x) // 8 for x in column], np.int64)
         self.words = [np.frombuffer(x, "<u8") for x in column]
-        self.at: dict[int, np.ndarray] = {}
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _in(self, width: int) -> np.ndarray:
-        """The sketches of at least that width, folded to it; others are left out as zeros."""
+    def _in(self, width: int, rows: np.ndarray) -> np.ndarray:
+        """The sketches of rows of at least that width, folded to it; no others are held in that width."""
         if width not in self.at:
-            out = np.zeros((len(self.words), width), np.uint64)
-            for k in np.flatnonzero(self.width >= width).tolist():
-                out[k] = folded(self.words[k], width)
-            self.at[width] = out
-        return self.at[width]
+            wide = np.flatnonzero(self.width >= width)
+            out = np.empty((len(wide), width), np.uint64)
+            for place, k in enumerate(wide.tolist()):
+                out[place] = folded(self.words[k], width)
+            self.at[width] = wide, out
+        wide, out = self.at[width]
+        return out[np.searchsorted(wide, rows)]
 
     def apart(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> np.ndarray:
         """In how many bits the rows i differ from the rows j of ``other``."""
@@ -103,9 +109,10 @@ class Sketches:
         width = np.minimum(self.width[i], other.width[j])
         for w in np.unique(width).tolist():
             own = np.flatnonzero(width == w)
-            for lo in range(0, len(own), 1 << 14):
-                part = own[lo : lo + (1 << 14)]
-                out[part] = np.bitwise_count(self._in(w)[i[part]] ^ other._in(w)[j[part]]).sum(1, dtype=np.int64)
+            step = max(1, WORDS_AT_ONCE // w)
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                out[part] = np.bitwise_count(self._in(w, i[part]) ^ other._in(w, j[part])).sum(1, dtype=np.int64)
         return out
 
 
@@ -188,13 +195,21 @@ def _across(percent: int, quota: int):
         raw = rows.column("sketch").to_pylist()
         sketches = Sketches([raw[k] for k in order.tolist()])
         refuted = rows.column("refuted")
-        barred = {k: set(refuted[int(order[k])].as_py()) for k in np.flatnonzero(rows.column("refuted").is_valid().to_numpy()[order]).tolist()}
+        barred: dict[tuple[int, int], list[np.ndarray]] = {}  # by class, as a class's rows have the same ones
+        for k in np.flatnonzero(refuted.is_valid().to_numpy()[order]).tolist():
+            if (own := (int(node[k]), int(name[k]))) not in barred:
+                others = refuted[int(order[k])].values
+                barred[own] = [others.field(c).to_numpy() for c in ("first", "a")]
         begin, size = _groups(group)
         _, label = np.unique(part, return_inverse=True)
-        found: list[tuple[int, int]] = []
+        found: dict[tuple[int, ...], tuple[int, int]] = {}  # by classes, as two may meet in many groups
         sent: dict[int, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def is_barred(x: int, y: int) -> bool:
+            bar = barred.get((int(node[x]), int(name[x])))
+            return bar is not None and bool(((bar[0] == node[y]) & (bar[1] == name[y])).any())
+
         def test() -> None:
             if not held:
                 return
@@ -207,13 +222,16 @@ def _across(percent: int, quota: int):
             i, j = i[near], j[near]
             good = may_link(n[i], n[j], sketches.apart(i, sketches, j), percent)
             for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
-                if label[x] != label[y] and node[y] not in barred.get(x, ()):
+                if node[x] > node[y]:
+                    x, y = y, x
+                pair = int(node[x]), int(name[x]), int(node[y]), int(name[y])
+                if label[x] != label[y] and pair not in found and not is_barred(x, y):
                     p, q = int(label[x]), int(label[y])
                     sent[p], sent[q] = sent.get(p, 0) + 1, sent.get(q, 0) + 1
                     if sent[p] >= quota or sent[q] >= quota:
                         label[label == q] = p
                         sent[p] = max(sent[p], sent[q])
-                    found.append((x, y) if node[x] < node[y] else (y, x))
+                    found[pair] = x, y
 
         count = 0
         for at, m in zip(begin.tolist(), size.tolist(), strict=True):
@@ -226,7 +244,7 @@ def _across(percent: int, quota: int):
                     test()
                     count = 0
         test()
-        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        i, j = np.array(list(found.values()), np.int64).reshape(-1, 2).T
         return pa.table({"lf": pa.array(node[i]), "la": pa.array(name[i]), "rf": pa.array(node[j]), "ra": pa.array(name[j])})
 
     return run
@@ -351,9 +369,9 @@ class _Join:
         self._done(path)
         return out
 
-    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1) -> tuple[DataFrame, str]:
+    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1, fine: DataFrame | None = None) -> tuple[DataFrame, str]:
         """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
-        those of ``refuted`` (lf, rf): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another; and the table's path."""
+        those of ``refuted`` (PAIR): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another; and the table's path. ``fine`` has finer sketches of some rows."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
         placed, path = written_at(placed, "placed")
@@ -361,11 +379,14 @@ class _Join:
         # columns are compared by the bits that blobs keep, as there
         met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"])
         rows, path_3 = written_at(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
+        if fine is not None:
+            rows = rows.join(fine.hint("merge"), ["first", "a"], "left").withColumn("sketch", F.coalesce("fine", "sketch")).drop("fine")
         if refuted is None:
-            rows = rows.withColumn("refuted", F.lit(None).cast("array<long>"))
+            rows = rows.withColumn("refuted", F.lit(None).cast("array<struct<first:long,a:long>>"))
         else:
-            both = refuted.select(F.col("lf").alias("first"), F.col("rf").alias("other")).unionByName(refuted.select(F.col("rf").alias("first"), F.col("lf").alias("other")))
-            rows = rows.join(both.groupBy("first").agg(F.collect_set("other").alias("refuted")).hint("merge"), "first", "left")
+            end = lambda k: F.struct(F.col(k + "f").alias("first"), F.col(k + "a").alias("a"))
+            both = refuted.select(F.explode(F.array(F.struct(end("l").alias("own"), end("r").alias("other")), F.struct(end("r").alias("own"), end("l").alias("other")))).alias("x")).select("x.own.first", "x.own.a", "x.other")
+            rows = rows.join(both.groupBy("first", "a").agg(F.collect_set("other").alias("refuted")).hint("merge"), ["first", "a"], "left")
         big, path_4 = written_at(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK), "large-columns")
         rows = rows.join(big.hint("merge"), "key", "left")
         # in a large column, rows near in size share a band; then bands are cut into blocks that meet two by two
@@ -380,23 +401,49 @@ class _Join:
         self._done(path, path_2, path_3, path_4)
         return out
 
+    def finer(self, refuted: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+        """first, a, fine: finer sketches of the rows of the pairs ``refuted``; the pairs that even those leave; and the sketches' path."""
+        percent = self.percent
+        wanted = refuted.select("lf", "la").unionAll(refuted.select("rf", "ra")).toDF("first", "a").distinct()
+
+        def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+            made = pa.array([sketch(x, FINER, MOST_FINE_BINS) for x in found], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array([len(x) for x in found], pa.int64())], ["first", "a", "fine", "n"])
+
+        fine, path = written_at(map_batches(sets.join(wanted.hint("merge"), ["first", "a"]).select("first", "a", "shingles"), describe, "first long, a long, fine binary, n long", size=1 << 20), "fine-sketches")
+        side = lambda k: fine.select(F.col("first").alias(k + "f"), F.col("a").alias(k + "a"), F.col("n").alias(k + "n"), F.col("fine").alias(k + "s")).hint("merge")
+        both = refuted.join(side("l"), ["lf", "la"]).join(side("r"), ["rf", "ra"]).select("lf", "la", "rf", "ra", "ln", "rn", "ls", "rs")
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            m, n = (batch.column(k).to_numpy() for k in (4, 5))
+            left, right = (Sketches(batch.column(k).to_pylist()) for k in (6, 7))
+            own = np.arange(len(m))
+            return batch.select([0, 1, 2, 3]).filter(pa.array(may_link(m, n, left.apart(own, right, own), percent), pa.bool_()))
+
+        return fine.select("first", "a", "fine"), written(map_batches(both, run, PAIR, size=1 << 20), "close"), path
+
     def joined(self, prefixes: DataFrame) -> DataFrame:
         """Links that make the components: of stars, and of pairs across components until none is left that might link."""
         sets, path = self.sets_of(prefixes)
         pairs, pairs_path = self.stars(prefixes)
         links, refuted, quota = self.links(pairs, sets), None, 1
+        fine = close = fine_path = None
         self._done(pairs_path)
         while True:
-            pairs, pairs_path = self.across(prefixes, components(links), refuted, quota)
+            pairs, pairs_path = self.across(prefixes, components(links), close, quota, fine)
             quota *= 16
             more = self.links(pairs, sets)
             links = links.unionByName(more)
-            wrong = written(pairs.select("lf", "rf").join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti"), "refuted")
+            wrong = written(pairs.join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti").select("lf", "la", "rf", "ra"), "refuted")
             self._done(pairs_path)
             if wrong.isEmpty():
-                self._done(path)
+                self._done(path, *([fine_path] if fine_path else []))
                 return links
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
+            if fine_path:
+                self._done(fine_path)
+            fine, close, fine_path = self.finer(refuted, sets)
 
     def shared_ids(self, of_row: DataFrame) -> DataFrame:
         """Links of the classes of rows that share an id; ``of_row`` has doc_id and first."""

@@ -123,6 +123,40 @@ def test_jaccard_components(spark, folder, size, percent):
     assert [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
 
 
+def test_rows_just_below_the_threshold_are_not_multiplied_by_the_square_of_their_group(spark, monkeypatch):
+    rng = random.Random(7)
+    base, texts = [f"w{k}" for k in range(504)], []
+    for k in range(150):
+        words = base[:]
+        for at in rng.sample(range(504), 7):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    multiplied, links = [], jaccard._Join.links
+
+    def counted(self, pairs, sets):
+        multiplied.append(pairs.count())
+        return links(self, pairs, sets)
+
+    monkeypatch.setattr(jaccard._Join, "links", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    assert [got[k] for k in range(150)] == components_of(texts, 5, 80)
+    assert sum(multiplied) < 20 * len(texts), multiplied  # of 11175 pairs
+
+
+def test_pairs_across_are_sent_once_a_bucket_without_refuted_classes():
+    import pyarrow as pa
+
+    n, groups = 12, 30
+    each = [np.arange(1, 101, dtype=np.uint64) * np.uint64(977)] * n
+    rows = {"group": np.repeat(np.arange(groups), n), "first": np.tile(np.arange(n), groups), "a": np.tile(np.arange(n) + 100, groups), "n": np.full(n * groups, 100), "component": np.tile(np.arange(n), groups)}
+    sketches = pa.array([jaccard.sketch(x) for x in each] * groups, pa.binary())
+    refuted = pa.array(([[{"first": 1, "a": 101}, {"first": 2, "a": 999}], [{"first": 0, "a": 100}]] + [None] * (n - 2)) * groups, pa.list_(pa.struct([("first", pa.int64()), ("a", pa.int64())])))
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"sketch": sketches, "refuted": refuted})
+    got = jaccard._across(80, 1 << 16)(table).to_pylist()
+    pairs = [(r["lf"], r["rf"]) for r in got]
+    assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n) if (i, j) != (0, 1)]  # another class of a refuted row's id stays
+
+
 def test_products_and_sketch_bounds_against_intersections():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
