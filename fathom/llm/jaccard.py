@@ -18,8 +18,9 @@ What meets is multiplied in two steps, never as all pairs of a group of like doc
 2. links make components. Only columns that still hold rows of several components are left; there all pairs of rows of
    different components that are near in size meet in blocks and pass the sketch bound. Of what it leaves, a bucket of
    columns sends on a forest, the pairs that connect its components, so rows sent grow with the rows and not with pairs.
-   The product follows; if it refutes a pair, the step is repeated without that pair, and with sixteen times as many pairs
-   for each component, until it refutes none. Then no pair is left that could link two components. Rows of refuted pairs
+   The product follows; a bucket where it refutes a pair that had joined two components may have held back others, so the
+   step is repeated there, without the refuted pairs and with 128 times as many pairs for each component, until it refutes
+   none that joined. Then no pair is left that could link two components. Rows of refuted pairs
    get sketches of more bins first, so that of a group of rows that are almost alike only pairs at the threshold are
    multiplied and remembered, and not the square of the group.
 
@@ -187,6 +188,8 @@ def _stars(blobs: pa.Table) -> pa.Table:
 
 
 def _across(percent: int, quota: int):
+    """A function of a bucket's rows, which are those of one bucket or, without that column, of no numbered one."""
+
     def run(rows: pa.Table) -> pa.Table:
         """A forest of the pairs that may link rows of different components, over all groups of a bucket."""
         # in order of nodes, so that buckets send on the same pairs where they can
@@ -202,7 +205,7 @@ def _across(percent: int, quota: int):
                 barred[own] = [others.field(c).to_numpy() for c in ("first", "a")]
         begin, size = _groups(group)
         _, label = np.unique(part, return_inverse=True)
-        found: dict[tuple[int, ...], tuple[int, int]] = {}  # by classes, as two may meet in many groups
+        found: dict[tuple[int, ...], tuple[int, int, bool]] = {}  # by classes, as two may meet in many groups
         sent: dict[int, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -228,10 +231,10 @@ def _across(percent: int, quota: int):
                 if label[x] != label[y] and pair not in found and not is_barred(x, y):
                     p, q = int(label[x]), int(label[y])
                     sent[p], sent[q] = sent.get(p, 0) + 1, sent.get(q, 0) + 1
-                    if sent[p] >= quota or sent[q] >= quota:
+                    if joins := min(sent[p], sent[q]) >= quota:  # so pairs are at most quota times the components
                         label[label == q] = p
                         sent[p] = max(sent[p], sent[q])
-                    found[pair] = x, y
+                    found[pair] = x, y, joins
 
         count = 0
         for at, m in zip(begin.tolist(), size.tolist(), strict=True):
@@ -244,13 +247,15 @@ def _across(percent: int, quota: int):
                     test()
                     count = 0
         test()
-        i, j = np.array(list(found.values()), np.int64).reshape(-1, 2).T
-        return pa.table({"lf": pa.array(node[i]), "la": pa.array(name[i]), "rf": pa.array(node[j]), "ra": pa.array(name[j])})
+        i, j, joins = np.array(list(found.values()), np.int64).reshape(-1, 3).T
+        bucket = rows.column("bucket")[0].as_py() if "bucket" in rows.column_names else None
+        return pa.table({"lf": pa.array(node[i]), "la": pa.array(name[i]), "rf": pa.array(node[j]), "ra": pa.array(name[j]), "bucket": pa.array([bucket] * len(i), pa.int64()), "joins": pa.array(joins > 0)})
 
     return run
 
 
 PAIR = "lf long, la long, rf long, ra long"
+MORE_PAIRS = 128  # for each component, with each round
 
 
 class _Join:
@@ -369,24 +374,16 @@ class _Join:
         self._done(path)
         return out
 
-    def across(self, prefixes: DataFrame, labels: DataFrame, refuted: DataFrame | None = None, quota: int = 1, fine: DataFrame | None = None) -> tuple[DataFrame, str]:
-        """Pairs (PAIR) that connect the components of rows that share a column and that sizes and sketches leave, without
-        those of ``refuted`` (PAIR): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another; and the table's path. ``fine`` has finer sketches of some rows."""
+    def mixed(self, prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+        """a, first, n, sketch, group, bucket of the rows of columns that hold rows of several components."""
         percent = self.percent
         placed = prefixes.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("a", "first", F.coalesce("component", "first").alias("component"), "keys")
         placed, path = written_at(placed, "placed")
         mixed, path_2 = written_at(self.dealt(placed.select("component", "keys")).applyInArrow(_shared, "owner long, key long, holders long").select(F.col("owner").alias("component"), "key"), "mixed-columns")
         # columns are compared by the bits that blobs keep, as there
-        met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"])
+        met = placed.select("a", "first", "component", F.explode("keys").alias("key")).join(mixed.hint("merge"), ["component", "key"]).select("a", "first", "key")
         rows, path_3 = written_at(met.join(self.classes.select("a", "first", "n", "sketch").hint("merge"), ["a", "first"]), "mixed-rows")
-        if fine is not None:
-            rows = rows.join(fine.hint("merge"), ["first", "a"], "left").withColumn("sketch", F.coalesce("fine", "sketch")).drop("fine")
-        if refuted is None:
-            rows = rows.withColumn("refuted", F.lit(None).cast("array<struct<first:long,a:long>>"))
-        else:
-            end = lambda k: F.struct(F.col(k + "f").alias("first"), F.col(k + "a").alias("a"))
-            both = refuted.select(F.explode(F.array(F.struct(end("l").alias("own"), end("r").alias("other")), F.struct(end("r").alias("own"), end("l").alias("other")))).alias("x")).select("x.own.first", "x.own.a", "x.other")
-            rows = rows.join(both.groupBy("first", "a").agg(F.collect_set("other").alias("refuted")).hint("merge"), ["first", "a"], "left")
+        self._done(path, path_2)
         big, path_4 = written_at(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > ROWS_A_BLOCK), "large-columns")
         rows = rows.join(big.hint("merge"), "key", "left")
         # in a large column, rows near in size share a band; then bands are cut into blocks that meet two by two
@@ -396,10 +393,24 @@ class _Join:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("first"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
         buckets = max(2 * bucket_count(rows), -(-(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0) // ROWS_A_BUCKET))
-        dealt = rows.select("a", "first", "component", "n", "sketch", "refuted", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
-        out = written_at(dealt.groupBy("bucket").applyInArrow(_across(percent, quota), PAIR).distinct(), "pairs-across")
-        self._done(path, path_2, path_3, path_4)
-        return out
+        self.paths += [path_3, path_4]
+        return rows.select("a", "first", "n", "sketch", group.alias("group")).withColumn("bucket", F.pmod("group", F.lit(buckets)))
+
+    def across(self, rows: DataFrame, labels: DataFrame, quota: int = 1, refuted: DataFrame | None = None, fine: DataFrame | None = None) -> tuple[DataFrame, str]:
+        """Pairs (PAIR) that connect the components of ``rows`` that share a column and that sizes and sketches leave, without
+        those of ``refuted`` (PAIR): a forest, with up to ``quota`` pairs of a bucket for each component before it is joined to another;
+        their bucket, and whether they joined; and the table's path. ``fine`` has finer sketches of some rows."""
+        rows = rows.join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+        if fine is not None:
+            rows = rows.join(fine.hint("merge"), ["first", "a"], "left").withColumn("sketch", F.coalesce("fine", "sketch")).drop("fine")
+        if refuted is None:
+            rows = rows.withColumn("refuted", F.lit(None).cast("array<struct<first:long,a:long>>"))
+        else:
+            end = lambda k: F.struct(F.col(k + "f").alias("first"), F.col(k + "a").alias("a"))
+            both = refuted.select(F.explode(F.array(F.struct(end("l").alias("own"), end("r").alias("other")), F.struct(end("r").alias("own"), end("l").alias("other")))).alias("x")).select("x.own.first", "x.own.a", "x.other")
+            rows = rows.join(both.groupBy("first", "a").agg(F.collect_set("other").alias("refuted")).hint("merge"), ["first", "a"], "left")
+        dealt = rows.select("a", "first", "component", "n", "sketch", "refuted", "group", "bucket")
+        return written_at(dealt.groupBy("bucket").applyInArrow(_across(self.percent, quota), PAIR + ", bucket long, joins boolean"), "pairs-across")
 
     def finer(self, refuted: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         """first, a, fine: finer sketches of the rows of the pairs ``refuted``; the pairs that even those leave; and the sketches' path."""
@@ -423,27 +434,36 @@ class _Join:
 
         return fine.select("first", "a", "fine"), written(map_batches(both, run, PAIR, size=1 << 20), "close"), path
 
-    def joined(self, prefixes: DataFrame) -> DataFrame:
-        """Links that make the components: of stars, and of pairs across components until none is left that might link."""
+    def joined(self, prefixes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Links that make the components: of stars, and of pairs across components until none is left that might link; and
+        the labels of the components, where they are known by then."""
         sets, path = self.sets_of(prefixes)
         pairs, pairs_path = self.stars(prefixes)
         links, refuted, quota = self.links(pairs, sets), None, 1
         fine = close = fine_path = None
         self._done(pairs_path)
+        labels = components(links)
+        rows = self.mixed(prefixes, labels)
         while True:
-            pairs, pairs_path = self.across(prefixes, components(links), close, quota, fine)
-            quota *= 16
-            more = self.links(pairs, sets)
+            pairs, pairs_path = self.across(rows, labels, quota, close, fine)
+            quota *= MORE_PAIRS
+            more = self.links(pairs.select("lf", "la", "rf", "ra").distinct(), sets)
             links = links.unionByName(more)
-            wrong = written(pairs.join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")), ["lf", "rf"], "left_anti").select("lf", "la", "rf", "ra"), "refuted")
+            wrong = written(pairs.join(more.select(F.col("a").alias("lf"), F.col("b").alias("rf")).hint("merge"), ["lf", "rf"], "left_anti"), "refuted")
             self._done(pairs_path)
-            if wrong.isEmpty():
+            new = not more.isEmpty()
+            # what a bucket held back was of components that its pairs had joined; where those are links, nothing is open
+            if wrong.where("joins").isEmpty():
                 self._done(path, *([fine_path] if fine_path else []))
-                return links
+                return links, None if new else labels
+            rows = rows.join(wrong.where("joins").select("bucket").distinct().hint("merge"), "bucket", "left_semi")
+            wrong = wrong.select("lf", "la", "rf", "ra").distinct()
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
             if fine_path:
                 self._done(fine_path)
             fine, close, fine_path = self.finer(refuted, sets)
+            if new:
+                labels = components(links)
 
     def shared_ids(self, of_row: DataFrame) -> DataFrame:
         """Links of the classes of rows that share an id; ``of_row`` has doc_id and first."""
@@ -452,11 +472,12 @@ class _Join:
 
     def result(self) -> DataFrame:
         prefixes = self.prefixes()
-        links = self.joined(prefixes)
+        links, labels = self.joined(prefixes)
         near = self.facts.select("doc_id", "n_shingles", "a", "b").join(self.classes.select("a", "b", "first").hint("merge"), ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
         of_row = written(near, "rows")
         self._done(*self.paths)
-        groups = components(links.unionByName(self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))))
+        same_id = self.shared_ids(of_row.where("doc_id IS NOT NULL AND first IS NOT NULL"))
+        groups = labels if labels is not None and same_id.isEmpty() else components(links.unionByName(same_id))
         joined = of_row.join(groups.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
         return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
 

@@ -157,6 +157,59 @@ def test_pairs_across_are_sent_once_a_bucket_without_refuted_classes():
     assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n) if (i, j) != (0, 1)]  # another class of a refuted row's id stays
 
 
+def test_a_large_component_does_not_cut_off_the_pairs_of_small_ones():
+    import pyarrow as pa
+
+    singles, quota = 30, 4  # each is near both rows of one large component
+    first = np.array([x for k in range(singles) for x in (0, 1, 2 + k)])
+    group = np.repeat(np.arange(singles), 3)
+    rows = {"group": group, "first": first, "a": first + 100, "n": np.full(len(first), 100), "component": np.where(first < 2, 0, first), "bucket": np.full(len(first), 5)}
+    sketches = pa.array([jaccard.sketch(np.arange(1, 101, dtype=np.uint64) * np.uint64(977))] * len(first), pa.binary())
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"sketch": sketches, "refuted": pa.nulls(len(first), pa.list_(pa.struct([("first", pa.int64()), ("a", pa.int64())])))})
+    got = jaccard._across(80, quota)(table).to_pylist()
+    assert sorted((r["lf"], r["rf"]) for r in got) == [(x, 2 + k) for x in (0, 1) for k in range(singles)]
+    assert {(r["bucket"], r["joins"]) for r in got} == {(5, False)}  # nothing was held back, so no round need follow
+    assert [(r["lf"], r["rf"], r["joins"]) for r in jaccard._across(80, 1)(table).to_pylist()] == [(0, 2 + k, True) for k in range(singles)]
+
+
+def test_a_round_follows_only_where_a_refuted_pair_had_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    base, texts = [f"w{k}" for k in range(504)], []
+    for k in range(40):
+        words = base[:]
+        for at in rng.sample(range(504), 7):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    seen, across = [], jaccard._Join.across
+
+    def counted(self, rows, labels, *args):
+        out = across(self, rows, labels, *args)
+        seen.append((rows.select("bucket").distinct().count(), out[0].where("joins").select("bucket").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard._Join, "across", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    assert [got[k] for k in range(40)] == components_of(texts, 5, 80)
+    assert len(seen) < 4 and all(now <= before for (_, before), (now, _) in zip(seen, seen[1:], strict=False)), seen
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from fathom.llm.base import written
+
+    dirs = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(p) for d in dirs for p in Path(d).glob("*/shuffle_*.data")}
+    before = files()
+    counts = written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(map(tuple, counts.collect())) == [(k, 100) for k in range(10)]
+
+
 def test_products_and_sketch_bounds_against_intersections():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
