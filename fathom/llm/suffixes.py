@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.base import map_batches, map_texts, partitions, table, text_of, written
+from fathom.llm.base import map_batches, map_texts, partitions, remove, table, text_of, written, written_at
 from fathom.llm.hashing import TOP, blobs_of, from_blobs, held_pairs, window_hashes
 
 WIDTH = 50
@@ -332,19 +332,23 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, ran
     buckets = max(8, -(-(facts.agg(F.sum("n_bytes")).first()[0] or 0) // range_bytes))
     texts = rows.where(F.octet_length("text") >= width)
     keys = map_texts(texts.select("g", "text"), _dealt(width, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated(buckets), "g long, key long")
-    wanted = keys.groupBy("g").agg(F.collect_list("key").alias("keys")).join(firsts, "g").select(F.col("first").alias("doc"), "g", "keys")
+    # written before the texts are sent, so that the anchors' blobs are gone by then
+    wanted, wanted_path = written_at(keys.groupBy("g").agg(F.collect_list("key").alias("keys")).join(firsts.hint("merge"), "g").select(F.col("first").alias("doc"), "g", "keys"), "wanted")
     asked = texts.join(wanted.hint("merge"), ["doc", "g"]).select("doc", "g", "text", "keys")
-    records = written(map_texts(asked, _records(width), RECORD), "records")
+    records, records_path = written_at(map_texts(asked, _records(width), RECORD), "records")
+    remove(docs.sparkSession, wanted_path)
     lead = F.substring("context", F.col("ahead") + 1, F.lit(LEAD))
     sent = records.where(F.col("context").isNotNull()).select("doc", "g", "context", "ahead", "at").repartitionByRange(max(partitions(docs.sparkSession), buckets // 16), lead, F.xxhash64("doc", "at"))
     ordered = sent.select("doc", "g", "context", "at", lead.alias("lead")).sortWithinPartitions("lead", "context", "doc")
-    settled = written(ordered.mapInArrow(_settled(width, chunk), LOST), "settled")
+    settled, settled_path = written_at(ordered.mapInArrow(_settled(width, chunk), LOST), "settled")
     here = records.where(F.col("context").isNull()).select("doc", "g", F.col("at").alias("lo"), F.col("lost_to").alias("hi"))
     across = settled.where(F.col("string").isNotNull())
     least = across.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where(F.col("least") < F.col("most")).select("string", "least")
     beyond = across.join(least.hint("merge"), "string").where(F.col("doc") > F.col("least")).select("doc", "g", "lo", "hi")
     lost = settled.where(F.col("string").isNull()).select("doc", "g", "lo", "hi").unionByName(here).unionByName(beyond)
     runs = written(lost.groupBy("doc", "g").agg(F.collect_list(F.struct("lo", "hi")).alias("lost")), "lost")
+    for path in (records_path, settled_path):
+        remove(docs.sparkSession, path)
     return facts.join(firsts.hint("merge"), ["g", "m"]), runs
 
 

@@ -575,6 +575,16 @@ def test_suffixes(spark, folder):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
 
 
+def test_suffixes_leave_no_records_behind(spark):
+    from pathlib import Path
+
+    kept = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("fathom-*") if p.name.split("-")[1] in ("wanted", "records", "settled")}
+    before = kept()
+    docs = spark.createDataFrame([(k, "x%d " % k + "a passage that comes in all of these texts, and is long enough to go " * 3) for k in range(20)], "doc long, text string")
+    _, runs = suffixes.repeated_starts(docs)
+    assert runs.count() == 19 and kept() == before
+
+
 def test_suffixes_with_hot_leads_across_buckets(spark):
     """A passage of 60 bytes in most documents, each time in other surroundings: its leads are cut and compared across buckets."""
     rng = random.Random(21)
