@@ -118,6 +118,20 @@ def test_blocks_that_share_tokens_alone_are_no_pairs_sent(spark, monkeypatch):
     assert sorted(Y.similar_blocks(df, 2).select("a", "b", "similarity").collect()) == sorted(whole)
 
 
+def test_blocks_of_few_signs_are_no_pairs_sent(spark, monkeypatch):
+    rng, sent = random.Random(5), []
+    keep = Y.stored
+    monkeypatch.setattr(Y, "stored", lambda df: sent.append(keep(df)) or sent[-1])
+    rows = [(f"f{k:02}", n, " ".join(f"{rng.choice(['the', *(f'w{rng.randrange(10**9)}' for _ in range(9))])} {rng.choice('*&%#') * 3}" for _ in range(40))) for k in range(60) for n in range(2)]
+    rows += [("g", n, rows[n][2].replace("the", "a", 1)) for n in range(2)]
+    own = ["short", " ".join(f"x{k}" for k in range(30)), "other"]
+    rows += [("h", n, x) for n, x in enumerate(own)] + [("i", n, x) for n, x in enumerate(own[1:])]  # blocks of one file that share a line
+    df = spark.createDataFrame(rows, "file_path string, line int, text string")
+    got = {(r.a_first.file_path, r.b_first.file_path) for r in Y.similar_blocks(df, 2).collect()}
+    pairs = [x for x in sent if x.columns == ["a", "b"]]
+    assert {tuple(sorted(x)) for x in got} == {("f00", "g"), ("h", "h")} and pairs[0].count() < 200  # of 1711 and more that share three of four tokens
+
+
 def test_renamed_blocks_are_alike_and_copies_are_one_class(spark):
     df = spark.createDataFrame([(f, n, x) for f, name in (("a", "left"), ("b", "right"), ("c", "left")) for n, x in enumerate([f"let {name} = 1", f"if ({name} > 22) go()", "end"])], "file_path string, line int, text string")
     assert Y.blocks(df, 3, loose=True).count() == 1 and Y.blocks(df, 3).count() == 2
